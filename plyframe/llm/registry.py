@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from plyframe.llm import chat
+from plyframe.llm import chat, decontaminate, simhash
 
 QUERIES = {
+    "op1_decontaminate": decontaminate.op1_decontaminate,
+    "op4_simhash": simhash.op4_simhash,
     "op5_chat_format": chat.op5_chat_format,
 }
 ORACLES = {
+    "op1_decontaminate": decontaminate.OP1_SQL,
     "op5_chat_format": chat.OP5_SQL,
 }
