@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from plyframe.llm import chat, decontaminate, simhash
+from plyframe.llm import chat, decontaminate, langid, simhash, warc
 
 QUERIES = {
+    "op3_language_id": langid.op3_language_id,
+    "op2_warc": warc.op2_warc,
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_chat_format": chat.op5_chat_format,
 }
 ORACLES = {
+    "op2_warc": warc.OP2_SQL,
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op5_chat_format": chat.OP5_SQL,
 }
