@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from plyframe.llm import chat, decontaminate, langid, simhash, warc
+from plyframe.llm import chat, decontaminate, extract, langid, pii, simhash, warc
 
 QUERIES = {
+    "op8_extract": extract.op8_extract,
+    "op10_pii": pii.op10_pii,
     "op3_language_id": langid.op3_language_id,
     "op2_warc": warc.op2_warc,
     "op1_decontaminate": decontaminate.op1_decontaminate,
