@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from plyframe.llm import chat, decontaminate, extract, langid, pii, simhash, warc
+from plyframe.llm import chat, decontaminate, extract, langid, linededup, mixing, pii, simhash, warc
 
 QUERIES = {
+    "op6_line_dedup": linededup.op6_line_dedup,
+    "op9_mixing": mixing.op9_mixing,
     "op8_extract": extract.op8_extract,
     "op10_pii": pii.op10_pii,
     "op3_language_id": langid.op3_language_id,
