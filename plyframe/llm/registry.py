@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from plyframe.llm import chat, decontaminate, extract, langid, linededup, mixing, pii, simhash, warc
+from plyframe.llm import chat, decontaminate, extract, langid, linededup, mixing, pii, simhash, vectors, warc
 
 QUERIES = {
+    "op7_embedding_dedup": vectors.op7_embedding_dedup,
     "op6_line_dedup": linededup.op6_line_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op8_extract": extract.op8_extract,
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_chat_format": chat.op5_chat_format,
 }
 ORACLES = {
+    "op7_embedding_dedup": vectors.OP7_SQL,
     "op2_warc": warc.OP2_SQL,
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op5_chat_format": chat.OP5_SQL,
