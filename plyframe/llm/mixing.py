@@ -1,7 +1,7 @@
 """Mixing to target weights by soft membership, in DataFrame operations only.
 
-A naive Bayes classifier over hashed words, counted on all rows of the labelled table,
-gives every document posterior probabilities over the domains. Document rates r >= 0 are
+A naive Bayes classifier over telling words, counted on a bounded sample of the labelled
+table, gives every document posterior probabilities over the domains. Document rates r >= 0 are
 then fitted so that the expected tokens of each domain, T = sum r n p, match targets t:
 projected gradient descent on 1/2 (T - t)' M^-1 (T - t) with M = sum n p p'. In the metric
 of the token counts the gradient of a document is p' M^-1 (T - t) and the Lipschitz
@@ -19,11 +19,18 @@ from pyspark.sql import functions as F
 
 from plyframe.llm.common import stored, table
 
-#: word buckets of the classifier: bounds what is collected and sent
-BUCKETS = 1 << 14
-#: a word moves the log odds by this at most
-LIMIT = 6.0
-SMOOTH = 0.2
+#: labelled documents of each domain that the classifier counts, about
+PER_DOMAIN = 6000
+#: pseudo-counts of a word, a number and a share of the sample, dealt out by the domains'
+#: sizes: an unseen word says nothing, and one seen a few times too little to be telling
+SMOOTH, SMOOTH_SHARE = 6.0, 0.0013
+#: words that move the log odds by less are left out: they mostly show the language, hundreds
+#: of them agree, and a product of their odds would drown the telling ones
+TELLING = 2.2
+#: a word moves them by this at most, in whole steps
+LIMIT = 6
+#: the most telling words kept: the size of the model
+WORDS = 4000
 STEPS = 30
 CLOSE = 1e-4
 #: domains of the labelled table and their target weights
@@ -33,55 +40,71 @@ TARGETS = {"good": 0.9, "poor": 0.1, "toxic": 0.0}
 LEAST_RATE = 0.05
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_tokens, buckets): words are the parts between blanks, line
-    feeds and stops; buckets are the distinct hash buckets of a text's words, and one for
-    the share of distinct words, in tenths. No shuffle."""
+def features(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, text_hash, n_tokens, marks): words are the parts between blanks, line feeds
+    and stops; marks are the hashes of a text's distinct words, and one for the share of
+    distinct words, in tenths. No shuffle."""
     words = F.filter(F.split(F.coalesce("text", F.lit("")), "[ \n.,;:]"), lambda x: x != "")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.explode(F.array(words)).alias("w"))
-    kinds = F.array_distinct(F.transform("w", lambda x: F.hash(x).bitwiseAND(BUCKETS - 1)))
-    rows = rows.select("doc_id", "text_hash", F.size("w").cast("long").alias("n_tokens"), F.explode(F.array(kinds)).alias("k"))
-    share = F.hash(F.lit("distinct words"), F.floor(10 * F.size("k") / F.greatest("n_tokens", F.lit(1)))).bitwiseAND(BUCKETS - 1)
-    return rows.select("doc_id", "text_hash", "n_tokens", F.array_append("k", share).alias("buckets"))
-
-
-def _total(weights: np.ndarray) -> Column:
-    """Sum of the weights of a row's buckets, in thousandths."""
-    sent = F.split(F.lit(",".join(str(round(1000 * x)) for x in weights)), ",").cast("array<int>")  # folded into one constant
-    return F.aggregate("buckets", F.lit(0).cast("long"), lambda a, b: a + F.get(sent, b))
-
-
-def classify(rows: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
-    """rows with p, the posterior probabilities in the order of domains. labelled has
-    (doc_id, domain); a document labelled twice counts under the smaller name. A domain
-    without labelled rows gets probability 0; without any labels p is null."""
-    one = labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain"))
-    seen = rows.join(one, "doc_id").select("domain", "buckets")
-    counts = seen.groupBy("domain").agg(F.count("*").alias("n")).collect()  # one row a domain
-    words = seen.select("domain", F.explode("buckets").alias("b")).groupBy("domain", "b").agg(F.count("*").alias("n")).collect()  # BUCKETS rows a domain at most
-    n = {r.domain: r.n for r in counts}
+    rows = docs.select("doc_id", *more, F.xxhash64("text").alias("text_hash"), F.explode(F.array(words)).alias("w"))
+    kinds = F.array_distinct(F.transform("w", lambda x: F.xxhash64(x)))
+    rows = rows.select("doc_id", *more, "text_hash", F.size("w").cast("long").alias("n_tokens"), F.explode(F.array(kinds)).alias("k"))
+    tenth = F.floor(10 * F.size("k") / F.greatest("n_tokens", F.lit(1)))
+    return rows.select("doc_id", *more, "text_hash", "n_tokens", F.array_append("k", F.xxhash64(F.lit("share of distinct words"), tenth)).alias("marks"))
+
+
+def _among(x: str, keys: list[int]) -> str:
+    return f"{x} in ({', '.join(f'{k}L' if k > -(1 << 63) else 'bigint(-9223372036854775808)' for k in keys)})"
+
+
+def classify(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
+    """(doc_id, text_hash, n_tokens, p): p are the posterior probabilities in the order of
+    domains. labelled has (doc_id, domain); a document labelled twice counts under the
+    smaller name. About ``PER_DOMAIN`` labelled documents of each domain, chosen by a hash
+    of the id, give the word counts; all labels give the priors. A domain without labelled
+    rows gets probability 0; without any labels p is null. Texts are scanned, not shuffled:
+    the sample's ids, at most twice ``PER_DOMAIN`` for each domain, are broadcast."""
+    one = stored(labelled.where(F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain")))
+    n = {r.domain: r["count"] for r in one.groupBy("domain").count().collect()}  # one row a domain
+    rows = features(docs)
     if not n:
-        return rows.withColumn("p", F.lit(None).cast("array<double>"))
-    c = {d: np.full(BUCKETS, SMOOTH) for d in n}
-    for d, b, k in words:
-        c[d][b] += k
-    logs = {d: np.log(v / (n[d] + 2 * SMOOTH)) for d, v in c.items()}
+        return rows.drop("marks").withColumn("p", F.lit(None).cast("array<double>"))
+    share = F.lit(0)
+    for d, k in sorted(n.items()):
+        share = F.when(F.col("domain") == d, F.lit(int((1 << 30) * min(1.0, PER_DOMAIN / k)))).otherwise(share)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    sample = one.where(place < share).orderBy(place, "doc_id").limit(2 * PER_DOMAIN * len(domains))
+    seen = stored(features(docs.join(F.broadcast(sample), "doc_id"), "domain").select("domain", "marks"))
+    used = {r.domain: r["count"] for r in seen.groupBy("domain").count().collect()}
     base = max(n, key=lambda d: (n[d], d))
-    score = []
-    for d in domains:
-        if d not in n:
-            score.append(F.lit(None).cast("double"))
-        elif d == base:
-            score.append(F.lit(0.0))
-        else:
-            w = np.clip(logs[d] - logs[base], -LIMIT, LIMIT)
-            score.append(_total(w) / F.lit(1000.0) + F.lit(math.log(n[d] / n[base])))
-    out = rows.withColumn("_s", F.explode(F.array(F.array(*score))))
+    rest = [d for d in domains if d in used and d != base]
+    score = {base: F.lit(0.0)}
+    if base in used and rest:
+        every = sum(used.values())
+        pseudo = (SMOOTH + SMOOTH_SHARE * every) / every
+        rate = lambda d: (F.count_if(F.col("domain") == d) + F.lit(pseudo * used[d])) / F.lit(float(used[d]))
+        odds = seen.select("domain", F.explode("marks").alias("m")).groupBy("m").agg(*[F.round(F.ln(rate(d) / rate(base)), 3).alias(d) for d in rest])
+        strength = F.greatest(*[F.abs(d) for d in rest], F.lit(0.0))
+        model = odds.where(strength >= TELLING).orderBy(F.desc(strength), "m").limit(WORDS).collect()
+        for d in rest:
+            steps: dict[int, list[int]] = {}
+            for r in model:
+                w = max(-LIMIT, min(LIMIT, round(r[d]))) if abs(r[d]) >= TELLING else 0
+                if w:
+                    steps.setdefault(w, []).append(r.m)
+            parts = [f"{w} * size(filter(hits, h -> {_among('h', keys)}))" for w, keys in sorted(steps.items())]
+            score[d] = F.expr(" + ".join(parts) if parts else "0") + F.lit(math.log(n[d] / n[base]))
+        told = [r.m for r in model]
+        hits = F.expr(f"filter(marks, h -> {_among('h', told)})") if told else F.array().cast("array<bigint>")
+    else:
+        hits = F.array().cast("array<bigint>")
+    scores = F.array(*[score.get(d, F.lit(math.log(n[d] / n[base])) if d in n else F.lit(None)).cast("double") for d in domains])
+    rows = rows.select("doc_id", "text_hash", "n_tokens", F.explode(F.array(hits)).alias("hits"))
+    out = rows.withColumn("_s", F.explode(F.array(scores)))
     top = F.array_max("_s")
     e = F.transform("_s", lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
     out = out.withColumn("_e", F.explode(F.array(e)))
     total = F.aggregate("_e", F.lit(0.0), lambda a, x: a + x)
-    return out.withColumn("p", F.transform("_e", lambda x: F.round(x / total, 9))).drop("_s", "_e")
+    return out.select("doc_id", "text_hash", "n_tokens", F.transform("_e", lambda x: F.round(x / total, 9)).alias("p"))
 
 
 def fit_rates(rows: DataFrame, domains: list[str], targets: dict[str, float], tokens: float | None = None) -> tuple[Column, dict]:
@@ -127,8 +150,8 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS)
     """
     domains = sorted(targets)
     labelled = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr(DOMAIN).alias("domain")).where("doc_id is not null and domain is not null")
-    rows = stored(features(docs.select("doc_id", "text")))
-    judged = stored(classify(rows, labelled, domains).drop("buckets"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    judged = stored(classify(docs, labelled, domains))
     rate, _ = fit_rates(judged, domains, targets)
     rated = F.when(F.col("p").isNull(), F.lit(1.0)).otherwise(F.round(rate, 6))
     return judged.select("doc_id", "text_hash", "n_tokens", *[F.get("p", F.lit(i)).alias(f"p_{d}") for i, d in enumerate(domains)], rated.alias("rate"))
