@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from plyframe import queries
+from plyframe.games import queries as games
 
-QUERIES = dict(queries.QUERIES)
-ORACLES = dict(queries.ORACLES)
+QUERIES, ORACLES = dict(queries.QUERIES), dict(queries.ORACLES)
+
+__all__ = ["ORACLES", "QUERIES", "games"]
