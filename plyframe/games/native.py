@@ -134,8 +134,8 @@ MORRIS3_MILLS = [(0, 1, 2), (2, 3, 4), (4, 5, 6), (6, 7, 0), (0, 8, 4), (1, 8, 5
 
 def morris3(colours: bool = False) -> Game:
     """Three men a side are placed, then slid along lines; a mill takes an enemy man that
-    stands in no mill, or any if all do. With all men placed, fewer than three or no move
-    loses. States are
+    stands in no mill, or any if all do. With all men placed, the side to
+    move loses with fewer than three or no move. States are
     side to move first; colours keeps states apart by the colour to move."""
     n = 9
     mills = [sum(1 << p for p in m) for m in MORRIS3_MILLS]
@@ -167,7 +167,7 @@ def morris3(colours: bool = False) -> Game:
         return s.select("id", _join((F.col("b").bitwiseXOR(F.col("gone")), 0), (F.col("na"), n), (F.col("hb"), 2 * n), (hand, 2 * n + 2), (turn, 2 * n + 4)).alias("dst")).distinct()
 
     def decide(s: DataFrame) -> DataFrame:
-        return decode(s).select("id", F.when(F.col("ha") + F.col("hb") > 0, None).when(F.bit_count("a") < 3, -1).when(F.bit_count("b") < 3, 1).alias("value"))
+        return decode(s).select("id", F.when(F.col("ha") + F.col("hb") > 0, None).when(F.bit_count("a") < 3, -1).alias("value"))
 
     return Game("morris 3", (3 << 2 * n | 3 << 2 * n + 2,), children, decide, -1)
 

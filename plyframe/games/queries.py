@@ -38,9 +38,9 @@ def game_connect4_4x4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _golden(native.connect4(4, 4), "root_value")(spark)
 
 
-@query("select 1 as root_value")
+@query("select 5934 as states, 1 as root_value")
 def game_morris3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _golden(native.morris3(), "root_value")(spark)
+    return _golden(native.morris3(colours=True), "states root_value")(spark)
 
 
 @query("select 1 as root_value, 9 as root_plies")
