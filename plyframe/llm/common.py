@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyframe.persist import cut, shared_dir, stored
+
+__all__ = ["ByteWords", "LOWER", "components", "cut", "mix64", "powers", "shared_dir", "stored", "table"]
+
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -16,31 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset
-    (tests on one machine) a folder of our own."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given
-    own = "file:///tmp/plyframe-checkpoints"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it from there: lineage ends, and a lost
-    executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), as a compressed parquet table: for wide rows that are read in part."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the undirected edges; root is the smallest node
     of its component. Large-star and small-star rounds alternate until the edges form

@@ -191,8 +191,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the contaminated rows; columns unchanged."""
-    bad = decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad._d) & (F.xxhash64(docs.text) == bad._t), "left_anti")
+    bad = decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("__ply_d"), F.col("text_hash").alias("__ply_t")).distinct()
+    return docs.join(bad, docs.doc_id.eqNullSafe(bad.__ply_d) & (F.xxhash64(docs.text) == bad.__ply_t), "left_anti")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

@@ -54,12 +54,19 @@ LABELLED = [
     [
         (0, '<div class="sidebar nav"><a href="/1">Up</a></div>'),
         (1, '<div id="page" class="site container wrapper"><div class="row"><div id="main" class="main main-content col"><div><div><h1>Two towns</h1><p>The towns lie on either side of the pass.</p><h3>The upper town</h3><div>It is the older one, and <span>built of stone</span>.</div><ul><li>a church</li><li>a mill</li></ul><a href="/m">a map</a></div></div></div></div></div>'),
-        (0, '<div class="footer"><p>Made in the hills</p></div>'),
+        (0, '<div class="footer"><p>Made in the hills</p></div><div class="header top"><a href="/">Hills</a></div><div class="related author widget meta links"><a href="/2">Next</a></div>'),
+        (0, '<div class="ad ads advert"><p>Wool</p></div><div class="cookie cookies banner"><p>Cookies</p></div><div class="nav menu"><a href="/3">Up</a></div><div class="comments comment replies"><p>Well said</p></div><div class="breadcrumb pagination"><a href="/4">4</a></div><div class="search login signup"><p>Find</p></div>'),
+    ],
+    [
+        (0, '<div class="page-header site-header-wrapper"><a href="/">The post</a></div>'),
+        (1, '<div class="single-post post entry story article content"><div class="article-header post-header entry-header story-header"><h1 class="article-title post-title entry-title">On foot</h1></div><div class="post-body entry-content article-content"><p>It is nine miles to the sea.</p><p>We walked them all in rain.</p></div></div>'),
+        (0, '<div id="respond" class="comment-respond feedback replies"><form><p>Leave a reply</p></form></div><div class="author-box byline-box"><p>The writer lives here.</p></div><div class="teaser more-stories read-more recommendations"><p>More to read</p></div>'),
+        (0, '<div class="disclaimer warning message overlay lightbox toast tooltip banner-ad sponsor"><p>Please note our terms.</p></div><div class="sitemap links copyright-notice breadcrumb crumbs pagination-links"><a href="/a">A</a></div>'),
     ],
     [
         (0, "<nav><a href='/'>Back</a></nav>"),
         (1, '<body><div class="main page-list posts-body"><section><h1>Nine winters</h1><h4>A letter</h4><div><p>Dear friend, the snow came early.</p></div><div><p>We have wood for nine weeks and bread for six.</p></div></section></div></body>'),
-        (0, "<aside><p>Other letters</p></aside>"),
+        (0, "<header><a href='/'>Letters</a></header><aside><p>Other letters</p></aside><footer><p>The archive</p></footer><form><input><button>Send</button></form><button>Print</button>"),
     ],
 ]
 
@@ -80,17 +87,24 @@ TOKEN = re.compile(
 ATTR = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 HOLDERS = frozenset(("article", "main"))
+#: first and last words of names that only state something
+STATING = frozenset("has no with without is".split())
+STATES = frozenset("open closed enabled disabled on off active".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
 
 
+def names(attr: str) -> list[list[str]]:
+    """The class, id and role names of an element, each as its words."""
+    if "=" not in attr:
+        return []
+    tokens = (t for m in ATTR.finditer(attr) for t in m[1].strip("\"'").split())
+    return [w for t in tokens if (w := [x.lower() for x in WORD.findall(t)])]
+
+
 def cues(tag: str, attr: str, inside: bool) -> list[str]:
-    """What an element shows of its use: its name, marked where it stands in an article,
-    and the words of its class, id and role."""
-    out = [f"{tag}+" if inside else tag]
-    if "=" in attr:
-        for m in ATTR.finditer(attr):
-            out += [f".{w.lower()}" for w in WORD.findall(m[1])]
-    return out
+    """What an element shows of its use: its names, those of several words as a whole, or
+    without names its tag, marked where it stands in an article."""
+    return ["." + "-".join(words) for words in names(attr)] or [f"{tag}+" if inside else tag]
 
 
 class Weights:
@@ -127,7 +141,20 @@ class Weights:
         self.tag = {n: min(-0.05, max(-3.0, math.log(share(1, f"tag {n}") / share(0, f"tag {n}")) + self.any_tag)) for n in names}
 
     def element(self, tag: str, attr: str, inside: bool) -> float:
-        return sum(self.odds.get(c, 0.0) for c in cues(tag, attr, inside))
+        """Log odds of an element: of its tag, where they are against it, and of each name. A name that was seen as a
+        whole counts as such; else its most telling furniture word counts, if it has one
+        (sidebar-content), or its best word. Names that only state something (has-sidebar,
+        comments-open) do not count."""
+        out = min(0.0, self.odds.get(f"{tag}+" if inside and f"{tag}+" in self.odds else tag, 0.0))
+        for words in names(attr):
+            if words[0] in STATING or (len(words) > 1 and words[-1] in STATES):
+                continue
+            whole = self.odds.get("." + "-".join(words))
+            if whole is None:
+                each = [self.odds.get(f".{w}", 0.0) for w in words]
+                whole = min(each) if min(each) < 0 else max(each)
+            out += whole
+        return out
 
 
 @cache
@@ -192,7 +219,7 @@ def main_text(page: str | None) -> str:
             continue
         count += 1
         inside = bool(stack) and stack[-1][3]
-        out = (bool(stack) and stack[-1][2]) or w.element(tag, m["attr"], inside) < FURNITURE
+        out = (bool(stack) and stack[-1][2]) or (tag not in ("html", "body") and w.element(tag, m["attr"], inside) < FURNITURE)
         parent[count], name[count] = (stack[-1][1] if stack else 0), tag
         stack.append((tag, count, out, inside or tag in HOLDERS))
     text(page[last:])

@@ -268,7 +268,7 @@ def identify(docs: DataFrame, model: Tagger) -> DataFrame:
             out += reader.read(part)
             yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    return docs.drop("lang_pred", "score").withColumn("_l", label("text")).select("*", "_l.lang_pred", "_l.score").drop("_l")
+    return docs.drop("lang_pred", "score").withColumn("__ply_l", label("text")).select("*", "__ply_l.lang_pred", "__ply_l.score").drop("__ply_l")
 
 
 #: the fold that is never learned from

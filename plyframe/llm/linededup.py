@@ -109,18 +109,18 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     them by a hash. A null id comes first. Empty lines between deleted ones go with them.
     Columns named n_lines, n_removed or sources are replaced, others kept.
     """
-    found = repeats(docs).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), F.col("ranges").alias("_r"), F.col("sources").alias("_s"))
-    plain = docs.drop("n_lines", "n_removed", "sources").withColumn("_h", F.xxhash64("text"))
-    both = plain.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    kept = F.expr("filter(split(text, '\\n'), (x, i) -> not exists(_r, r -> i between r.lo and r.hi))")
-    both = both.withColumn("_k", F.when(F.col("_r").isNotNull(), kept))
+    found = repeats(docs).select(F.col("doc_id").alias("__ply_d"), F.col("text_hash").alias("__ply_t"), F.col("ranges").alias("__ply_r"), F.col("sources").alias("__ply_s"))
+    plain = docs.drop("n_lines", "n_removed", "sources").withColumn("__ply_h", F.xxhash64("text"))
+    both = plain.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__ply_d")) & (F.col("__ply_h") == F.col("__ply_t")), "left")
+    kept = F.expr("filter(split(text, '\\n'), (x, i) -> not exists(__ply_r, r -> i between r.lo and r.hi))")
+    both = both.withColumn("__ply_k", F.when(F.col("__ply_r").isNotNull(), kept))
     n = F.coalesce(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0))
-    names = [c for c in plain.columns if c != "_h"]
+    names = [c for c in plain.columns if c != "__ply_h"]
     return both.select(
-        *[F.when(F.col("_k").isNotNull(), F.array_join("_k", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names],
+        *[F.when(F.col("__ply_k").isNotNull(), F.array_join("__ply_k", "\n")).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in names],
         n.cast("long").alias("n_lines"),
-        F.when(F.col("_k").isNotNull(), n - F.size("_k")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
-        F.coalesce("_s", F.array().cast("array<bigint>")).alias("sources"),
+        F.when(F.col("__ply_k").isNotNull(), n - F.size("__ply_k")).otherwise(F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce("__ply_s", F.array().cast("array<bigint>")).alias("sources"),
     )
 
 

@@ -163,6 +163,6 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mixture(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs with their rate, without those whose rate is below ``LEAST_RATE``."""
-    rates = mix(docs, labels).where(f"rate >= {LEAST_RATE}").select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_t"), "n_tokens", "rate").distinct()
-    keyed = docs.drop("rate", "n_tokens").withColumn("_h", F.xxhash64("text"))
-    return keyed.join(rates, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t"))).drop("_h", "_d", "_t")
+    rates = mix(docs, labels).where(f"rate >= {LEAST_RATE}").select(F.col("doc_id").alias("__ply_d"), F.col("text_hash").alias("__ply_t"), "n_tokens", "rate").distinct()
+    keyed = docs.drop("rate", "n_tokens").withColumn("__ply_h", F.xxhash64("text"))
+    return keyed.join(rates, F.col("doc_id").cast("long").eqNullSafe(F.col("__ply_d")) & (F.col("__ply_h") == F.col("__ply_t"))).drop("__ply_h", "__ply_d", "__ply_t")

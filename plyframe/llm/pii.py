@@ -420,7 +420,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
                 out.append((*n, hashlib.sha256(_joined(b).encode()).hexdigest(), _joined(all_)))
             yield pd.DataFrame(out, columns=names)
 
-    return docs.drop(*names).withColumn("_p", scan(text)).select("*", "_p.*").drop("_p")
+    return docs.drop(*names).withColumn("__ply_p", scan(text)).select("*", "__ply_p.*").drop("__ply_p")
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
