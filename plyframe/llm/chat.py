@@ -37,9 +37,9 @@ def parse_turn(data: str, at: int = 0) -> tuple[str, str, int, int, int]:
     if not data.startswith(START, at):
         raise ValueError("a turn must start here")
     head = data.index("\n", at)
-    end = data.index(END, head)
+    end = data.index(END, at + len(START))
     stop = end + len(END)
-    if data[stop : stop + 1] != "\n" or START in data[at + len(START) : end]:
+    if end < head or data[stop : stop + 1] != "\n" or START in data[at + len(START) : end]:
         raise ValueError("control string inside a turn")
     role = unescape(data[at + len(START) : head].replace(LINE_IN_ROLE, "\n"))
     return role, unescape(data[head + 1 : end]), head + 1, end, stop + 1
