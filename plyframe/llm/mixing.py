@@ -1,7 +1,7 @@
 """Mixing to target weights by soft membership, in DataFrame operations only.
 
-A naive Bayes classifier over telling words, counted on a bounded sample of the labelled
-table, gives every document posterior probabilities over the domains. Document rates r >= 0 are
+A naive Bayes classifier over counts of telling words, learned from a bounded sample of the
+labelled table, gives every document posterior probabilities over the domains. Document rates r >= 0 are
 then fitted so that the expected tokens of each domain, T = sum r n p, match targets t:
 projected gradient descent on 1/2 (T - t)' M^-1 (T - t) with M = sum n p p'. In the metric
 of the token counts the gradient of a document is p' M^-1 (T - t) and the Lipschitz
@@ -24,11 +24,12 @@ PER_DOMAIN = 6000
 #: pseudo-counts of a word, a number and a share of the sample, dealt out by the domains'
 #: sizes: an unseen word says nothing, and one seen a few times too little to be telling
 SMOOTH, SMOOTH_SHARE = 6.0, 0.0013
-#: words that move the log odds by less are left out: they mostly show the language, hundreds
-#: of them agree, and a product of their odds would drown the telling ones
+#: a word tells a domain if it raises its log odds by this. Others mostly show the language:
+#: hundreds of them agree, and a product of their odds would drown the telling ones
 TELLING = 2.2
-#: a word moves them by this at most, in whole steps
-LIMIT = 6
+#: a document's telling words of a domain are counted up to this; the counts are what the
+#: classifier takes as independent given the domain
+MOST = 3
 #: the most telling words kept: the size of the model
 WORDS = 4000
 STEPS = 30
@@ -52,8 +53,12 @@ def features(docs: DataFrame, *more: str) -> DataFrame:
     return rows.select("doc_id", *more, "text_hash", "n_tokens", F.array_append("k", F.xxhash64(F.lit("share of distinct words"), tenth)).alias("marks"))
 
 
-def _among(x: str, keys: list[int]) -> str:
-    return f"{x} in ({', '.join(f'{k}L' if k > -(1 << 63) else 'bigint(-9223372036854775808)' for k in keys)})"
+def _count(keys: list[int]) -> str:
+    """How many of a text's marks are among the keys, ``MOST`` at most."""
+    if not keys:
+        return "0"
+    listed = ", ".join(f"{k}L" if k > -(1 << 63) else "bigint(-9223372036854775808)" for k in keys)
+    return f"least({MOST}, size(filter(marks, h -> h in ({listed}))))"
 
 
 def classify(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFrame:
@@ -76,29 +81,32 @@ def classify(docs: DataFrame, labelled: DataFrame, domains: list[str]) -> DataFr
     seen = stored(features(docs.join(F.broadcast(sample), "doc_id"), "domain").select("domain", "marks"))
     used = {r.domain: r["count"] for r in seen.groupBy("domain").count().collect()}
     base = max(n, key=lambda d: (n[d], d))
-    rest = [d for d in domains if d in used and d != base]
-    score = {base: F.lit(0.0)}
-    if base in used and rest:
+    known = [d for d in domains if d in used]
+    score = {d: F.lit(math.log(n[d] / n[base])) for d in n}
+    told: dict[str, list[int]] = {}
+    if base in used and len(known) > 1:
         every = sum(used.values())
         pseudo = (SMOOTH + SMOOTH_SHARE * every) / every
         rate = lambda d: (F.count_if(F.col("domain") == d) + F.lit(pseudo * used[d])) / F.lit(float(used[d]))
-        odds = seen.select("domain", F.explode("marks").alias("m")).groupBy("m").agg(*[F.round(F.ln(rate(d) / rate(base)), 3).alias(d) for d in rest])
-        strength = F.greatest(*[F.abs(d) for d in rest], F.lit(0.0))
+        rest = [d for d in known if d != base]
+        odds = seen.select("domain", F.explode("marks").alias("m")).groupBy("m").agg(*[F.round(F.ln(rate(d) / rate(base)), 3).alias(f"in_{i}") for i, d in enumerate(rest)])
+        strength = F.greatest(*[F.col(f"in_{i}") for i in range(len(rest))], F.lit(-1e9))
         model = odds.where(strength >= TELLING).orderBy(F.desc(strength), "m").limit(WORDS).collect()
-        for d in rest:
-            steps: dict[int, list[int]] = {}
-            for r in model:
-                w = max(-LIMIT, min(LIMIT, round(r[d]))) if abs(r[d]) >= TELLING else 0
-                if w:
-                    steps.setdefault(w, []).append(r.m)
-            parts = [f"{w} * size(filter(hits, h -> {_among('h', keys)}))" for w, keys in sorted(steps.items())]
-            score[d] = F.expr(" + ".join(parts) if parts else "0") + F.lit(math.log(n[d] / n[base]))
-        told = [r.m for r in model]
-        hits = F.expr(f"filter(marks, h -> {_among('h', told)})") if told else F.array().cast("array<bigint>")
+        told = {d: [r.m for r in model if r[f"in_{i}"] >= TELLING] for i, d in enumerate(rest)}
+        for e in rest:
+            got = seen.select("domain", F.expr(_count(told[e])).alias("c")).groupBy("domain", "c").count().collect()  # MOST + 1 rows a domain
+            share = {d: np.full(MOST + 1, 0.5) for d in known}
+            for r in got:
+                share[r.domain][r.c] += r["count"]
+            share = {d: np.log(v / v.sum()) for d, v in share.items()}
+            for d in known:
+                ratio = ", ".join(f"{x:.6f}D" for x in share[d] - share[base])
+                score[d] = score[d] + F.expr(f"element_at(array({ratio}), c_{rest.index(e)} + 1)")
+        counts = [F.expr(_count(told[d])).alias(f"c_{i}") for i, d in enumerate(rest)]
     else:
-        hits = F.array().cast("array<bigint>")
-    scores = F.array(*[score.get(d, F.lit(math.log(n[d] / n[base])) if d in n else F.lit(None)).cast("double") for d in domains])
-    rows = rows.select("doc_id", "text_hash", "n_tokens", F.explode(F.array(hits)).alias("hits"))
+        counts = []
+    rows = rows.select("doc_id", "text_hash", "n_tokens", F.explode(F.array(F.struct(F.lit(0).alias("_"), *counts))).alias("c")).select("doc_id", "text_hash", "n_tokens", "c.*")
+    scores = F.array(*[score.get(d, F.lit(None)).cast("double") for d in domains])
     out = rows.withColumn("_s", F.explode(F.array(scores)))
     top = F.array_max("_s")
     e = F.transform("_s", lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
