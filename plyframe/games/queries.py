@@ -7,11 +7,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.functions.bits import shift
+from plyframe.functions.predicates import board_columns, corner_state, mill_events
+from plyframe.functions.zdd import Zdd
 from plyframe.games import native, scripted
 from plyframe.games.core import Game, explore, solve, summary
 from plyframe.persist import cut
+from plyframe.operators import folds, tables
+from plyframe.plans import fixpoint, sampling
 from plyframe.queries import query, wall_conflict, wall_slots
-from plyframe.operators import tables
+from plyframe.sources import boards
+from plyframe.sources.derived import supply_edges, table
 
 
 def _golden(game: Game, columns: str):
@@ -137,3 +142,129 @@ def zdd_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     slots = wall_slots(spark, 4)
     sets = cut(tables.independent_sets(slots, tables.conflict_pairs(slots, "id", wall_conflict), 3))
     return zdd_levels(sets, 18)
+
+
+@query(_Z + ", r as (select m, list_reduce(list_prepend(0::bigint, list_transform(range(18), lambda i: ((m >> i::int) & 1)::bigint)), lambda a, x: a * 2 + x) as k from f) select cast(m as bigint) as mask, row_number() over (order by k) - 1 as rank, cast(m as bigint) as again from r")
+def zdd_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of wall sets by their diagram, and the sets again by their numbers."""
+    slots = wall_slots(spark, 4)
+    sets = cut(tables.independent_sets(slots, tables.conflict_pairs(slots, "id", wall_conflict), 3))
+    z = Zdd.load(Zdd.of([r.members for r in sets.collect()], 18).table(spark))  # a board's geometry
+    ranked = sets.select(F.col("members").alias("mask"), z.rank_column(spark, "members").alias("rank"))
+    return ranked.join(z.scan(spark).select("rank", F.col("mask").alias("again")), "rank")
+
+
+@query("""
+with m(i, k) as (values (0, 7), (1, 28), (2, 112), (3, 193), (4, 273), (5, 290), (6, 324), (7, 392)),
+s as (select mask, list(k) as mm from generate_series(0, 511) t(mask), m where mask & k = k group by mask),
+h as (select mask, min(bit_count(p)) as events from s, generate_series(0, 511) u(p) where len(list_filter(mm, lambda x: x & p = 0)) = 0 group by mask)
+select t.mask, cast(coalesce(events, 0) as int) as events from generate_series(0, 511) t(mask) left join h using (mask)
+""")
+def mill_closings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    masks = spark.range(512).select(F.col("id").alias("mask"))
+    return mill_events(masks, "mask", [sum(1 << p for p in m) for m in native.MORRIS3_MILLS])
+
+
+@query("select * from (values ('diamond', 9), ('full', 9), ('walls', -3), ('two eyes', 13), ('one eye', 0)) t(name, value)")
+def go_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Published static values: area scores of 3 x 3 boards, and how many white stones of
+    5 x 5 boards are alive whatever happens."""
+    small = [("diamond", ".X./X.X/.X."), ("full", "XXX/XXX/XXX"), ("walls", "XXX/OOO/...")]
+    large = [("two eyes", "OOOOO/O.O.O/OOOOO/...../....."), ("one eye", "OOOOO/O...O/OOOOO/...../.....")]
+    out = None
+    for rows, n in ((small, 3), (large, 5)):
+        t = spark.createDataFrame(rows, "name string, board string").withColumn("board", boards.parse_rows("board"))
+        t = t.select("name", boards.mask_of("board", "X").alias("x"), boards.mask_of("board", "O").alias("o"))
+        c = board_columns("x", "o", n, n)
+        one = t.select("name", (c["score"] if n == 3 else F.bit_count(c["alive_b"])).alias("value"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""
+with s as (select 1::bigint << a as a, 1::bigint << b as b, spec from generate_series(0, 15) t(a), generate_series(0, 15) u(b), (values (0, 1, 32768), (1, 8, 4096)) v(spec, start, goal) where a <> b),
+c as (select s.*, start, goal from s join (values (0, 1, 32768), (1, 8, 4096)) v(spec, start, goal) using (spec))
+select spec, case when (a | b) & goal = goal and a & goal <> 0 then 'illegal' when (a | b) & start = start and b & start <> 0 then 'lost' else 'open' end as state, count(*) as states from c group by 1, 2
+""")
+def rule_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of two pieces on 4 x 4 under two choices of home corners."""
+    s = boards.product_space(spark, [16, 16]).where("i0 <> i1")
+    one = F.lit(1).cast("long")
+    s = s.select(F.call_function("shiftleft", one, F.col("i0").cast("int")).alias("a"), F.call_function("shiftleft", one, F.col("i1").cast("int")).alias("b"))
+    out = None
+    for k, (start, goal) in enumerate(((1, 32768), (8, 4096))):
+        part = s.select(F.lit(k).alias("spec"), corner_state("a", "b", start, goal).alias("state"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("spec", "state").agg(F.count("*").alias("states"))
+
+
+@query("select o_orderkey as id from orders where ((o_orderkey * 48271 + 16807) % 2147483647) % 10 = 0")
+def sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_ids(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", 10, 1)
+
+
+@query("""
+with c as (select k, list_reduce(list_prepend(1::hugeint, list_transform(range(1, (k + 1) // 2 + 1), lambda i: i::hugeint)), lambda a, x: a) as one from generate_series(0, 6) t(k)),
+b as (select k, (k + 1) // 2 as w, k // 2 as s from c)
+select cast(k as int) as layer, cast(2 * round(exp(lgamma(17) - lgamma(w + 1) - lgamma(17 - w))) * round(exp(lgamma(17 - w) - lgamma(s + 1) - lgamma(17 - w - s))) as decimal(38, 0)) as states from b
+""")
+def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.estimate(spark, 16, 6)
+
+
+@query("select l_suppkey as id from lineitem where l_quantity > 30 intersect select l_suppkey from lineitem where l_discount > 0.05")
+def set_intersect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem")
+    return x.where("l_quantity > 30").select(F.col("l_suppkey").alias("id")).intersect(x.where("l_discount > 0.05").select(F.col("l_suppkey").alias("id")))
+
+
+@query("with e as (select distinct l_partkey as src, l_suppkey as dst from lineitem), d as (select s_nationkey as nation, count(*) as paths from e join supplier on dst = s_suppkey group by 1) select nation, cast(paths as decimal(38, 0)) as paths from d")
+def path_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ways down from parts to nations, counted layer by layer."""
+    e = supply_edges(spark, sf_dir).where("layer > 0").select((F.col("layer").cast("long") * 1_000_000_000 + F.col("src")).alias("src"), ((F.col("layer").cast("long") + 1) * 1_000_000_000 + F.col("dst")).alias("dst"))
+    parts = e.select(F.col("src").alias("id")).where("id < 2000000000").distinct()
+    return folds.count_paths(e, parts, 2).where("ply = 2").select((F.col("id") - 3_000_000_000).alias("nation"), "paths")
+
+
+@query("""
+select conv_id, count(*) as turns, bool_and(ok) as valid from (
+  select conv_id, turn, role, case when lag(turn) over w is null then turn = 0 and role in ('system', 'user')
+    else turn = lag(turn) over w + 1 and ((role = 'assistant') = (lag(role) over w = 'user')) and role <> 'system' end as ok
+  from conversations window w as (partition by conv_id order by turn)) group by conv_id
+""")
+def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation played again: turns in sequence, sides in turn."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    t, r = F.lag("turn").over(w), F.lag("role").over(w)
+    ok = F.when(t.isNull(), (F.col("turn") == 0) & F.col("role").isin("system", "user")).otherwise(
+        (F.col("turn") == t + 1) & ((F.col("role") == "assistant") == (r == "user")) & (F.col("role") != "system")
+    )
+    return table(spark, sf_dir, "conversations").withColumn("ok", ok).groupBy("conv_id").agg(F.count("*").alias("turns"), F.every("ok").alias("valid"))
+
+
+@query("with recursive n(a, b) as (values (0, 1), (1, 2), (2, 3), (4, 5)), r(a, b) as (select a, b from n union select r.a, n.b from r join n on r.b = n.a) select a, b from r")
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that every point of a small graph reaches, by a bounded recursive query."""
+    spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "a int, b int").createOrReplaceTempView("closure_edges")
+    return spark.sql("with recursive r(a, b, n) as (select a, b, 1 from closure_edges union all select r.a, e.b, r.n + 1 from r join closure_edges e on r.b = e.a where r.n < 6) select distinct a, b from r")
+
+
+@query("select cast(l_suppkey as bigint) as id, max(l_quantity) as best from lineitem group by 1")
+def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = table(spark, sf_dir, "lineitem")
+    return x.groupBy(F.col("l_suppkey").alias("id")).agg(sampling.threshold(x, "l_quantity").alias("best"))
+
+
+@query()
+def random_playouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty games of breakthrough on 3 x 4; rows only, as the hash has no twin in SQL."""
+    return sampling.playouts(spark, native.breakthrough(3, 4), 50, seed=1)
+
+
+@query("select * from (values (0, 1::bigint), (1, 2), (2, 2)) t(depth, states)")
+def reach_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reachability stopped after two steps."""
+    e = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 4), (3, 5), (4, 0)], "src long, dst long")
+    return fixpoint.reach(e, spark.range(1), 2).groupBy("depth").agg(F.count("*").alias("states"))
