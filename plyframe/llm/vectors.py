@@ -87,18 +87,20 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         low = new
 
 
-def _unit(raw) -> np.ndarray:
-    v = np.stack([np.frombuffer(x, dtype=np.float32) for x in raw]).astype(np.float64)
+def _unit(raw, dim: int) -> np.ndarray:
+    kind = np.float32 if len(raw.iloc[0] if isinstance(raw, pd.Series) else raw[0]) == 4 * dim else np.float64
+    v = np.stack([np.frombuffer(x, dtype=kind) for x in raw]).astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # squares neither overflow nor vanish
     return v / np.sqrt(np.einsum("nd,nd->n", v, v))[:, None]
 
 
 def _tile(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """One tile of one bucket: ids, their link counts, and edges of a spanning forest."""
-    band = (int(rows["slot"].iat[0]) >> BAND_BITS) % BANDS
+    dim, band = divmod(int(rows["slot"].iat[0]) >> BAND_BITS, BANDS)
     side = rows["side"].to_numpy()
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     same = not len(b)
-    unit, factor = _unit(rows["vec"]), rows["factor"].to_numpy()
+    unit, factor = _unit(rows["vec"], dim), rows["factor"].to_numpy()
     keys = np.stack([np.frombuffer(x, dtype=np.uint16) for x in rows["keys"]])
     ids, times = rows["rid"].to_numpy(), rows["times"].to_numpy()
     links = np.zeros(len(rows), dtype=np.int64)
@@ -160,8 +162,9 @@ def near_vectors(rows: DataFrame) -> DataFrame:
     too. Repeated rows are vectors of their own and linked with each other; rows that share
     an id share a component. Extra columns are left out. An empty table gives no rows.
     """
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast("array<float>").alias("v"))
-    bad = "exists(v, x -> x is null or isnan(x) or abs(x) = float('infinity')) or not exists(v, x -> x <> 0)"
+    real = "float" if dict(rows.dtypes)["embedding"] == "array<float>" else "double"
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(f"array<{real}>").alias("v"))
+    bad = f"exists(v, x -> x is null or isnan(x) or abs(x) = {real}('infinity')) or not exists(v, x -> x <> 0)"
     good = rows.where(f"vec_id is not null and label is not null and v is not null and size(v) > 0 and not ({bad})").withColumn("h", F.xxhash64("v"))
     reps = stored(good.groupBy("label", "h", "v").agg(F.min("vec_id").alias("rid"), F.count("*").alias("times")))
 
@@ -170,8 +173,8 @@ def near_vectors(rows: DataFrame) -> DataFrame:
             dims = np.array([len(x) for x in d["v"]])
             for dim in np.unique(dims):
                 part = d[dims == dim]
-                raw = [np.asarray(x, dtype=np.float32).tobytes() for x in part["v"]]
-                keys, factor = encode(_unit(raw))
+                raw = [np.asarray(x, dtype=np.float32 if real == "float" else np.float64).tobytes() for x in part["v"]]
+                keys, factor = encode(_unit(raw, int(dim)))
                 yield pd.DataFrame({"rid": part["rid"], "label": part["label"], "times": part["times"], "dim": int(dim), "vec": raw, "factor": factor, "keys": [k.tobytes() for k in keys], "slots": list(((int(dim) * BANDS + np.arange(BANDS, dtype=np.int64))[None, :] << BAND_BITS) | keys.astype(np.int64))})
 
     kinds = "rid long, label long, times long, dim long, vec binary, factor double, keys binary, slots array<long>"

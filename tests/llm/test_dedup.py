@@ -263,6 +263,12 @@ def test_vector_edges(spark, clash):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_double_vectors_keep_their_precision(spark):
+    rows = [(1, [1.0, 1e-9], 0), (2, [1.0, 2e-9], 0), (3, [1e200, 0.0], 0), (4, [0.0, 1e-200], 0)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 0, 4)]
+
+
 def test_large_buckets_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(vectors, "TILE", 16)
     rng = np.random.default_rng(4)
