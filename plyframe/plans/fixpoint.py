@@ -11,11 +11,18 @@ from pyspark.sql import functions as F
 from plyframe.persist import cut
 
 
+def _ready(edges: DataFrame) -> DataFrame:
+    """edges, written once and dealt out by the column ``id`` that every pass joins on, so
+    a pass moves its frontier and not the edges."""
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(edges.repartition(n, "id"))
+
+
 def reach(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(id, depth): what the roots reach, with the least number of steps. Each pass joins
     the frontier only and takes out what was seen."""
     seen = front = cut(roots.select("id").distinct().select("id", F.lit(0).alias("depth")))
-    e = edges.select(F.col("src").alias("id"), "dst")
+    e = _ready(edges.select(F.col("src").alias("id"), "dst"))
     depth = 0
     while most is None or depth < most:
         depth += 1
@@ -65,8 +72,8 @@ def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> Da
     node, the number of children not yet known to be won. most ends after so many passes.
     A node without children that is not decided stays open.
     """
-    e = edges.select("src", F.col("dst").alias("id"))
-    degree = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("left"))
+    e = _ready(edges.select("src", F.col("dst").alias("id")))
+    degree = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("left"))
     state = nodes.join(degree, "id", "left").select("id", F.col("value").cast("int"), F.when(F.col("value").isNotNull(), 0).alias("decided_at"), F.coalesce("left", F.lit(0)).alias("left"))
     open_ = cut(state)
     done = cut(open_.where("value is not null").select("id", "value", "decided_at"))
