@@ -1 +1 @@
-"""functions."""
+"""Scalar functions, ranking, symmetry, diagrams, predicates."""

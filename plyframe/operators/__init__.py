@@ -1 +1 @@
-"""operators."""
+"""Joins, folds and whole-table operators."""

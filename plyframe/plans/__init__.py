@@ -1 +1 @@
-"""plans."""
+"""Iterative plans over state and edge tables."""

@@ -1 +1 @@
-"""sources."""
+"""State ranges, boards as text, derived graphs, files, sinks."""

@@ -1 +1 @@
-"""streaming."""
+"""Nothing: game tables have no time, so there are no streams to process."""

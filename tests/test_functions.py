@@ -79,3 +79,12 @@ def test_encodings(spark, kind, codes, want):
 def test_perspectives(spark):
     got = values(spark, [(0, 0, True), (1, 0, True), (2, 0, False), (1, 1, False)], "c int, t int, b boolean", from_winner("c", "t"), from_black("c", "b"))
     assert got == [(0, None), (1, 1), (-1, 1), (-1, -1)]
+
+
+def test_table_function(spark):
+    from plyframe.functions.udtf import register
+
+    register(spark, "halves", lambda n: [n // 2, n - 1] if n else [])
+    spark.createDataFrame([(4,), (0,)], "id long").createOrReplaceTempView("some_states")
+    rows = spark.sql("select s.id, m.dst from some_states s, lateral halves(s.id) m order by 1, 2").collect()
+    assert [tuple(r) for r in rows] == [(4, 2), (4, 3)]
