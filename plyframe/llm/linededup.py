@@ -6,17 +6,17 @@ of lines with at least ``PASSAGE_WORDS`` words, the smallest run hash inside is
 Two documents that share a passage of that many words in whole lines share a window, and
 so select the same run: no such passage is missed, and few runs are selected.
 
-A selected run that occurs more than once is joined with its first occurrence (smallest
-doc_id, then position). Both documents' line hashes are compared along the diagonal of the
+A selected run that occurs more than once is joined with its last occurrence in the same
+document, or else with the first of all (smallest doc_id, then position). Both documents' line hashes are compared along the diagonal of the
 match, which extends it both ways as far as the lines agree, and the later stretch is
 deleted. Every deleted line has an equal line earlier, so one copy always stays.
 
-Each occurrence meets one other, the first, so the work follows the number of copies.
+Each occurrence meets one other, so the work follows the number of copies.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyframe.llm.common import cut, table
@@ -73,9 +73,14 @@ def repeats(docs: DataFrame) -> DataFrame:
         .where("n > 1")
         .select("hash", F.col("f.doc_id").alias("d0"), F.col("f.text_hash").alias("t0"), F.col("f.j").alias("j0"))
     )
+    # a run that a document repeats is held against its last place there, so a regular
+    # repetition is one diagonal; a document's first place of a run against the first of all
+    before = F.lag("j").over(Window.partitionBy(*KEY, "hash").orderBy("j"))
+    occur = occur.withColumn("before", before)
+    own = occur.where("before is not null").select(*KEY, "j", F.col("doc_id").alias("d0"), F.col("text_hash").alias("t0"), F.col("before").alias("j0"))
+    other = occur.where("before is null").join(first, "hash").where("not (doc_id <=> d0 and text_hash = t0)").select(*KEY, "j", "d0", "t0", "j0")
     pairs = (
-        occur.join(first, "hash")
-        .where("not (doc_id <=> d0 and text_hash = t0 and j = j0)")
+        own.unionByName(other)
         .groupBy(*KEY, "d0", "t0", (F.col("j") - F.col("j0")).alias("off"))
         .agg(F.collect_set("j").alias("js"))
     )
