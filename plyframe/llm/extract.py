@@ -168,7 +168,8 @@ def main_text(page: str | None) -> str:
     w = weights()
     # open elements: name, number, whether furniture, whether inside an article
     stack: list[tuple[str, int, bool, bool]] = []
-    parent: dict[int, int] = {}
+    parent: dict[int, int] = {0: 0}
+    open_tags: Counter = Counter()
     name: dict[int, str] = {}
     count = block = 0
     items: list[tuple[float, str, int, int, bool, bool]] = []  # score, text, block, element, furniture, link
@@ -188,6 +189,7 @@ def main_text(page: str | None) -> str:
         nonlocal block
         if any(s[0] in BLOCK for s in stack[at:]):
             block += 1
+        open_tags.subtract(s[0] for s in stack[at:])
         del stack[at:]
 
     for m in TOKEN.finditer(page):
@@ -203,7 +205,7 @@ def main_text(page: str | None) -> str:
         if tag in BLOCK:
             block += 1
         if m["end"]:
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, -1, -1) if open_tags[tag] > 0 else ():
                 if stack[i][0] == tag:
                     close(i)
                     break
@@ -221,6 +223,7 @@ def main_text(page: str | None) -> str:
         inside = bool(stack) and stack[-1][3]
         out = (bool(stack) and stack[-1][2]) or (tag not in ("html", "body") and w.element(tag, m["attr"], inside) < FURNITURE)
         parent[count], name[count] = (stack[-1][1] if stack else 0), tag
+        open_tags[tag] += 1
         stack.append((tag, count, out, inside or tag in HOLDERS))
     text(page[last:])
 
@@ -235,44 +238,41 @@ def main_text(page: str | None) -> str:
     if best <= 0:
         return ""
 
-    def path(e: int) -> list[int]:
-        out = [e]
-        while e:
-            e = parent[e]
-            out.append(e)
-        return out[::-1]
-
-    common = None
-    for _, t, _, e, out, _ in items[lo:hi]:
-        if not out and t and not t.isspace():
-            p = path(e)
-            common = p if common is None else common[: next((i for i, (x, y) in enumerate(zip(common, p)) if x != y), min(len(common), len(p)))]
-    if common is None:
+    # elements are numbered as they begin, parents before children: the innermost element
+    # around all of the run is that around its first and its last element
+    held = [e for _, t, _, e, out, _ in items[lo:hi] if not out and t and not t.isspace()]
+    if not held:
         return ""
+    first, common = min(held), max(held)
+    while first != common:
+        first, common = sorted((first, parent[max(first, common)]))
+    path = [common]
+    while path[-1]:
+        path.append(parent[path[-1]])
+    path.reverse()
+    # of every element, how much of the path it shares, and whether it stands in a text block
+    shared, in_text = [0] * (count + 1), [False] * (count + 1)
+    on_path = {e: i + 1 for i, e in enumerate(path)}
+    for e in range(count + 1):
+        shared[e] = on_path.get(e) or shared[parent[e]]
+        in_text[e] = e > 0 and (name[e] in TEXT or in_text[parent[e]])
     # an article holds all of the run; else the innermost element that does, widened to its
     # parents while what they add stands in text blocks and is not mostly links
-    at = next((i for i in range(len(common) - 1, -1, -1) if name.get(common[i]) in HOLDERS), None)
+    at = next((i for i in range(len(path) - 1, -1, -1) if name.get(path[i]) in HOLDERS), None)
     if at is None:
-        at = len(common) - 1
-        lines = [(e, len(t.split()), linked) for _, t, _, e, out, linked in items if t and not out]
-        paths = {e: path(e) for e in {x[0] for x in lines}}
-        while at:
-            added = [(e, n, linked) for e, n, linked in lines if n and (p := paths[e])[: at] == common[:at] and (len(p) <= at or p[at] != common[at])]
-            good = sum(n for e, n, linked in added if not linked and any(name.get(x) in TEXT for x in paths[e]))
-            if good < 0.7 * sum(n for _, n, _ in added):
-                break
+        at = len(path) - 1
+        words, good = [0] * (len(path) + 1), [0] * (len(path) + 1)
+        for _, t, _, e, out, linked in items:
+            if t and not out:
+                n = len(t.split())
+                words[shared[e]] += n
+                good[shared[e]] += n if in_text[e] and not linked else 0
+        while at and good[at] >= 0.7 * words[at]:
             at -= 1
-    root = common[at]
-    within: dict[int, bool] = {root: True}
-
-    def inner(e: int) -> bool:
-        if e not in within:
-            within[e] = e != 0 and inner(parent[e])
-        return within[e]
 
     blocks: dict[int, list[str]] = {}
-    for i, (_, t, b, e, out, _) in enumerate(items):
-        if t and not out and inner(e):
+    for _, t, b, e, out, _ in items:
+        if t and not out and shared[e] > at:
             blocks.setdefault(b, []).append(t)
     done = (" ".join(html_lib.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
     return "\n\n".join(x for x in done if x)

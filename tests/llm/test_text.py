@@ -173,6 +173,8 @@ def test_extraction_details():
     assert extract.main_text("<article><h1>A &amp;amp; B</h1><p>x\n y&nbsp;z<br>w <b>bold</b></p><p> </p></article>") == "A &amp; B\n\nx y z w bold"
     assert extract.main_text(None) == extract.main_text("") == extract.main_text("<div></div>") == ""
     assert extract.main_text("<p>a < b") == "a < b"
+    deep = "<div>" * 5000 + "<p>one two three four five</p>" + "<div><p>six seven eight</p>" * 3000
+    assert extract.main_text(deep).startswith("one two three four five\n\nsix seven eight")
     assert len(extract.main_text("<article>" + "<p>word word</p>" * 20_000 + "</article>").split("\n\n")) == 20_000
 
 
