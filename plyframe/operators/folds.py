@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from plyframe.persist import cut
+
 #: stands for infinity in proof and disproof numbers
 PN_INF = 1_000_000_000
 
@@ -115,6 +117,7 @@ def best_move(moves: DataFrame, by: str, score: str, move: str) -> DataFrame:
 
 def count_paths(edges: DataFrame, roots: DataFrame, plies: int) -> DataFrame:
     """(ply, id, paths): walks of each length from the roots, with multiplicity."""
+    edges = cut(edges.select("src", "dst"))
     now = roots.select(F.lit(0).alias("ply"), "id", F.lit(1).cast("decimal(38,0)").alias("paths"))
     out = now
     for ply in range(1, plies + 1):
@@ -124,5 +127,6 @@ def count_paths(edges: DataFrame, roots: DataFrame, plies: int) -> DataFrame:
             .agg(F.sum("paths").cast("decimal(38,0)").alias("paths"))
             .select(F.lit(ply).alias("ply"), "id", "paths")
         )
+        now = cut(now)  # else every ply is counted again from the roots
         out = out.unionByName(now)
     return out

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plyframe.persist import cut
+
 
 def table_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
     """One row: keys on either side only, in both and equal, in both and different."""
@@ -61,6 +63,7 @@ def independent_sets(items: DataFrame, conflicts: DataFrame, most: int) -> DataF
         now = now.join(F.broadcast(shut), (F.col("id") > F.col("last")) & (F.col("members").bitwiseAND(F.col("shut")) == 0)).select(
             F.lit(k).alias("k"), F.col("members").bitwiseOR(F.col("bit")).alias("members"), F.col("id").cast("long").alias("last")
         )
+        now = cut(now)  # else every size is made again from the empty set
         out = out.unionByName(now)
     return out.select("k", "members")
 
