@@ -67,7 +67,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     marked = cut(fingerprints(docs).dropDuplicates(KEY))
     lines = marked.select(*KEY, "at", "h")
     occur = marked.select(*KEY, F.explode("picks").alias("p")).select(*KEY, F.col("p.hash").alias("hash"), (-F.col("p.back")).alias("j"))
-    first = (
+    # written, so that the join can split a run that very many documents share
+    first = cut(
         occur.groupBy("hash")
         .agg(F.min(F.struct("doc_id", "text_hash", "j")).alias("f"), F.count("*").alias("n"))
         .where("n > 1")
