@@ -31,7 +31,7 @@ THRESHOLD = 0.93
 ROTATIONS = 8
 BAND_BITS = 16
 BANDS = 32
-TILE = 512
+TILE = 2048
 #: width of the confidence bound in standard deviations of the estimate's error
 SIGMAS = 6.0
 
