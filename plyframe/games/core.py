@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -55,50 +56,62 @@ def scripted(name: str, roots, moves: Callable[[int], list[int]], value: Callabl
     )
 
 
-def explore(spark: SparkSession, game: Game, most: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(id, value, depth) of the states within so many plies of the roots, and (src, dst)
-    of their moves. A ply is one expansion, one deduplication and one anti-join."""
+def plies(spark: SparkSession, game: Game, most: int | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
+    """By ply, the new states (id, value, depth) and their moves (src, dst), all written. A
+    ply is one expansion, one deduplication and, unless the game is acyclic, one anti-join
+    against the states before."""
     front = spark.createDataFrame([(r,) for r in game.roots], "id long").distinct()
-    nodes: DataFrame | None = None
-    edges: DataFrame | None = None
-    depth = 0
+    nodes: list[DataFrame] = []
+    edges: list[DataFrame] = []
+    seen: DataFrame | None = None
     while True:
+        depth = len(nodes)
         judged = cut(game.decide(front).select("id", F.col("value").cast("int"), F.lit(depth).alias("depth")))
-        nodes = judged if nodes is None else nodes.unionByName(judged)
-        if judged.isEmpty() or (most is not None and depth >= most):
-            break
-        moves = cut(game.children(judged.where("value is null").select("id")).select(F.col("id").alias("src"), "dst").distinct())
-        edges = moves if edges is None else edges.unionByName(moves)
-        fresh = moves.select(F.col("dst").alias("id")).distinct()
-        front = fresh if game.acyclic else fresh.join(nodes.select("id"), "id", "left_anti")
-        depth += 1
-        if depth % 10 == 0:
-            nodes, edges = cut(nodes), cut(edges)
-    return nodes, edges
+        if depth and judged.isEmpty():
+            return nodes, edges
+        nodes.append(judged)
+        if most is not None and depth >= most:
+            return nodes, edges
+        edges.append(cut(game.children(judged.where("value is null").select("id")).select(F.col("id").alias("src"), "dst").distinct()))
+        front = edges[-1].select(F.col("dst").alias("id")).distinct()
+        if not game.acyclic:
+            seen = judged.select("id") if seen is None else seen.unionByName(judged.select("id"))
+            seen = cut(seen) if depth % 10 == 9 else seen
+            front = front.join(seen, "id", "left_anti")
+
+
+def _all(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], schema)
+
+
+def explore(spark: SparkSession, game: Game, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(id, value, depth) of the states within so many plies of the roots, and (src, dst)
+    of their moves."""
+    nodes, edges = plies(spark, game, most)
+    return _all(nodes, spark, "id long, value int, depth int"), _all(edges, spark, "src long, dst long")
 
 
 def solve(spark: SparkSession, game: Game) -> DataFrame:
     """(id, value, decided_at) of every reachable state; value null is a draw by repetition.
     decided_at counts plies to the end for games whose ends are the states themselves."""
-    nodes, edges = explore(spark, game)
-    nodes, edges = cut(nodes), cut(edges)
-    on = edges.select(F.col("src").alias("id")).distinct().withColumn("goes", F.lit(True))
-    ready = nodes.join(on, "id", "left").select("id", F.when(F.col("value").isNull() & F.col("goes").isNull(), game.stuck).otherwise(F.col("value")).alias("value"), "depth")
+    nodes, edges = plies(spark, game)
     if not game.acyclic:
-        return fixpoint.attractor(ready.select("id", "value"), edges)
-    # one backward sweep by plies: a state's children are one ply further on
-    ready = cut(ready)
-    last = ready.agg(F.max("depth").alias("d")).first().d
-    now: DataFrame | None = None
-    out: DataFrame | None = None
-    for ply in range(last, -1, -1):
-        own = ready.where(F.col("depth") == ply).select("id", "value")
-        if now is not None:
-            up = folds.child_lookup(edges.join(own.where("value is null").select(F.col("id").alias("src")), "src", "left_semi"), now).groupBy(F.col("src").alias("id")).agg(folds.negamax().cast("int").alias("v"))
-            own = own.join(up, "id", "left").select("id", F.coalesce("value", "v").alias("value"))
-        now = cut(own)
-        out = now if out is None else out.unionByName(now)
-    return out.withColumn("decided_at", F.lit(None).cast("int"))
+        states, moves = cut(_all(nodes, spark, "")), cut(_all(edges, spark, ""))
+        on = moves.select(F.col("src").alias("id")).distinct().withColumn("goes", F.lit(True))
+        ended = F.when(F.col("value").isNull() & F.col("goes").isNull(), game.stuck).otherwise(F.col("value"))
+        return fixpoint.attractor(states.join(on, "id", "left").select("id", ended.alias("value")), moves)
+    # one backward sweep: a state's children are one ply further on, so a ply reads its own
+    # moves and the ply below only
+    done: list[DataFrame] = []
+    for ply in range(len(nodes) - 1, -1, -1):
+        own = nodes[ply].select("id", "value")
+        if done:
+            up = folds.child_lookup(edges[ply], done[-1]).groupBy(F.col("src").alias("id")).agg(folds.negamax().cast("int").alias("v"))
+            own = own.join(up, "id", "left").select("id", F.coalesce("value", "v", F.lit(game.stuck)).alias("value"))
+        else:
+            own = own.select("id", F.coalesce("value", F.lit(game.stuck)).alias("value"))
+        done.append(cut(own))
+    return _all(done, spark, "").withColumn("decided_at", F.lit(None).cast("int"))
 
 
 def summary(spark: SparkSession, game: Game) -> DataFrame:
