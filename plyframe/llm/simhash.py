@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyframe.llm import jaccard
 from plyframe.llm.common import LOWER, components, cut, table
 
 SHINGLE_WORDS = 3
@@ -143,8 +144,18 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component: the one with the smallest doc_id; rows
-    that repeat an id count once, rows without an id all stay. Columns unchanged."""
-    found = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    """docs with one row of each component of near copies: fingerprints at most three bits
+    apart, or a Jaccard similarity of five-word shingles of 0.8 or more. It is the row with
+    the smallest doc_id; rows that repeat an id count once, rows without an id all stay.
+    Columns unchanged."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").alias("text"))
+    rows = cut(fingerprints(texts).select("doc_id", "t", "fp"))
+    firsts = cut(rows.groupBy("fp").agg(F.min("t").alias("t")))
+    equal = rows.select("fp", F.col("t").alias("b")).distinct().join(firsts.select("fp", F.col("t").alias("a")), "fp").select("a", "b")
+    close = links(firsts).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    close = close.join(firsts.select(F.col("fp").alias("fa"), F.col("t").alias("a")), "fa").join(firsts.select(F.col("fp").alias("fb"), F.col("t").alias("b")), "fb").select("a", "b")
+    roots = components(equal.unionByName(close).unionByName(jaccard.links(texts.select("t", "text"))))
+    rows = rows.join(roots, rows.t == roots.node, "left").select("doc_id", F.coalesce("root", "t").alias("root"))
+    found = rows.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
     kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi")
     return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from plyframe.llm import decontaminate, linededup, simhash, vectors
+from plyframe.llm import decontaminate, jaccard, linededup, simhash, vectors
 from plyframe.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -98,6 +98,46 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(table(spark, [])).count() == 0
 
 
+def plain_jaccard(x, y):
+    a, b = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (x.lower().split(), y.lower().split()))
+    return len(a & b) / len(a | b)
+
+
+def near_copies(seed, n=90):
+    """Texts with changed words, so that many pairs lie on both sides of 0.8."""
+    r = random.Random(seed)
+    line, texts = prose(r, 9), []
+    for _ in range(n):
+        base = prose(r, r.choice((3, 6, 40, 150))).split() + line.split()
+        for k in range(r.randint(1, 5)):
+            w = list(base)
+            for _ in range(r.randint(0, 1 + len(w) // 30)):
+                w[r.randrange(len(w))] = "changed" + str(r.random())[2:]
+            texts.append(" ".join(w))
+    return list(dict.fromkeys(texts))
+
+
+def test_similar_texts_against_brute_force(spark):
+    texts = near_copies(21)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if plain_jaccard(texts[i], texts[j]) >= 0.8]
+    assert len(pairs) > 30
+    want = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    found = jaccard.links(spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "t long, text string")).collect()
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in found} <= set(pairs)
+    assert {r.node: r.root for r in components(spark.createDataFrame(found, "a long, b long")).collect()} == want
+
+
+def test_keep_one_takes_near_copies_at_four_fifths(spark):
+    texts = near_copies(22)
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if plain_jaccard(texts[i], texts[j]) >= 0.8]
+    fps = [simhash.fingerprint(t) for t in texts]
+    assert any((fps[i] ^ fps[j]).bit_count() > 8 for i, j in pairs)
+    pairs += [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if (fps[i] ^ fps[j]).bit_count() <= 3]
+    root = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    kept = {r.doc_id for r in simhash.keep_one(table(spark, list(enumerate(texts)))).collect()}
+    assert kept == {i for i in range(len(texts)) if root.get(i, i) == i}
+
+
 # --- line deduplication ------------------------------------------------------------------
 
 def words_of(line):
