@@ -1,18 +1,14 @@
 """Near-duplicate embeddings by randomised-rotation binary codes.
 
-Equal vectors are one representative with a multiplicity. A representative is rotated by
-``ROTATIONS`` random rotations and keeps the signs. Cut into ``BANDS`` pieces of 16 bits,
-the signs are bucket keys: two vectors at the threshold share a bucket with probability
-0.988, at cosine 0.96 with 0.9997, and closer ones practically always (measured against
-brute force in the tests).
-
-In a bucket, the first rotation's signs give an unbiased estimate of a pair's inner
-product, <s_x, y> / (sqrt(d) f_x), where f_x is the stored correction factor of x. Pairs
-whose confidence bound stays below the threshold are dropped; for the rest the cosine is
-computed in double precision. A pair that meets in several buckets counts in the first.
-
-Pairs are counted inside a bucket and never written out: a bucket gives its rows' link
-counts and a spanning forest. Large buckets are dealt out as tiles of ``TILE`` rows.
+Equal vectors are one representative with a multiplicity. Every pair of representatives of a
+label and a length is estimated: a representative is rotated at random and keeps the signs,
+which give an unbiased estimate of a pair's inner product, <s_x, y> / (sqrt(d) f_x), where
+f_x is the stored correction factor of x. Pairs whose confidence bound stays below the
+threshold are dropped; for the rest the cosine is computed in double precision.
+
+The pairs are dealt out as tiles of two blocks of about ``TILE`` rows, so the work grows with
+the square of a label's distinct vectors. Pairs are counted inside a tile and never written
+out: a tile gives its rows' link counts and a spanning forest.
 """
 
 from __future__ import annotations
@@ -28,40 +24,29 @@ from pyspark.sql import functions as F
 from plyframe.llm.common import components, stored, table
 
 THRESHOLD = 0.93
-ROTATIONS = 8
-BAND_BITS = 16
-BANDS = 32
 TILE = 2048
 #: width of the confidence bound in standard deviations of the estimate's error
 SIGMAS = 6.0
 
 
 @cache
-def rotations(dim: int) -> np.ndarray:
-    """(dim, bits): columns of random orthogonal matrices, enough for all bands."""
-    rng = np.random.default_rng(20_000 + dim)
-    parts, need = [], BANDS * BAND_BITS
-    while sum(p.shape[1] for p in parts) < max(need, dim):
-        q, r = np.linalg.qr(rng.normal(size=(dim, dim)))
-        parts.append(q * np.sign(np.diag(r)))
-    return np.concatenate(parts, axis=1)
+def rotation(dim: int) -> np.ndarray:
+    """A random orthogonal matrix."""
+    q, r = np.linalg.qr(np.random.default_rng(20_000 + dim).normal(size=(dim, dim)))
+    return q * np.sign(np.diag(r))
 
 
 def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket keys (n, BANDS) and the correction factors of the first rotation."""
-    dim = unit.shape[1]
-    turned = unit @ rotations(dim)
-    bits = turned[:, : BANDS * BAND_BITS] > 0
-    keys = np.packbits(bits, axis=1).view(">u2").astype(np.uint16)
-    factor = np.abs(turned[:, :dim]).sum(axis=1) / np.sqrt(dim)
-    return keys, factor
+    """The signs after the rotation (n, dim) and the correction factors."""
+    turned = unit @ rotation(unit.shape[1])
+    return turned > 0, np.abs(turned).sum(axis=1) / np.sqrt(unit.shape[1])
 
 
 def linked_pairs(unit_a, unit_b, factor_a, threshold: float = THRESHOLD):
     """Index pairs of rows whose cosine reaches the threshold: estimate, bound, verify."""
     dim = unit_a.shape[1]
-    first = rotations(dim)[:, :dim]
-    estimate = np.where(unit_a @ first > 0, 1.0, -1.0) @ (unit_b @ first).T / (np.sqrt(dim) * factor_a[:, None])
+    first = rotation(dim)
+    estimate = np.where(encode(unit_a)[0], 1.0, -1.0) @ (unit_b @ first).T / (np.sqrt(dim) * factor_a[:, None])
     spread = np.sqrt(np.maximum(0, 1 - factor_a**2)) / factor_a * np.sqrt((1 - threshold**2) / max(1, dim - 1))
     i, j = np.nonzero(estimate + SIGMAS * spread[:, None] + 1e-9 >= threshold)
     out_i, out_j = [], []
@@ -95,13 +80,12 @@ def _unit(raw, dim: int) -> np.ndarray:
 
 
 def _tile(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """One tile of one bucket: ids, their link counts, and edges of a spanning forest."""
-    dim, band = divmod(int(rows["slot"].iat[0]) >> BAND_BITS, BANDS)
+    """One tile: ids, their link counts, and edges of a spanning forest."""
+    dim = int(rows["dim"].iat[0])
     side = rows["side"].to_numpy()
     a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    same = not len(b)
+    same = rows["ti"].iat[0] == rows["tj"].iat[0]  # the other block may be empty
     unit, factor = _unit(rows["vec"], dim), rows["factor"].to_numpy()
-    keys = np.stack([np.frombuffer(x, dtype=np.uint16) for x in rows["keys"]])
     ids, times = rows["rid"].to_numpy(), rows["times"].to_numpy()
     links = np.zeros(len(rows), dtype=np.int64)
     all_i, all_j = [], []
@@ -112,14 +96,11 @@ def _tile(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         i, j = mine[i], other[j]
         if same:
             i, j = i[i < j], j[i < j]
-        if band and len(i):
-            fresh = ~(keys[i, :band] == keys[j, :band]).any(axis=1)
-            i, j = i[fresh], j[fresh]
         links += np.bincount(i, weights=times[j], minlength=len(rows)).astype(np.int64)
         links += np.bincount(j, weights=times[i], minlength=len(rows)).astype(np.int64)
         all_i.append(i)
         all_j.append(j)
-    i, j = np.concatenate(all_i), np.concatenate(all_j)
+    i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (all_i, all_j))
     low = _forest(len(rows), i, j) if len(i) else np.arange(len(rows))
     on = np.flatnonzero(low != np.arange(len(rows)))
     counted = np.flatnonzero(links)
@@ -128,7 +109,7 @@ def _tile(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows come sorted by tile; a tile is at most 2 * TILE rows and may span batches."""
-    by = ["label", "slot", "ti", "tj"]
+    by = ["label", "dim", "ti", "tj"]
     rest: pd.DataFrame | None = None
 
     def done(rows: pd.DataFrame) -> pd.DataFrame:
@@ -174,23 +155,20 @@ def near_vectors(rows: DataFrame) -> DataFrame:
             for dim in np.unique(dims):
                 part = d[dims == dim]
                 raw = [np.asarray(x, dtype=np.float32 if real == "float" else np.float64).tobytes() for x in part["v"]]
-                keys, factor = encode(_unit(raw, int(dim)))
-                yield pd.DataFrame({"rid": part["rid"], "label": part["label"], "times": part["times"], "dim": int(dim), "vec": raw, "factor": factor, "keys": [k.tobytes() for k in keys], "slots": list(((int(dim) * BANDS + np.arange(BANDS, dtype=np.int64))[None, :] << BAND_BITS) | keys.astype(np.int64))})
-
-    kinds = "rid long, label long, times long, dim long, vec binary, factor double, keys binary, slots array<long>"
-    marked = stored(reps.select("rid", "label", "times", "v").mapInPandas(mark, kinds))
-    slots = marked.select("label", "rid", F.explode("slots").alias("slot"))
-    full = slots.groupBy("label", "slot").agg(F.count("*").alias("n")).where("n > 1")
-    # rows of a full bucket go to the tiles that compare their block with each other block
-    placed = (
-        slots.join(full, ["label", "slot"])
-        .select("label", "slot", "rid", F.expr(f"int(ceil(n / {TILE}))").alias("blocks"))
-        .withColumn("block", F.expr("int(pmod(xxhash64(rid, slot), blocks))"))
-        .select("label", "slot", "rid", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("with"))
-        .select("label", "slot", "rid", F.least("block", "with").alias("ti"), F.greatest("block", "with").alias("tj"), F.expr("int(block > with)").alias("side"))
+                _, factor = encode(_unit(raw, int(dim)))
+                yield pd.DataFrame({"rid": part["rid"], "label": part["label"], "times": part["times"], "dim": int(dim), "vec": raw, "factor": factor})
+
+    marked = stored(reps.select("rid", "label", "times", "v").mapInPandas(mark, "rid long, label long, times long, dim long, vec binary, factor double"))
+    sizes = marked.groupBy("label", "dim").agg(F.expr(f"int(ceil(count(*) / {TILE}))").alias("blocks"))
+    # a row goes to the tiles that compare its block with each other block
+    tiles = (
+        marked.join(F.broadcast(sizes), ["label", "dim"])
+        .withColumn("block", F.expr("int(pmod(xxhash64(rid), blocks))"))
+        .withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+        .select("label", "dim", F.least("block", "with").alias("ti"), F.greatest("block", "with").alias("tj"), F.expr("int(block > with)").alias("side"), "rid", "times", "vec", "factor")
+        .repartition("label", "dim", "ti", "tj")
+        .sortWithinPartitions("label", "dim", "ti", "tj")
     )
-    payload = marked.select("label", "rid", "times", "vec", "factor", "keys")
-    tiles = placed.join(payload, ["label", "rid"]).repartition("label", "slot", "ti", "tj").sortWithinPartitions("label", "slot", "ti", "tj")
     found = stored(tiles.mapInPandas(_compare, "a long, b long, n long"))
     counts = found.where("n is not null").groupBy("a").agg(F.sum("n").alias("links"))
     roots = components(found.where("b is not null"))

@@ -278,6 +278,20 @@ def test_vectors_against_brute_force(spark):
         assert got[i].kept == (got[i].component_id == i)
 
 
+def test_no_link_at_the_threshold_is_lost(spark):
+    """Pairs a little above 0.93, which shared no bucket of signs now and then."""
+    rng = np.random.default_rng(15)
+    rows = []
+    for k in range(400):
+        a, b = rng.normal(size=(2, 64))
+        a /= np.linalg.norm(a)
+        b -= a * (a @ b)
+        b *= np.sqrt(1 - 0.931**2) / np.linalg.norm(b)
+        rows += [(2 * k, a.tolist(), 0), (2 * k + 1, (0.931 * a + b).tolist(), 0)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {i: (1, i - i % 2) for i in range(800)}
+
+
 def test_bounds_never_drop_a_link():
     rng = np.random.default_rng(2)
     a = rng.normal(size=(300, 64))
@@ -316,3 +330,12 @@ def test_large_buckets_are_dealt_out(spark, monkeypatch):
     rows = [(i, (centre + rng.normal(size=32) * 0.02).astype(np.float32).tolist(), 0) for i in range(120)]
     got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
     assert {(r.n_links, r.component_id) for r in got} == {(119, 0)}
+
+
+def test_tiles_with_an_empty_block_count_nothing_twice(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TILE", 2)
+    rng = np.random.default_rng(14)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + rng.normal(size=16) * 0.02).tolist(), 0) for i in range(40)]
+    got = vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {(r.n_links, r.component_id) for r in got} == {(39, 0)}
