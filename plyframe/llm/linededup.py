@@ -6,10 +6,12 @@ of lines with at least ``PASSAGE_WORDS`` words, the smallest run hash inside is
 Two documents that share a passage of that many words in whole lines share a window, and
 so select the same run: no such passage is missed, and few runs are selected.
 
-A selected run that occurs more than once is joined with its last occurrence in the same
-document, or else with the first of all (smallest doc_id, then position). Both documents' line hashes are compared along the diagonal of the
-match, which extends it both ways as far as the lines agree, and the later stretch is
-deleted. Every deleted line has an equal line earlier, so one copy always stays.
+Around each selected run that occurs more than once, every window that selected it is held
+against the first occurrence of that window (smallest doc_id, then position), and is deleted
+unless it is that one. Windows are taken forwards from each line and backwards from each line,
+so every line of a repeated stretch of ``PASSAGE_WORDS`` words or more is in a repeated window:
+all of its lines go, whichever documents hold its parts. Every deleted line has an equal line
+earlier, so one copy always stays.
 
 Each occurrence meets one other, so the work follows the number of copies.
 """
@@ -19,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import cut, table
+from plyframe.llm.common import cut, stored, table
 
 RUN_WORDS = 25
 PASSAGE_WORDS = 50
@@ -40,70 +42,85 @@ def _reach(words: int) -> str:
 #: words of a line x: the parts between blanks
 _WORDS = "if(trim(x) = '', 0, octet_length(x) - octet_length(replace(x, ' ', '')) + 1)"
 _LINES = f"filter(transform(split(text, '\\n'), (x, i) -> named_struct('at', i, 'h', xxhash64(x), 'n', {_WORDS})), s -> s.n > 0)"
+#: the run with the smallest hash among those inside the lines x.i to x.e
 _PICK = (
-    "array_min(transform(sequence(i, i + q - 1), j -> "
-    "if(r[j] > 0 and j + r[j] <= i + q, named_struct('hash', xxhash64(slice(h, j + 1, r[j])), 'back', -j), null)))"
+    "array_min(transform(sequence(x.i, x.e), j -> "
+    "if(r[j] > 0 and j + r[j] <= x.e + 1, named_struct('hash', xxhash64(slice(h, j + 1, r[j])), 'back', -j), null)))"
+)
+#: windows from each line on, and up to each line those that are not among them
+_WINDOWS = (
+    "concat(filter(transform(f, (q, i) -> named_struct('i', i, 'e', i + q - 1)), x -> x.e >= x.i), "
+    "filter(transform(b, (q, k) -> named_struct('i', size(b) - k - q, 'e', size(b) - 1 - k)), x -> x.e >= x.i and x.i + f[x.i] - 1 <> x.e))"
 )
 _SELECT = _let(
     "u.n",
     "w",
-    _let("u.h", "h", _let(_reach(RUN_WORDS), "r", f"array_distinct(filter(transform({_reach(PASSAGE_WORDS)}, (q, i) -> if(q = 0, null, {_PICK})), p -> p is not null))")),
+    _let(
+        "u.h",
+        "h",
+        _let(
+            _reach(RUN_WORDS),
+            "r",
+            _let(
+                _reach(PASSAGE_WORDS),
+                "f",
+                _let(_let("reverse(w)", "w", _reach(PASSAGE_WORDS)), "b", f"transform({_WINDOWS}, x -> named_struct('i', x.i, 'e', x.e, 'pick', {_PICK}))"),
+            ),
+        ),
+    ),
 )
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, at, h, picks): positions and hashes of the non-empty lines, and
-    the selected (hash, -line). One row per distinct (doc_id, text); no shuffle of texts."""
+    """(doc_id, text_hash, at, h, wins): positions and hashes of the non-empty lines, and the
+    windows by first and last line with the selected (hash, -line). One row per distinct
+    (doc_id, text); no shuffle of texts."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text"))
     marked = rows.where("text is not null").withColumn("u", F.expr(_LINES))
     # explode keeps the optimizer from computing u again at each use
     marked = marked.select(*KEY, F.explode(F.array("u")).alias("u"))
-    return marked.select(*KEY, F.expr("u.at").alias("at"), F.expr("u.h").alias("h"), F.expr(_SELECT).alias("picks"))
+    return marked.select(*KEY, F.expr("u.at").alias("at"), F.expr("u.h").alias("h"), F.expr(_SELECT).alias("wins"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, ranges, sources): the ranges of lines to delete in a text, and
     the ids of the documents that hold them earlier."""
-    marked = cut(fingerprints(docs).dropDuplicates(KEY))
-    lines = marked.select(*KEY, "at", "h")
-    occur = marked.select(*KEY, F.explode("picks").alias("p")).select(*KEY, F.col("p.hash").alias("hash"), (-F.col("p.back")).alias("j"))
-    # written, so that the join can split a run that very many documents share
+    marked = stored(fingerprints(docs).dropDuplicates(KEY))
+    picked = marked.select(*KEY, F.explode("wins").alias("x")).groupBy(*KEY, F.col("x.pick.hash").alias("run")).agg(F.min("x.pick.back").alias("lo"), F.max("x.pick.back").alias("hi"))
+    # more than one place, in one document or in several; written, so that the join can
+    # split a run that very many documents share
+    shared = cut(picked.groupBy("run").agg(F.count("*").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("n > 1 or lo <> hi").select("run"))
+    runs = picked.select(*KEY, "run").join(shared, "run").groupBy(*KEY).agg(F.collect_set("run").alias("runs"))
+    runs = runs.select(F.col("doc_id").alias("d1"), F.col("text_hash").alias("t1"), "runs")
+    both = marked.join(runs, F.col("doc_id").eqNullSafe(F.col("d1")) & (F.col("text_hash") == F.col("t1")))
+    window = F.expr("filter(wins, x -> array_contains(runs, x.pick.hash))")
+    occur = both.select(*KEY, "at", "h", F.explode(window).alias("x")).select(
+        *KEY,
+        F.expr("x.i").alias("i"),
+        F.expr("x.e").alias("e"),
+        F.expr("at[x.i]").alias("lo"),
+        F.expr("at[x.e]").alias("hi"),
+        F.expr("xxhash64(slice(h, x.i + 1, x.e - x.i + 1))").alias("hash"),
+        F.expr("hash(slice(h, x.i + 1, x.e - x.i + 1))").alias("more"),
+    )
+    occur = stored(occur)
     first = cut(
-        occur.groupBy("hash")
-        .agg(F.min(F.struct("doc_id", "text_hash", "j")).alias("f"), F.count("*").alias("n"))
+        occur.groupBy("hash", "more")
+        .agg(F.min(F.struct("doc_id", "text_hash", "i")).alias("f"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("hash", F.col("f.doc_id").alias("d0"), F.col("f.text_hash").alias("t0"), F.col("f.j").alias("j0"))
-    )
-    # a run that a document repeats is held against its last place there, so a regular
-    # repetition is one diagonal; a document's first place of a run against the first of all
-    before = F.lag("j").over(Window.partitionBy(*KEY, "hash").orderBy("j"))
-    occur = occur.withColumn("before", before)
-    own = occur.where("before is not null").select(*KEY, "j", F.col("doc_id").alias("d0"), F.col("text_hash").alias("t0"), F.col("before").alias("j0"))
-    other = occur.where("before is null").join(first, "hash").where("not (doc_id <=> d0 and text_hash = t0)").select(*KEY, "j", "d0", "t0", "j0")
-    pairs = (
-        own.unionByName(other)
-        .groupBy(*KEY, "d0", "t0", (F.col("j") - F.col("j0")).alias("off"))
-        .agg(F.collect_set("j").alias("js"))
-    )
-    old = lines.select(F.col("doc_id").alias("d1"), F.col("text_hash").alias("t1"), F.col("h").alias("h0"))
-    new = lines.select(F.col("doc_id").alias("d2"), F.col("text_hash").alias("t2"), "at", "h")
-    pairs = pairs.join(old, F.col("d0").eqNullSafe(F.col("d1")) & (F.col("t0") == F.col("t1"))).join(
-        new, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("text_hash") == F.col("t2"))
-    )
-    # along the diagonal, from line max(off, 0) of the later text: 1 where the lines agree
-    size = "least(size(h) - greatest(off, 0), size(h0) - greatest(-off, 0))"
-    bits = (
-        pairs.withColumn("lo", F.expr("greatest(off, 0)"))
-        .withColumn("bits", F.expr(f"array_join(zip_with(slice(h, lo + 1, {size}), slice(h0, lo - off + 1, {size}), (x, y) -> if(x = y, '1', '0')), '')"))
-        .select(*KEY, "d0", "at", "lo", "js", F.explode(F.array(F.struct(F.col("bits").alias("f"), F.reverse("bits").alias("b")))).alias("s"))
-    )
-    end = "if(locate('0', s.f, j - lo + 1) = 0, length(s.f), locate('0', s.f, j - lo + 1) - 1)"
-    begin = "if(locate('0', s.b, length(s.b) - (j - lo)) = 0, 1, length(s.b) - locate('0', s.b, length(s.b) - (j - lo)) + 2)"
-    span = f"named_struct('lo', at[lo + {begin} - 1], 'hi', at[lo + {end} - 1])"
-    found = bits.where("length(s.f) > 0").select(*KEY, "d0", F.expr(f"array_distinct(transform(js, j -> {span}))").alias("r"))
-    return found.groupBy(*KEY).agg(
-        F.array_distinct(F.flatten(F.collect_list("r"))).alias("ranges"), F.sort_array(F.collect_set("d0")).alias("sources")
+        .select("hash", "more", F.col("f.doc_id").alias("d0"), F.col("f.text_hash").alias("t0"), F.col("f.i").alias("i0"))
     )
+    later = occur.join(first, ["hash", "more"]).where("not (doc_id <=> d0 and text_hash = t0 and i = i0)")
+    # a document that has the window before is its own source
+    again = F.lag(F.struct("hash", "more")).over(Window.partitionBy(*KEY).orderBy("hash", "more", "i")).eqNullSafe(F.struct("hash", "more"))
+    later = later.withColumn("source", F.when(again, F.col("doc_id")).otherwise(F.col("d0")))
+    # windows that touch are one stretch, so empty lines inside it go too
+    order = Window.partitionBy(*KEY).orderBy("i", "e")
+    reach = F.max("e").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("new", F.coalesce((F.col("i") > reach + 1).cast("int"), F.lit(1)))
+    later = later.withColumn("part", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = later.groupBy(*KEY, "part").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.collect_set("source").alias("s"))
+    return parts.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("s")))).alias("sources"))
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:

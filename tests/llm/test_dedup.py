@@ -203,6 +203,36 @@ def test_lines_edges(spark):
     assert linededup.deduplicate(table(spark, [])).count() == 0
 
 
+def repeated_lines(docs):
+    """(id, line) of all lines in a stretch of PASSAGE_WORDS words that occurs before."""
+    seen, out = set(), set()
+    for i, text in docs:
+        lines = text.split("\n")
+        for a in range(len(lines)):
+            for b in range(a, len(lines)):
+                if sum(map(words_of, lines[a : b + 1])) >= linededup.PASSAGE_WORDS:
+                    p = tuple(lines[a : b + 1])
+                    if p in seen:
+                        out |= {(i, k) for k in range(a, b + 1)}
+                    seen.add(p)
+    return out
+
+
+def test_lines_all_of_a_repeated_stretch_go(spark):
+    """Also where its selected run stands in a document before, without the rest."""
+    r = random.Random(17)
+    x, y, z = prose(r, 59), prose(r, 39), prose(r, 11)
+    docs = [(1, f"{x}\n{prose(r, 8)}"), (2, f"{z}\n{y}\n{x}"), (3, f"{z}\n{y}\n{x}"), (4, f"{x}\n{z}")]
+    docs += [(5, f"{x}\n{prose(r, 3)}\n{y}\n{x}\n{z}")]
+    stock = [prose(r, n) for n in (3, 9, 20, 30, 45, 60)]
+    docs += [(10 + k, "\n".join(r.choice(stock) for _ in range(r.randint(1, 9)))) for k in range(60)]
+    want = repeated_lines(docs)
+    got = {d.doc_id: d.text for d in linededup.deduplicate(table(spark, docs)).collect()}
+    for i, text in docs:
+        assert got[i] == "\n".join(t for k, t in enumerate(text.split("\n")) if (i, k) not in want), i
+    assert got[3] == ""
+
+
 # --- decontamination ---------------------------------------------------------------------
 
 def plain_words(text):
