@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.persist import cut, shared_dir, stored
 
-__all__ = ["ByteWords", "LOWER", "components", "cut", "mix64", "powers", "shared_dir", "stored", "table"]
+__all__ = ["ByteWords", "LOWER", "components", "connected", "cut", "few", "mix64", "powers", "shared_dir", "stored", "table"]
 
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -18,11 +21,44 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: rows, or cells of arrays, that are broadcast at most; more are joined by a shuffle
+BROADCAST_ROWS = 1 << 17
+
+
+def few(df: DataFrame, cells: str = "1") -> DataFrame:
+    """df for the small side of a join: broadcast where the sum of ``cells``, how many values
+    a row may hold, was computed and is at most ``BROADCAST_ROWS``. df should be written
+    before, and hold numbers only."""
+    total = df.agg(F.sum(F.expr(cells)).alias("n")).first().n or 0
+    return F.broadcast(df) if total <= BROADCAST_ROWS else df
+
+
+#: edges that one task joins up at most: 16 MB
+FEW_EDGES = 1 << 20
+
+
+def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n nodes the least node it is connected with."""
+    low = np.arange(n)
+    while True:
+        m = np.minimum(low[i], low[j])
+        new = low.copy()
+        np.minimum.at(new, i, m)
+        np.minimum.at(new, j, m)
+        np.minimum.at(new, low[i], m)
+        np.minimum.at(new, low[j], m)
+        new = new[new]
+        if (new == low).all():
+            return low
+        low = new
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the undirected edges; root is the smallest node
-    of its component. Large-star and small-star rounds alternate until the edges form
-    stars; each round costs two aggregations and two joins over the edges, and the
-    number of rounds grows with the logarithm of the longest chain. Nulls are ignored.
+    of its component. Nulls are ignored. Edges that were counted and are few are joined up in
+    one task. For more, large-star and small-star rounds alternate until the edges form stars;
+    each round costs two aggregations and two joins over the edges, and the number of rounds
+    grows with the logarithm of the longest chain.
     """
     e = cut(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -31,6 +67,17 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct()
     )
 
+    if e.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
+
+        def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(batches, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+            ends = np.concatenate([t.column(0).to_numpy(), t.column(1).to_numpy()])
+            nodes, at = np.unique(ends, return_inverse=True)
+            low = connected(len(nodes), at[: t.num_rows], at[t.num_rows :])
+            yield pa.RecordBatch.from_pydict({"node": nodes, "root": nodes[low]})
+
+        return e.coalesce(1).mapInArrow(join_up, "node long, root long")
+
     def signature(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import LOWER, ByteWords, cut, mix64, table
+from plyframe.llm.common import LOWER, ByteWords, cut, few, mix64, table
 
 WINDOW = 10
 SHINGLE = 5
@@ -59,7 +59,7 @@ def _scan(texts: list[bytes], widths: list[int], bitmap: np.ndarray):
     """For each chunk: its words, the row of each word, and the (width, word, hash) of
     shingles that pass the bitmap."""
     for lo, hi in _chunks(texts):
-        data = b"\0".join(texts[lo:hi])
+        data = b"\0".join(t.translate(LOWER) for t in texts[lo:hi])
         words = ByteWords(data, IS_WORD)
         edge = np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])
         row = np.searchsorted(edge, words.start, side="right") - 1
@@ -116,7 +116,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     columns are left out, whatever their names.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.xxhash64("text").alias("text_hash"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
     windows = cut(item_windows(items))
     tokens = cut(windows.select("width", F.explode("tokens").alias("token")).distinct())
     widths = sorted(r[0] for r in tokens.select("width").distinct().collect())  # 1 to 5
@@ -124,7 +124,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            for *_, found in _scan(_encoded(d["text"]), widths, bits.value):
+            for *_, found in _scan([t or b"" for t in d["text"]], widths, bits.value):
                 for _, _, h in found:
                     token, n = np.unique(h, return_counts=True)
                     yield pd.DataFrame({"token": token, "n": n})
@@ -142,7 +142,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            texts = _encoded(d["text"])
+            texts = [t or b"" for t in d["text"]]
             for lo, hi, data, words, row, found in _scan(texts, widths, chosen.value):
                 total = np.bincount(row, minlength=hi - lo)
                 first = np.concatenate(([0], np.cumsum(total)[:-1]))
@@ -190,9 +190,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without the contaminated rows; columns unchanged."""
-    bad = decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("__ply_d"), F.col("text_hash").alias("__ply_t")).distinct()
-    return docs.join(bad, docs.doc_id.eqNullSafe(bad.__ply_d) & (F.xxhash64(docs.text) == bad.__ply_t), "left_anti")
+    """docs without the contaminated rows; columns unchanged. A row counts by its id and its
+    text, so repeated rows go or stay together; null, empty and long texts, items without an
+    id and empty tables as in decontaminate."""
+    bad = cut(decontaminate(docs, items).where("contaminated").select(F.col("doc_id").alias("__ply_d"), F.col("text_hash").alias("__ply_t")).distinct())
+    return docs.join(few(bad), F.col("doc_id").cast("long").eqNullSafe(F.col("__ply_d")) & (F.xxhash64("text") == F.col("__ply_t")), "left_anti")
 
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

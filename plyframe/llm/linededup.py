@@ -1,6 +1,6 @@
 """Line deduplication by winnowing over line hashes, in DataFrame operations only.
 
-A document is its non-empty lines; a run of lines is hashed where it is the shortest from
+A document is its lines that hold a word, which is what stands between white space; a run of lines is hashed where it is the shortest from
 its first line with at least ``RUN_WORDS`` words. For every window, the shortest stretch
 of lines with at least ``PASSAGE_WORDS`` words, the smallest run hash inside is selected.
 Two documents that share a passage of that many words in whole lines share a window, and
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import cut, stored, table
+from plyframe.llm.common import cut, few, stored, table
 
 RUN_WORDS = 25
 PASSAGE_WORDS = 50
@@ -39,8 +39,8 @@ def _reach(words: int) -> str:
     return f"transform(w, (n, i) -> if(n >= {words}, 1, {fold}))"
 
 
-#: words of a line x: the parts between blanks
-_WORDS = "if(trim(x) = '', 0, octet_length(x) - octet_length(replace(x, ' ', '')) + 1)"
+#: words of a line x: the longest parts without white space
+_WORDS = r"regexp_count(x, '[^ \t\r\u000B\u000C]+')"
 _LINES = f"filter(transform(split(text, '\\n'), (x, i) -> named_struct('at', i, 'h', xxhash64(x), 'n', {_WORDS})), s -> s.n > 0)"
 #: the run with the smallest hash among those inside the lines x.i to x.e
 _PICK = (
@@ -129,11 +129,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
     Null text stays null with no lines; an empty one has one empty line. Rows equal in id
     and text are one document and change alike; an id that comes with several texts orders
-    them by a hash. A null id comes first. Empty lines between deleted ones go with them.
-    Columns named n_lines, n_removed or sources are replaced, others kept.
+    them by a hash. A null id comes first. Lines without a word between deleted ones go with
+    them. A line is compared as it is, white space included. A very long text is one row, and
+    its lines are hashed in place; windows reach no further than ``PASSAGE_WORDS`` words. An
+    empty table gives an empty table. Columns named n_lines, n_removed or sources are
+    replaced, others kept.
     """
-    found = repeats(docs).select(F.col("doc_id").alias("__ply_d"), F.col("text_hash").alias("__ply_t"), F.col("ranges").alias("__ply_r"), F.col("sources").alias("__ply_s"))
+    found = stored(repeats(docs)).select(F.col("doc_id").alias("__ply_d"), F.col("text_hash").alias("__ply_t"), F.col("ranges").alias("__ply_r"), F.col("sources").alias("__ply_s"))
     plain = docs.drop("n_lines", "n_removed", "sources").withColumn("__ply_h", F.xxhash64("text"))
+    found = few(found, "1 + size(__ply_r) + size(__ply_s)")
     both = plain.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("__ply_d")) & (F.col("__ply_h") == F.col("__ply_t")), "left")
     kept = F.expr("filter(split(text, '\\n'), (x, i) -> not exists(__ply_r, r -> i between r.lo and r.hi))")
     both = both.withColumn("__ply_k", F.when(F.col("__ply_r").isNotNull(), kept))
@@ -152,9 +156,42 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with repeated runs deleted, without the rows of which nothing is left;
-    n_chars follows the text. Columns unchanged."""
-    done = deduplicate(docs).where("text is null or n_removed = 0 or trim(text) <> ''")
+    """docs with repeated runs deleted, without the rows of which nothing is left; n_chars
+    follows the text. Columns unchanged. Null, empty, long and repeated texts, ties and empty
+    tables as in deduplicate; texts that lose nothing stay, null and empty ones too."""
+    done = deduplicate(docs).where(r"text is null or n_removed = 0 or text rlike '[^ \t\r\n\u000B\u000C]'")
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(docs.columns)
+
+
+_BLANK = r"[^ \t\r\x0B\x0C]+"
+OP6_SQL = rf"""
+with d as (select distinct doc_id, text, string_split(text, chr(10)) as lines from documents where text is not null),
+l as (select doc_id, unnest(lines) as line, unnest(range(len(lines))) as pos from d),
+w as (
+  select doc_id, pos, line, row_number() over o as i, sum(n) over o as upto, sum(n) over o - n as below
+  from (select *, len(regexp_extract_all(line, '{_BLANK}')) as n from l) where n > 0 window o as (partition by doc_id order by pos)),
+texts as (select doc_id, list(line order by i) as lines, list(upto order by i) as upto, list(below order by i) as below from w group by doc_id),
+wins as (
+  select w.doc_id, w.i as i, 1 + len(list_filter(t.upto, lambda u: u < w.below + {PASSAGE_WORDS})) as e from w join texts t using (doc_id)
+  union
+  select w.doc_id, len(list_filter(t.below, lambda u: u <= w.upto - {PASSAGE_WORDS})), w.i from w join texts t using (doc_id)),
+named as (
+  select doc_id, i, e, array_to_string(lines[i:e], chr(10)) as content from wins join texts using (doc_id) where i > 0 and e <= len(lines)),
+placed as (select *, first_value(doc_id) over o as d0, row_number() over o as k, row_number() over (partition by content, doc_id order by i) as own from named window o as (partition by content order by doc_id, i)),
+later as (select *, case when own - (d0 = doc_id)::int > 1 then doc_id else d0 end as source from placed where k > 1),
+gone as (select distinct doc_id, unnest(range(i, e + 1)) as i from later),
+marked as (
+  select l.doc_id, l.pos, l.line,
+         coalesce(last_value(g.i ignore nulls) over up = last_value(w.i ignore nulls) over up and first_value(g.i ignore nulls) over down = first_value(w.i ignore nulls) over down, false) as out
+  from l left join w using (doc_id, pos) left join gone g on g.doc_id = w.doc_id and g.i = w.i
+  window up as (partition by l.doc_id order by l.pos rows between unbounded preceding and current row),
+         down as (partition by l.doc_id order by l.pos rows between current row and unbounded following)),
+kept as (select doc_id, coalesce(string_agg(line, chr(10) order by pos) filter (not out), '') as text, count(*) filter (out) as n_removed from marked group by doc_id),
+seen as (select doc_id, list_sort(list(distinct source)) as sources from later group by doc_id)
+select d.doc_id, case when d.text is null then null else k.text end as text,
+       coalesce(len(d.text) - len(replace(d.text, chr(10), '')) + 1, 0) as n_lines, coalesce(k.n_removed, 0) as n_removed,
+       coalesce(s.sources, []) as sources
+from documents d left join kept k using (doc_id) left join seen s using (doc_id)
+"""

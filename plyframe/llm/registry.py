@@ -18,6 +18,7 @@ QUERIES = {
 }
 ORACLES = {
     "op7_embedding_dedup": vectors.OP7_SQL,
+    "op6_line_dedup": linededup.OP6_SQL,
     "op2_warc": warc.OP2_SQL,
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op5_chat_format": chat.OP5_SQL,

@@ -19,12 +19,13 @@ from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.llm import jaccard
-from plyframe.llm.common import LOWER, components, cut, table
+from plyframe.llm.common import LOWER, components, cut, few, stored, table
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -33,9 +34,9 @@ MAX_BITS = 3
 GENERATOR = 0b110001110101
 
 
-def fingerprint(text: str | None, width: int = SHINGLE_WORDS) -> int:
+def fingerprint(text: str | bytes | None, width: int = SHINGLE_WORDS) -> int:
     """Bit majority of the XXH64 values of all word shingles; zero without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
+    words = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").translate(LOWER).split()
     if not words:
         return 0
     joined = b" ".join(words)
@@ -143,19 +144,73 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _marks(rows: DataFrame, late: np.ndarray) -> DataFrame:
+    """(doc_id, t, fp, n, sketch, keys) of (doc_id, t, text), in one scan: the fingerprint, and
+    what jaccard.links needs. text is in UTF-8; texts pass one at a time."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # copies of a text in a task
+        for d in batches:
+            t = d.column("t").to_pylist()
+            fp, n, sketch, keys = [], [], [], []
+            for i, text in zip(t, d.column("text")):
+                text = text.as_py()
+                s = np.unique(jaccard.shingles(text))
+                fp.append(fingerprint(text))
+                n.append(len(s))
+                sketch.append(jaccard.sketch(s).tobytes())
+                keys.append(jaccard.prefix(s[:0] if i in seen else s, late).view(np.int64))
+                seen.add(i)
+            ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "doc_id": d.column("doc_id"),
+                    "t": d.column("t"),
+                    "fp": np.array(fp, dtype=np.uint64).view(np.int64),
+                    "n": pa.array(n, pa.int32()),
+                    "sketch": pa.array(sketch, pa.binary()),
+                    "keys": pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int64), *keys])),
+                }
+            )
+
+    return rows.mapInArrow(scan, "doc_id long, t long, fp long, n int, sketch binary, keys array<long>")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each component of near copies: fingerprints at most three bits
-    apart, or a Jaccard similarity of five-word shingles of 0.8 or more. It is the row with
-    the smallest doc_id; rows that repeat an id count once, rows without an id all stay.
-    Columns unchanged."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").alias("text"))
-    rows = cut(fingerprints(texts).select("doc_id", "t", "fp"))
-    firsts = cut(rows.groupBy("fp").agg(F.min("t").alias("t")))
-    equal = rows.select("fp", F.col("t").alias("b")).distinct().join(firsts.select("fp", F.col("t").alias("a")), "fp").select("a", "b")
-    close = links(firsts).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
-    close = close.join(firsts.select(F.col("fp").alias("fa"), F.col("t").alias("a")), "fa").join(firsts.select(F.col("fp").alias("fb"), F.col("t").alias("b")), "fb").select("a", "b")
-    roots = components(equal.unionByName(close).unionByName(jaccard.links(texts.select("t", "text"))))
-    rows = rows.join(roots, rows.t == roots.node, "left").select("doc_id", F.coalesce("root", "t").alias("root"))
-    found = rows.groupBy("root").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi")
-    return kept.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    """docs with one row of each group of near copies: texts whose fingerprints are at most
+    three bits apart, or with a Jaccard similarity of five-word shingles of 0.8 or more, and
+    all that these links lead to.
+
+    At a similarity of 0.8 fingerprints differ by about ten bits, which no number of Golay
+    keys covers; so jaccard.links adds, to the groups that the keys find, the similar texts
+    beyond them. Of a group the row with the smallest doc_id stays, of rows
+    that share it one with the smallest hash of its text; a row without an id stays only
+    where no member has one. Wordless and null texts are copies of each other. Repeated rows
+    are copies; of those that differ in other columns one stays, by the order of their JSON
+    form. An empty table gives an empty table. Columns unchanged, whatever their names.
+    """
+    names = docs.columns
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
+    texts = rows.select("t", "text")
+    marks = stored(_marks(rows, jaccard.frequent(texts)))
+    firsts = cut(marks.groupBy("fp").agg(F.min("t").alias("t")))
+    equal = marks.select("fp", F.col("t").alias("b")).distinct().join(firsts.select("fp", F.col("t").alias("a")), "fp").where("a <> b").select("a", "b")
+    near = links(firsts)
+    near = near.join(firsts.select(F.col("fp").alias("a"), F.col("t").alias("ta")), "a").join(firsts.select(F.col("fp").alias("b"), F.col("t").alias("tb")), "b").select(F.col("ta").alias("a"), F.col("tb").alias("b"))
+    roots = cut(components(jaccard.links(marks, texts, equal.unionByName(near))))
+
+    ids = marks.select("doc_id", "t").join(few(roots), F.col("t") == F.col("node"), "left").select("doc_id", "t", F.coalesce("root", "t").alias("root"))
+    stays = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "t"))
+    groups = cut(ids.groupBy("root").agg(F.count("*").alias("k"), stays.alias("s")).where("k > 1").select("root", "s.doc_id", "s.t"))
+    members = ids.join(few(groups.select("root", F.col("doc_id").alias("d1"), F.col("t").alias("t1"))), "root")
+    members = cut(members.groupBy("doc_id", "t").agg(F.count("*").alias("k"), F.first(F.col("doc_id").eqNullSafe(F.col("d1")) & (F.col("t") == F.col("t1"))).alias("stays")))
+    own = docs.withColumn("__ply_t", F.xxhash64("text")).withColumn("__ply_d", F.col("doc_id").cast("long"))
+    key = lambda m: F.col("__ply_d").eqNullSafe(m["d2"]) & (F.col("__ply_t") == m["t2"])
+    out = members.where("not stays or k > 1").select(F.col("doc_id").alias("d2"), F.col("t").alias("t2"))
+    again = members.where("stays and k > 1").select(F.col("doc_id").alias("d2"), F.col("t").alias("t2"))
+    single = own.join(few(out), key(out), "left_anti").select(names)
+    if again.isEmpty():
+        return single
+    whole = F.struct(*[F.col(c) for c in names])
+    repeated = own.join(few(again), key(again), "left_semi").groupBy("__ply_d", "__ply_t").agg(F.min_by(whole, F.to_json(whole)).alias("__ply_r"))
+    return single.unionByName(repeated.select("__ply_r.*"))

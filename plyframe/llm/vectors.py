@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import components, stored, table
+from plyframe.llm.common import components, connected, stored, table
 
 THRESHOLD = 0.93
 TILE = 2048
@@ -58,20 +58,6 @@ def linked_pairs(unit_a, unit_b, factor_a, threshold: float = THRESHOLD):
     return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (i, j)
 
 
-def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """For each of n rows the least row it is connected with."""
-    low = np.arange(n)
-    while True:
-        m = np.minimum(low[i], low[j])
-        new = low.copy()
-        np.minimum.at(new, i, m)
-        np.minimum.at(new, j, m)
-        new = new[new]
-        if (new == low).all():
-            return low
-        low = new
-
-
 def _unit(raw, dim: int) -> np.ndarray:
     kind = np.float32 if len(raw.iloc[0] if isinstance(raw, pd.Series) else raw[0]) == 4 * dim else np.float64
     v = np.stack([np.frombuffer(x, dtype=kind) for x in raw]).astype(np.float64)
@@ -101,7 +87,7 @@ def _tile(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
         all_i.append(i)
         all_j.append(j)
     i, j = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (all_i, all_j))
-    low = _forest(len(rows), i, j) if len(i) else np.arange(len(rows))
+    low = connected(len(rows), i, j) if len(i) else np.arange(len(rows))
     on = np.flatnonzero(low != np.arange(len(rows)))
     counted = np.flatnonzero(links)
     return ids[counted], links[counted], ids[on], ids[low[on]]

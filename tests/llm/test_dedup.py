@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from plyframe.llm import decontaminate, jaccard, linededup, simhash, vectors
+from plyframe.llm import common, decontaminate, jaccard, linededup, simhash, vectors
 from plyframe.llm.common import components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -28,7 +28,9 @@ def prose(r, n):
 
 # --- components --------------------------------------------------------------------------
 
-def test_components_of_a_long_chain_and_nulls(spark):
+@pytest.mark.parametrize("few", [1 << 20, -1])
+def test_components_of_a_long_chain_and_nulls(spark, monkeypatch, few):
+    monkeypatch.setattr(common, "FEW_EDGES", few)
     pairs = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7), (None, 3)]
     got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
@@ -117,14 +119,33 @@ def near_copies(seed, n=90):
     return list(dict.fromkeys(texts))
 
 
-def test_similar_texts_against_brute_force(spark):
+def test_similar_texts_against_brute_force(spark, monkeypatch):
     texts = near_copies(21)
     pairs = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if plain_jaccard(texts[i], texts[j]) >= 0.8]
     assert len(pairs) > 30
     want = {r.node: r.root for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
-    found = jaccard.links(spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0])], "t long, text string")).collect()
-    assert {(min(r.a, r.b), max(r.a, r.b)) for r in found} <= set(pairs)
-    assert {r.node: r.root for r in components(spark.createDataFrame(found, "a long, b long")).collect()} == want
+    rows = spark.createDataFrame([(t, t, x) for t, x in [*enumerate(texts), (0, texts[0])]], "doc_id long, t long, text string").selectExpr("doc_id", "t", "cast(text as binary) as text")
+    marks = simhash._marks(rows, jaccard.frequent(rows.select("t", "text"))).cache()
+    none = spark.createDataFrame([], "a long, b long")
+    for crowded in (jaccard.CROWDED, -1):  # in pairs, and all in tiles
+        monkeypatch.setattr(jaccard, "CROWDED", crowded)
+        monkeypatch.setattr(jaccard, "BLOCK", 7)
+        found = jaccard.links(marks, rows.select("t", "text"), none).collect()
+        assert {(min(r.a, r.b), max(r.a, r.b)) for r in found} <= set(pairs)
+        assert {r.node: r.root for r in components(spark.createDataFrame(found, "a long, b long")).collect()} == want
+
+
+def test_sketches_pass_every_similar_pair():
+    texts = near_copies(23, 40) + [prose(random.Random(4), 4000), ""]
+    sets = [np.unique(jaccard.shingles(t.encode())) for t in texts]
+    sketches = [jaccard.sketch(s) for s in sets]
+    passed = close = 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            ok = jaccard.may_be_similar(len(a), sketches[i], len(b), sketches[j])
+            assert ok or not jaccard.similar(a, b)
+            passed, close = passed + ok, close + jaccard.similar(a, b)
+    assert close <= passed < 2 * close
 
 
 def test_keep_one_takes_near_copies_at_four_fifths(spark):
@@ -138,6 +159,16 @@ def test_keep_one_takes_near_copies_at_four_fifths(spark):
     assert kept == {i for i in range(len(texts)) if root.get(i, i) == i}
 
 
+def test_keep_one_goes_by_rows(spark):
+    """An id with two texts keeps both; rows without an id are copies like any other."""
+    r = random.Random(8)
+    x, y, z = prose(r, 50), prose(r, 60), prose(r, 70)
+    rows = [(1, x), (1, y), (2, x), (None, x), (None, z), (None, z), (5, None), (6, ""), (None, "\t")]
+    kept = simhash.keep_one(table(spark, rows, clash=True)).collect()
+    assert sorted(((k.doc_id, k.text) for k in kept), key=str) == sorted([(1, x), (1, y), (None, z), (5, None)], key=str)
+    assert simhash.keep_one(table(spark, [])).count() == 0
+
+
 # --- line deduplication ------------------------------------------------------------------
 
 def words_of(line):
