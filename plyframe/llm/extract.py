@@ -1,11 +1,12 @@
 """Main text of web pages as the maximum-scoring run of tokens.
 
 A page is read as a sequence of text and tag tokens. A word scores positive and a tag
-negative, with weights learned from the labelled pages below; an element whose tag name
-and class, id or role words were mostly seen around furniture (its log odds fall below
-``FURNITURE``) is left out, and the words inside score negative. One linear scan finds
-the run with the largest sum, which names the element that holds the article; its text
-without furniture is the result, so that short blocks at the edges are kept.
+negative, with weights learned from the labelled pages below. Elements have log odds, from
+their tag name, their class, id or role words, and a heading that they begin with: an element
+that was mostly seen around furniture (below ``FURNITURE``) is furniture, and the words inside
+score negative; inside an element that was mostly seen in articles words weigh more, so that
+short blocks at the edges outweigh the tags between. One linear scan finds the run of tokens
+with the largest sum. The result is the blocks of that run, without furniture inside it.
 """
 
 from __future__ import annotations
@@ -69,6 +70,16 @@ LABELLED = [
         (0, "<header><a href='/'>Letters</a></header><aside><p>Other letters</p></aside><footer><p>The archive</p></footer><form><input><button>Send</button></form><button>Print</button>"),
     ],
 ]
+#: Labelled headings of parts of a page: 1 of an article, 0 of what stands around it.
+LABELLED_HEADINGS = {
+    0: [
+        "Comments", "Comment", "Responses", "Replies", "Discussion", "Leave a comment", "Leave a reply", "Join the discussion", "Reader comments", "Related", "Related articles",
+        "Related posts", "Related stories", "You may also like", "Read more", "Read next", "More stories", "Most read", "Most popular", "Recommended", "Advertisement", "Sponsored", "Share",
+        "Share this", "Follow us", "Newsletter", "Subscribe", "Tags", "Kommentare", "Leserkommentare", "Verwandte Artikel", "Mehr zum Thema", "Anzeige", "Commentaires", "Sur le même sujet",
+        "Articles liés", "Publicité", "Comentarios", "Artículos relacionados", "Te puede interesar", "Publicidad",
+    ],
+    1: ["A day out by the river", "After noon", "How bread is made", "Rain at last", "What next", "Two towns", "The upper town", "On foot", "Nine winters", "A letter"],
+}
 
 #: log odds below which an element is furniture
 FURNITURE = -0.8
@@ -91,6 +102,16 @@ HOLDERS = frozenset(("article", "main"))
 STATING = frozenset("has no with without is".split())
 STATES = frozenset("open closed enabled disabled on off active".split())
 TEXT = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dd dt td th figcaption".split())
+#: tags of text blocks cost at most so much of a word, so that a word outweighs those of its block
+OF_WORD = 0.4
+#: tags inside an element that is mostly seen in articles cost so much of their weight
+INSIDE = 0.1
+#: what begins with a heading and is not an article as such
+SECTIONS = frozenset("div section aside ul ol dl table form details fieldset center".split())
+#: words of a heading that is looked up, at most
+HEADING_WORDS = 4
+#: how much more a word weighs in an element with the best odds
+LIFT = 2.0
 
 
 def names(attr: str) -> list[list[str]]:
@@ -101,6 +122,11 @@ def names(attr: str) -> list[list[str]]:
     return [w for t in tokens if (w := [x.lower() for x in WORD.findall(t)])]
 
 
+def heading(text: str) -> str:
+    """A heading as it is looked up: its words in lower case, without numbers and signs."""
+    return "#" + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split())
+
+
 def cues(tag: str, attr: str, inside: bool) -> list[str]:
     """What an element shows of its use: its names, those of several words as a whole, or
     without names its tag, marked where it stands in an article."""
@@ -132,13 +158,22 @@ class Weights:
                         seen[label].update(set(cues(tag, m["attr"] or m["rawattr"] or "", inside)))
                     inside |= tag in HOLDERS
                     depth += m["tag"] is not None and tag not in VOID
+        for label, titles in LABELLED_HEADINGS.items():
+            seen[label].update(map(heading, titles))
         self.odds = {c: math.log((seen[1][c] + 0.25) / (seen[0][c] + 0.25)) for c in {*seen[0], *seen[1]}}
         total = [s["word"] + s["tag"] for s in size]
         share = lambda k, n: (size[k][n] + 1) / total[k]
+        self.best = max(self.odds.values())
+        self.ends = [(c[1:], o) for c, o in self.odds.items() if c[0] == "." and "-" not in c and len(c) > 3 and o < FURNITURE]
         self.word = math.log(share(1, "word") / share(0, "word"))
         self.any_tag = min(-0.1, math.log(share(1, "tag") / share(0, "tag")))
         names = {k[4:] for s in size for k in s if k.startswith("tag ")}
-        self.tag = {n: min(-0.05, max(-3.0, math.log(share(1, f"tag {n}") / share(0, f"tag {n}")) + self.any_tag)) for n in names}
+        self.tag = {n: max(-OF_WORD * self.word if n in TEXT else -3.0, min(-0.05, math.log(share(1, f"tag {n}") / share(0, f"tag {n}")) + self.any_tag)) for n in names}
+
+    def _word(self, word: str) -> float:
+        """Odds of one word of a name; an unknown one counts as the furniture it ends with."""
+        known = self.odds.get(f".{word}")
+        return known if known is not None else min((o for w, o in self.ends if word.endswith(w)), default=0.0)
 
     def element(self, tag: str, attr: str, inside: bool) -> float:
         """Log odds of an element: of its tag, where they are against it, and of each name. A name that was seen as a
@@ -151,7 +186,7 @@ class Weights:
                 continue
             whole = self.odds.get("." + "-".join(words))
             if whole is None:
-                each = [self.odds.get(f".{w}", 0.0) for w in words]
+                each = [self._word(w) for w in words]
                 whole = min(each) if min(each) < 0 else max(each)
             out += whole
         return out
@@ -162,117 +197,149 @@ def weights() -> Weights:
     return Weights()
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by two line feeds; empty where there is none."""
-    page = page or ""
-    w = weights()
-    # open elements: name, number, whether furniture, whether inside an article
-    stack: list[tuple[str, int, bool, bool]] = []
-    parent: dict[int, int] = {0: 0}
-    open_tags: Counter = Counter()
-    name: dict[int, str] = {}
-    count = block = 0
-    items: list[tuple[float, str, int, int, bool, bool]] = []  # score, text, block, element, furniture, link
-    last = 0
-
-    def text(raw: str) -> None:
-        if not raw or raw.isspace():
-            if raw and items:
-                items.append((0.0, " ", block, stack[-1][1] if stack else 0, stack[-1][2] if stack else False, False))
-            return
-        out = stack[-1][2] if stack else False
-        n = len(raw.split())
-        linked = any(s[0] == "a" for s in stack[-4:])
-        items.append((-n * w.word if out else n * w.word * (0.3 if linked else 1.0), raw, block, stack[-1][1] if stack else 0, out, linked))
-
-    def close(at: int) -> None:
-        nonlocal block
-        if any(s[0] in BLOCK for s in stack[at:]):
-            block += 1
-        open_tags.subtract(s[0] for s in stack[at:])
-        del stack[at:]
-
-    for m in TOKEN.finditer(page):
-        text(page[last : m.start()])
-        last = m.end()
-        tag = m["tag"]
-        if tag is None:
-            if m["raw"]:
-                items.append((w.tag.get(m["raw"].lower(), w.any_tag), "", block, stack[-1][1] if stack else 0, True, False))
-            continue
-        tag = tag.lower()
-        items.append((w.tag.get(tag, w.any_tag), " " if tag == "br" else "", block, stack[-1][1] if stack else 0, stack[-1][2] if stack else False, False))
-        if tag in BLOCK:
-            block += 1
-        if m["end"]:
-            for i in range(len(stack) - 1, -1, -1) if open_tags[tag] > 0 else ():
-                if stack[i][0] == tag:
+class Page:
+    """A page as tokens and elements. Elements are numbered as they begin, so parents come
+    before children; 0 stands around all of them."""
+
+    def __init__(self, page: str, w: Weights):
+        self.w = w
+        self.parent, self.name, self.odds = [0], [""], [0.0]
+        #: block of the first text in an element, if it is its own or that of a child
+        self.head: list[int] = [-1]
+        #: score as a tag, text, block, element, whether inside a link
+        self.items: list[tuple[float, str, int, int, bool]] = []
+        self._read(page)
+
+    def _read(self, page: str) -> None:
+        w, items, parent, name = self.w, self.items, self.parent, self.name
+        stack: list[int] = []
+        holds: list[bool] = []  # of open elements, whether inside an article
+        blocks: list[int] = []  # places of open block elements in the stack
+        fresh: list[int] = []  # elements without text so far
+        open_tags: Counter = Counter()
+        block = last = 0
+
+        def text(raw: str) -> None:
+            if not raw:
+                return
+            at = stack[-1] if stack else 0
+            if raw.isspace():
+                items.append((0.0, " ", block, at, False))
+                return
+            for e in fresh:
+                if e == at or parent[at] == e:
+                    self.head[e] = block
+            fresh.clear()
+            items.append((0.0, raw, block, at, any(name[e] == "a" for e in stack[-4:])))
+
+        def close(at: int) -> None:
+            nonlocal block
+            if blocks and blocks[-1] >= at:
+                block += 1
+                while blocks and blocks[-1] >= at:
+                    blocks.pop()
+            open_tags.subtract(name[e] for e in stack[at:])
+            del stack[at:], holds[at:]
+
+        for m in TOKEN.finditer(page):
+            text(page[last : m.start()])
+            last = m.end()
+            at = stack[-1] if stack else 0
+            tag = m["tag"]
+            if tag is None:
+                if m["raw"]:
+                    items.append((w.tag.get(m["raw"].lower(), w.any_tag), "", block, at, False))
+                continue
+            tag = tag.lower()
+            items.append((w.tag.get(tag, w.any_tag), " " if tag == "br" else "", block, at, False))
+            if tag in BLOCK:
+                block += 1
+            if m["end"]:
+                if open_tags[tag] > 0:
+                    i = len(stack) - 1
+                    while name[stack[i]] != tag:
+                        i -= 1
                     close(i)
-                    break
-            continue
-        ends = CLOSES.get(tag, ("p",) if tag in BLOCK else ())
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in ends:
-                close(i)
-                break
-            if stack[i][0] in BLOCK:
-                break
-        if tag in VOID or m["attr"].endswith("/"):
-            continue
-        count += 1
-        inside = bool(stack) and stack[-1][3]
-        out = (bool(stack) and stack[-1][2]) or (tag not in ("html", "body") and w.element(tag, m["attr"], inside) < FURNITURE)
-        parent[count], name[count] = (stack[-1][1] if stack else 0), tag
-        open_tags[tag] += 1
-        stack.append((tag, count, out, inside or tag in HOLDERS))
-    text(page[last:])
+                continue
+            if blocks and name[stack[blocks[-1]]] in CLOSES.get(tag, ("p",) if tag in BLOCK else ()):
+                close(blocks[-1])
+            if tag in VOID or m["attr"].endswith("/"):
+                continue
+            inside = bool(holds) and holds[-1]
+            if tag in BLOCK:
+                blocks.append(len(stack))
+            parent.append(stack[-1] if stack else 0)
+            stack.append(len(name))
+            fresh.append(len(name))
+            name.append(tag)
+            self.odds.append(0.0 if tag in ("html", "body") else w.element(tag, m["attr"], inside))
+            self.head.append(-1)
+            holds.append(inside or tag in HOLDERS)
+            open_tags[tag] += 1
+        text(page[last:])
 
+    def furniture(self) -> tuple[list[bool], list[float]]:
+        """Of every element, whether it is or stands in furniture, and the best odds of those
+        around it that are for it."""
+        n = len(self.name)
+        words = [0] * n
+        heads: dict[int, list[str]] = {b: [] for b in self.head if b >= 0}
+        for _, t, b, e, _ in self.items:
+            if t:
+                words[e] += len(t.split())
+                if b in heads:
+                    heads[b].append(t)
+        for e in range(n - 1, 0, -1):
+            words[self.parent[e]] += words[e]
+        out, good = [False] * n, [0.0] * n
+        for e in range(1, n):
+            odds = self.odds[e]
+            # a heading speaks of a part of the page, not of most of it
+            if self.name[e] in SECTIONS and self.head[e] >= 0 and 2 * words[e] < words[0]:
+                title = html_lib.unescape("".join(heads[self.head[e]]))
+                if len(title.split()) <= HEADING_WORDS:
+                    odds += min(0.0, self.w.odds.get(heading(title), 0.0))
+            out[e] = out[self.parent[e]] or odds < FURNITURE
+            good[e] = max(good[self.parent[e]], odds, self.w.best if self.name[e] in HOLDERS and not out[e] else 0.0)
+        return out, good
+
+
+def best_run(scores: list[float]) -> tuple[int, int]:
+    """The first of the contiguous parts with the largest sum above zero, as a half-open
+    range; empty where no score is positive. One scan."""
     best = total = 0.0
     lo = hi = start = 0
-    for i, (score, *_) in enumerate(items):
+    for i, x in enumerate(scores):
         if total <= 0:
             total, start = 0.0, i
-        total += score
+        total += x
         if total > best:
             best, lo, hi = total, start, i + 1
-    if best <= 0:
-        return ""
-
-    # elements are numbered as they begin, parents before children: the innermost element
-    # around all of the run is that around its first and its last element
-    held = [e for _, t, _, e, out, _ in items[lo:hi] if not out and t and not t.isspace()]
-    if not held:
-        return ""
-    first, common = min(held), max(held)
-    while first != common:
-        first, common = sorted((first, parent[max(first, common)]))
-    path = [common]
-    while path[-1]:
-        path.append(parent[path[-1]])
-    path.reverse()
-    # of every element, how much of the path it shares, and whether it stands in a text block
-    shared, in_text = [0] * (count + 1), [False] * (count + 1)
-    on_path = {e: i + 1 for i, e in enumerate(path)}
-    for e in range(count + 1):
-        shared[e] = on_path.get(e) or shared[parent[e]]
-        in_text[e] = e > 0 and (name[e] in TEXT or in_text[parent[e]])
-    # an article holds all of the run; else the innermost element that does, widened to its
-    # parents while what they add stands in text blocks and is not mostly links
-    at = next((i for i in range(len(path) - 1, -1, -1) if name.get(path[i]) in HOLDERS), None)
-    if at is None:
-        at = len(path) - 1
-        words, good = [0] * (len(path) + 1), [0] * (len(path) + 1)
-        for _, t, _, e, out, linked in items:
-            if t and not out:
-                n = len(t.split())
-                words[shared[e]] += n
-                good[shared[e]] += n if in_text[e] and not linked else 0
-        while at and good[at] >= 0.7 * words[at]:
-            at -= 1
+    return lo, hi
+
+
+def main_text(page: str | None) -> str:
+    """The article's blocks, joined by two line feeds; empty where there is none."""
+    w = weights()
+    p = Page(page or "", w)
+    out, good = p.furniture()
+
+    def score(tag: float, t: str, e: int, linked: bool) -> float:
+        n = len(t.split())
+        if not n:
+            return tag * (INSIDE if good[e] > 0 else 1.0)
+        lift = 1 + LIFT * min(1.0, good[e] / w.best)
+        if out[e]:
+            # what is known to be furniture inside an article does not end it
+            return 0.0 if good[e] > 0 else -n * w.word
+        return n * w.word * lift * (0.3 if linked else 1.0)
 
+    lo, hi = best_run([score(tag, t, e, linked) for tag, t, _, e, linked in p.items])
+    # a block that the run cuts is taken whole
+    taken = {b for _, t, b, e, _ in p.items[lo:hi] if t and not t.isspace() and not out[e]}
     blocks: dict[int, list[str]] = {}
-    for _, t, b, e, out, _ in items:
-        if t and not out and shared[e] > at:
+    for _, t, b, e, _ in p.items:
+        if t and b in taken and not out[e]:
             blocks.setdefault(b, []).append(t)
     done = (" ".join(html_lib.unescape("".join(parts)).split()) for _, parts in sorted(blocks.items()))
     return "\n\n".join(x for x in done if x)
@@ -280,7 +347,10 @@ def main_text(page: str | None) -> str:
 
 def extract(pages: DataFrame, html: str = "html") -> DataFrame:
     """All columns of pages, then text and n_chars; a scan without a shuffle. Null html is
-    an empty page, whose text is empty. Columns named text or n_chars are replaced."""
+    an empty page, whose text is empty. Of runs with equal sums the first counts. Repeated
+    rows have equal texts. A very long page is read in time and memory in proportion to it,
+    however deep it is or many of its tags are open. An empty table gives an empty table.
+    Columns named text or n_chars are replaced."""
 
     @F.pandas_udf("string")
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
