@@ -1,7 +1,7 @@
 """Personal data: four patterns, and a linear-chain conditional random field.
 
 The base spans are the matches of four patterns. The random field labels tokens (runs of
-letters, runs of digits, single other characters) from their shape, a short list of cue
+letters, runs of digits, long strings of both, single other characters) from their shape, a short list of cue
 words, and the shapes of their neighbours; it adds spans that the patterns miss, such as
 numbers without their usual marks, spelled-out addresses, keys and titled names. It is
 trained from the labelled table below by gradient ascent on its log likelihood, and
@@ -82,27 +82,35 @@ The dot on the map is where the phone box was.
 Her name is known here, and the card was red.
 A token of thanks, no secret at all.
 Nothing here. Only words, and then more words.
-Erin the ontion. Thent of reth, and onsh.
+The build of commit 3f1c9a7be04d52c6a8e19b7d0f4c2a6e58b1d973 went through.
+Its sha256 is 60303ae22b998861bce3b28f33eec1be758a213c86c93c076dbe9f558c11c752 as listed.
+Authorization: Bearer {secret:mF9xB5f41JqM7sPq2LrT8vWz} was sent.
+The api key {secret:AKXT7Q2LMNB5RZW8D4VC} is in the old file.
+secret: {secret:p4ssw0rdWith77Signs} should go.
+The old password {secret:9d2c41f08be7a6353c1d0e8f7b2a6495} no longer works.
+Use the key {secret:Zk81pQ0vR7mX2cT9bL4nW6yD} for now.
 Le train part à 8 heures et arrive à 12.
 Die Stadt hat 3 500 Häuser und 12 Brücken.
 El tren sale a las 9 y llega a las 14.
-%%% and ### or *** mean nothing &&& at all.
+*** END OF PART ONE ***
+## Chapter 4: The Return ##
+50% off!!! Buy now!!! Only today!!!
 THE OLD MAN AND THE SEA, 1952, PAGE 40!
-WAS!! IT!! OR!! NOT!! THE!! END!! OF.!! THEM,!! ALL!! AT!! ONCE!! NOW.!! SO!! THEN!!
-AND!! WHEN!! THEY,!! WENT!! TO!! THE!! LAKE!! AGAIN.!! COLD!! WATER!!
-To To To To To To To To come.
-The The The The The end.
-Par. La vie. On y va. Et puis.
-Then. Rest at home. By noon. East.
-Auf. Ein Haus. Der Weg. Die Zeit ist da.
-Es la casa. Un dia. La mar y el sol.
-One| Two| Three| four and five.
-Then&&& came%%% Old### ways.*** By%%% the$$$ Lake.&&&
-The### red*** fox,%%% and&&& Its%%% den.###
+STOP!! DO NOT OPEN!! THIS IS THE LAST CALL!!
+Name | Price | Stock | Shelf
+Bolt | 0.35 | 1200 | B-14
+if (a[i] != b && n > 0) { x += 2; } # done
+See https://shop.example.org/a/b?id=42&page=7 for the list.
+Very very very very very good, he said.
+The The Band played on, and on, and on.
+Par ici. Bon. On y va. Et puis?
+Dann los. Ein Wort noch. Der Weg ist weit.
+Es verdad. Un dia mas. La mesa esta lista.
 Rain. Stone and Ash. Wind in May. Over.
 He saw East End. Then Park Lane. The gate was shut.
 Été. Où est la mer. Çela va.
 At dawn they left. To the hills. Com is no word here.
+To whom it may concern: To be or not to be.
 """.strip().split("\n")
 
 CUES = [
@@ -110,7 +118,7 @@ CUES = [
     "token", "key", "secret", "password", "mail", "com", "org", "net", "edu", "to", "my", "the", "of", "and", "or",
 ]
 PUNCT = "@.+-()[]_=:\"'/#,&%*"
-SHAPES = ["pad", "lower", "lower1", "Upper", "UPPER", "long", "d1", "d2", "d3", "d4", "d5-8", "d9-11", "d12-19", "d20+", "other", *PUNCT, *(f"cue {c}" for c in CUES)]
+SHAPES = ["pad", "lower", "lower1", "Upper", "UPPER", "long", "d1", "d2", "d3", "d4", "d5-8", "d9-11", "d12-19", "d20+", "other", *PUNCT, *(f"cue {c}" for c in CUES), "mixed16-31", "mixed32+"]
 N_SHAPES = len(SHAPES)
 _SPACE, _LETTER, _DIGIT, _OTHER, _BREAK = range(5)
 CLASS = np.full(128, _OTHER, dtype=np.uint8)
@@ -124,6 +132,10 @@ for _c in PUNCT:
 _DIGIT_SHAPE = np.array([6 + (0, 0, 1, 2, 3, 4, 4, 4, 4, 5, 5, 5, *[6] * 8)[n] if n < 20 else 13 for n in range(21)], dtype=np.int16)
 
 
+#: length from which a string of letters and digits is one token
+MIXED = 16
+
+
 def _cue_key(size, first, second, third, last):
     return ((((size * 128 + first) * 128) + second) * 128 + third) * 128 + last
 
@@ -149,6 +161,12 @@ def tokens(points: np.ndarray):
     new[:1] = True
     np.not_equal(cls[1:], cls[:-1], out=new[1:])
     new |= cls == _OTHER
+    # long strings of letters and digits are one token, however often they change
+    turn = np.flatnonzero(np.diff(np.concatenate(([0], ((cls == _LETTER) | (cls == _DIGIT)).view(np.int8), [0]))))
+    parts = np.concatenate(([0], np.cumsum(new)))
+    long = np.flatnonzero((turn[1::2] - turn[::2] >= MIXED) & (parts[turn[1::2]] - parts[turn[::2]] > 1))
+    for i in long.tolist():
+        new[turn[2 * i] + 1 : turn[2 * i + 1]] = False
     edge = np.flatnonzero(new)
     end = np.append(edge[1:], len(cls))
     kind = cls[edge]
@@ -171,6 +189,9 @@ def tokens(points: np.ndarray):
     shape[short[hit]] = _CUE_SHAPES[at[hit]]
     d = kind == _DIGIT
     shape[d] = _DIGIT_SHAPE[np.minimum(size[d], 20)]
+    if len(long):
+        mixed = np.isin(start, turn[2 * long])
+        shape[mixed] = np.where(size[mixed] < 2 * MIXED, N_SHAPES - 2, N_SHAPES - 1)
     o = kind == _OTHER
     shape[o] = _PUNCT_SHAPE[first[o]]
     return start, end, shape, line
@@ -341,6 +362,19 @@ def plausible(kind: str, text: str, lo: int, hi: int) -> bool:
     return len(part) >= 8 and bool(digits) and any(c.isalpha() for c in part)
 
 
+#: what a key or a number of letters and digits goes on with
+UNBROKEN = {"secret": re.compile(r"[A-Za-z0-9_+/-]*"), "id": re.compile(r"[A-Za-z0-9]*")}
+
+
+def whole(kind: str, text: str, lo: int, hi: int) -> tuple[int, int]:
+    """The span widened to the unbroken string around it, so that no rest of a key stays."""
+    if kind in UNBROKEN:
+        hi = UNBROKEN[kind].match(text, hi).end()
+        while lo and UNBROKEN[kind].fullmatch(text, lo - 1, lo):
+            lo -= 1
+    return lo, hi
+
+
 #: code points worked on at a time; lines are never cut
 CHUNK = 1 << 20
 
@@ -374,6 +408,10 @@ def field_spans(texts: list[str], f: Field | None = None) -> list[list[tuple[str
                         a, b = int(start[at[run[0]]]), int(end[at[run[-1]]])
                         r = int(np.searchsorted(edge, a, side="right")) - 1
                         kind, a, b = KINDS[label[run[0]] - 1], a - int(edge[r]), b - int(edge[r])
+                        last = out[lo + r][-1] if out[lo + r] else ("", 0, 0)
+                        if last[0] == kind and b <= last[2]:
+                            continue  # inside the string that was taken whole
+                        a, b = whole(kind, texts[lo + r], a, b)
                         if plausible(kind, texts[lo + r], a, b):
                             out[lo + r].append((kind, a, b))
         lo = hi
@@ -404,10 +442,12 @@ def _joined(found) -> str:
 
 
 def find(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns of docs, then n_email, n_ip, n_card, n_phone (base matches),
-    base_sha256 and spans (kind:start:end, code points, by start and kind). A scan without
-    a shuffle. A null text is an empty one. Columns of those names are replaced."""
-    kinds = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    """All columns of docs, then n_email, n_ip, n_card, n_phone (base matches), base_sha256,
+    spans (kind:start:end, code points, by start and kind) and n_spans, how many there are. A
+    scan without a shuffle. A null text is an empty one. Repeated rows give equal results. A
+    very long text is worked on whole, with some forty bytes a code point. An empty table
+    gives an empty table. Columns of those names are replaced."""
+    kinds = "n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
     names = [x.split()[0] for x in kinds.split(", ")]
     field = docs.sparkSession.sparkContext.broadcast(trained())
 
@@ -417,7 +457,7 @@ def find(docs: DataFrame, text: str = "text") -> DataFrame:
             out = []
             for b, all_ in zip(*spans([t or "" for t in series], field.value)):
                 n = [sum(s[0] == k for s in b) for k in BASE]
-                out.append((*n, hashlib.sha256(_joined(b).encode()).hexdigest(), _joined(all_)))
+                out.append((*n, hashlib.sha256(_joined(b).encode()).hexdigest(), _joined(all_), len(all_)))
             yield pd.DataFrame(out, columns=names)
 
     return docs.drop(*names).withColumn("__ply_p", scan(text)).select("*", "__ply_p.*").drop("__ply_p")
