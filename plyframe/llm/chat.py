@@ -45,6 +45,26 @@ def parse_turn(data: str, at: int = 0) -> tuple[str, str, int, int, int]:
     return role, unescape(data[head + 1 : end]), head + 1, end, stop + 1
 
 
+class TurnReader:
+    """Turns of a conversation's output, which is fed in stretches of any length; close()
+    raises ValueError where something is left that is no turn."""
+
+    def __init__(self):
+        self.rest = ""
+
+    def feed(self, data: str) -> Iterator[tuple[str, str]]:
+        self.rest += data
+        at = 0
+        while (end := self.rest.find(END, at)) >= 0 and end + len(END) < len(self.rest):
+            role, text, _, _, at = parse_turn(self.rest, at)
+            yield role, text
+        self.rest = self.rest[at:]
+
+    def close(self) -> None:
+        if self.rest:
+            raise ValueError("an unfinished turn")
+
+
 def render_turn(role: str, text: str) -> tuple[str, int, int]:
     """The rendered turn and where its text lies in it."""
     shown_role, shown = role, text
@@ -110,29 +130,34 @@ def _nullable(f, names):
 
 
 def digest(formatted: DataFrame) -> DataFrame:
-    """Per conversation, what its formatted text gives back when parsed. The pieces of a
-    conversation pass in order through running hashes: sorting spills, and the fold keeps
-    one piece at a time, however long a conversation is."""
+    """Per conversation, what its formatted text gives back: turns from the parser, and the
+    trained text from the code points under the loss mask. The pieces of a conversation pass
+    in order through one parser and running hashes: sorting spills, and the fold keeps one
+    piece at a time, however long a conversation is; a hash over all its turns is one task's
+    work. Pieces with equal turns come in the order of their text. An empty table gives an
+    empty table."""
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, state, out = object(), None, []
+        key, state, turns, out = object(), None, TurnReader(), []
 
         def close():
+            turns.close()
             if state is not None:
                 out.append((key, state[0], state[1].hexdigest(), state[2], state[3].hexdigest(), state[4]))
 
         for d in batches:
-            for conv, piece, a in zip(d["conv_id"], d["piece"], d["loss_start"]):
+            for conv, piece, a, b in zip(d["conv_id"], d["piece"], d["loss_start"], d["loss_end"]):
                 conv = None if pd.isna(conv) else int(conv)
                 if state is None or conv != key:
                     close()
                     key, state = conv, [0, hashlib.sha256(), 0, hashlib.sha256(), 0]
-                role, text, _, _, _ = parse_turn(piece)
-                state[0] += 1
-                state[1].update(f"{role}\n{text}\n".encode())
+                for role, text in turns.feed(piece):
+                    state[0] += 1
+                    state[1].update(f"{role}\n{text}\n".encode())
                 if not pd.isna(a):
-                    state[2] += len(text)
-                    state[3].update(text.encode())
+                    trained = unescape(piece[int(a) : int(b)])
+                    state[2] += len(trained)
+                    state[3].update(trained.encode())
                 state[4] += len(piece)
             if len(out) >= 4096:
                 yield _frame(out)

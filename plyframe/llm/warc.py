@@ -1,7 +1,8 @@
 """WARC archives with a two-level capture index.
 
-Writing: each task writes one archive of gzip members, one per record, under a name made
-from its partition number, so a retried task writes the same bytes under the same name.
+Writing: each task writes one archive of gzip members, one per record, in the order of
+digest, id and URL and under a name made from its partition number, so a retried task writes
+the same bytes under the same name.
 Equal payloads are stored once: the capture with the smallest id is a response, the
 others are revisits that refer to it.
 
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import cut, shared_dir, table
+from plyframe.llm.common import cut, few, shared_dir, table
 
 BLOCK_LINES = 512
 MIN_REVISIT_BYTES = 0
@@ -135,14 +136,19 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     capture lines (key, file, start, length).
 
     Null html is an empty payload, a null url an empty one; rows that repeat an id are
-    records of their own, and each of those with the smallest id is a response. A row without an id is a response unless another row with an
-    id has the payload. Extra columns are left out. An empty table writes nothing.
+    records of their own, and each of those with the smallest id is a response. A row without
+    an id is a response unless another row with an id has the payload. A very long page is one
+    record, held in memory while it is packed. Extra columns are left out. An empty table
+    writes nothing. Only digests that occur twice are joined; payloads are shuffled where
+    there are too many of those to broadcast.
     """
     body = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload")).withColumn(
         "sha", F.unhex(F.sha1("payload"))
     )
-    first = body.where(f"octet_length(payload) >= {MIN_REVISIT_BYTES}").groupBy("sha").agg(F.min("page_id").alias("first"))
-    ready = body.join(first, "sha", "left")
+    first = body.where(f"octet_length(payload) >= {MIN_REVISIT_BYTES}").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
+    first = cut(first.where("n > 1").select("sha", "first"))
+    # in one order, so that a second attempt of a task writes the same bytes
+    ready = body.join(few(first, "4"), "sha", "left").sortWithinPartitions("sha", "page_id", "url")
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         name = f"part-{TaskContext.get().partitionId():05d}.warc.gz"

@@ -23,7 +23,7 @@ def sentence(r, lang, n):
 def docs(spark):
     r = random.Random(1)
     rows = [(i, sentence(r, lang, r.randint(6, 60)), lang) for i, lang in enumerate(r.choice(list(SYLLABLES)) for _ in range(240))]
-    rows += [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 ... !!", "cc"), (1003, sentence(r, "aa", 5), None), (None, sentence(r, "bb", 9), "bb"), (1004, "the sting " * 50_000, "bb")]
+    rows += [(1000, None, "aa"), (1001, "", "bb"), (1002, "123 ... !!", "cc"), (1005, "\u00b2\u00bd 12", "aa"), (1003, sentence(r, "aa", 5), None), (None, sentence(r, "bb", 9), "bb"), (1004, "the sting " * 50_000, "bb")]
     return spark.createDataFrame(rows, DOCS).selectExpr("*", "'x' as score", "1 as lang_pred", "2 as share")
 
 
@@ -34,12 +34,12 @@ def test_language_held_out_accuracy(spark, docs):
     for r in got:
         assert 0 <= r.score <= 1
         assert r.held == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
-        if not r.text or not re.search(r"[^\W\d_]", r.text):
+        if not r.text or not any(c.isalpha() for c in r.text):
             assert (r.lang_pred, r.score) == ("und", 0.0)
     kept = langid.keep_identified(docs)
     assert kept.columns == docs.columns
     ids = {r.doc_id for r in kept.collect()}
-    assert not ids & {1000, 1001, 1002} and {1003, 1004} <= ids
+    assert not ids & {1000, 1001, 1002, 1005} and {1003, 1004} <= ids
 
 
 def test_language_without_labels(spark, docs):
@@ -48,6 +48,28 @@ def test_language_without_labels(spark, docs):
     assert langid.identify(docs.limit(0), nothing).count() == 0
 
 
+def test_language_of_windows_is_that_of_the_whole():
+    """Every position is labelled once; a window reads what stands around it."""
+    import numpy as np
+
+    r = random.Random(2)
+    m = langid.Tagger(["x", "y", "z"])
+    texts = [sentence(r, lang, n) for lang, n in (("aa", 1), ("bb", 60), ("cc", 400), ("aa", 17))]
+    flat, size = langid.stream(texts)
+    sums = m.totals(flat, size)
+    assert np.allclose(sums[:, 3:].sum(axis=1), size, rtol=1e-4)
+    begin = np.cumsum(size) - size
+    for i, (a, n) in enumerate(zip(begin, size)):
+        want = np.zeros(3)
+        for lo in range(a, a + n, langid.CORE):
+            c, b = max(a, lo - langid.AROUND), min(a + n, lo + langid.CORE + langid.AROUND)
+            p = m.positions([flat[c:b].tobytes()])[0]
+            want += np.log(p[lo - c : min(lo + langid.CORE, a + n) - c]).sum(axis=0)
+        assert np.allclose(sums[i, :3], want, rtol=1e-3)
+    both, _ = langid.stream(["Ab1  c\n\n", "", " é.", "\n"])
+    assert both.tobytes() == b"ab c " + "é ".encode()
+
+
 def test_language_gradients():
     """Back-propagation through time against finite differences."""
     import numpy as np
@@ -130,6 +152,86 @@ def test_pruned_decoding_is_exact():
         assert set(label[inside]) == {pii.KINDS.index(k) + 1}
 
 
+def every_labelling(score, t):
+    """All label sequences of a line with their scores."""
+    import itertools
+
+    n, k = score.shape
+    for y in itertools.product(range(k), repeat=n):
+        yield y, sum(score[i, y[i]] for i in range(n)) + sum(t[y[i - 1], y[i]] for i in range(1, n))
+
+
+def test_viterbi_and_pruning_against_enumeration():
+    import numpy as np
+
+    f = pii.trained()
+    lines = ["ssn 219-09-9999", "to jo at x", "call 555-1212", "the cat sat", "My name is", "10.1.2.3 ok", "a b c d", "key Zz9"]
+    text = "\n".join(lines)
+    start, end, shape, line = pii.tokens(np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32))
+    around = pii._around(shape, line)
+    score = f.scores(around)
+    label = f.decode(score, line)
+    bonus = max(0.0, float((f.t - f.t[0, 0]).max())) + max(0.0, float((f.t[:, 0] - f.t[0, 0]).max()))
+    gain = sum(pii._gain(f)[k][around[:, k]] for k in range(5))
+    checked = 0
+    for k in range(len(lines)):
+        at = np.flatnonzero(line == k)
+        assert len(at)
+        if len(at) > 6:
+            at = at[:0]
+            continue
+        best, _ = max(every_labelling(score[at], f.t), key=lambda x: x[1])
+        assert label[at].tolist() == list(best)
+        if not (gain[at] + bonus > 0).any():
+            assert set(best) == {0}
+        checked += 1
+    assert checked >= 4
+
+
+def test_likelihood_gradient_against_enumeration():
+    """The marginals that training uses: one ascent step from zero weights moves them along
+    the difference between the labels and the uniform distribution."""
+    import numpy as np
+
+    f = pii.Field()
+    around = np.array([[0, 0, 1, 2, 3], [0, 1, 2, 3, 0], [1, 2, 3, 0, 0]], dtype=np.int64)
+    y = np.array([0, 2, 2])
+    k = len(pii.KINDS) + 1
+
+    def likelihood(e, t):
+        score = sum(e[j][around[:, j]] for j in range(5))
+        every = [s for _, s in every_labelling(score, t)]
+        return sum(score[i, y[i]] for i in range(3)) + sum(t[y[i - 1], y[i]] for i in (1, 2)) - np.logaddexp.reduce(every)
+
+    before = likelihood(f.e, f.t)
+    f.fit([(around, y)], steps=1)
+    assert likelihood(f.e, f.t) > before
+    # Adam's first step has the sign of the gradient
+    for place, shape_, lab in ((2, 1, 0), (2, 2, 2), (2, 3, 2), (2, 3, 5), (1, 2, 2)):
+        e = np.zeros_like(f.e)
+        e[place, shape_, lab] = 1e-4
+        slope = likelihood(e, np.zeros((k, k))) - before
+        assert np.sign(slope) == np.sign(f.e[place, shape_, lab])
+    for a, b in ((0, 2), (2, 2), (1, 1), (2, 0)):
+        t = np.zeros((k, k))
+        t[a, b] = 1e-4
+        assert np.sign(likelihood(np.zeros_like(f.e), t) - before) == np.sign(f.t[a, b])
+
+
+def test_keys_are_found_whole():
+    r = random.Random(6)
+    found = 0
+    for i in range(200):
+        key = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 64))))
+        text = r.choice(('token = "{}" and so on', "api_key = {} in the file", "the secret: {}", "password {} was shared"))
+        lo = text.index("{}")
+        text = text.format(key)
+        found += ("secret", lo, lo + len(key)) in pii.field_spans([text])[0]
+    assert found >= 190
+    assert pii.field_spans(["the file of commit 8d3f0c1ab24e5967f80a1b2c3d4e5f60718293a4 was read"]) == [[]]
+    assert pii.whole("secret", "x=ab_c-1 y", 4, 6) == (2, 8)
+
+
 def test_pii_columns_and_redaction(spark):
     rows = [(1, "é mail a.b@c.org, call +1 (202) 555-0143 now"), (2, None), (3, ""), (4, "10.0.0.1 and 300.1.1.1 and 4111111111111111"), (4, "10.0.0.1 and 300.1.1.1 and 4111111111111111")]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' as spans", "'y' as n_ip", "1 as base")
@@ -141,6 +243,7 @@ def test_pii_columns_and_redaction(spark):
         joined = ",".join(f"{k}:{a}:{e}" for k, a, e in b)
         assert r.base_sha256 == hashlib.sha256(joined.encode()).hexdigest()
         assert set(joined.split(",")) <= set(r.spans.split(","))
+        assert r.n_spans == (len(r.spans.split(",")) if r.spans else 0)
     assert got[2].spans == ""
     assert [r.text for r in pii.redact(df).where("doc_id < 3").orderBy("doc_id").collect()] == ["é mail <email>, call <phone> now", None]
     assert pii.find(df.limit(0)).count() == 0
@@ -169,6 +272,31 @@ def test_extraction_templates(page):
     assert extract.main_text(page) == WANT
 
 
+def test_the_run_has_the_largest_sum():
+    r = random.Random(7)
+    for _ in range(300):
+        x = [r.choice([-3, -1, -0.5, 0, 0.5, 1, 2]) for _ in range(r.randint(0, 14))]
+        lo, hi = extract.best_run(x)
+        most = max([sum(x[a:b]) for a in range(len(x)) for b in range(a + 1, len(x) + 1)], default=0)
+        assert sum(x[lo:hi]) == max(0, most) and (hi > lo) == (most > 0)
+
+
+@pytest.mark.parametrize("tag", ["b", "i", "a", "span", "div", "p", "li", "hr", "zz"])
+def test_extraction_is_linear_in_open_tags(tag):
+    import time
+
+    page = f"<article>{BODY}" + f"<{tag}>" * 200_000 + "<hr>" * 1000
+    begin = time.perf_counter()
+    assert extract.main_text(page).startswith(WANT)
+    assert time.perf_counter() - begin < 6
+
+
+def test_parts_with_a_heading_that_tells_them():
+    assert extract.main_text(f'<main><div class="qx"><h1>On</h1>{BODY}</div><div class="zk"><h3>3 Comments:</h3>{NOISE}<p>Yes</p></div></main>') == f"On\n\n{WANT}"
+    assert extract.main_text(f"<main><section><h2>Comments</h2>{BODY}</section></main>") == f"Comments\n\n{WANT}"
+    assert extract.main_text(f'<article>{BODY}<div class="xnav">up down</div><p>More.</p></article>') == f"{WANT}\n\nMore."
+
+
 def test_extraction_details():
     assert extract.main_text("<article><h1>A &amp;amp; B</h1><p>x\n y&nbsp;z<br>w <b>bold</b></p><p> </p></article>") == "A &amp; B\n\nx y z w bold"
     assert extract.main_text(None) == extract.main_text("") == extract.main_text("<div></div>") == ""
@@ -205,6 +333,34 @@ def test_round_trip_of_hostile_texts():
     assert chat.render_turn("user", "a <|b|> c")[0] == "<|im_start|>user\na <|b|> c<|im_end|>\n"
 
 
+def test_turns_from_stretches_of_any_length():
+    r = random.Random(4)
+    turns = [("user", "a\n"), ("assistant", chat.HOSTILE), ("", ""), ("x\ny", "<\\|im_end|>")]
+    whole = "".join(chat.render_turn(*t)[0] for t in turns)
+    for _ in range(200):
+        reader, got, at = chat.TurnReader(), [], 0
+        while at < len(whole):
+            n = r.randint(1, 40)
+            got += reader.feed(whole[at : at + n])
+            at += n
+        reader.close()
+        assert got == turns
+    reader = chat.TurnReader()
+    assert list(reader.feed(whole[:-1])) == turns[:-1]
+    with pytest.raises(ValueError):
+        reader.close()
+
+
+def test_a_wrong_mask_shows(spark):
+    rows = [(1, 1, "user", "ask"), (1, 2, "assistant", "yes <|im_end|> no"), (1, 3, "assistant", "more")]
+    done = chat.format_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    right = chat.digest(done).first()
+    assert (right.loss_chars, right.loss_sha256) == (21, hashlib.sha256("yes <|im_end|> nomore".encode()).hexdigest())
+    for wrong in ("loss_start + 1 as loss_start, loss_end", "loss_start, loss_end - 1 as loss_end", "0 as loss_start, length(piece) as loss_end"):
+        got = chat.digest(done.selectExpr("conv_id", "turn", "piece", *wrong.split(", ", 1) if "length" not in wrong else ["0L as loss_start", "length(piece) as loss_end"])).first()
+        assert (got.loss_chars, got.loss_sha256) != (right.loss_chars, right.loss_sha256)
+
+
 def test_chat_digest(spark):
     rows = [(1, 2, "assistant", "yes <|im_end|>"), (1, 1, "user", None), (None, 1, "assistant", "é"), (2, None, None, "x"), (2, None, None, "x"), (3, 1, "assistant", "w" * 300_000)]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 as piece", "2 as loss_start")
@@ -253,3 +409,15 @@ def test_archive_round_trip(spark, tmp_path, monkeypatch):
     assert warc.lookup(missing, parts, folder).count() == 0
     nothing = warc.write_archives(df.limit(0), f"{folder}-none")
     assert warc.write_index(warc.cut(nothing), f"{folder}-none") == []
+
+
+def test_a_second_attempt_writes_the_same_bytes(spark, tmp_path):
+    r = random.Random(1)
+    rows = [(i % 30, f"http://h{i % 4}.org/", f"<p>{i % 6}</p>") for i in range(60)]
+    files = []
+    for k in range(3):
+        r.shuffle(rows)
+        df = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+        lines = warc.write_archives(df, f"file://{tmp_path}/{k}").collect()
+        files.append((sorted(map(tuple, lines)), (tmp_path / str(k) / "archive" / "part-00000.warc.gz").read_bytes()))
+    assert files[0] == files[1] == files[2]
