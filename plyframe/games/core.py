@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from plyframe.operators import folds
 from plyframe.persist import cut
 from plyframe.plans import fixpoint
+from plyframe.plans.fixpoint import BESIDE
 
 
 @dataclass(frozen=True)
@@ -58,26 +59,29 @@ def scripted(name: str, roots, moves: Callable[[int], list[int]], value: Callabl
 
 def plies(spark: SparkSession, game: Game, most: int | None = None) -> tuple[list[DataFrame], list[DataFrame]]:
     """By ply, the new states (id, value, depth) and their moves (src, dst), all written. A
-    ply is one expansion, one deduplication and, unless the game is acyclic, one anti-join
+    ply is one expansion, one deduplication and, unless the game is acyclic, anti-joins
     against the states before."""
     front = spark.createDataFrame([(r,) for r in game.roots], "id long").distinct()
     nodes: list[DataFrame] = []
     edges: list[DataFrame] = []
-    seen: DataFrame | None = None
+    seen: list[DataFrame] = []  # all states so far, the last few plies beside the others
     while True:
         depth = len(nodes)
-        judged = cut(game.decide(front).select("id", F.col("value").cast("int"), F.lit(depth).alias("depth")))
+        # the number of the ply comes afterwards, so every ply runs the same generated code
+        judged = cut(game.decide(front).select("id", F.col("value").cast("int")))
         if depth and judged.isEmpty():
             return nodes, edges
-        nodes.append(judged)
+        nodes.append(judged.withColumn("depth", F.lit(depth)))
         if most is not None and depth >= most:
             return nodes, edges
         edges.append(cut(game.children(judged.where("value is null").select("id")).select(F.col("id").alias("src"), "dst").distinct()))
         front = edges[-1].select(F.col("dst").alias("id")).distinct()
         if not game.acyclic:
-            seen = judged.select("id") if seen is None else seen.unionByName(judged.select("id"))
-            seen = cut(seen) if depth % 10 == 9 else seen
-            front = front.join(seen, "id", "left_anti")
+            seen.append(judged.select("id"))
+            if len(seen) > BESIDE:
+                seen = [cut(reduce(DataFrame.unionByName, seen))]
+            for x in seen:
+                front = front.join(x, "id", "left_anti")
 
 
 def _all(parts: list[DataFrame], spark: SparkSession, schema: str) -> DataFrame:
@@ -122,3 +126,15 @@ def summary(spark: SparkSession, game: Game) -> DataFrame:
         F.count("*").alias("states"), F.count_if(F.col("value") == 1).alias("wins"), F.count_if(F.coalesce("value", F.lit(0)) == 0).alias("draws"), F.count_if(F.col("value") == -1).alias("losses")
     )
     return counts.join(root)
+
+
+def replay(game: Game, log: DataFrame) -> DataFrame:
+    """(game, ply, id, legal) of (game, ply, id): whether each state is the first root, at ply
+    0, or one that a move leads to from the state before; a missing ply is not legal. One
+    expansion of the distinct states and two joins, whatever the number of games."""
+    moves = game.children(game.decide(log.select("id").distinct()).where("value is null").select("id")).select(F.col("id").alias("_src"), F.col("dst").alias("_dst")).distinct()
+    before = log.select(F.col("game").alias("_g"), (F.col("ply") + 1).alias("_p"), F.col("id").alias("_from"))
+    at = log.join(before, (F.col("game") == F.col("_g")) & (F.col("ply") == F.col("_p")), "left")
+    at = at.join(moves.withColumn("_ok", F.lit(True)), (F.col("_from") == F.col("_src")) & (F.col("id") == F.col("_dst")), "left")
+    legal = F.when(F.col("ply") == 0, F.col("id") == game.roots[0]).otherwise(F.coalesce("_ok", F.lit(False)))
+    return at.select("game", "ply", "id", legal.alias("legal"))

@@ -115,6 +115,13 @@ def best_move(moves: DataFrame, by: str, score: str, move: str) -> DataFrame:
     return moves.groupBy(by).agg(top.alias("t")).select(by, "t.score", "t.move")
 
 
+def ordered_moves(moves: DataFrame, by: str, score: str, move: str) -> DataFrame:
+    """moves with their place among those of the same state: best score first, ties by the
+    smallest move. For display; folds need no order."""
+    w = Window.partitionBy(by).orderBy(F.desc(score), move)
+    return moves.withColumn("place", F.row_number().over(w))
+
+
 def count_paths(edges: DataFrame, roots: DataFrame, plies: int) -> DataFrame:
     """(ply, id, paths): walks of each length from the roots, with multiplicity."""
     edges = cut(edges.select("src", "dst"))

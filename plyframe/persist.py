@@ -8,13 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where that is unset (one machine, as in tests) our own."""
+    """spark.checkpoint.dir, or else the folder that was given to setCheckpointDir; where
+    neither is set, a folder of our own on one machine, as in tests, and an error on a
+    cluster, whose executors share no local folder."""
     given = spark.conf.get("spark.checkpoint.dir", None)
     if given:
         return given
-    own = "file:///tmp/plyframe-checkpoints"
-    spark.sparkContext.setCheckpointDir(own)
-    return own
+    context = spark.sparkContext
+    own = context._jsc.sc().getCheckpointDir()
+    if own.isDefined():
+        return own.get()
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir("file:///tmp/plyframe-checkpoints")
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -24,7 +31,26 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), as a compressed parquet table: for wide rows that are read in part."""
-    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    """Like cut(), as a compressed parquet table: for wide rows that are read in part. It
+    stays, as results read it, until clear()."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: tables of this run, with the application they belong to
+_WRITTEN: list[tuple[str, str]] = []
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete the tables that this application stored, when no result that reads them is
+    needed any more. Gives how many there were."""
+    mine = [x for x in _WRITTEN if x[0] == spark.sparkContext.applicationId]
+    jvm = spark.sparkContext._jvm
+    for x in mine:
+        at = jvm.org.apache.hadoop.fs.Path(x[1])
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        _WRITTEN.remove(x)
+    return len(mine)

@@ -1,51 +1,123 @@
 """Iterative plans: reachability, layered sweeps, attractors. The driver holds a loop and a
-count per pass; every pass is one Catalyst plan over tables in the shared folder."""
+count per pass; every pass is one Catalyst plan over tables in the shared folder, and what a
+pass writes follows its frontier. A graph that was counted and is small is solved in one task
+instead, as a pass costs the same quarter of a second however few states it moves."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyframe.persist import cut
 
+#: edges and states up to which a graph is small: 32 MB in one task
+SMALL = 1 << 21
+#: stands for no value in arrays
+OPEN = 2
+#: passes whose changes are kept beside the table that they change before they go into it
+BESIDE = 8
 
-def _ready(edges: DataFrame) -> DataFrame:
-    """edges, written once and dealt out by the column ``id`` that every pass joins on, so
-    a pass moves its frontier and not the edges."""
-    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(edges.repartition(n, "id"))
+
+def _dealt(df: DataFrame) -> DataFrame:
+    """df, written once and dealt out by the column ``id`` that every pass joins on, so a
+    pass moves its frontier and not this table."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut(df.repartition(n, "id"))
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _in_one_task(parts: dict[int, DataFrame], f: Callable[[dict[int, tuple[np.ndarray, np.ndarray]]], dict[str, np.ndarray]], schema: str) -> DataFrame:
+    """What f makes of small tables of two LONG columns, given as arrays by their key."""
+    rows = _all([d.toDF("a", "b").select(F.lit(k).alias("k"), F.col("a").cast("long"), F.col("b").cast("long")) for k, d in parts.items()])
+    keys = list(parts)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = list(batches)
+        k, a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *(x.column(i).to_numpy() for x in whole)]) for i in range(3))
+        out = f({x: (a[k == x], b[k == x]) for x in keys})
+        yield pa.RecordBatch.from_pydict(out)
+
+    return cut(rows.coalesce(1).mapInArrow(run, schema))
+
+
+class _Arrows:
+    """Edges by the node that they lead to, or from: nodes are places in ``ids``."""
+
+    def __init__(self, ids: np.ndarray, near: np.ndarray, far: np.ndarray):
+        order = np.argsort(near, kind="stable")
+        self.far = far[order]
+        self.start = np.searchsorted(near[order], np.arange(len(ids) + 1))
+
+    def of(self, nodes: np.ndarray) -> np.ndarray:
+        """The far ends of all edges at these nodes, repeats included."""
+        size = self.start[nodes + 1] - self.start[nodes]
+        at = np.repeat(self.start[nodes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.far[at]
+
+
+def _places(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Where in sorted ids each of x is, -1 where it is not."""
+    at = np.minimum(np.searchsorted(ids, x), max(len(ids) - 1, 0))
+    return np.where(ids[at] == x, at, -1) if len(ids) else np.full(len(x), -1)
 
 
 def reach(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
     """(id, depth): what the roots reach, with the least number of steps. Each pass joins
     the frontier only and takes out what was seen."""
-    seen = front = cut(roots.select("id").distinct().select("id", F.lit(0).alias("depth")))
-    e = _ready(edges.select(F.col("src").alias("id"), "dst"))
-    depth = 0
+    front = cut(roots.select("id").distinct().select("id", F.lit(0).alias("depth")))
+    e = cut(edges.select(F.col("src").alias("id"), "dst"))
+    if e.limit(SMALL + 1).count() + front.limit(SMALL + 1).count() <= SMALL:
+
+        def run(rows: dict) -> dict:
+            (src, dst), (first, _) = rows[0], rows[1]
+            ids = np.unique(np.concatenate([src, dst, first]))
+            arrows = _Arrows(ids, np.searchsorted(ids, src), np.searchsorted(ids, dst))
+            depth = np.full(len(ids), -1, dtype=np.int32)
+            now, n = np.searchsorted(ids, first), 0
+            depth[now] = 0
+            while len(now) and (most is None or n < most):
+                n += 1
+                now = np.unique(arrows.of(now))
+                now = now[depth[now] < 0]
+                depth[now] = n
+            return {"id": ids[depth >= 0], "depth": depth[depth >= 0]}
+
+        return _in_one_task({0: e, 1: front}, run, "id long, depth int")
+    e, seen, beside, depth = _dealt(e), _dealt(front), [], 0
     while most is None or depth < most:
         depth += 1
-        new = front.join(e, "id").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        new = front.join(e, "id").select(F.col("dst").alias("id")).distinct()
+        for x in (seen, *beside):
+            new = new.join(x, "id", "left_anti")
         front = cut(new.select("id", F.lit(depth).alias("depth")))
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
-        if depth % 8 == 0:
-            seen = cut(seen)
-    return seen
+        beside.append(front)
+        if len(beside) == BESIDE:
+            seen, beside = _dealt(_all([seen, *beside])), []
+    return _all([seen, *beside])
 
 
 def layers(root: DataFrame, expand: Callable[[DataFrame], DataFrame], key: list[str], most: int = 1000) -> list[DataFrame]:
     """States by number of moves where every move leaves its layer for the next: each layer
-    is deduplicated by itself. expand gives the key columns of the children."""
+    is deduplicated by itself. expand gives the key columns of the children. More than
+    ``most`` layers are an error: the moves then lead back."""
     out = [cut(root.select(*key).distinct())]
-    while len(out) <= most:
+    while True:
         new = cut(expand(out[-1]).select(*key).distinct())
         if new.isEmpty():
-            break
+            return out
+        if len(out) > most:
+            raise ValueError(f"more than {most} layers")
         out.append(new)
-    return out
 
 
 def sweep(edges: DataFrame, leaves: DataFrame, fold: Column, deepest: int) -> DataFrame:
@@ -62,39 +134,93 @@ def sweep(edges: DataFrame, leaves: DataFrame, fold: Column, deepest: int) -> Da
     return out
 
 
+def banded_sweep(states: DataFrame, edges: DataFrame, fold: Column, stuck: int) -> DataFrame:
+    """(band, id, value) of states (band, id, value), value null where open, whose moves (src,
+    dst) lead to bands with a larger number, not always the next: a band may stand for two
+    measures, of which one rises and one falls. A band is one join with all later values;
+    open states without moves get ``stuck``."""
+    done: DataFrame | None = None
+    for k in sorted((r.band for r in states.select("band").distinct().collect()), reverse=True):  # one row a band
+        own = states.where(F.col("band") == k)
+        if done is not None:
+            mine = edges.join(own.where("value is null").select(F.col("id").alias("src")), "src", "left_semi")
+            up = mine.join(done.select(F.col("id").alias("dst"), "value"), "dst").groupBy(F.col("src").alias("id")).agg(fold.cast("int").alias("v"))
+            own = own.join(up, "id", "left").withColumn("value", F.coalesce("value", "v"))
+        own = cut(own.select("band", "id", F.coalesce("value", F.lit(stuck)).cast("int").alias("value")))
+        done = own if done is None else done.unionByName(own)
+    return done
+
+
 def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
     """(id, value, decided_at): win, loss and distance of every node of a cyclic graph.
 
     nodes are (id, value), value null where open; edges (src, dst) are distinct. In a pass
     an open node with a child lost in the pass before is won, and one whose children are
     all won is lost, so decided_at is the distance to the end under best play. What stays
-    open has value null: a draw. Passes join new decisions only and keep, for every open
-    node, the number of children not yet known to be won. most ends after so many passes.
-    A node without children that is not decided stays open.
+    open has value null: a draw. For every open node the number of children not yet known to
+    be won is kept; a pass joins the last decisions with their parents, and writes what they
+    change: the table of open nodes is written anew every few passes. most ends after so many
+    passes. A node without children that is not decided stays open.
     """
-    e = _ready(edges.select("src", F.col("dst").alias("id")))
+    e = cut(edges.select("src", F.col("dst").alias("id")))
+    nodes = cut(nodes.select("id", F.col("value").cast("int")))
+    done = nodes.where("value is not null").select("id", "value", F.lit(0).alias("decided_at"))
+    open_ = nodes.where("value is null")
+    if e.limit(SMALL + 1).count() + nodes.limit(SMALL + 1).count() <= SMALL:
+        solved = _in_one_task({0: e.select("src", "id"), 1: nodes.select("id", F.coalesce("value", F.lit(OPEN)))}, lambda rows: _attracted(rows, most), "id long, value int, decided_at int")
+        return solved
     degree = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("left"))
-    state = nodes.join(degree, "id", "left").select("id", F.col("value").cast("int"), F.when(F.col("value").isNotNull(), 0).alias("decided_at"), F.coalesce("left", F.lit(0)).alias("left"))
-    open_ = cut(state)
-    done = cut(open_.where("value is not null").select("id", "value", "decided_at"))
-    open_ = open_.where("value is null").select("id", "left")
-    front, n = done, 0
+    base = _dealt(open_.select("id").join(degree, "id", "left").select("id", F.coalesce("left", F.lit(0)).alias("left")))
+    e = _dealt(e)
+    front, fronts, counts, n = cut(done), [], [], 0
     while not front.isEmpty() and (most is None or n < most):
         n += 1
         touched = e.join(front.select("id", "value"), "id").groupBy(F.col("src").alias("id")).agg(F.bool_or(F.col("value") == -1).alias("lost"), F.count_if(F.col("value") == 1).alias("won"))
-        step = open_.join(touched, "id", "left").select(
-            "id",
-            (F.col("left") - F.coalesce("won", F.lit(0))).alias("left"),
-            F.when(F.col("lost"), 1).when(F.col("won") >= F.col("left"), -1).alias("value"),
-        )
-        step = cut(step)
-        open_ = step.where("value is null").select("id", "left")
-        front = step.where("value is not null").select("id", "value", F.lit(n).alias("decided_at"))
+        for x in fronts:
+            touched = touched.join(x, "id", "left_anti")
+        touched = cut(touched.join(base, "id"))
+        # those of the touched nodes that won children were counted for in the passes before
+        before = _all(counts).join(touched.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("won").alias("before")) if counts else None
+        step = touched.join(before, "id", "left") if counts else touched.withColumn("before", F.lit(0))
+        value = F.when(F.col("lost"), 1).when(F.col("won") + F.coalesce("before", F.lit(0)) >= F.col("left"), -1)
+        front = cut(step.select("id", value.alias("value")).where("value is not null").select("id", "value", F.lit(n).alias("decided_at")))
         done = done.unionByName(front)
-        if n % 10 == 0:
-            done = cut(done)
-            open_ = cut(open_)
-    return done.unionByName(open_.select("id", F.lit(None).cast("int").alias("value"), F.lit(None).cast("int").alias("decided_at")))
+        fronts.append(front)
+        counts.append(touched.where("won > 0").select("id", "won"))
+        if len(fronts) == BESIDE:
+            won = _all(counts).groupBy("id").agg(F.sum("won").alias("won"))
+            base = _dealt(base.join(_all(fronts), "id", "left_anti").join(won, "id", "left").select("id", (F.col("left") - F.coalesce("won", F.lit(0))).alias("left")))
+            done, fronts, counts = cut(done), [], []
+    for x in fronts:
+        base = base.join(x, "id", "left_anti")
+    return done.unionByName(base.select("id", F.lit(None).cast("int").alias("value"), F.lit(None).cast("int").alias("decided_at")))
+
+
+def _attracted(rows: dict, most: int | None) -> dict:
+    """The same passes over arrays: edges (src, dst), and nodes with value OPEN where open."""
+    (src, dst), (ids, value) = rows[0], rows[1]
+    order = np.argsort(ids, kind="stable")
+    ids, value = ids[order], value[order].astype(np.int8)
+    a, b = _places(ids, src), _places(ids, dst)
+    left = np.bincount(a[a >= 0], minlength=len(ids))
+    on = (a >= 0) & (b >= 0)
+    parents = _Arrows(ids, b[on], a[on])
+    at = np.where(value != OPEN, 0, -1).astype(np.int32)
+    front, n = np.flatnonzero(value != OPEN), 0
+    while len(front) and (most is None or n < most):
+        n += 1
+        won = parents.of(front[value[front] == -1])
+        less = parents.of(front[value[front] == 1])
+        left -= np.bincount(less, minlength=len(ids))
+        won = np.unique(won[at[won] < 0])
+        at[won] = n
+        lost = np.unique(less)
+        lost = lost[(at[lost] < 0) & (left[lost] <= 0)]
+        at[lost] = n
+        value[won], value[lost] = 1, -1
+        front = np.concatenate([won, lost])
+    decided = at >= 0
+    return {"id": ids, "value": pa.array(value, pa.int32(), mask=~decided), "decided_at": pa.array(at, pa.int32(), mask=~decided)}
 
 
 def layered_attractor(nodes: DataFrame, edges: DataFrame, order: list[int]) -> DataFrame:
@@ -137,20 +263,35 @@ def depth_audit(values: DataFrame, edges: DataFrame) -> DataFrame:
 
 def best_line(edges: DataFrame, values: DataFrame, root: int, most: int = 1000) -> list[int]:
     """The ids of a best line from root: the quickest won way, the slowest lost one, ties
-    to the smallest id. One small query a move."""
+    to the smallest id. One small query a move. A line of more than ``most`` moves is an
+    error."""
     v = values.select(F.col("id").alias("dst"), "value", "decided_at")
     known = values.where(F.col("id") == root).select("value").first()
     line, at = [root], root
-    while known is not None and known.value in (1, -1) and len(line) <= most:
+    while known is not None and known.value in (1, -1):
         child = edges.where(F.col("src") == at).join(v, "dst").where(F.col("value") == -known.value)
         at_next = child.orderBy((F.col("decided_at") if known.value == 1 else -F.col("decided_at")), "dst").select("dst", "value").first()
         if at_next is None:
             break
         at, known = at_next.dst, at_next
         line.append(at)
+        if len(line) > most + 1:
+            raise ValueError(f"a line of more than {most} moves")
     return line
 
 
+def closure(edges: DataFrame) -> DataFrame:
+    """(src, dst): every pair of a node and one that it reaches by a step or more. Each pass
+    joins the pairs found last with themselves and with all before, so paths double; it ends
+    when nothing is new. The pairs are the result, and may be as many as nodes squared."""
+    found = new = cut(edges.select("src", "dst").distinct())
+    while not new.isEmpty():
+        step = lambda a, b: a.select("src", F.col("dst").alias("mid")).join(b.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")
+        new = cut(step(new, found).unionByName(step(found, new)).distinct().join(found, ["src", "dst"], "left_anti"))
+        found = cut(found.unionByName(new))
+    return found
+
+
 def probe_moves(states: DataFrame, edges: DataFrame, values: DataFrame) -> DataFrame:
     """(id, move, value, decided_at): for the asked states every child, the value seen by
     the side that moves there; undecided children are draws."""

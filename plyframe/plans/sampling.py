@@ -11,24 +11,31 @@ from plyframe.games.core import Game
 from plyframe.persist import cut
 
 
+#: fixed values of the multiplicative generator modulo 2^31 - 1
+MODULUS, MULTIPLIER = 2147483647, 48271
+
+
 def sample_ids(df: DataFrame, id: str, one_in: int, seed: int = 0) -> DataFrame:
     """About one row in so many, by arithmetic on the id: any engine picks the same rows."""
     return df.where(F.pmod(F.col(id) * 48271 + seed * 16807, F.lit(2147483647)) % one_in == 0)
 
 
 def playouts(spark: SparkSession, game: Game, n: int, seed: int = 0, most: int = 10_000) -> DataFrame:
-    """(game, ply, id): n games of moves picked by a hash of seed, game and ply."""
+    """(game, ply, id): n games of moves picked by arithmetic on seed, game, ply and the
+    child, the same on any engine: the child with the least scramble, ties to the least id. A
+    game of more than ``most`` plies is an error."""
     now = cut(spark.range(n).select(F.col("id").alias("game"), F.lit(0).alias("ply"), F.lit(game.roots[0]).cast("long").alias("id")))
     out = now
     for ply in range(1, most + 1):
         going = game.decide(now.select("id").distinct()).where("value is null").select("id")
         moves = game.children(going)
-        pick = F.min_by("dst", F.xxhash64(F.lit(seed), "game", F.lit(ply), "dst"))
+        mixed = F.pmod(F.pmod("dst", F.lit(MODULUS)) * MULTIPLIER + F.col("game") * 69621 + (ply * 16807 + seed * 40014), F.lit(MODULUS))
+        pick = F.min_by("dst", F.struct(F.pmod(mixed * MULTIPLIER, F.lit(MODULUS)), "dst"))
         now = cut(now.join(moves, "id").groupBy("game").agg(pick.alias("id")).select("game", F.lit(ply).alias("ply"), "id"))
         if now.isEmpty():
             return out
         out = out.unionByName(now)
-    return out
+    raise ValueError(f"a game of more than {most} plies")
 
 
 def threshold(scores: DataFrame, score: str) -> Column:

@@ -31,8 +31,11 @@ def brute(nodes, edges):
         depth |= dict.fromkeys(new, p)
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_attractor_against_brute_force(spark, seed):
+@pytest.mark.parametrize("seed, small, beside", [(1, 1 << 20, 8), (2, 1 << 20, 8), (1, -1, 8), (2, -1, 2)])
+def test_attractor_against_brute_force(spark, monkeypatch, seed, small, beside):
+    """In one task, and in passes whose changes go into the table now and then."""
+    monkeypatch.setattr(fixpoint, "SMALL", small)
+    monkeypatch.setattr(fixpoint, "BESIDE", beside)
     r = random.Random(seed)
     n = 60
     nodes = {i: -1 if r.random() < 0.15 else 1 if r.random() < 0.05 else None for i in range(n)}
@@ -51,7 +54,44 @@ def test_layered_attractor_keeps_lower_draws(spark):
     assert got == {1: 0, 2: 0, 3: -1, 4: 0, 5: 1}
 
 
-def test_reach_and_empty(spark):
+def test_decided_draws_keep_parents_from_losing(spark, monkeypatch):
+    nodes = spark.createDataFrame([(1, None), (2, 0), (3, 1), (4, None)], "id long, value int")
+    edges = spark.createDataFrame([(1, 2), (1, 3), (4, 3), (4, 9)], "src long, dst long")
+    for small in (1 << 20, -1):
+        monkeypatch.setattr(fixpoint, "SMALL", small)
+        got = {r.id: (r.value, r.decided_at) for r in fixpoint.attractor(nodes, edges).collect()}
+        assert got == {1: (None, None), 2: (0, 0), 3: (1, 0), 4: (None, None)}
+        assert fixpoint.attractor(nodes.limit(0), edges.limit(0)).count() == 0
+
+
+def test_closure_and_bands(spark):
+    r = random.Random(3)
+    edges = {(r.randrange(14), r.randrange(14)) for _ in range(18)}
+    want = set(edges)
+    while True:
+        more = {(a, d) for a, b in want for c, d in edges if b == c} - want
+        if not more:
+            break
+        want |= more
+    got = fixpoint.closure(spark.createDataFrame(list(edges), "src long, dst long"))
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert fixpoint.closure(spark.createDataFrame([], "src long, dst long")).count() == 0
+    states = spark.createDataFrame([(0, 1, None), (1, 2, None), (3, 3, -1), (3, 4, 1)], "band int, id long, value int")
+    moves = spark.createDataFrame([(1, 2), (1, 4), (2, 3)], "src long, dst long")
+    assert {x.id: x.value for x in fixpoint.banded_sweep(states, moves, folds.negamax(), -1).collect()} == {1: -1, 2: 1, 3: -1, 4: 1}
+
+
+def test_what_does_not_end_is_an_error(spark):
+    e = spark.createDataFrame([(1, 2), (2, 1)], "src long, dst long")
+    step = lambda now: now.join(e.withColumnRenamed("src", "id"), "id").select(F.col("dst").alias("id"))
+    with pytest.raises(ValueError, match="layers"):
+        fixpoint.layers(spark.range(1, 2), step, ["id"], 3)
+
+
+@pytest.mark.parametrize("small", [1 << 20, -1])
+def test_reach_and_empty(spark, monkeypatch, small):
+    monkeypatch.setattr(fixpoint, "SMALL", small)
+    monkeypatch.setattr(fixpoint, "BESIDE", 1)
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (5, 6)], "src long, dst long")
     assert {(r.id, r.depth) for r in fixpoint.reach(e, spark.range(1, 2)).collect()} == {(1, 0), (2, 1), (3, 2)}
     assert fixpoint.reach(e.limit(0), spark.range(0)).count() == 0
