@@ -50,6 +50,15 @@ def colex_unrank(rank: str | Column, n: int, k: int) -> Column:
     return F.aggregate(F.sequence(F.lit(n - 1), F.lit(0), F.lit(-1)), state, step, lambda s: s["m"])
 
 
+def subset_rank_lex(cells: str | Column, n: int, k: int) -> Column:
+    """Rank of an ascending array of k cells below n among all k-subsets in lexicographic
+    order: those that come before have a smaller cell at the first place that differs."""
+    flat = F.array(*[F.lit(comb(c, j)).cast("long") for c in range(n + 1) for j in range(k + 1)])
+    # mirrored, the lexicographic order is the colex order from its end
+    after = F.transform(F.reverse(col(cells)), lambda c, i: F.get(flat, (n - 1 - c.cast("int")) * (k + 1) + i + 1))
+    return F.lit(comb(n, k) - 1).cast("long") - F.aggregate(after, F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def restricted_rank(cells: str | Column, block: str | Column, n: int, k: int) -> Column:
     """Colex rank among the subsets of the cells outside block."""
     free = F.transform(col(cells), lambda c: (c - F.bit_count(col(block).bitwiseAND(bit(c) - 1))).cast("int"))
@@ -76,3 +85,10 @@ def dense_ids(df: DataFrame, keys: list[str], name: str = "id") -> DataFrame:
     sizes = spread.groupBy("_part").agg(F.count("*").alias("n"))
     base = sizes.select("_part", F.coalesce(F.sum("n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     return spread.join(F.broadcast(base), "_part").withColumn(name, (F.col("_base") + F.col("_at")).cast("long")).drop("_part", "_at", "_base")
+
+
+def selection_ids(df: DataFrame, member: Column, keys: list[str], name: str = "id") -> DataFrame:
+    """df with numbers 0, 1, ... in the order of keys for the rows that are members, null for
+    others; keys are unique."""
+    ids = dense_ids(df.where(member).select(*keys), keys, name)
+    return df.join(ids, keys, "left")

@@ -82,3 +82,10 @@ def brute_automorphisms(n: int, edges: list[tuple[int, int]]) -> list[list[int]]
     """All automorphisms by trying every permutation: a check for n up to eight."""
     e = {frozenset(x) for x in edges}
     return [list(p) for p in permutations(range(n)) if {frozenset(p[v] for v in x) for x in e} == e]
+
+
+def mirror_weight(block: str | Column, mirror: str | Column) -> Column:
+    """Weight of a block of states under a mirror: 2 for the first of a pair, 1 for a block
+    that is its own mirror, null for the one that is dropped."""
+    a, b = col(block), col(mirror)
+    return F.when(a < b, 2).when(a == b, 1)

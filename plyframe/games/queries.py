@@ -6,17 +6,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyframe.functions import bits, ranking
 from plyframe.functions.bits import shift
 from plyframe.functions.predicates import board_columns, corner_state, mill_events
+from plyframe.functions.symmetry import automorphisms, mirror_weight
 from plyframe.functions.zdd import Zdd
 from plyframe.games import native, scripted
-from plyframe.games.core import Game, explore, solve, summary
+from plyframe.games.core import Game, explore, replay, solve, summary
 from plyframe.persist import cut
 from plyframe.operators import folds, tables
 from plyframe.plans import fixpoint, sampling
 from plyframe.queries import query, wall_conflict, wall_slots
 from plyframe.sources import boards
-from plyframe.sources.derived import supply_edges, table
+from plyframe.sources.derived import event_edges, supply_edges, table
 
 
 def _golden(game: Game, columns: str):
@@ -244,11 +246,20 @@ def replay_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").withColumn("ok", ok).groupBy("conv_id").agg(F.count("*").alias("turns"), F.every("ok").alias("valid"))
 
 
-@query("with recursive n(a, b) as (values (0, 1), (1, 2), (2, 3), (4, 5)), r(a, b) as (select a, b from n union select r.a, n.b from r join n on r.b = n.a) select a, b from r")
+_TREE = "t as (select o_orderkey as src, 1000000000 + o_custkey as dst from orders union select 1000000000 + c_custkey, 2000000000 + c_nationkey from customer union select 2000000000 + n_nationkey, 3000000000 + n_regionkey from nation)"
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(src, dst): orders to customers to nations to regions."""
+    far = 1_000_000_000
+    step = lambda t, a, b, k: table(spark, sf_dir, t).select((F.col(a).cast("long") + k * far).alias("src"), (F.col(b).cast("long") + (k + 1) * far).alias("dst"))
+    return step("orders", "o_orderkey", "o_custkey", 0).unionByName(step("customer", "c_custkey", "c_nationkey", 1)).unionByName(step("nation", "n_nationkey", "n_regionkey", 2))
+
+
+@query(f"with recursive {_TREE}, r as (select src, dst from t union select r.src, t.dst from r join t on r.dst = t.src) select dst, count(*) as reached_by, sum(src)::bigint as of from r group by dst")
 def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Everything that every point of a small graph reaches, by a bounded recursive query."""
-    spark.createDataFrame([(0, 1), (1, 2), (2, 3), (4, 5)], "a int, b int").createOrReplaceTempView("closure_edges")
-    return spark.sql("with recursive r(a, b, n) as (select a, b, 1 from closure_edges union all select r.a, e.b, r.n + 1 from r join closure_edges e on r.b = e.a where r.n < 6) select distinct a, b from r")
+    """From how many nodes each node is reached, over all pairs of the closure."""
+    return fixpoint.closure(_tree(spark, sf_dir)).groupBy("dst").agg(F.count("*").alias("reached_by"), F.sum("src").alias("of"))
 
 
 @query("select cast(l_suppkey as bigint) as id, max(l_quantity) as best from lineitem group by 1")
@@ -257,14 +268,148 @@ def thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy(F.col("l_suppkey").alias("id")).agg(sampling.threshold(x, "l_quantity").alias("best"))
 
 
-@query()
+_BREAKTHROUGH = """
+c as (select x, y, (y * 3 + x) as i from generate_series(0, 2) a(x), generate_series(0, 3) b(y)),
+m as (select s, 1::bigint << f.i as f, 1::bigint << t.i as t, f.x <> t.x as diagonal from c f join c t on abs(f.x - t.x) <= 1 join (values (0, 1), (1, -1)) d(s, step) on t.y = f.y + d.step)"""
+
+
+@query(f"""
+with recursive {_BREAKTHROUGH},
+r(game, ply, a, b, s) as (
+  select g, 0, 63::bigint, 63::bigint << 6, 0 from generate_series(0, 49) t(g) union all
+  select game, ply + 1, na, nb, 1 - s from (
+    select *, row_number() over (partition by game order by ((((na | (nb << 12) | ((1 - s)::bigint << 24)) * 48271 + game * 69621 + ((ply + 1) * 16807 + 40014)) % 2147483647) * 48271) % 2147483647, na | (nb << 12) | ((1 - s)::bigint << 24)) as k
+    from (select game, ply, r.s as s, case when r.s = 0 then (a - f) | t else a & ~t end as na, case when r.s = 1 then (b - f) | t else b & ~t end as nb
+      from r join m on m.s = r.s and ((case when r.s = 0 then a else b end) & f) <> 0 and ((case when r.s = 0 then a else b end) & t) = 0 and (diagonal or ((case when r.s = 0 then b else a end) & t) = 0)
+      where not (case when r.s = 0 then (b & 7) <> 0 or a = 0 else (a & (7 << 9)) <> 0 or b = 0 end))) where k = 1)
+select game, ply, a | (b << 12) | (s::bigint << 24) as id from r
+""")
 def random_playouts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fifty games of breakthrough on 3 x 4; rows only, as the hash has no twin in SQL."""
+    """Fifty games of breakthrough on 3 x 4."""
     return sampling.playouts(spark, native.breakthrough(3, 4), 50, seed=1)
 
 
-@query("select * from (values (0, 1::bigint), (1, 2), (2, 2)) t(depth, states)")
+@query("select 50::bigint as games, 50::bigint as whole, 25::bigint as spoilt")
+def replay_games(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty playouts played again under the rules: all are legal, and none of those of which
+    every other one had a state changed."""
+    game = native.breakthrough(3, 4)
+    log = cut(sampling.playouts(spark, game, 50, seed=1))
+    spoil = log.withColumn("id", F.when((F.col("ply") == 2) & (F.col("game") % 2 == 0), F.col("id").bitwiseXOR(F.lit(1).cast("long"))).otherwise(F.col("id")))
+    whole = replay(game, log).groupBy("game").agg(F.every("legal").alias("ok"))
+    bad = replay(game, spoil).groupBy("game").agg(F.every("legal").alias("still"))
+    return whole.join(bad, "game").agg(F.count("*").alias("games"), F.count_if("ok").alias("whole"), F.count_if(~F.col("still")).alias("spoilt"))
+
+
+_EVENT_GRAPH = "size as (select count(*) as n from events), g as (select distinct event_id as src, (7 * event_id + k * (event_id % 11) + k) % size.n as dst from events, (values (1), (2)) k(k), size where event_type <> 'purchase')"
+
+
+@query(f"with {_EVENT_GRAPH}, a as (select distinct dst as id from g where src = 1 and dst <> 1), b as (select distinct dst as id from g where src in (select id from a) and dst <> 1 and dst not in (select id from a)) select 0 as depth, 1::bigint as states union all select 1, count(*) from a having count(*) > 0 union all select 2, count(*) from b having count(*) > 0")
 def reach_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reachability stopped after two steps."""
-    e = spark.createDataFrame([(0, 1), (0, 2), (1, 3), (2, 4), (3, 5), (4, 0)], "src long, dst long")
-    return fixpoint.reach(e, spark.range(1), 2).groupBy("depth").agg(F.count("*").alias("states"))
+    """Reachability over the events stopped after two steps."""
+    return fixpoint.reach(event_edges(spark, sf_dir), spark.range(1, 2), 2).groupBy("depth").agg(F.count("*").alias("states"))
+
+
+@query("select 3267310::bigint as states, -1 as root_value")
+def game_breakthrough_4x4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The published number of states, and that the second player wins."""
+    return summary(spark, native.breakthrough(4, 4)).select("states", "root_value")
+
+
+@query("with recursive s(k, m) as (select 0, 0 union all select k + 1, m | (1 << c) from s, generate_series(0, 8) t(c) where k < 4 and (m >> c) = 0) select m::bigint as mask, row_number() over (order by list_transform(range(9), lambda i: 1 - ((m >> i::int) & 1))) - 1 as rank from s where k = 4")
+def subset_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexicographic ranks of the four-subsets of nine cells."""
+    masks = spark.range(512).where("bit_count(id) = 4").select(F.col("id").alias("mask"))
+    return masks.select("mask", ranking.subset_rank_lex(bits.cells("mask", 9), 9, 4).alias("rank"))
+
+
+@query("select m as mask, b as block, row_number() over (partition by b order by m) - 1 as rank from generate_series(0, 511) t(m), generate_series(0, 511, 73) u(b) where bit_count(m) = 3 and m & b = 0")
+def restricted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks of three-subsets of the cells outside a block, for some blocks."""
+    blocks = spark.range(0, 512, 73).select(F.col("id").alias("block"))
+    masks = spark.range(512).where("bit_count(id) = 3").select(F.col("id").alias("mask"))
+    rows = masks.join(F.broadcast(blocks), F.col("mask").bitwiseAND(F.col("block")) == 0)
+    return rows.select("mask", "block", ranking.restricted_rank(bits.cells("mask", 9), "block", 9, 3).alias("rank"))
+
+
+@query("select o_orderkey, case when o_totalprice > 100000 then row_number() over (partition by o_totalprice > 100000 order by o_orderkey) - 1 end as id from orders")
+def selection_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers of the orders of a selection, null for those outside."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
+    return ranking.selection_ids(o, F.col("o_totalprice") > 100000, ["o_orderkey"]).select("o_orderkey", "id")
+
+
+@query("select i as cell, chr((65 + i % 8)::int) || (i // 8 + 1) as name, i as again from generate_series(0, 63) t(i)")
+def cell_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.range(64).select(F.col("id").alias("cell")).withColumn("name", bits.cell_name("cell", 8))
+    return c.select("cell", "name", bits.cell_of_name("name", 8).cast("long").alias("again"))
+
+
+@query("select o_orderkey as id, case when o_orderkey % 2 = 0 then o_custkey % 3 - 1 else 1 - o_custkey % 3 end as first, 1 - o_custkey % 3 as other from orders")
+def side_swap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values from the first player's and from the other side's view."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.pmod("o_custkey", F.lit(3)) - 1).alias("value"))
+    return o.select("id", bits.first_player_view("value", "id").alias("first"), bits.swap_sides("value").alias("other"))
+
+
+@query("select count(*) as keys, 8::bigint as parts, 0::bigint as moved, true as even from (select distinct o_orderkey from orders)")
+def hash_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Partition numbers depend on the key alone, and spread the keys."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"))
+    both = o.unionByName(o.orderBy(F.desc("key"))).withColumn("part", bits.part_of("key", 8))
+    by_key = both.groupBy("key").agg(F.min("part").alias("part"), F.max("part").alias("most"))
+    parts = by_key.groupBy("part").agg(F.count("*").alias("n"), F.count_if(F.col("part") != F.col("most")).alias("moved"))
+    return parts.agg(F.sum("n").alias("keys"), F.count("*").alias("parts"), F.sum("moved").alias("moved"), (F.max("n") < 2 * F.min("n")).alias("even"))
+
+
+@query("""
+with p as (select i % 3 as x, i // 3 as y from generate_series(0, 8) t(i)),
+s as (select a.x as x1, a.y as y1, b.x as x2, b.y as y2, (a.y * 3 + a.x) * 9 + b.y * 3 + b.x as id from p a, p b where (a.x, a.y) < (b.x, b.y))
+select count(*) as pairs, count(*) filter (
+  sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0
+  and sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0) as crossing
+from s a join s b on a.id < b.id
+""")
+def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many pairs of links between the points of a 3 x 3 board cross."""
+    p = spark.range(9).select(F.pmod("id", F.lit(3)).alias("x"), F.floor(F.col("id") / 3).alias("y"))
+    ends = p.select(F.col("x").alias("x1"), F.col("y").alias("y1")).join(p.select(F.col("x").alias("x2"), F.col("y").alias("y2")), F.struct("x1", "y1") < F.struct("x2", "y2"))
+    links = ends.withColumn("id", (F.col("y1") * 3 + F.col("x1")) * 9 + F.col("y2") * 3 + F.col("x2"))
+    a, b = links.alias("a"), links.alias("b")
+    of = lambda k: tuple(F.col(f"{k}.{c}") for c in ("x1", "y1", "x2", "y2"))
+    return a.join(b, F.col("a.id") < F.col("b.id")).agg(F.count("*").alias("pairs"), F.count_if(bits.crossing(of("a"), of("b"))).alias("crossing"))
+
+
+@query("select 8 as square, 4 as oblong, 16 as wheel")
+def board_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the symmetry groups of 3 x 3 and 3 x 2 grids, and of eight points around one,
+    found from their edges."""
+    def grid(w: int, h: int) -> int:
+        e = [(y * w + x, y * w + x + 1) for y in range(h) for x in range(w - 1)] + [(y * w + x, y * w + x + w) for y in range(h - 1) for x in range(w)]
+        return len(automorphisms(w * h, e))
+
+    wheel = len(automorphisms(9, [(i, (i + 1) % 8) for i in range(8)] + [(i, 8) for i in range(8)]))
+    return spark.createDataFrame([(grid(3, 3), grid(3, 2), wheel)], "square int, oblong int, wheel int")
+
+
+@query("with b as (select i as block, list_reduce(list_prepend(0::bigint, list_transform(range(9), lambda j: ((i >> j::int) & 1)::bigint)), lambda a, x: a * 2 + x) as mirror from generate_series(0, 511) t(i)) select count(*) as kept, sum(case when block = mirror then 1 else 2 end)::bigint as weight, 512::bigint as blocks from b where block <= mirror")
+def mirror_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks under a mirror: one of each pair is kept, and the weights add up to all."""
+    b = spark.range(512).select(F.col("id").alias("block")).withColumn("mirror", bits.permute("block", list(range(8, -1, -1))))
+    kept = b.withColumn("weight", mirror_weight("block", "mirror")).where("weight is not null")
+    return kept.agg(F.count("*").alias("kept"), F.sum("weight").alias("weight")).withColumn("blocks", F.lit(512).cast("long"))
+
+
+@query("select l_suppkey, l_partkey, place from (select l_suppkey, l_partkey, cast(row_number() over (partition by l_suppkey order by q desc, l_partkey) as int) as place from (select l_suppkey, l_partkey, max(l_quantity) as q from lineitem group by all)) where place <= 3")
+def move_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three best of every supplier's parts by quantity, ties by the smaller part."""
+    m = table(spark, sf_dir, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.max("l_quantity").alias("q"))
+    return folds.ordered_moves(m, "l_suppkey", "q", "l_partkey").where("place <= 3").select("l_suppkey", "l_partkey", "place")
+
+
+@query("select not exists (from ((select l_partkey from lineitem except all select l_partkey from lineitem))) as same, false as other")
+def multiset_same(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table against itself in another order, and against itself without its repeats."""
+    x = table(spark, sf_dir, "lineitem").select("l_partkey")
+    same, other = tables.multiset_equal(x, x.orderBy("l_partkey")), tables.multiset_equal(x, x.distinct())
+    return spark.createDataFrame([(same, other)], "same boolean, other boolean")

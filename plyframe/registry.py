@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from plyframe import queries
+from plyframe import io_queries, queries
 from plyframe.games import queries as games
 
 QUERIES, ORACLES = dict(queries.QUERIES), dict(queries.ORACLES)
 
-__all__ = ["ORACLES", "QUERIES", "games"]
+__all__ = ["ORACLES", "QUERIES", "games", "io_queries"]

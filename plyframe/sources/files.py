@@ -215,12 +215,12 @@ def read_calibration(spark: SparkSession, uri: str) -> DataFrame:
     return spark.read.csv(uri, sep="\t", header=True, schema=kinds).where("result is not null and nodes is not null")
 
 
-def read_game_logs(spark: SparkSession, uri: str) -> DataFrame:
+def read_game_logs(spark: SparkSession, uri: str, lines: bool = False) -> DataFrame:
     """(file, winner, n, board, turn, passive, aggressive): one row a turn of JSON logs with
-    ordered turns and a board before each."""
+    ordered turns and a board before each; a game a file, or a line."""
     step = "struct<origin: struct<x: int, y: int>, heading: struct<x: int, y: int>>"
     kinds = f"game_states array<struct<board: string, turn: string>>, turns array<struct<passive: {step}, aggressive: {step}>>, winner string"
-    games = spark.read.schema(kinds).json(uri, multiLine=True).withColumn("file", F.input_file_name())
+    games = spark.read.schema(kinds).json(uri, multiLine=not lines).withColumn("file", F.input_file_name())
     return games.select("file", "winner", F.posexplode(F.arrays_zip("game_states", "turns")).alias("n", "z")).where("z.turns is not null").select("file", "winner", "n", "z.game_states.board", "z.game_states.turn", "z.turns.passive", "z.turns.aggressive")
 
 
@@ -260,3 +260,30 @@ def read_book_archive(spark: SparkSession, uri: str) -> DataFrame:
 
     files = spark.read.format("binaryFile").load(uri).select("content")
     return files.mapInPandas(read, "board string, next string, best_wl double, best_ss double, visits long, n_moves int")
+
+
+def read_layers(spark: SparkSession, path: str, layers: list[int], by: str = "layer") -> DataFrame:
+    """Rows of some layers of a table written by layer; folders of others are not opened."""
+    return spark.read.parquet(path).where(F.col(by).isin(layers))
+
+
+def read_sections(spark: SparkSession, path: str) -> DataFrame:
+    """(section, block, data) of the sections written by write_sections, each block checked
+    against its checksum."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for d in batches:
+            for name, content in zip(d["path"], d["content"]):
+                section = int(re.search(r"section-(\d+)\.z$", name)[1])
+                (blocks,) = struct.unpack_from("<Q", content)
+                at = 8 + 20 * blocks
+                for k in range(blocks):
+                    block, packed, size, crc = struct.unpack_from("<QIII", content, 8 + 20 * k)
+                    data = zlib.decompress(content[at : at + packed])
+                    if len(data) != size or zlib.crc32(data) != crc:
+                        raise ValueError(f"block {block} of section {section} is damaged")
+                    yield pd.DataFrame({"section": [section], "block": [block], "data": [data]})
+                    at += packed
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "section-*.z").load(path).select("path", "content")
+    return files.mapInPandas(read, "section long, block long, data binary")

@@ -7,6 +7,7 @@ from __future__ import annotations
 import json
 import struct
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -135,3 +136,43 @@ def manifest(spark, path: str) -> DataFrame:
     """(line): checksum and name of every file below path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     return files.select(F.concat(F.sha2("content", 256), F.lit("  "), F.element_at(F.split("path", "/"), -1)).alias("line"))
+
+
+def sections_done(spark, path: str) -> set[int]:
+    """The sections that are whole: files get their names when they are."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    names = [x.base_name for x in store.get_file_info(fs.FileSelector(at, allow_not_found=True))]
+    return {int(x[8:-2]) for x in names if x.startswith("section-") and x.endswith(".z")}
+
+
+def write_sections(df: DataFrame, path: str) -> DataFrame:
+    """Compress (section, block, data) into one file a section below path; gives (section,
+    blocks, bytes) of those that were written. The restart cursor is the set of sections that
+    are there: an interrupted run goes on with the others. A section is one task's, a block
+    is held in memory, and a file is named when it is whole."""
+    done = sorted(sections_done(df.sparkSession, path))
+    todo = df.where(~F.col("section").isin(done)) if done else df
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        section, table, body = None, [], []
+
+        def close():
+            _put(f"{path}/section-{section:08d}.z", [struct.pack("<Q", len(table)), *(struct.pack("<QIII", *t) for t in table), *body])
+            return pd.DataFrame({"section": [section], "blocks": [len(table)], "bytes": [sum(map(len, body))]})
+
+        for d in batches:
+            for s, block, data in zip(d["section"].tolist(), d["block"].tolist(), d["data"]):
+                if s != section:
+                    if section is not None:
+                        yield close()
+                    section, table, body = s, [], []
+                packed = zlib.compress(data)
+                table.append((block, len(packed), len(data), zlib.crc32(data)))
+                body.append(packed)
+        if section is not None:
+            yield close()
+
+    rows = todo.select("section", "block", "data").repartition("section").sortWithinPartitions("section", "block")
+    return rows.mapInPandas(pack, "section long, blocks long, bytes long")

@@ -112,3 +112,24 @@ def test_layers_text_reach_manifest(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "x.bin").write_bytes(b"abc")
     assert sinks.manifest(spark, f"{tmp_path}/m").first().line.startswith("ba7816bf") and sinks.manifest(spark, f"{tmp_path}/m").first().line.endswith("  x.bin")
+
+
+def test_sections_go_on_where_they_stopped(spark, tmp_path):
+    rows = [(s, b, bytes([s, b] * 50)) for s in (1, 2, 7) for b in (0, 3)]
+    df = spark.createDataFrame(rows, "section long, block long, data binary")
+    uri = f"{tmp_path}/s"
+    assert sinks.sections_done(spark, uri) == set()
+    assert {r.section for r in sinks.write_sections(df.where("section < 5"), uri).collect()} == {1, 2}
+    assert [tuple(r)[:2] for r in sinks.write_sections(df, uri).collect()] == [(7, 2)]
+    assert sorted((r.section, r.block, bytes(r.data)) for r in files.read_sections(spark, uri).collect()) == rows
+    (tmp_path / "s" / "section-00000002.z").write_bytes(b"\1" + (tmp_path / "s" / "section-00000002.z").read_bytes()[1:-1] + b"x")
+    with pytest.raises(Exception):
+        files.read_sections(spark, uri).collect()
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from plyframe import persist
+
+    persist.clear(spark)
+    df = persist.stored(spark.range(5))
+    assert df.count() == 5 and persist.clear(spark) == 1 and persist.clear(spark) == 0
