@@ -70,10 +70,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if e.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
 
         def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(batches, pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-            ends = np.concatenate([t.column(0).to_numpy(), t.column(1).to_numpy()])
-            nodes, at = np.unique(ends, return_inverse=True)
-            low = connected(len(nodes), at[: t.num_rows], at[t.num_rows :])
+            whole = list(batches)
+            u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *(x.column(i).to_numpy() for x in whole)]) for i in range(2))
+            nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+            low = connected(len(nodes), at[: len(u)], at[len(u) :])
             yield pa.RecordBatch.from_pydict({"node": nodes, "root": nodes[low]})
 
         return e.coalesce(1).mapInArrow(join_up, "node long, root long")

@@ -13,9 +13,10 @@ only for the pairs that pass.
 Members of a component need not all be compared. The texts of a key are first compared with
 the one among them that shares most keys with others, then with the first such one that is
 not connected to it; then only pairs that are not connected yet are. So a large group of near
-copies costs a few comparisons a text, and no link between components is lost. Where a key
-still has many such pairs, its texts are dealt out in tiles, whose sketches are compared
-inside a task, so only pairs that may be similar are written out.
+copies costs a few comparisons a text, and no link between components is lost. The texts of
+keys that still have many such pairs are brought together by the component of the text that
+they were compared with, and dealt out in tiles, whose sketches are compared inside a task, so
+only pairs that may be similar are written out, and once.
 """
 
 from __future__ import annotations
@@ -178,9 +179,10 @@ def _tile(rows: pa.Table) -> list[tuple[int, int]]:
 
 
 def _tiled(crowd: DataFrame) -> DataFrame:
-    """(a, b): of (key, t, n, root, sketch), the pairs of a key in different roots whose
-    sketches allow them to be similar. A tile holds two blocks of about ``BLOCK`` texts."""
-    by = ["key", "ti", "tj"]
+    """(a, b): of distinct (crowd, t, n, root, sketch), the pairs of a crowd in different roots
+    whose sketches allow them to be similar, each once. A tile holds two blocks of about
+    ``BLOCK`` texts."""
+    by = ["crowd", "ti", "tj"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _groups(batches, by):
@@ -188,16 +190,16 @@ def _tiled(crowd: DataFrame) -> DataFrame:
             if pairs:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([x for x, _ in pairs], pa.int64()), "b": pa.array([x for _, x in pairs], pa.int64())})
 
-    sizes = crowd.groupBy("key").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks"))
+    sizes = crowd.groupBy("crowd").agg(F.expr(f"int(ceil(count(*) / {BLOCK}))").alias("blocks"))
     tiles = (
-        crowd.join(sizes, "key")
+        crowd.join(sizes, "crowd")
         .withColumn("block", F.expr("int(pmod(xxhash64(t), blocks))"))
         .withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("key", F.least("block", "with").alias("ti"), F.greatest("block", "with").alias("tj"), F.expr("int(block > with)").alias("side"), "t", "n", "root", "sketch")
+        .select("crowd", F.least("block", "with").alias("ti"), F.greatest("block", "with").alias("tj"), F.expr("int(block > with)").alias("side"), "t", "n", "root", "sketch")
         .repartition(*by)
         .sortWithinPartitions(*by)
     )
-    return tiles.mapInArrow(compare, "a long, b long").distinct()
+    return tiles.mapInArrow(compare, "a long, b long")
 
 
 def links(marks: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
@@ -241,15 +243,18 @@ def links(marks: DataFrame, texts: DataFrame, known: DataFrame) -> DataFrame:
     again = again.withColumn("lead", lead).drop("a")
     grown(pairs_of(star(again, F.col("root") == F.col("lead"))))
 
-    rest = named(shared)
+    roots = few(cut(components(found)))
+    of = lambda rows, t, root: rows.join(roots.select(F.col("node").alias(t), F.col("root").alias(root)), t, "left").withColumn(root, F.coalesce(root, t))
+    rest = of(first.select("key", "t", "n", "pos", "a"), "t", "root")
     mixed = rest.groupBy("key", "root").agg(F.count("*").alias("k")).groupBy("key").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("own")).where("m * m > own")
     mixed = cut(mixed.select("key", F.expr(f"(m * m - own) / 2 > {CROWDED} * m").alias("crowded")))
-    rest = stored(rest.join(mixed, "key").select("key", "t", "n", "pos", "root", "crowded"))
+    rest = stored(rest.join(mixed, "key").select("key", "t", "n", "pos", "root", "a", "crowded"))
     loose = rest.where("not crowded")
     second = loose.select("key", F.col("t").alias("b"), F.col("n").alias("n0"), F.col("pos").alias("pos0"), F.col("root").alias("root0"))
     ahead = f"root < root0 and {fits} and 9 * least(n - pos, n0 - pos0) >= 4 * (n + n0)"
     pairs = loose.join(second, "key").where(ahead).select(F.least("t", "b").alias("a"), F.greatest("t", "b").alias("b"))
-    crowd = stored(rest.where("crowded").select("key", "t", "n", "root"))
+    # the keys of near copies mostly have one text in their middle: one crowd, compared once
+    crowd = stored(of(rest.where("crowded"), "a", "crowd").select("crowd", "t", "n", "root").distinct())
     sketches = stored(marks.join(few(cut(crowd.select("t").distinct())), "t", "left_semi").select("t", "sketch").dropDuplicates(["t"]))
     grown(pairs.unionByName(_tiled(crowd.join(sketches, "t"))))
     return found
