@@ -51,26 +51,68 @@ def _chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
         yield lo, len(texts)
 
 
+def _pieces(text: bytes) -> Iterator[tuple[bytes, ByteWords, int, int, int]]:
+    """A long text in stretches of about ``CHUNK`` bytes, cut between words: bytes, words, the
+    number of the first word in the text, and the words of the stretch that are its own. Around
+    each of those there are WINDOW - 1 words on either side, where the text has them."""
+    lo = number = own = 0
+    while True:
+        hi = lo + CHUNK
+        while hi < len(text) and IS_WORD[LOWER[text[hi]]]:
+            hi += 1
+        data = text[lo:hi].translate(LOWER)
+        words = ByteWords(data, IS_WORD)
+        n = len(words.start)
+        last = hi >= len(text)
+        if not last and n < 4 * WINDOW:  # hardly a word in so many bytes: read on
+            hi = len(text)
+            data = text[lo:].translate(LOWER)
+            words, last = ByteWords(data, IS_WORD), True
+            n = len(words.start)
+        upto = n if last else n - (WINDOW - 1)
+        yield data, words, number, own, upto
+        if last:
+            return
+        back = n - 2 * (WINDOW - 1)
+        lo, number, own = lo + int(words.start[back]), number + back, WINDOW - 1
+
+
 def _encoded(texts) -> list[bytes]:
     return [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
 
 
+def _passing(words: ByteWords, widths: list[int], bitmap: np.ndarray):
+    """(width, word, hash) of the shingles that pass the bitmap."""
+    for w in widths:
+        h = shingle_hashes(words.hash, w)
+        slot = h & ((1 << FILTER_BITS) - 1)
+        ok = np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
+        yield w, ok, h[ok]
+
+
 def _scan(texts: list[bytes], widths: list[int], bitmap: np.ndarray):
-    """For each chunk: its words, the row of each word, and the (width, word, hash) of
-    shingles that pass the bitmap."""
+    """Of some texts at a time: the first of them, their bytes and words, the text of each word
+    counted from the first, the number in the text of each text's first word here, how many
+    words of each are counted here, and the (width, word, hash) of shingles that pass the
+    bitmap, each once."""
     for lo, hi in _chunks(texts):
+        if hi - lo == 1 and len(texts[lo]) > 2 * CHUNK:
+            for data, words, number, own, upto in _pieces(texts[lo]):
+                found = []
+                for w, at, h in _passing(words, widths, bitmap):
+                    keep = (at >= own) & (at < upto)
+                    found.append((w, at[keep], h[keep]))
+                yield lo, data, words, np.zeros(len(words.start), dtype=np.int64), [number], [upto - own], found
+            continue
         data = b"\0".join(t.translate(LOWER) for t in texts[lo:hi])
         words = ByteWords(data, IS_WORD)
         edge = np.cumsum([0] + [len(t) + 1 for t in texts[lo:hi]])
         row = np.searchsorted(edge, words.start, side="right") - 1
         found = []
-        for w in widths:
-            h = shingle_hashes(words.hash, w)
-            slot = h & ((1 << FILTER_BITS) - 1)
-            ok = np.flatnonzero((bitmap[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1)
-            ok = ok[row[ok] == row[ok + w - 1]]
-            found.append((w, ok, h[ok]))
-        yield lo, hi, data, words, row, found
+        for w, at, h in _passing(words, widths, bitmap):
+            same = row[at] == row[at + w - 1]
+            found.append((w, at[same], h[same]))
+        yield lo, data, words, row, [0] * (hi - lo), np.bincount(row, minlength=hi - lo).tolist(), found
 
 
 def item_windows(items: DataFrame) -> DataFrame:
@@ -112,8 +154,10 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, text_hash, n_words, n_hit, n_items,
     items_sha256, contaminated. Items without an id are ignored. A null or wordless text
     has no hits; a repeated row gets the same result each time; rows that share an id but
-    not the text count apart. Empty tables give no rows, or rows without hits. Extra
-    columns are left out, whatever their names.
+    not the text count apart. A very long text is read in stretches, so it takes some forty
+    times ``CHUNK`` bytes besides its own; of shingles that are equally rare the smallest
+    hash is taken. Empty tables give no rows, or rows without hits. Extra columns are left
+    out, whatever their names.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("text_hash"))
@@ -125,7 +169,7 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             for *_, found in _scan([t or b"" for t in d["text"]], widths, bits.value):
-                for _, _, h in found:
+                for *_, h in found:
                     token, n = np.unique(h, return_counts=True)
                     yield pd.DataFrame({"token": token, "n": n})
 
@@ -143,19 +187,21 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             texts = [t or b"" for t in d["text"]]
-            for lo, hi, data, words, row, found in _scan(texts, widths, chosen.value):
-                total = np.bincount(row, minlength=hi - lo)
-                first = np.concatenate(([0], np.cumsum(total)[:-1]))
-                hits: list[list] = [[] for _ in range(hi - lo)]
+            n_words = [0] * len(texts)
+            hits: list[list] = [[] for _ in texts]
+            for lo, data, words, row, number, counted, found in _scan(texts, widths, chosen.value):
+                total = np.bincount(row, minlength=len(number))
+                first = np.cumsum(total) - total
+                for k, n in enumerate(counted):
+                    n_words[lo + k] += n
                 for _, at, h in found:
                     for i, token in zip(at.tolist(), h.tolist()):
                         r = row[i]
                         a = max(first[r], i - (WINDOW - 1))
                         b = min(first[r] + total[r], i + WINDOW)
                         around = [data[x:y].decode("utf-8", "surrogatepass") for x, y in zip(words.start[a:b], words.end[a:b])]
-                        hits[r].append({"token": token, "q": int(i - first[r]), "before": int(i - a), "around": around})
-                part = d.iloc[lo:hi]
-                yield pd.DataFrame({"doc_id": part["doc_id"].astype("Int64"), "text_hash": part["text_hash"], "n_words": total, "hits": hits})
+                        hits[lo + r].append({"token": token, "q": int(i - first[r]) + number[r], "before": int(i - a), "around": around})
+            yield pd.DataFrame({"doc_id": d["doc_id"].astype("Int64"), "text_hash": d["text_hash"], "n_words": n_words, "hits": hits})
 
     marked = cut(docs.mapInPandas(places, "doc_id long, text_hash long, n_words long, hits array<struct<token:long,q:int,before:int,around:array<string>>>"))
     hits = marked.select("doc_id", "text_hash", "n_words", F.explode("hits").alias("h")).select("doc_id", "text_hash", "n_words", "h.*")

@@ -309,6 +309,43 @@ def test_decontamination_against_brute_force(spark):
     assert sorted((x.doc_id for x in left.collect()), key=str) == sorted((i for i, _, n, _ in plain_decontaminate(docs, items) if not n), key=str)
 
 
+def test_long_texts_in_stretches(spark, monkeypatch):
+    """The same result where stretches are short; a word that never ends is read whole."""
+    r = random.Random(12)
+    items = [(i, prose(r, n)) for i, n in enumerate((12, 30, 10, 4, 25))]
+    docs = [(0, "x" * 5000)]
+    for i in range(1, 12):
+        parts = []
+        for _ in range(r.randint(5, 30)):
+            parts += [prose(r, r.randint(1, 40)), r.choice(items)[1]]
+        docs.append((i, " ".join(parts)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = plain_decontaminate(docs, items)
+    assert sum(n for _, _, n, _ in want) > 500
+    monkeypatch.setattr(decontaminate, "CHUNK", 300)
+    bytes_ = [t.encode() for _, t in docs]
+    widths, everything = [5], np.full((1 << decontaminate.FILTER_BITS) // 8 + 4096, 255, dtype=np.uint8)
+    counted = [0] * len(docs)
+    for lo, _, _, _, _, n, found in decontaminate._scan(bytes_, widths, everything):
+        for k, x in enumerate(n):
+            counted[lo + k] += x
+    assert counted == [len(plain_words(t)) for _, t in docs]
+    places = [set() for _ in docs]
+    for lo, data, words, row, number, _, found in decontaminate._scan(bytes_, widths, everything):
+        total = np.bincount(row, minlength=len(number))
+        for _, at, _ in found:
+            for i in at.tolist():
+                q = i - int((np.cumsum(total) - total)[row[i]]) + number[row[i]]
+                assert q not in places[lo + row[i]]
+                places[lo + row[i]].add(q)
+    assert [len(p) for p in places] == [max(0, n - 4) for n in counted]
+    for text in bytes_[1:]:
+        for data, words, number, own, upto in decontaminate._pieces(text):
+            n = len(words.start)
+            assert (number == 0 and own == 0) or own == decontaminate.WINDOW - 1
+            assert upto == n or n - upto == decontaminate.WINDOW - 1
+
+
 def test_decontamination_of_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(x.n_words, x.contaminated) for x in decontaminate.decontaminate(table(spark, [(1, "a b")]), none).collect()] == [(2, False)]
