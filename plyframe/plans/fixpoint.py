@@ -24,10 +24,10 @@ BESIDE = 8
 
 
 def _dealt(df: DataFrame) -> DataFrame:
-    """df, written once and dealt out by the column ``id`` that every pass joins on, so a
-    pass moves its frontier and not this table."""
+    """df, written once, dealt out and sorted by the column ``id`` that every pass joins on, so
+    a pass moves and sorts its frontier and not this table."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartition(n, "id"))
+    return cut(df.repartition(n, "id").sortWithinPartitions("id"))
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
