@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from plyframe.persist import cut, shared_dir, stored
 
-__all__ = ["ByteWords", "LOWER", "components", "connected", "cut", "few", "mix64", "powers", "shared_dir", "stored", "table"]
+__all__ = ["ByteWords", "LOWER", "components", "connected", "cut", "few", "mix64", "powers", "shared_dir", "stored", "table", "texts_together"]
 
 #: A-Z to a-z on UTF-8 bytes; every other byte stays.
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -21,6 +22,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: rows of whole texts that go to Python together
+TEXTS = 500
+
+
+@contextmanager
+def texts_together(spark: SparkSession) -> Iterator[None]:
+    """While rows of whole texts are written through Python: batches of ``TEXTS`` rows, since
+    a batch is held on both sides of the pipe."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(TEXTS, int(before)) if int(before) > 0 else TEXTS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: rows, or cells of arrays, that are broadcast at most; more are joined by a shuffle
 BROADCAST_ROWS = 1 << 17
 

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import LOWER, ByteWords, cut, few, mix64, table
+from plyframe.llm.common import LOWER, ByteWords, cut, few, mix64, table, texts_together
 
 WINDOW = 10
 SHINGLE = 5
@@ -181,7 +181,8 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
         .where("rarest.n > 0")
         .select("item_id", "words", F.size("words").alias("size"), "width", F.col("rarest.token").alias("token"), F.col("rarest.p").alias("p"))
     )
-    prefix = cut(prefix)
+    with texts_together(spark):
+        prefix = cut(prefix)
     chosen = spark.sparkContext.broadcast(_bitmap(prefix.select("token")))
 
     def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,7 +204,8 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
                         hits[lo + r].append({"token": token, "q": int(i - first[r]) + number[r], "before": int(i - a), "around": around})
             yield pd.DataFrame({"doc_id": d["doc_id"].astype("Int64"), "text_hash": d["text_hash"], "n_words": n_words, "hits": hits})
 
-    marked = cut(docs.mapInPandas(places, "doc_id long, text_hash long, n_words long, hits array<struct<token:long,q:int,before:int,around:array<string>>>"))
+    with texts_together(spark):
+        marked = cut(docs.mapInPandas(places, "doc_id long, text_hash long, n_words long, hits array<struct<token:long,q:int,before:int,around:array<string>>>"))
     hits = marked.select("doc_id", "text_hash", "n_words", F.explode("hits").alias("h")).select("doc_id", "text_hash", "n_words", "h.*")
     same = (
         hits.join(prefix, "token")

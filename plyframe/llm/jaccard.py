@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import LOWER, ByteWords, components, cut, few, mix64, stored
+from plyframe.llm.common import LOWER, ByteWords, components, cut, few, mix64, stored, texts_together
 
 WIDTH = 5
 #: texts that are sampled to learn which shingles are frequent, from how many texts on, and
@@ -107,7 +107,8 @@ def frequent(texts: DataFrame) -> np.ndarray:
 
     sample = texts.where(f"pmod(t, {step}) = 0").select("text").mapInArrow(explode, "key long")
     top = sample.groupBy("key").count().where(f"count >= {FREQUENT}").orderBy(F.desc("count"), "key").limit(REMEMBERED)
-    return np.sort(np.array([r.key for r in top.select("key").collect()], dtype=np.int64).view(np.uint64))
+    with texts_together(texts.sparkSession):
+        return np.sort(np.array([r.key for r in top.select("key").collect()], dtype=np.int64).view(np.uint64))
 
 
 def _both(df: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
@@ -145,7 +146,8 @@ def verified(pairs: DataFrame, marks: DataFrame, texts: DataFrame) -> DataFrame:
     a, b = _both(stored(marks.join(few(_ids(pairs)), "t", "left_semi").select("t", "n", "sketch").dropDuplicates(["t"])), "n", "sketch")
     close = cut(pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInPandas(near, "a long, b long"))
     a, b = _both(stored(texts.join(few(_ids(close)), "t", "left_semi").select("t", "text").dropDuplicates(["t"])), "text")
-    return cut(close.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
+    with texts_together(pairs.sparkSession):
+        return cut(close.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b").mapInArrow(check, "a long, b long"))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Table]:

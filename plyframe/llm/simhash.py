@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.llm import jaccard
-from plyframe.llm.common import LOWER, components, cut, few, stored, table
+from plyframe.llm.common import LOWER, components, cut, few, stored, table, texts_together
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -192,7 +192,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     names = docs.columns
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t"), F.col("text").cast("binary").alias("text"))
     texts = rows.select("t", "text")
-    marks = stored(_marks(rows, jaccard.frequent(texts)))
+    late = jaccard.frequent(texts)
+    with texts_together(docs.sparkSession):
+        marks = stored(_marks(rows, late))
     firsts = cut(marks.groupBy("fp").agg(F.min("t").alias("t")))
     equal = marks.select("fp", F.col("t").alias("b")).distinct().join(firsts.select("fp", F.col("t").alias("a")), "fp").where("a <> b").select("a", "b")
     near = links(firsts)
