@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import product
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.functions.bits import lines_of_four
@@ -77,6 +77,15 @@ def breakthrough(w: int, h: int, rows: int = 2) -> Game:
     return Game(f"breakthrough {w}x{h}", (white | black << n,), children, decide, -1)
 
 
+def breakthrough_positions(spark: SparkSession, w: int, h: int, rows: int = 2) -> DataFrame:
+    """(a, b): every placement with pawns on both sides, at most as many as at the start, and
+    none on its far row; with either side to move these are the states of a full table."""
+    n, free = rows * w, (h - 1) * w
+    both = spark.range(1 << 2 * free).select(F.col("id").bitwiseAND(F.lit((1 << free) - 1)).alias("a"), F.shiftleft(F.shiftright("id", free), w).alias("b"))
+    sized = (F.bit_count("a").between(1, n)) & (F.bit_count("b").between(1, n))
+    return both.where((F.col("a").bitwiseAND(F.col("b")) == 0) & sized)
+
+
 def _ray(w: int, h: int, cell: int, dx: int, dy: int) -> list[int]:
     x, y, out = cell % w, cell // w, []
     while 0 <= (x := x + dx) < w and 0 <= (y := y + dy) < h:
