@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plyframe.llm import chat, decontaminate, extract, langid, linededup, mixing, pii, simhash, vectors, warc
+from plyframe.llm import chat, decontaminate, extract, importance, langid, linededup, mixing, negatives, pii, simhash, vectors, warc
 
 QUERIES = {
     "op7_embedding_dedup": vectors.op7_embedding_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op1_decontaminate": decontaminate.op1_decontaminate,
     "op4_simhash": simhash.op4_simhash,
     "op5_chat_format": chat.op5_chat_format,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op13_importance": importance.op13_importance,
 }
 ORACLES = {
     "op7_embedding_dedup": vectors.OP7_SQL,
@@ -22,4 +24,6 @@ ORACLES = {
     "op2_warc": warc.OP2_SQL,
     "op1_decontaminate": decontaminate.OP1_SQL,
     "op5_chat_format": chat.OP5_SQL,
+    "op11_hard_negatives": negatives.OP11_SQL,
+    "op13_importance": importance.OP13_SQL,
 }
