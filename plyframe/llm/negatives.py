@@ -45,8 +45,9 @@ def fit_rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     out = {}
     for dim, v in by.items():
         x = np.asarray(v, dtype=np.float64)
-        x = x / max(1.0, np.abs(x).max())
-        out[dim] = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
+        if dim:
+            x = x / max(1.0, np.abs(x).max())
+            out[dim] = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
     return out
 
 
@@ -54,7 +55,7 @@ class Block:
     """Integer vectors with their rotation and, at each stage, the norms of what is left."""
 
     def __init__(self, packed: list[bytes], dim: int, rotation: np.ndarray | None):
-        self.whole = np.frombuffer(b"".join(packed), dtype="<i4").reshape(-1, dim).astype(np.int64)
+        self.whole = np.frombuffer(b"".join(packed), dtype="<i4").reshape(len(packed), dim).astype(np.int64)
         self.turned = self.whole.astype(np.float64)
         if rotation is not None:
             self.turned = self.turned @ rotation

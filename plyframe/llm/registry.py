@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plyframe.llm import chat, decontaminate, extract, importance, langid, linededup, mixing, negatives, pii, simhash, vectors, warc
+from plyframe.llm import chat, decontaminate, editprints, extract, importance, langid, linededup, mixing, negatives, pii, simhash, vectors, warc
 
 QUERIES = {
     "op7_embedding_dedup": vectors.op7_embedding_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op4_simhash": simhash.op4_simhash,
     "op5_chat_format": chat.op5_chat_format,
     "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_edit_fingerprint": editprints.op12_edit_fingerprint,
     "op13_importance": importance.op13_importance,
 }
 ORACLES = {
