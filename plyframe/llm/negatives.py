@@ -33,6 +33,7 @@ SAMPLE = 4096
 STAGES = (0.125, 0.25, 0.5)
 #: squared norms stay below, so every product fits a LONG and every component 32 bits
 MOST_NORM = float(1 << 62)
+_ANY = np.int64(1 << 62)
 
 
 def fit_rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
@@ -83,7 +84,7 @@ def _first(query: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.
 
 
 def search(a: Block, b: Block, allowed: np.ndarray, low: np.ndarray, high: np.ndarray, ids: np.ndarray, k: int, slack: float):
-    """For each row of a and each of its windows low[:, w] <= score <= high[:, w] (floats, a
+    """For each row of a and each of its windows low[:, w] <= score <= high[:, w] (integers, a
     missing window has low > high) the first k allowed rows of b: (row, window, row of b,
     score), and how many pairs got an integer product. low rises while rows are found."""
     low, (n, windows) = low.copy(), low.shape
@@ -102,7 +103,7 @@ def search(a: Block, b: Block, allowed: np.ndarray, low: np.ndarray, high: np.nd
             most, least = partial + room, partial - room
             wanted = np.zeros_like(alive)
             for w in range(windows):
-                wanted |= (most >= low[:, w : w + 1]) & (least <= high[:, w : w + 1])
+                wanted |= (most >= low[:, w : w + 1].astype(np.float64)) & (least <= high[:, w : w + 1].astype(np.float64))
             alive &= wanted
         i, j = np.nonzero(alive)
         exact += len(i)
@@ -122,8 +123,8 @@ def search(a: Block, b: Block, allowed: np.ndarray, low: np.ndarray, high: np.nd
         query, score = query[best], kept[3]
         # where k rows were found, the last of them is the least score that still matters
         size = np.bincount(query, minlength=n * windows)
-        worst = np.full(n * windows, np.inf)
-        np.minimum.at(worst, query, score.astype(np.float64))
+        worst = np.full(n * windows, _ANY)
+        np.minimum.at(worst, query, score)
         flat = low.reshape(-1)
         full = size >= k
         flat[full] = np.maximum(flat[full], worst[full])
@@ -158,11 +159,11 @@ def _matcher(rotations: dict[int, np.ndarray], k: int, same: bool):
                 mine, own = part["id"].to_numpy(), part["label"].to_numpy()
                 if same:
                     allowed = (own[:, None] == labels[None, :]) & (mine[:, None] != ids[None, :])
-                    low, high = np.full((len(part), 1), -np.inf), np.full((len(part), 1), np.inf)
+                    low, high = np.full((len(part), 1), -_ANY), np.full((len(part), 1), _ANY)
                 else:
                     allowed = own[:, None] != labels[None, :]
                     most = max(map(len, part["highs"]))
-                    low, high = np.full((len(part), most), np.inf), np.full((len(part), most), -np.inf)
+                    low, high = np.full((len(part), most), _ANY), np.full((len(part), most), -_ANY)
                     for r, (lows, highs) in enumerate(zip(part["lows"], part["highs"])):
                         low[r, : len(lows)], high[r, : len(highs)] = lows, highs
                 i, w, j, score, exact = search(Block(list(part["q"]), dim, turn), b, allowed, low, high, ids, k, slack)
@@ -229,7 +230,8 @@ def hard_negatives(rows: DataFrame, is_anchor, positives: int = 5, negatives: in
     anchors = rows.where(is_anchor)
     near = stored(_ranked(_matched(anchors, rows, ["label", "dim"], _matcher(rotations, positives, True)), ["anchor"], positives).select("anchor", "other", "score"))
     # scores s with least * p <= 100 * s <= most * p, as whole numbers
-    windows = near.select("anchor", F.expr(f"-(({-least}L * score - pmod({-least}L * score, 100L)) div 100L)").alias("low"), F.expr(f"({most}L * score - pmod({most}L * score, 100L)) div 100L").alias("high"), "score").where("low <= high")
+    share = lambda f, k: F.expr(f"cast({f}(cast(score as decimal(19, 0)) * {int(k)} / 100) as bigint)")
+    windows = near.select("anchor", share("ceil", least).alias("low"), share("floor", most).alias("high"), "score").where("low <= high")
     asked = windows.groupBy(F.col("anchor").alias("id")).agg(F.array_sort(F.collect_set(F.struct("high", "low"))).alias("w"))
     asked = anchors.join(asked, "id").select("id", "label", "dim", "q", F.col("w.low").alias("lows"), F.col("w.high").alias("highs"))
     found = _matched(asked, rows, ["dim"], _matcher(rotations, negatives, False))
