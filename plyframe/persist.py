@@ -36,7 +36,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _WRITTEN.append((spark.sparkContext.applicationId, path))
+    written(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -44,6 +44,11 @@ def stored(df: DataFrame) -> DataFrame:
 _WRITTEN: list[tuple[str, str]] = []
 
 
+def written(spark: SparkSession, path: str) -> None:
+    """Note a folder of this application for clear()."""
+    _WRITTEN.append((spark.sparkContext.applicationId, path))
+
+
 def clear(spark: SparkSession) -> int:
     """Delete the tables that this application stored, when no result that reads them is
     needed any more. Gives how many there were."""

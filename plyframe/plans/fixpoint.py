@@ -1,109 +1,63 @@
 """Iterative plans: reachability, layered sweeps, attractors. The driver holds a loop and a
-count per pass; every pass is one Catalyst plan over tables in the shared folder, and what a
-pass writes follows its frontier. A graph that was counted and is small is solved in one task
-instead, as a pass costs the same quarter of a second however few states it moves."""
+count per pass. A pass of ``reach`` and ``attractor`` is one step of a journal: one Catalyst plan
+over tables in the shared folder, written and counted by one job, whose output follows the
+frontier. Under a name, a run that was broken off goes on where it stopped."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyframe.persist import cut
+from plyframe.plans.journal import Journal, Step, in_buckets
 
-#: edges and states up to which a graph is small: 32 MB in one task
-SMALL = 1 << 21
-#: stands for no value in arrays
-OPEN = 2
 #: passes whose changes are kept beside the table that they change before they go into it
 BESIDE = 8
 
 
-def _dealt(df: DataFrame) -> DataFrame:
-    """df, written once, dealt out and sorted by the column ``id`` that every pass joins on, so
-    a pass moves and sorts its frontier and not this table."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(df.repartition(n, "id").sortWithinPartitions("id"))
-
-
 def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def _in_one_task(parts: dict[int, DataFrame], f: Callable[[dict[int, tuple[np.ndarray, np.ndarray]]], dict[str, np.ndarray]], schema: str) -> DataFrame:
-    """What f makes of small tables of two LONG columns, given as arrays by their key."""
-    rows = _all([d.toDF("a", "b").select(F.lit(k).alias("k"), F.col("a").cast("long"), F.col("b").cast("long")) for k, d in parts.items()])
-    keys = list(parts)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = list(batches)
-        k, a, b = (np.concatenate([np.zeros(0, dtype=np.int64), *(x.column(i).to_numpy() for x in whole)]) for i in range(3))
-        out = f({x: (a[k == x], b[k == x]) for x in keys})
-        yield pa.RecordBatch.from_pydict(out)
-
-    return cut(rows.coalesce(1).mapInArrow(run, schema))
-
-
-class _Arrows:
-    """Edges by the node that they lead to, or from: nodes are places in ``ids``."""
-
-    def __init__(self, ids: np.ndarray, near: np.ndarray, far: np.ndarray):
-        order = np.argsort(near, kind="stable")
-        self.far = far[order]
-        self.start = np.searchsorted(near[order], np.arange(len(ids) + 1))
+def _after(journal: Journal, table: str) -> tuple[Step | None, list[Step]]:
+    """The last step that wrote ``table`` anew, and the steps since."""
+    at = max((i for i, s in enumerate(journal.steps) if table in s.tables), default=None)
+    return (None, []) if at is None else (journal.steps[at], journal.steps[at + 1 :])
 
-    def of(self, nodes: np.ndarray) -> np.ndarray:
-        """The far ends of all edges at these nodes, repeats included."""
-        size = self.start[nodes + 1] - self.start[nodes]
-        at = np.repeat(self.start[nodes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-        return self.far[at]
 
-
-def _places(ids: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Where in sorted ids each of x is, -1 where it is not."""
-    at = np.minimum(np.searchsorted(ids, x), max(len(ids) - 1, 0))
-    return np.where(ids[at] == x, at, -1) if len(ids) else np.full(len(x), -1)
-
-
-def reach(edges: DataFrame, roots: DataFrame, most: int | None = None) -> DataFrame:
+def reach(edges: DataFrame, roots: DataFrame, most: int | None = None, journal: Journal | None = None) -> DataFrame:
     """(id, depth): what the roots reach, with the least number of steps. Each pass joins
-    the frontier only and takes out what was seen."""
-    front = cut(roots.select("id").distinct().select("id", F.lit(0).alias("depth")))
-    e = cut(edges.select(F.col("src").alias("id"), "dst"))
-    if e.limit(SMALL + 1).count() + front.limit(SMALL + 1).count() <= SMALL:
-
-        def run(rows: dict) -> dict:
-            (src, dst), (first, _) = rows[0], rows[1]
-            ids = np.unique(np.concatenate([src, dst, first]))
-            arrows = _Arrows(ids, np.searchsorted(ids, src), np.searchsorted(ids, dst))
-            depth = np.full(len(ids), -1, dtype=np.int32)
-            now, n = np.searchsorted(ids, first), 0
-            depth[now] = 0
-            while len(now) and (most is None or n < most):
-                n += 1
-                now = np.unique(arrows.of(now))
-                now = now[depth[now] < 0]
-                depth[now] = n
-            return {"id": ids[depth >= 0], "depth": depth[depth >= 0]}
-
-        return _in_one_task({0: e, 1: front}, run, "id long, depth int")
-    e, seen, beside, depth = _dealt(e), _dealt(front), [], 0
-    while most is None or depth < most:
-        depth += 1
-        new = front.join(e, "id").select(F.col("dst").alias("id")).distinct()
-        for x in (seen, *beside):
-            new = new.join(x, "id", "left_anti")
-        front = cut(new.select("id", F.lit(depth).alias("depth")))
-        if front.isEmpty():
+    the frontier only and takes out what was seen. The states seen are kept in buckets of id;
+    the frontiers of the last few passes are beside them. A journal that holds passes of the
+    same run is taken up after the last."""
+    j = journal or Journal(edges.sparkSession)
+    if not j.steps:
+        j.commit({"seen": roots.select("id").distinct().select("id", F.lit(0).alias("depth"))}, {"seen": "id"}, depth=0)
+    e = None
+    while True:
+        base, beside = _after(j, "seen")
+        last = j.steps[-1]
+        name = "front" if "front" in last.tables else "seen"
+        depth, grew = last.notes["depth"], last.tables[name].counts["rows"]
+        if "front" in last.tables and not grew or not base.tables["seen"].counts["rows"] or depth == most:
             break
-        beside.append(front)
-        if len(beside) == BESIDE:
-            seen, beside = _dealt(_all([seen, *beside])), []
-    return _all([seen, *beside])
+        seen, fronts = j.read(base, "seen"), [j.read(s, "front") for s in beside]
+        if len(beside) >= BESIDE:
+            j.commit({"seen": _all([seen, *fronts])}, {"seen": "id"}, depth=depth)
+            j.forget(j.steps[-1].number)
+            continue
+        if e is None:
+            e = in_buckets(edges.select(F.col("src").alias("id"), "dst"), "id")
+        front = fronts[-1] if fronts else seen.where(F.col("depth") == depth)
+        new = front.join(e, "id").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        if fronts:
+            new = new.join(_all(fronts), "id", "left_anti")
+        j.commit({"front": new.select("id", F.lit(depth + 1).alias("depth"))}, depth=depth + 1)
+    base, beside = _after(j, "seen")
+    return _all([j.read(base, "seen"), *(j.read(s, "front") for s in beside)])
 
 
 def layers(root: DataFrame, expand: Callable[[DataFrame], DataFrame], key: list[str], most: int = 1000) -> list[DataFrame]:
@@ -151,76 +105,71 @@ def banded_sweep(states: DataFrame, edges: DataFrame, fold: Column, stuck: int)
     return done
 
 
-def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None, journal: Journal | None = None) -> DataFrame:
     """(id, value, decided_at): win, loss and distance of every node of a cyclic graph.
 
     nodes are (id, value), value null where open; edges (src, dst) are distinct. In a pass
     an open node with a child lost in the pass before is won, and one whose children are
     all won is lost, so decided_at is the distance to the end under best play. What stays
     open has value null: a draw. For every open node the number of children not yet known to
-    be won is kept; a pass joins the last decisions with their parents, and writes what they
-    change: the table of open nodes is written anew every few passes. most ends after so many
-    passes. A node without children that is not decided stays open.
+    be won is kept; a pass joins the last decisions with their parents, and writes the open
+    nodes that they touch. The tables of open and of decided nodes are written anew every few
+    passes, in buckets of id. most ends after so many passes. A node without children that is
+    not decided stays open. A journal that holds passes of the same run is taken up.
     """
-    e = cut(edges.select("src", F.col("dst").alias("id")))
-    nodes = cut(nodes.select("id", F.col("value").cast("int")))
-    done = nodes.where("value is not null").select("id", "value", F.lit(0).alias("decided_at"))
-    open_ = nodes.where("value is null")
-    if e.limit(SMALL + 1).count() + nodes.limit(SMALL + 1).count() <= SMALL:
-        solved = _in_one_task({0: e.select("src", "id"), 1: nodes.select("id", F.coalesce("value", F.lit(OPEN)))}, lambda rows: _attracted(rows, most), "id long, value int, decided_at int")
-        return solved
-    degree = e.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("left"))
-    base = _dealt(open_.select("id").join(degree, "id", "left").select("id", F.coalesce("left", F.lit(0)).alias("left")))
-    e = _dealt(e)
-    front, fronts, counts, n = cut(done), [], [], 0
-    while not front.isEmpty() and (most is None or n < most):
-        n += 1
+    j = journal or Journal(edges.sparkSession)
+    arrows = edges.select("src", F.col("dst").alias("id"))
+    if not j.steps:
+        nodes = nodes.select("id", F.col("value").cast("int"))
+        degree = arrows.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("left"))
+        open_ = nodes.where("value is null").select("id").join(degree, "id", "left").select("id", F.coalesce("left", F.lit(0)).cast("long").alias("left"))
+        done = nodes.where("value is not null").select("id", "value", F.lit(0).alias("decided_at"))
+        j.commit({"done": done, "open": open_}, {"open": "id"}, {"news": F.count(F.lit(1))}, depth=0)
+    e = None
+    while True:
+        base, beside = _after(j, "open")
+        last = j.steps[-1]
+        depth, news = last.notes["depth"], last.tables["moved" if "moved" in last.tables else "done"].counts["news"]
+        if not news or depth == most:
+            break
+        # (id, left, won, value, decided_at): open nodes that a pass touched, with the children
+        # that it found won, decided or still open
+        moved = [j.read(s, "moved") for s in beside]
+        open_, done = j.read(base, "open"), j.read(base, "done")
+        if len(beside) >= BESIDE:
+            rest, decided = _settled(open_, moved)
+            now = F.count_if(F.col("decided_at") == depth)
+            j.commit({"done": done.unionByName(decided), "open": rest}, {"open": "id"}, {"news": now}, depth=depth)
+            j.forget(j.steps[-1].number)
+            continue
+        if e is None:
+            e = in_buckets(arrows, "id")
+        front = moved[-1].where("value is not null") if moved else done.where(F.col("decided_at") == depth)
         touched = e.join(front.select("id", "value"), "id").groupBy(F.col("src").alias("id")).agg(F.bool_or(F.col("value") == -1).alias("lost"), F.count_if(F.col("value") == 1).alias("won"))
-        for x in fronts:
-            touched = touched.join(x, "id", "left_anti")
-        touched = cut(touched.join(base, "id"))
-        # those of the touched nodes that won children were counted for in the passes before
-        before = _all(counts).join(touched.select("id"), "id", "left_semi").groupBy("id").agg(F.sum("won").alias("before")) if counts else None
-        step = touched.join(before, "id", "left") if counts else touched.withColumn("before", F.lit(0))
-        value = F.when(F.col("lost"), 1).when(F.col("won") + F.coalesce("before", F.lit(0)) >= F.col("left"), -1)
-        front = cut(step.select("id", value.alias("value")).where("value is not null").select("id", "value", F.lit(n).alias("decided_at")))
-        done = done.unionByName(front)
-        fronts.append(front)
-        counts.append(touched.where("won > 0").select("id", "won"))
-        if len(fronts) == BESIDE:
-            won = _all(counts).groupBy("id").agg(F.sum("won").alias("won"))
-            base = _dealt(base.join(_all(fronts), "id", "left_anti").join(won, "id", "left").select("id", (F.col("left") - F.coalesce("won", F.lit(0))).alias("left")))
-            done, fronts, counts = cut(done), [], []
-    for x in fronts:
-        base = base.join(x, "id", "left_anti")
-    return done.unionByName(base.select("id", F.lit(None).cast("int").alias("value"), F.lit(None).cast("int").alias("decided_at")))
-
-
-def _attracted(rows: dict, most: int | None) -> dict:
-    """The same passes over arrays: edges (src, dst), and nodes with value OPEN where open."""
-    (src, dst), (ids, value) = rows[0], rows[1]
-    order = np.argsort(ids, kind="stable")
-    ids, value = ids[order], value[order].astype(np.int8)
-    a, b = _places(ids, src), _places(ids, dst)
-    left = np.bincount(a[a >= 0], minlength=len(ids))
-    on = (a >= 0) & (b >= 0)
-    parents = _Arrows(ids, b[on], a[on])
-    at = np.where(value != OPEN, 0, -1).astype(np.int32)
-    front, n = np.flatnonzero(value != OPEN), 0
-    while len(front) and (most is None or n < most):
-        n += 1
-        won = parents.of(front[value[front] == -1])
-        less = parents.of(front[value[front] == 1])
-        left -= np.bincount(less, minlength=len(ids))
-        won = np.unique(won[at[won] < 0])
-        at[won] = n
-        lost = np.unique(less)
-        lost = lost[(at[lost] < 0) & (left[lost] <= 0)]
-        at[lost] = n
-        value[won], value[lost] = 1, -1
-        front = np.concatenate([won, lost])
-    decided = at >= 0
-    return {"id": ids, "value": pa.array(value, pa.int32(), mask=~decided), "decided_at": pa.array(at, pa.int32(), mask=~decided)}
+        touched = touched.join(open_, "id")
+        before = F.lit(0)
+        if moved:
+            earlier = _all(moved).groupBy("id").agg(F.sum("won").alias("before"), F.max("decided_at").alias("at"))
+            touched = touched.join(earlier, "id", "left").where("at is null")
+            before = F.coalesce("before", F.lit(0))
+        value = F.when(F.col("lost"), 1).when(F.col("won") + before >= F.col("left"), -1)
+        step = touched.select("id", "won", value.alias("value")).where("won > 0 or value is not null")
+        step = step.select("id", "won", F.col("value").cast("int").alias("value"), F.when(F.col("value").isNotNull(), F.lit(depth + 1)).alias("decided_at"))
+        j.commit({"moved": step}, None, {"news": F.count_if(F.col("value").isNotNull())}, depth=depth + 1)
+    base, beside = _after(j, "open")
+    rest, decided = _settled(j.read(base, "open"), [j.read(s, "moved") for s in beside])
+    undecided = rest.select("id", F.lit(None).cast("int").alias("value"), F.lit(None).cast("int").alias("decided_at"))
+    return _all([j.read(base, "done"), *([decided] if decided is not None else []), undecided])
+
+
+def _settled(open_: DataFrame, moved: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:
+    """What is open after the passes, (id, left), and what they decided."""
+    if not moved:
+        return open_, None
+    changes = _all(moved)
+    sums = changes.groupBy("id").agg(F.sum("won").alias("won"), F.max("decided_at").alias("at"))
+    rest = open_.join(sums, "id", "left").where("at is null").select("id", (F.col("left") - F.coalesce("won", F.lit(0))).alias("left"))
+    return rest, changes.where("value is not null").select("id", "value", "decided_at")
 
 
 def layered_attractor(nodes: DataFrame, edges: DataFrame, order: list[int]) -> DataFrame:

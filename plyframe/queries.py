@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from contextlib import suppress
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.functions import bits, ranking, symmetry
 from plyframe.operators import folds, tables
-from plyframe.persist import cut
-from plyframe.plans import fixpoint
+from plyframe.persist import cut, written
+from plyframe.plans import fixpoint, journal
 from plyframe.sources import boards
 from plyframe.sources.derived import event_edges, event_nodes, supply_edges, supply_leaves, table
 
@@ -337,11 +340,28 @@ _EVENTS = (
 )
 
 
-@query(f"with recursive {_EVENTS}, r as (select 1 as id union select dst from r join g on r.id = g.src), d(id, depth) as (select 1, 0 union select dst, depth + 1 from d join g on d.id = g.src where depth < 40) select id, min(depth) as depth from d group by id")
+_REACH = f"with recursive {_EVENTS}, r as (select 1 as id union select dst from r join g on r.id = g.src), d(id, depth) as (select 1, 0 union select dst, depth + 1 from d join g on d.id = g.src where depth < 40) select id, min(depth) as depth from d group by id"
+
+
+@query(_REACH)
 def bfs_reach(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.reach(event_edges(spark, sf_dir), spark.range(1, 2))
 
 
+@query(_REACH)
+def reach_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A named run that is broken off after a pass, inside a commit and inside a pass, and goes
+    on each time from its journal."""
+    name = f"reach-{uuid.uuid4().hex}"
+    edges, root = event_edges(spark, sf_dir), spark.range(1, 2)
+    for at in ((2, journal.READY), (4, journal.COMMITTING), (5, journal.EXPANDING)):
+        with suppress(journal.Stopped):
+            fixpoint.reach(edges, root, journal=journal.Journal(spark, name, journal.stop_at(*at)))
+    last = journal.Journal(spark, name)
+    written(spark, last.path)
+    return fixpoint.reach(edges, root, journal=last)
+
+
 @query("select l_returnflag as flag, count(*) as rows, count(distinct l_partkey) as distinct_keys, round(count(*) / count(distinct l_partkey), 6) as ratio from lineitem group by 1")
 def multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.multiplicity(table(spark, sf_dir, "lineitem"), "l_partkey", "l_returnflag").withColumnRenamed("l_returnflag", "flag")
