@@ -4,7 +4,9 @@ A page is read as a sequence of text and tag tokens. A word scores positive and
 negative, with weights learned from the labelled pages below. Elements have log odds, from
 their tag name, their class, id or role words, and a heading that they begin with: an element
 that was mostly seen around furniture (below ``FURNITURE``) is furniture, and the words inside
-score negative; inside an element that was mostly seen in articles words weigh more, so that
+score negative. A name speaks against an element the less, the more of the text it holds
+(``SHARE``), since what holds nearly all of an article's place is the article, whatever it is
+called; and inside an article a heading alone does not make a part furniture. Inside an element that was mostly seen in articles words weigh more, so that
 short blocks at the edges outweigh the tags between. One linear scan finds the run of tokens
 with the largest sum. The result is the blocks of that run, without furniture inside it.
 """
@@ -110,6 +112,8 @@ INSIDE = 0.1
 SECTIONS = frozenset("div section aside ul ol dl table form details fieldset center".split())
 #: words of a heading that is looked up, at most
 HEADING_WORDS = 4
+#: how far names against an element are taken back where it holds all of the text around it
+SHARE = 2.0
 #: how much more a word weighs in an element with the best odds
 LIFT = 2.0
 
@@ -175,12 +179,16 @@ class Weights:
         known = self.odds.get(f".{word}")
         return known if known is not None else min((o for w, o in self.ends if word.endswith(w)), default=0.0)
 
-    def element(self, tag: str, attr: str, inside: bool) -> float:
-        """Log odds of an element: of its tag, where they are against it, and of each name. A name that was seen as a
-        whole counts as such; else its most telling furniture word counts, if it has one
-        (sidebar-content), or its best word. Names that only state something (has-sidebar,
-        comments-open) do not count."""
-        out = min(0.0, self.odds.get(f"{tag}+" if inside and f"{tag}+" in self.odds else tag, 0.0))
+    def element(self, tag: str, inside: bool) -> float:
+        """Log odds of an element by its tag, where they are against it."""
+        return min(0.0, self.odds.get(f"{tag}+" if inside and f"{tag}+" in self.odds else tag, 0.0))
+
+    def named(self, attr: str) -> float:
+        """Log odds of an element by each of its names. A name that was seen as a whole counts
+        as such; else its most telling furniture word counts, if it has one (sidebar-content),
+        or its best word. Names that only state something (has-sidebar, comments-open) do not
+        count."""
+        out = 0.0
         for words in names(attr):
             if words[0] in STATING or (len(words) > 1 and words[-1] in STATES):
                 continue
@@ -203,7 +211,7 @@ class Page:
 
     def __init__(self, page: str, w: Weights):
         self.w = w
-        self.parent, self.name, self.odds = [0], [""], [0.0]
+        self.parent, self.name, self.odds, self.named = [0], [""], [0.0], [0.0]
         #: block of the first text in an element, if it is its own or that of a child
         self.head: list[int] = [-1]
         #: score as a tag, text, block, element, whether inside a link
@@ -272,7 +280,9 @@ class Page:
             stack.append(len(name))
             fresh.append(len(name))
             name.append(tag)
-            self.odds.append(0.0 if tag in ("html", "body") else w.element(tag, m["attr"], inside))
+            whole = tag in ("html", "body")
+            self.odds.append(0.0 if whole else w.element(tag, inside))
+            self.named.append(0.0 if whole else w.named(m["attr"]))
             self.head.append(-1)
             holds.append(inside or tag in HOLDERS)
             open_tags[tag] += 1
@@ -289,18 +299,34 @@ class Page:
                 words[e] += len(t.split())
                 if b in heads:
                     heads[b].append(t)
+        # words of an element without those in parts that are furniture by their tags
+        own, holds = [0] * n, [False] * n
+        for e in range(n - 1, 0, -1):
+            own[e] = 0 if self.odds[e] < FURNITURE else own[e] + words[e]
+            own[self.parent[e]] += own[e]
+            holds[e] |= self.name[e] in HOLDERS and own[e] > 0
+            holds[self.parent[e]] |= holds[e]
+        own[0] += words[0]
         for e in range(n - 1, 0, -1):
             words[self.parent[e]] += words[e]
         out, good = [False] * n, [0.0] * n
+        around, article = [0] * n, [False] * n  # the article, main or page that it stands in
         for e in range(1, n):
-            odds = self.odds[e]
+            up = self.parent[e]
+            around[e] = up if self.name[up] in HOLDERS else around[up]
+            article[e] = article[up] or self.name[up] == "article"
+            named = self.named[e]
+            # where there is an article or main, other places are not taken for it
+            if named < 0 and (around[e] or holds[e] or not holds[0]):
+                named = min(0.0, named + SHARE * own[e] / max(1, own[around[e]]))
+            odds = self.odds[e] + named
             # a heading speaks of a part of the page, not of most of it
-            if self.name[e] in SECTIONS and self.head[e] >= 0 and 2 * words[e] < words[0]:
+            if self.name[e] in SECTIONS and self.head[e] >= 0 and 2 * words[e] < words[0] and (odds < 0 or not article[e]):
                 title = html_lib.unescape("".join(heads[self.head[e]]))
                 if len(title.split()) <= HEADING_WORDS:
                     odds += min(0.0, self.w.odds.get(heading(title), 0.0))
-            out[e] = out[self.parent[e]] or odds < FURNITURE
-            good[e] = max(good[self.parent[e]], odds, self.w.best if self.name[e] in HOLDERS and not out[e] else 0.0)
+            out[e] = out[up] or odds < FURNITURE
+            good[e] = max(good[up], odds, self.w.best if self.name[e] in HOLDERS and not out[e] else 0.0)
         return out, good
 
 

@@ -421,3 +421,29 @@ def test_a_second_attempt_writes_the_same_bytes(spark, tmp_path):
         lines = warc.write_archives(df, f"file://{tmp_path}/{k}").collect()
         files.append((sorted(map(tuple, lines)), (tmp_path / str(k) / "archive" / "part-00000.warc.gz").read_bytes()))
     assert files[0] == files[1] == files[2]
+
+
+TWO = "<p>It rained on the hills for nine days.</p><p>Then the sun came out and the river fell.</p>"
+
+
+@pytest.mark.parametrize("name", "message feedback teaser newsletter modal links news-message warning-story banner-story overlay-text tooltip-article sponsor-report author-text share-story subscribe-article".split())
+@pytest.mark.parametrize("holder", ["main", "div", "article"])
+def test_an_article_counts_whatever_its_wrapper_is_called(name, holder):
+    page = f'<html><body><nav><a href="/">Home</a> <a href="/n">News</a></nav><{holder}><div class="{name}">{TWO}</div></{holder}><footer><p>All rights reserved</p></footer></body></html>'
+    assert extract.main_text(page) == "It rained on the hills for nine days.\n\nThen the sun came out and the river fell."
+
+
+@pytest.mark.parametrize("title", ["Discussion", "Comments", "Tags"])
+def test_a_heading_alone_does_not_end_an_article(title):
+    page = f"<article><h1>The mill</h1>{TWO * 3}<section><h2>{title}</h2><p>We owe thanks to the mill and its crates.</p></section></article>"
+    assert "thanks to the mill" in extract.main_text(page)
+    named = page.replace("<section>", '<section class="comments">')
+    assert "thanks to the mill" not in extract.main_text(named)
+    outside = f'<article><h1>The mill</h1>{TWO * 3}</article><section><h2>Comments</h2><p>We owe thanks to the mill.</p></section>'
+    assert "thanks" not in extract.main_text(outside)
+
+
+def test_small_parts_with_such_names_stay_out():
+    for name in ("newsletter", "related", "share", "author", "comments", "message"):
+        page = f'<main><h1>The mill</h1>{TWO * 4}<div class="{name}"><p>Some words of another kind.</p></div></main>'
+        assert "another kind" not in extract.main_text(page)
