@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,10 +50,6 @@ def few(df: DataFrame, cells: str = "1") -> DataFrame:
     return F.broadcast(df) if total <= BROADCAST_ROWS else df
 
 
-#: edges that one task joins up at most: 16 MB
-FEW_EDGES = 1 << 20
-
-
 def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """For each of n nodes the least node it is connected with."""
     low = np.arange(n)
@@ -73,10 +68,9 @@ def connected(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node of the undirected edges; root is the smallest node
-    of its component. Nulls are ignored. Edges that were counted and are few are joined up in
-    one task. For more, large-star and small-star rounds alternate until the edges form stars;
-    each round costs two aggregations and two joins over the edges, and the number of rounds
-    grows with the logarithm of the longest chain.
+    of its component. Nulls are ignored. Large-star and small-star rounds alternate until the
+    edges form stars; each round costs two aggregations and two joins over the edges, and the
+    number of rounds grows with the logarithm of the longest chain.
     """
     e = cut(
         edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
@@ -85,17 +79,6 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         .distinct()
     )
 
-    if e.limit(FEW_EDGES + 1).count() <= FEW_EDGES:
-
-        def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            whole = list(batches)
-            u, v = (np.concatenate([np.zeros(0, dtype=np.int64), *(x.column(i).to_numpy() for x in whole)]) for i in range(2))
-            nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
-            low = connected(len(nodes), at[: len(u)], at[len(u) :])
-            yield pa.RecordBatch.from_pydict({"node": nodes, "root": nodes[low]})
-
-        return e.coalesce(1).mapInArrow(join_up, "node long, root long")
-
     def signature(x: DataFrame) -> tuple:
         return tuple(x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
