@@ -164,9 +164,12 @@ class Journal:
         self._put(ready)
         self.steps.append(ready)
 
-    def commit(self, tables: dict[str, DataFrame], keys: dict[str, str] | None = None, counts: dict[str, Column] | None = None, **notes) -> Step:
-        """One step: writes the tables, those in ``keys`` in buckets of that column, and counts
-        the rows of each in the same job, and ``counts`` in the first one."""
+    def commit(
+        self, tables: dict[str, DataFrame], keys: dict[str, str] | None = None, counts: dict[str, Column] | None = None, folders: dict[str, list[str]] | None = None, **notes
+    ) -> Step:
+        """One step: writes the tables, those in ``keys`` in buckets of that column, those in
+        ``folders`` by these columns, and counts the rows of each in the same job, and ``counts``
+        in the first one."""
         number = self.steps[-1].number + 1 if self.steps else 0
         self._put(Step(number, EXPANDING, notes=notes))
         at, out = self._writing(number), {}
@@ -178,7 +181,7 @@ class Journal:
             watched = df.observe(seen, *(c.alias(k) for k, c in wanted.items()))
             key, buckets = (keys or {}).get(name), 0
             if key is None:
-                watched.write.parquet(f"{at}/{name}")
+                watched.write.partitionBy(*(folders or {}).get(name, [])).parquet(f"{at}/{name}")
             else:
                 buckets = bucketed(watched, key, f"{at}/{name}")
             got = seen.get

@@ -9,9 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.functions import bits, ranking, symmetry
-from plyframe.operators import folds, tables
+from plyframe.operators import folds, stored, tables
 from plyframe.persist import cut, written
-from plyframe.plans import fixpoint, journal
+from plyframe.plans import bitmaps, fixpoint, journal, partwise
 from plyframe.sources import boards
 from plyframe.sources.derived import event_edges, event_nodes, supply_edges, supply_leaves, table
 
@@ -248,6 +248,13 @@ def hash_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_parent(folds.child_lookup(*_suppliers(spark, sf_dir), missing="fail"))
 
 
+@query(_L2 + _BY_PARENT.format("select src, dst, value from e join v2 on dst = id where layer = 1"))
+def bucketed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges and values stored in buckets of the child."""
+    e, v = _suppliers(spark, sf_dir)
+    return _by_parent(stored.bucketed_lookup(journal.in_buckets(e, "dst"), journal.in_buckets(v, "id")))
+
+
 @query(_L2 + ", few as (select * from v2 where id % 2 = 0)" + _BY_PARENT.format("select src, dst, coalesce(value, 0) as value from e left join few on dst = id where layer = 1"))
 def default_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     e, v = _suppliers(spark, sf_dir)
@@ -309,6 +316,17 @@ def backward_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _swept(spark, sf_dir)
 
 
+@query(
+    _SWEEP + ", top as (select layer from e group by layer order by count(*) desc, layer limit 1)"
+    + _BY_PARENT.format("select src, dst, v.value from e join top using (layer) join v on v.layer = e.layer + 1 and v.id = e.dst")
+)
+def layer_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Children of the layer that has the most edges; the values of other layers are not read."""
+    e = cut(supply_edges(spark, sf_dir))
+    top = e.groupBy("layer").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "layer").limit(1).select("layer")
+    return _by_parent(stored.layer_lookup(cut(e.join(F.broadcast(top), "layer")), stored.in_layers(_swept(spark, sf_dir))))
+
+
 @query(_SWEEP + "select layer, count(*) filter (value = 1) as wins, count(*) filter (value = 0) as draws, count(*) filter (value = -1) as losses, count(*) filter (value is null) as open from v group by rollup (layer)")
 def wdl_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.tally(_swept(spark, sf_dir))
@@ -362,6 +380,41 @@ def reach_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.reach(edges, root, journal=last)
 
 
+_MAPPED = (
+    f"with recursive {_EDGES}, both_ways as (select layer, src, layer + 1 as far, dst from e union all select layer + 1, dst, layer, src from e), "
+    "r(depth, layer, id) as (select 0, 3, n_nationkey from nation union select depth + 1, far, dst from r join both_ways b on r.layer = b.layer and r.id = b.src where depth < 8), "
+    "d as (select layer, id, min(depth) as depth from r group by layer, id) "
+)
+#: number of a state in two parts
+LAYER_BITS = 40
+
+
+@query(_MAPPED + "select depth, layer, count(*) as states, sum(id)::bigint as total from d group by depth, layer")
+def reach_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From all nations at once along the supply edges in both directions, by bitmaps: how many
+    states of which layer are how far away."""
+    e = supply_edges(spark, sf_dir)
+    code = lambda layer, x: F.shiftleft(layer.cast("long"), LAYER_BITS) + F.col(x)
+    e = e.select(code(F.col("layer"), "src").alias("src"), code(F.col("layer") + 1, "dst").alias("dst"))
+    roots = supply_leaves(spark, sf_dir).select(code(F.lit(3), "id").alias("id"))
+    found = bitmaps.reach_maps(e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"))), roots)
+    states = bitmaps.ids_of(found).select("depth", F.shiftright("id", LAYER_BITS).cast("int").alias("layer"), F.expr(f"id & {(1 << LAYER_BITS) - 1}L").alias("id"))
+    return states.groupBy("depth", "layer").agg(F.count("*").alias("states"), F.sum("id").alias("total"))
+
+
+@query(_SWEEP + "select layer, id, value from v")
+def sweep_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep in parts, broken off between two parts and inside the commit of one."""
+    name = f"parts-{uuid.uuid4().hex}"
+    edges, leaves = supply_edges(spark, sf_dir), supply_leaves(spark, sf_dir)
+    for at in ((4, journal.READY), (12, journal.COMMITTING)):
+        with suppress(journal.Stopped):
+            partwise.sweep_in_parts(edges, leaves, 3, journal=journal.Journal(spark, name, journal.stop_at(*at)))
+    last = journal.Journal(spark, name)
+    written(spark, last.path)
+    return partwise.sweep_in_parts(edges, leaves, 3, journal=last)
+
+
 @query("select l_returnflag as flag, count(*) as rows, count(distinct l_partkey) as distinct_keys, round(count(*) / count(distinct l_partkey), 6) as ratio from lineitem group by 1")
 def multiplicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.multiplicity(table(spark, sf_dir, "lineitem"), "l_partkey", "l_returnflag").withColumnRenamed("l_returnflag", "flag")
