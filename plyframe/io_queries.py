@@ -33,8 +33,10 @@ def plane_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_plane(spark, uri, n, 2, 6).groupBy("code").agg(F.count("*").alias("n"), F.sum("rank").alias("ranks"))
 
 
-@query("select case when p_partkey % 2 = 0 then p_partkey * 7919 else -p_partkey end as key, p_size % 3 as res, p_size::bigint as best, p_partkey % 200 as depth from part")
-def proof_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+_PROOFS = "select case when p_partkey % 2 = 0 then p_partkey * 7919 else -p_partkey end as key, p_size % 3 as res, p_size::bigint as best, p_partkey % 200 as depth from part"
+
+
+def _proofs(spark: SparkSession, sf_dir: str) -> str:
     p = table(spark, sf_dir, "part")
     rows = p.select(
         F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey") * 7919).otherwise(-F.col("p_partkey")).alias("key"),
@@ -42,7 +44,19 @@ def proof_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     uri = f"{_folder(spark)}/proofs"
     sinks.write_proof_records(rows, uri, 5, 5, 1)
-    return files.read_proof_records(spark, uri).select("key", "res", "best", "depth")
+    return uri
+
+
+@query(_PROOFS)
+def proof_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.read_proof_records(spark, _proofs(spark, sf_dir)).select("key", "res", "best", "depth")
+
+
+@query(f"with p as ({_PROOFS}) select * from p where key in (select l_partkey * 7919 from lineitem union all select -l_partkey from lineitem)")
+def proof_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The records of every ordered part, asked for by both keys that a part may have."""
+    asked = table(spark, sf_dir, "lineitem").select(F.explode(F.array(F.col("l_partkey") * 7919, -F.col("l_partkey"))).alias("key"))
+    return files.lookup_records(asked, _proofs(spark, sf_dir), files.PROOF, ["key"]).select("key", "res", "best", "depth")
 
 
 @query("select (o_orderkey % 4)::int as ply, o_orderkey as w0, o_custkey as w1, o_custkey % 3 - 1 as value from orders")

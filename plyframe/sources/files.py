@@ -5,7 +5,9 @@ Files are opened through pyarrow's file systems, by URI or local path."""
 from __future__ import annotations
 
 import ast
+import bisect
 import io
+import json
 import re
 import struct
 import tarfile
@@ -22,22 +24,53 @@ from pyspark.sql import types as T
 CHUNK = 1 << 20
 
 
-def _open(uri: str):
+def _store(uri: str):
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def _open(uri: str):
+    store, path = _store(uri)
     return store.open_input_file(path)
 
 
-def read_bytes(uri: str, start: int, length: int) -> bytes:
+def parts_of(uri: str) -> dict | None:
+    """What a file in parts says of itself, null for a plain file: a folder with the files
+    that make it up, in order, under ``parts`` (name, bytes), see sinks.write_in_order."""
+    store, path = _store(uri)
+    if store.get_file_info(path).is_file:
+        return None
+    with store.open_input_file(f"{path}/parts.json") as f:
+        return json.loads(f.read())
+
+
+def _read_plain(uri: str, start: int, length: int) -> bytes:
     with _open(uri) as f:
         f.seek(start)
         return f.read(length)
 
 
+def read_bytes(uri: str, start: int, length: int) -> bytes:
+    """A range of a file, which may be stored in parts."""
+    told = parts_of(uri)
+    if told is None:
+        return _read_plain(uri, start, length)
+    out, at = [], 0
+    for name, size in told["parts"]:
+        lo, hi = max(start, at), min(start + length, at + size)
+        if lo < hi:
+            out.append(_read_plain(f"{uri}/{name}", lo - at, hi - lo))
+        at += size
+    return b"".join(out)
+
+
 def file_size(uri: str) -> int:
-    with _open(uri) as f:
-        return f.size()
+    told = parts_of(uri)
+    if told is None:
+        with _open(uri) as f:
+            return f.size()
+    return sum(file_size(f"{uri}/{name}") for name, _ in told["parts"])
 
 
 def _ranges(spark: SparkSession, n: int) -> DataFrame:
@@ -130,10 +163,59 @@ def read_proof_records(spark: SparkSession, uri: str) -> DataFrame:
     magic, _w, _h, _suicide, _ko, _t, n = struct.unpack("<8sIIBBhQ", read_bytes(uri, 0, 28))
     if magic != b"MGWDL1\0\0":
         raise ValueError(f"{uri} is no file of proof records")
-    rows = read_records(spark, uri, [("key", "<u8"), ("res", "u1"), ("best", "u1"), ("depth", "u1"), ("pad", "V5")], n, 28)
+    rows = read_records(spark, uri, PROOF, n, 28)
     return rows.drop("pad")
 
 
+def lookup_records(keys: DataFrame, uri: str, fields: list[tuple[str, str]], order: list[str]) -> DataFrame:
+    """The records of a file in parts whose fields ``order`` are among the keys, each key once;
+    missing ones have no row. Columns are those of fields without padding.
+
+    Keys are dealt by ranges and sorted, so a task goes through its parts from front to end:
+    the first keys of the parts lead to a part, the part's sparse directory to a block, of
+    which one range is read; within it the key is bisected.
+    """
+    kind, told = np.dtype(fields), parts_of(uri)
+    block, parts = told["block"], [p for p in told["parts"] if p[0] in told["first"]]
+    firsts = [tuple(told["first"][name]) for name, _ in parts]
+    names = [n for n, f in fields if not f.startswith("V")]
+    plain = lambda x: np.asarray(x).astype(np.int64).view(np.uint64).tolist()
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at_part = at_block = None
+        directory: list[tuple] = []
+        inside: list[tuple] = []
+        rows = np.zeros(0, dtype=kind)
+        for d in batches:
+            hits = []
+            for key in zip(*(plain(d[c]) for c in order)):
+                p = bisect.bisect_right(firsts, key) - 1
+                if p < 0:
+                    continue
+                if p != at_part:
+                    name, size = parts[p]
+                    with _open(f"{uri}/keys-{name}") as f:
+                        raw = np.frombuffer(f.read(), dtype="<u8").reshape(-1, len(order))
+                    directory, at_part, at_block = list(map(tuple, raw.tolist())), p, None
+                b = bisect.bisect_right(directory, key) - 1
+                if b != at_block:
+                    rows = np.frombuffer(_read_plain(f"{uri}/{name}", b * block * kind.itemsize, block * kind.itemsize), dtype=kind)
+                    inside, at_block = list(zip(*(rows[c].tolist() for c in order))), b
+                i = bisect.bisect_left(inside, key)
+                if i < len(inside) and inside[i] == key:
+                    hits.append(rows[i : i + 1])
+            if hits:
+                found = np.concatenate(hits)
+                yield pd.DataFrame({n: found[n].view(np.int64) if found[n].dtype == np.uint64 else found[n].astype(np.int64) for n in names})
+
+    unsigned = [F.col(c).cast("long").bitwiseXOR(F.lit(-(1 << 63))) for c in order]
+    dealt = keys.select(*(F.col(c).cast("long").alias(c) for c in order)).na.drop().distinct().repartitionByRange(*unsigned).sortWithinPartitions(*unsigned)
+    return dealt.mapInPandas(find, ", ".join(f"`{n}` long" for n in names))
+
+
+PROOF = [("key", "<u8"), ("res", "u1"), ("best", "u1"), ("depth", "u1"), ("pad", "V5")]
+
+
 def read_position_dump(spark: SparkSession, uri: str) -> DataFrame:
     """(lo, hi, status): records of a 128-bit position and a status byte."""
     return read_records(spark, uri, [("lo", "<u8"), ("hi", "<u8"), ("status", "u1")])

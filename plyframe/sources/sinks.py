@@ -1,6 +1,6 @@
 """Writers. Tables go to parquet by layer, whose commit protocol stands for a temporary file
-and a rename; a packed file is made in parallel and put together in order, chunk by chunk,
-so the driver holds one chunk."""
+and a rename. A packed file is stored in parts: each task writes its own range of it, and the
+driver only learns the sizes, whose prefix sums are the places of the ranges."""
 
 from __future__ import annotations
 
@@ -12,10 +12,15 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plyframe.sources.files import CHUNK
+from plyframe.persist import cut
+from plyframe.sources.files import CHUNK, PROOF
+
+#: records between two entries of a part's directory
+BLOCK = 4096
 
 
 def _put(uri: str, parts: Iterable[bytes]) -> None:
@@ -31,6 +36,49 @@ def _put(uri: str, parts: Iterable[bytes]) -> None:
     store.move(spare, path)
 
 
+def write_in_order(df: DataFrame, uri: str, order: list, pack, header=lambda n: b"", block: int = BLOCK, parts: int | None = None) -> None:
+    """Writes the rows in an order as one file in parts: a folder of a header, a part for each
+    range of rows, and a sparse directory beside each part. ``order`` are the columns to sort
+    by; pack gives for a frame of rows their bytes, and their keys as an array of unsigned
+    words, one row a record, or None where there is no directory. header gives the first
+    bytes for the number of rows. Without ``parts`` Spark decides how many there are.
+
+    parts.json comes last and makes the file: until then nothing of it is read. A task that
+    is tried again writes the same part again. Rows are dealt once; nothing goes through the
+    driver but a row a task.
+    """
+    ranges = df.repartitionByRange(*order) if parts is None else df.repartitionByRange(parts, *order)
+    dealt = cut(ranges.sortWithinPartitions(*order))
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        name = f"part-{TaskContext.get().partitionId():06d}"
+        rows, size, first, directory = 0, 0, None, []
+
+        def body():
+            nonlocal rows, size, first
+            for d in batches:
+                if not len(d):
+                    continue
+                data, keys = pack(d)
+                if keys is not None:
+                    first = keys[0].tolist() if first is None else first
+                    directory.append(keys[-rows % block :: block])
+                rows += len(d)
+                size += len(data)
+                yield data
+
+        _put(f"{uri}/{name}", body())
+        if first is not None:
+            _put(f"{uri}/keys-{name}", [np.concatenate(directory).astype("<u8").tobytes()])
+        yield pd.DataFrame({"name": [name], "rows": [rows], "size": [size], "first": [json.dumps(first)]})
+
+    done = sorted(dealt.mapInPandas(write, "name string, rows long, size long, first string").collect())  # a row a task
+    head = header(sum(r.rows for r in done))
+    _put(f"{uri}/header", [head])
+    told = {"parts": [["header", len(head)], *([r.name, r.size] for r in done if r.size)], "first": {r.name: json.loads(r.first) for r in done if r.size and r.first != "null"}, "block": block}
+    _put(f"{uri}/parts.json", [json.dumps(told).encode()])
+
+
 def write_layers(df: DataFrame, path: str, by: str = "layer", key: str = "id") -> None:
     """One folder a layer, sorted by key inside files; writing a layer again replaces that
     layer only, so an interrupted solve goes on from the layers that are there."""
@@ -62,52 +110,58 @@ def write_plane(df: DataFrame, uri: str, n: int, bits: int = 2, header: bytes =
             yield done()
 
     rows = df.where(F.col("rank").between(0, n - 1)).select("rank", "code", F.floor(F.col("rank") / CHUNK).alias("chunk"))
-    packed = rows.repartition("chunk").sortWithinPartitions("rank").select("rank", "code").mapInPandas(pack, "chunk long, data binary").orderBy("chunk")
+    packed = rows.repartition("chunk").sortWithinPartitions("rank").select("rank", "code").mapInPandas(pack, "chunk long, data binary")
+    every = df.sparkSession.range(-(-n // CHUNK)).select(F.col("id").alias("chunk")).join(packed, "chunk", "left")
 
-    def parts():
-        yield header
-        at = 0
+    def whole(d: pd.DataFrame) -> tuple[bytes, None]:
         size = lambda k: -(-min(CHUNK, n - k * CHUNK) * bits // 8)
-        for r in packed.toLocalIterator():
-            while at < r.chunk:
-                yield bytes(size(at))
-                at += 1
-            yield r.data
-            at += 1
-        while at * CHUNK < n:
-            yield bytes(size(at))
-            at += 1
+        return b"".join(bytes(size(k)) if x is None else x for k, x in zip(d["chunk"].tolist(), d["data"])), None
+
+    write_in_order(every, uri, ["chunk"], whole, lambda _: header)
 
-    _put(uri, parts())
+
+def _unsigned(column: str):
+    return F.col(column).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def _words(d: pd.DataFrame, columns: list[str]) -> np.ndarray:
+    return np.stack([d[c].to_numpy(dtype=np.int64).view(np.uint64) for c in columns], axis=1)
 
 
 def write_proof_records(df: DataFrame, uri: str, w: int, h: int, threshold: int, superko: bool = True, suicide: bool = False) -> None:
     """(key, res, best, depth) as sorted 16-byte records; keys compare as unsigned."""
-    rows = df.select("key", "res", "best", "depth").withColumn("_o", F.col("key").bitwiseXOR(F.lit(-(1 << 63)))).orderBy("_o")
 
-    def parts():
-        yield struct.pack("<8sIIBBhQ", b"MGWDL1\0\0", w, h, suicide, superko, threshold, df.count())
-        for r in rows.toLocalIterator():
-            yield struct.pack("<qBBB5x", r.key, r.res, r.best, r.depth)
+    def pack(d: pd.DataFrame):
+        out = np.zeros(len(d), dtype=PROOF)
+        keys = _words(d, ["key"])
+        out["key"] = keys[:, 0]
+        for c in ("res", "best", "depth"):
+            out[c] = d[c]
+        return out.tobytes(), keys
 
-    _put(uri, parts())
+    write_in_order(df.select("key", "res", "best", "depth"), uri, [_unsigned("key")], pack, lambda n: struct.pack("<8sIIBBhQ", b"MGWDL1\0\0", w, h, suicide, superko, threshold, n))
 
 
 def write_layer_database(df: DataFrame, uri: str, w: int, h: int, root: list[int], symmetry: bool = False, pruning: bool = False) -> None:
     """(ply, w0.., value) with a header of layer counts; keys compare as unsigned words."""
-    words = len(root)
+    names = [f"w{i}" for i in range(len(root))]
     counts = {r.ply: r["count"] for r in df.groupBy("ply").count().collect()}  # one row a layer
     layers = max(counts, default=-1) + 1
-    order = [F.col(f"w{i}").bitwiseXOR(F.lit(-(1 << 63))) for i in range(words)]
+    kind = np.dtype([*((c, "<u8") for c in names), ("value", "i1")])
+
+    def pack(d: pd.DataFrame):
+        out = np.zeros(len(d), dtype=kind)
+        keys = _words(d, ["ply", *names])
+        for i, c in enumerate(names):
+            out[c] = keys[:, i + 1]
+        out["value"] = d["value"]
+        return out.tobytes(), keys
 
-    def parts():
-        yield struct.pack("<8s7IQ", b"TWIXTDB1", 1, w, h, symmetry, pruning, words, layers, sum(counts.values()))
-        yield struct.pack(f"<{words}q", *root)
-        yield struct.pack(f"<{layers}Q", *[counts.get(k, 0) for k in range(layers)])
-        for r in df.orderBy("ply", *order).toLocalIterator():
-            yield struct.pack(f"<{words}qb", *[r[f"w{i}"] for i in range(words)], r.value)
+    def header(n: int) -> bytes:
+        fixed = struct.pack("<8s7IQ", b"TWIXTDB1", 1, w, h, symmetry, pruning, len(root), layers, n)
+        return fixed + struct.pack(f"<{len(root)}q", *root) + struct.pack(f"<{layers}Q", *[counts.get(k, 0) for k in range(layers)])
 
-    _put(uri, parts())
+    write_in_order(df.select("ply", *names, "value"), uri, ["ply", *map(_unsigned, names)], pack, header)
 
 
 def write_verdict_text(df: DataFrame, path: str) -> None:

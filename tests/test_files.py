@@ -35,6 +35,30 @@ def test_proof_records_round_trip(spark, tmp_path):
     assert got == [(1, 1, 255, 9), (5, 1, 3, 2), (-1, 2, 63, 0)]  # unsigned order
 
 
+def test_keys_are_found_in_a_file_in_parts(spark, tmp_path, monkeypatch):
+    """Several parts and blocks, keys above 2^63, missing and repeated ones, and what a file
+    looks like that was put together."""
+    keys = [int(x) for x in np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 500)]
+    rows = [(k, i % 3, i % 256, i % 7) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows, "key long, res short, best short, depth short").repartition(3)
+    uri = f"{tmp_path}/p"
+    write = sinks.write_in_order
+    monkeypatch.setattr(sinks, "write_in_order", lambda *a: write(*a, block=8, parts=4))
+    sinks.write_proof_records(df, uri, 5, 5, 1)
+    told = files.parts_of(uri)
+    assert len(told["parts"]) > 3 and told["block"] == 8
+    raw = b"".join((tmp_path / "p" / name).read_bytes() for name, _ in told["parts"])
+    assert len(raw) == files.file_size(uri) == 28 + 16 * 500 and files.read_bytes(uri, 20, 2000) == raw[20:2020]
+    words = np.frombuffer(raw[28:], dtype=files.PROOF)["key"]
+    assert (np.diff(words.astype(object)) > 0).all()
+    asked = [*keys[::3], *keys[:9], 5, -5, None, 0, -1]
+    got = files.lookup_records(spark.createDataFrame([(k,) for k in asked], "key long"), uri, files.PROOF, ["key"])
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in rows if r[0] in set(asked))
+    sinks.write_proof_records(df.limit(0), f"{tmp_path}/none", 5, 5, 1)
+    assert files.read_proof_records(spark, f"{tmp_path}/none").count() == 0
+    assert files.lookup_records(spark.range(3).withColumnRenamed("id", "key"), f"{tmp_path}/none", files.PROOF, ["key"]).count() == 0
+
+
 def test_layer_database_round_trip(spark, tmp_path):
     rows = [(0, 0, 0, 1), (1, 2, 7, -1), (1, 2, 3, 0), (2, 9, 9, 1)]
     df = spark.createDataFrame(rows, "ply int, w0 long, w1 long, value short")
@@ -42,7 +66,8 @@ def test_layer_database_round_trip(spark, tmp_path):
     sinks.write_layer_database(df, uri, 3, 3, [0, 0])
     got = [(r.ply, r.w0, r.w1, r.value) for r in files.read_layer_database(spark, uri).orderBy("rank").collect()]
     assert got == sorted(rows)
-    with open(uri, "ab") as f:
+    last = sorted(tmp_path.glob("db/part-*"))[-1]
+    with open(last, "ab") as f:
         f.write(b"x")
     with pytest.raises(ValueError, match="length"):
         files.read_layer_database(spark, uri)
