@@ -8,6 +8,7 @@ import struct
 import uuid
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from plyframe.operators import folds
 from plyframe.persist import shared_dir
 from plyframe.plans import fixpoint
 from plyframe.queries import _EVENTS, _SWEEP, _swept, query
-from plyframe.sources import files, sinks
+from plyframe.sources import blocks, files, sinks
 from plyframe.sources.derived import event_edges, event_nodes, table
 
 
@@ -68,13 +69,17 @@ def layer_database(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_layer_database(spark, uri).select("ply", "w0", "w1", "value")
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(16)).alias("section"), F.floor(F.col("event_id") / 256).alias("block"), "event_id", "event_type")
+    parts = e.groupBy("section", "block").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))  # 256 ids a block
+    return parts.select("section", "block", F.array_join("x.event_type", "").cast("binary").alias("data"))
+
+
 @query("select user_id % 16 as section, event_id // 256 as block, sum(length(event_type))::bigint as n_bytes, md5(string_agg(event_type, '' order by event_id)) as digest, true as again from events group by 1, 2")
 def section_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compressed sections, some of them written by a second run that goes on with those that
     are missing."""
-    e = table(spark, sf_dir, "events").select(F.pmod("user_id", F.lit(16)).alias("section"), F.floor(F.col("event_id") / 256).alias("block"), "event_id", "event_type")
-    parts = e.groupBy("section", "block").agg(F.array_sort(F.collect_list(F.struct("event_id", "event_type"))).alias("x"))  # 256 ids a block
-    rows = parts.select("section", "block", F.array_join("x.event_type", "").cast("binary").alias("data"))
+    rows = _blocks(spark, sf_dir)
     path = _folder(spark)
     first = {r.section for r in sinks.write_sections(rows.where("section < 5"), path).collect()}
     later = {r.section for r in sinks.write_sections(rows, path).collect()}
@@ -82,31 +87,54 @@ def section_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("section", "block", F.octet_length("data").cast("long").alias("n_bytes"), F.md5("data").alias("digest"), F.lit(not first & later).alias("again"))
 
 
-@query("select rank, r_regionkey::bigint as c0, length(r_name) as c1 from (select *, row_number() over (order by r_regionkey) - 1 as rank from region)")
+_BLOCKS = "select user_id % 16 as section, event_id // 256 as block, sum(length(event_type))::bigint as n_bytes, md5(string_agg(event_type, '' order by event_id)) as digest from events"
+
+
+@query(_BLOCKS + " where user_id % 16 in (3, 7, 8) and event_id // 256 >= 5 group by 1, 2")
+def block_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some blocks of some sections, chosen by a condition that the source evaluates."""
+    path = _folder(spark)
+    sinks.write_sections(_blocks(spark, sf_dir), path).collect()  # a row a section
+    read = blocks.read_blocks_where(spark, path, "section in (3, 7, 8) and block >= 5", 16)
+    return read.select("section", "block", F.octet_length("data").cast("long").alias("n_bytes"), F.md5("data").alias("digest"))
+
+
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("a"), F.col("o_custkey").alias("b"))
+
+
+@query("select row_number() over (order by o_orderkey) - 1 as rank, o_orderkey as c0, o_custkey as c1 from orders")
 def npy_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "region").orderBy("r_regionkey").collect()  # five rows
+    def header(n: int) -> bytes:
+        out = io.BytesIO()
+        np.lib.format.write_array_header_1_0(out, {"descr": "<u8", "fortran_order": False, "shape": (n, 2)})
+        return out.getvalue()
+
     uri = f"{_folder(spark)}/table.npy"
-    data = io.BytesIO()
-    np.save(data, np.array([(r.r_regionkey, len(r.r_name)) for r in rows], dtype="<u8").reshape(len(rows), 2))
-    sinks._put(uri, [data.getvalue()])
+    sinks.write_in_order(_pairs(spark, sf_dir), uri, ["a"], lambda d: (d[["a", "b"]].to_numpy(dtype="<u8").tobytes(), None), header)
     return files.read_npy(spark, uri)
 
 
-@query("select n_nationkey::bigint as lo, n_regionkey::bigint as hi, n_nationkey % 3 as status from nation")
+@query("select o_orderkey as lo, o_custkey as hi, (o_orderkey % 3)::int as status from orders")
 def dump_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of a 128-bit position and a status."""
-    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # twenty-five rows
+
+    def pack(d: pd.DataFrame) -> tuple[bytes, None]:
+        out = np.zeros(len(d), dtype=[("lo", "<u8"), ("hi", "<u8"), ("status", "u1")])
+        out["lo"], out["hi"], out["status"] = d["a"], d["b"], d["a"] % 3
+        return out.tobytes(), None
+
     uri = f"{_folder(spark)}/dump"
-    sinks._put(uri, [struct.pack("<QQB", r.n_nationkey, r.n_regionkey, r.n_nationkey % 3) for r in rows])
+    sinks.write_in_order(_pairs(spark, sf_dir), uri, ["a"], pack)
     return files.read_position_dump(spark, uri).select("lo", "hi", F.col("status").cast("int").alias("status"))
 
 
-@query("select (n_nationkey % 3)::int as code, count(*) as n from nation group by 1")
+@query("select (o_custkey % 3)::int as code, count(*) as n, sum(rank)::bigint as ranks from (select *, row_number() over (order by o_orderkey) - 1 as rank from orders) group by 1")
 def value_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()  # twenty-five rows
+    """A byte a state behind four header words."""
     uri = f"{_folder(spark)}/values"
-    sinks._put(uri, [struct.pack("<4Q", 0xCCB0F0CE, 7, 1, len(rows)), bytes(r.n_nationkey % 3 for r in rows)])
-    return files.read_value_dump(spark, uri, 7, 1).groupBy(F.col("code").cast("int").alias("code")).agg(F.count("*").alias("n"))
+    sinks.write_in_order(_pairs(spark, sf_dir), uri, ["a"], lambda d: ((d["b"] % 3).to_numpy(dtype=np.uint8).tobytes(), None), lambda n: struct.pack("<4Q", 0xCCB0F0CE, 7, 1, n))
+    return files.read_value_dump(spark, uri, 7, 1).groupBy(F.col("code").cast("int").alias("code")).agg(F.count("*").alias("n"), F.sum("rank").alias("ranks"))
 
 
 @query("select s_nationkey as empties, s_name as board, round(s_acctbal, 2) as book_wl, s_suppkey as nodes from supplier")

@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from plyframe.sources import files, sinks
+from plyframe.sources import blocks, files, sinks
 
 
 def test_plane_round_trip(spark, tmp_path, monkeypatch):
@@ -158,3 +158,41 @@ def test_stored_tables_can_be_cleared(spark):
     persist.clear(spark)
     df = persist.stored(spark.range(5))
     assert df.count() == 5 and persist.clear(spark) == 1 and persist.clear(spark) == 0
+
+
+def test_the_source_skips_sections_and_blocks(spark, tmp_path, monkeypatch):
+    rows = [(s, b, bytes([s, b]) * 50) for s in range(4) for b in range(0, 40, 2)]
+    uri = f"{tmp_path}/s"
+    sinks.write_sections(spark.createDataFrame(rows, "section long, block long, data binary").repartition("section").sortWithinPartitions("section", "block"), uri).collect()
+    take = lambda condition: sorted((r.section, r.block, bytes(r.data)) for r in blocks.read_blocks_where(spark, uri, condition, 6).collect())
+    assert take(None) == rows
+    assert take("section in (1, 3) and block between 8 and 20 and block % 4 = 0") == [r for r in rows if r[0] in (1, 3) and 8 <= r[1] <= 20 and r[1] % 4 == 0]
+    assert take("section = 2 and block = 7 or section = 1 and block < 2") == [(1, 0, bytes([1, 0]) * 50)]
+    assert take("section > 9") == []
+    plan = blocks.read_blocks_where(spark, uri, "section = 1 and block >= 30")._jdf.queryExecution().executedPlan().toString()
+    assert "Filter (" not in plan  # the source has taken the condition over
+
+    # what a reader opens: the block tables, and the blocks that are asked for
+    reader = blocks.SectionReader(uri, 1024)
+    from pyspark.sql.datasource import EqualTo, GreaterThan, StringContains
+
+    other = StringContains(("data",), "x")
+    assert list(reader.pushFilters([EqualTo(("section",), 1), GreaterThan(("block",), 33), other])) == [other]
+    opened, plain = [], files._read_plain
+    monkeypatch.setattr(blocks, "_read_plain", lambda u, at, n: opened.append((u[-4:], at)) or plain(u, at, n))
+    parts = reader.partitions()
+    assert [p.section for p in parts] == [1] and {u for u, _ in opened} == {"01.z"}
+    opened.clear()
+    assert [b for _, b, _ in reader.read(parts[0])] == [34, 36, 38] and len(opened) == 4
+
+
+def test_a_damaged_block_is_an_error(spark, tmp_path):
+    uri = f"{tmp_path}/s"
+    sinks.write_sections(spark.createDataFrame([(0, 0, b"a" * 90), (0, 1, b"b" * 90)], "section long, block long, data binary").coalesce(1), uri).collect()
+    path = tmp_path / "s" / "section-00000000.z"
+    raw = bytearray(path.read_bytes())
+    raw[-3] ^= 255
+    path.write_bytes(raw)
+    assert blocks.read_blocks_where(spark, uri, "block = 0").count() == 1
+    with pytest.raises(Exception, match="block 1 of section 0 is damaged"):
+        blocks.read_blocks_where(spark, uri).collect()
