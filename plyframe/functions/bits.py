@@ -159,3 +159,22 @@ def crossing(a: tuple[Column, Column, Column, Column], b: tuple[Column, Column,
     ax, ay, bx, by = a
     cx, cy, dx, dy = b
     return (side(ax, ay, bx, by, cx, cy) * side(ax, ay, bx, by, dx, dy) < 0) & (side(cx, cy, dx, dy, ax, ay) * side(cx, cy, dx, dy, bx, by) < 0)
+
+
+def item_hash(*columns) -> Column:
+    """60 bits of an item's hash: the same wherever it is computed, in any engine with md5."""
+    text = F.concat_ws("|", *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("~")) for c in columns))
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+def set_hash(item: str | Column = "item") -> Column:
+    """The hash of a group of items in any order: an aggregate that combines partially. Items
+    that are there twice cancel out, so a number that tells them apart belongs into each."""
+    return F.bit_xor(item)
+
+
+def updated_hash(old: str, removed: str, added: str) -> Column:
+    """The hash after items were taken out and put in, from the hashes of those alone; null for
+    none."""
+    none = lambda c: F.coalesce(F.col(c), F.lit(0).cast("long"))
+    return none(old).bitwiseXOR(none(removed)).bitwiseXOR(none(added))

@@ -24,6 +24,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -184,8 +185,11 @@ class Journal:
                 watched.write.partitionBy(*(folders or {}).get(name, [])).parquet(f"{at}/{name}")
             else:
                 buckets = bucketed(watched, key, f"{at}/{name}")
-            got = seen.get
-            out[name] = Table(df.schema.json(), {k: int(got.get(k) or 0) for k in wanted}, key, buckets)
+            try:
+                got = seen.get
+            except Py4JJavaError:  # a plan that turned out to be empty has nothing left that counts
+                got = self.spark.read.schema(df.schema).parquet(f"{at}/{name}").agg(*(c.alias(k) for k, c in wanted.items())).first().asDict()
+            out[name] = Table(df.schema.json(), {k: int(got[k] or 0) for k in wanted}, key, buckets)
         step = Step(number, COMMITTING, out, notes)
         self._put(step)
         self._finish(step)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from plyframe.functions import bits, ranking, symmetry
 from plyframe.operators import folds, stored, tables
 from plyframe.persist import cut, written
-from plyframe.plans import bitmaps, fixpoint, journal, partwise
+from plyframe.plans import bitmaps, demand, fixpoint, journal, partwise, refinement
 from plyframe.sources import boards
 from plyframe.sources.derived import event_edges, event_nodes, supply_edges, supply_leaves, table
 
@@ -402,6 +402,24 @@ def reach_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.groupBy("depth", "layer").agg(F.count("*").alias("states"), F.sum("id").alias("total"))
 
 
+def _refined(rounds: int) -> str:
+    """SQL of so many rounds, on numbers of layer and id together."""
+    code = f"a as (select (layer::bigint << {LAYER_BITS}) + src as src, ((layer + 1)::bigint << {LAYER_BITS}) + dst as dst from e), ends as (select src as id, dst as other, 0 as way from a union all select dst, src, 1 from a), c0 as (select distinct id, 0::bigint as class from ends)"
+    step = (
+        "s{j} as (select e.id, list_sort(list(e.way::varchar || ':' || o.class)) as sign from ends e join c{i} o on o.id = e.other group by e.id), "
+        "c{j} as (select c.id, min(c.id) over (partition by c.class, s.sign) as class from c{i} c join s{j} s using (id))"
+    )
+    return f"with {_EDGES}, {code}, " + ", ".join(step.format(i=i, j=i + 1) for i in range(rounds)) + f" select id, class from c{rounds}"
+
+
+@query(_refined(3))
+def refined_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the supply graph that three rounds of colours do not tell apart."""
+    e = supply_edges(spark, sf_dir)
+    code = lambda layer, x: F.shiftleft(layer.cast("long"), LAYER_BITS) + F.col(x)
+    return refinement.refine(e.select(code(F.col("layer"), "src").alias("src"), code(F.col("layer") + 1, "dst").alias("dst")), 3)
+
+
 @query(_SWEEP + "select layer, id, value from v")
 def sweep_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The sweep in parts, broken off between two parts and inside the commit of one."""
@@ -501,6 +519,34 @@ def probe_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixpoint.probe_moves(asked, event_edges(spark, sf_dir), _attracted(spark, sf_dir))
 
 
+_PLANTED = "v as (select id, case when id % 97 <> 0 then coalesce(value, 0) when coalesce(value, 0) = 0 then 1 else 0 end as value from s)"
+
+
+@query(
+    _ATTRACT.format(most=80)
+    + f", {_PLANTED}, w as (select g.src as id, max(-v.value) as expected from g join v on g.dst = v.id group by g.src) select id, value, expected from v join w using (id) where value <> expected"
+)
+def audit_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit finds where every ninety-seventh value is wrong."""
+    value = F.coalesce("value", F.lit(0))
+    wrong = F.when(F.col("id") % 97 != 0, value).when(value == 0, 1).otherwise(0)
+    return fixpoint.audit(cut(_attracted(spark, sf_dir).select("id", wrong.alias("value"))), event_edges(spark, sf_dir))
+
+
+@query(
+    _ATTRACT.format(most=80)
+    + ", lost as (select distinct g.src as id from g join n on g.dst = n.id where n.event_type = 'purchase'), "
+    "kept as (select g.src, g.dst from g left join lost on lost.id = g.src join n on n.id = g.dst where lost.id is null or n.event_type = 'purchase'), "
+    "met as (select id from n where id % 20 = 0 union select kept.dst from met join kept on kept.src = met.id) "
+    "select s.id, value, decided_at, (select count(*) from met) as states_met from s where s.id % 20 = 0"
+)
+def demanded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of every twentieth event, and how many events were looked at for them."""
+    nodes = event_nodes(spark, sf_dir)
+    values, met = demand.evaluate(nodes.where("id % 20 = 0"), nodes, event_edges(spark, sf_dir))
+    return values.withColumn("states_met", F.lit(met).cast("long"))
+
+
 def _two_layers(nodes: DataFrame) -> DataFrame:
     n = F.col("id") < 300
     return nodes.select(F.when(n, 1).otherwise(0).alias("layer"), "id", "value")
@@ -622,3 +668,23 @@ def bounds_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = p.where("id % 3 <> 0").select("id", F.col("s").alias("lower"), (F.col("s") + 10).alias("upper"))
     b = p.where("id % 5 <> 0").select("id", (F.col("s") + F.pmod("id", F.lit(15))).alias("lower"), (F.col("s") + 20).alias("upper"))
     return tables.merge_bounds(a, b, "id")
+
+
+_ITEM = "cast('0x' || substr(md5(l_partkey || '|' || l_suppkey || '|' || l_linenumber || '|' || {}), 1, 15) as bigint)"
+
+
+@query(
+    f"with l as (select l_orderkey, l_returnflag = 'R' as back, {_ITEM.format('cast(l_quantity as int)')} as h, {_ITEM.format('(cast(l_quantity as int) + 1)')} as h1 from lineitem) "
+    "select l_orderkey, bit_xor(h) as before, bit_xor(case when back then h1 else h end) as after, true as same from l group by l_orderkey"
+)
+def hash_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every order's lines, before and after the returned ones changed: the new
+    one from the old and from the lines that went and came, and whether it is that of all
+    lines anew."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"), (F.col("l_returnflag") == "R").alias("back"))
+    item = lambda q: bits.item_hash("l_partkey", "l_suppkey", "l_linenumber", q)
+    old = lines.groupBy("l_orderkey").agg(bits.set_hash(item("q")).alias("before"))
+    delta = lines.where("back").groupBy("l_orderkey").agg(bits.set_hash(item("q")).alias("removed"), bits.set_hash(item(F.col("q") + 1)).alias("added"))
+    anew = lines.withColumn("q", F.when(F.col("back"), F.col("q") + 1).otherwise(F.col("q"))).groupBy("l_orderkey").agg(bits.set_hash(item("q")).alias("anew"))
+    after = old.join(delta, "l_orderkey", "left").withColumn("after", bits.updated_hash("before", "removed", "added"))
+    return after.join(anew, "l_orderkey").select("l_orderkey", "before", "after", (F.col("after") == F.col("anew")).alias("same"))

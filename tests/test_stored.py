@@ -6,9 +6,10 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
+from plyframe.functions import bits
 from plyframe.operators import folds, stored
 from plyframe.persist import cut
-from plyframe.plans import bitmaps, fixpoint, partwise
+from plyframe.plans import bitmaps, demand, fixpoint, partwise, refinement
 from plyframe.plans.journal import COMMITTING, EXPANDING, READY, Journal, Stopped, stop_at
 
 
@@ -108,3 +109,80 @@ def test_lookup_reads_the_layers_that_its_rows_ask_for(spark):
         assert sorted(map(tuple, got.collect())) == sorted((k, 100 + i, i, i % 3 - 1) for k in asked for i in range(40))
         seen = files_read(spark, got)
         assert seen["partitions"] == len(asked) and seen["files"] == every * len(asked) // 6
+
+
+def cyclic(seed, n=60):
+    r = random.Random(seed)
+    nodes = [(i, r.choice([-1, -1, 1, 0]) if r.random() < 0.25 else None) for i in range(n)]
+    edges = {(a, r.randrange(n)) for a, v in nodes if v is None for _ in range(r.randint(0, 3))}
+    return nodes, edges
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_asked_values_are_those_of_the_whole_graph(spark, seed):
+    rows, pairs = cyclic(seed)
+    nodes = spark.createDataFrame(rows, "id long, value int")
+    edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
+    want = {x.id: (x.value, x.decided_at) for x in fixpoint.attractor(nodes, edges).collect()}
+    asked = [3, 7, 7, 20, 999]
+    got, met = demand.evaluate(spark.createDataFrame([(i,) for i in asked], "id long"), nodes, edges)
+    assert {x.id: (x.value, x.decided_at) for x in got.collect()} == {i: want[i] for i in (3, 7, 20)}
+    # met by hand: children of open states, of those with a lost child only the lost ones
+    value, kids = dict(rows), {}
+    for a, b in pairs:
+        kids.setdefault(a, []).append(b)
+    seen, todo = set(), [3, 7, 20]
+    while todo:
+        at = todo.pop()
+        if at in seen:
+            continue
+        seen.add(at)
+        if value[at] is None:
+            below = kids.get(at, [])
+            todo += [b for b in below if value[b] == -1] or below
+    assert met == len(seen) < len(rows)
+    none, met = demand.evaluate(nodes.where("id < 0").select("id"), nodes, edges)
+    assert none.count() == 0 and met == 0
+
+
+def plain_refine(edges, rounds):
+    nodes = {x for e in edges for x in e}
+    colour = dict.fromkeys(nodes, 0)
+    for _ in range(rounds):
+        sign = {x: (colour[x], tuple(sorted(colour[b] for a, b in edges if a == x)), tuple(sorted(colour[a] for a, b in edges if b == x))) for x in nodes}
+        first = {}
+        for x in sorted(nodes):
+            first.setdefault(sign[x], x)
+        if len(set(first.values())) == len(set(colour.values())) and _:
+            return {x: first[sign[x]] for x in nodes}
+        colour = {x: first[sign[x]] for x in nodes}
+    return colour
+
+
+@pytest.mark.parametrize("rounds", [1, 2, None])
+def test_refinement_against_plain_colours(spark, rounds):
+    r = random.Random(6)
+    edges = [(r.randrange(20), r.randrange(20)) for _ in range(26)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (300, 301), (301, 302), (302, 300), (400, 400)]
+    df = spark.createDataFrame([*edges, (None, 1), (1, None)], "src long, dst long")
+    got = {x.id: x["class"] for x in refinement.refine(df, rounds).collect()}
+    assert got == plain_refine(edges, 50 if rounds is None else rounds)
+    assert refinement.refine(df.limit(0)).count() == 0
+
+
+def test_classes_hold_the_symmetries_of_a_board(spark):
+    """The squares of a three by three board: corner, edge and middle."""
+    near = [(3 * y + x, 3 * v + u) for y in range(3) for x in range(3) for v in range(3) for u in range(3) if abs(x - u) + abs(y - v) == 1]
+    got = {x.id: x["class"] for x in refinement.refine(spark.createDataFrame(near, "src long, dst long")).collect()}
+    assert got == {0: 0, 2: 0, 6: 0, 8: 0, 1: 1, 3: 1, 5: 1, 7: 1, 4: 4}
+
+
+def test_hashes_of_sets_follow_their_changes(spark):
+    df = spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, None, 3), (2, "c", 4)], "g int, x string, n int")
+    item = bits.item_hash("x", "n")
+    whole = {r.g: r.h for r in df.groupBy("g").agg(bits.set_hash(item).alias("h")).collect()}
+    back = {r.g: r.h for r in df.orderBy(F.desc("n")).groupBy("g").agg(bits.set_hash(item).alias("h")).collect()}
+    assert whole == back and whole[1] != whole[2]
+    one = {r.n: r.h for r in df.select("n", item.alias("h")).collect()}
+    assert len(set(one.values())) == 4
+    row = spark.createDataFrame([(whole[1], one[2], None), (None, None, one[4])], "old long, removed long, added long")
+    assert [r[0] for r in row.select(bits.updated_hash("old", "removed", "added")).collect()] == [one[1] ^ one[3], whole[2]]
