@@ -16,7 +16,7 @@ from plyframe.games.core import Game, explore, replay, solve, summary
 from plyframe.persist import cut
 from plyframe.operators import folds, tables
 from plyframe.plans import fixpoint, sampling
-from plyframe.queries import query, wall_conflict, wall_slots
+from plyframe.queries import _masks, order_masks, query, wall_conflict, wall_slots
 from plyframe.sources import boards
 from plyframe.sources.derived import event_edges, supply_edges, table
 
@@ -156,15 +156,15 @@ def zdd_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.join(z.scan(spark).select("rank", F.col("mask").alias("again")), "rank")
 
 
-@query("""
-with m(i, k) as (values (0, 7), (1, 28), (2, 112), (3, 193), (4, 273), (5, 290), (6, 324), (7, 392)),
-s as (select mask, list(k) as mm from generate_series(0, 511) t(mask), m where mask & k = k group by mask),
+@query(f"""
+with {_masks(9)}, m(i, k) as (values (0, 7), (1, 28), (2, 112), (3, 193), (4, 273), (5, 290), (6, 324), (7, 392)),
+s as (select mask, list(k) as mm from (select distinct mask from masks), m where mask & k = k group by mask),
 h as (select mask, min(bit_count(p)) as events from s, generate_series(0, 511) u(p) where len(list_filter(mm, lambda x: x & p = 0)) = 0 group by mask)
-select t.mask, cast(coalesce(events, 0) as int) as events from generate_series(0, 511) t(mask) left join h using (mask)
+select id, mask, cast(coalesce(events, 0) as int) as events from masks left join h using (mask)
 """)
 def mill_closings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    masks = spark.range(512).select(F.col("id").alias("mask"))
-    return mill_events(masks, "mask", [sum(1 << p for p in m) for m in native.MORRIS3_MILLS])
+    """How many closings the mills of every order's mask need at least."""
+    return mill_events(order_masks(spark, sf_dir, 9), "mask", [sum(1 << p for p in m) for m in native.MORRIS3_MILLS]).select("id", "mask", "events")
 
 
 @query("select * from (values ('diamond', 9), ('full', 9), ('walls', -3), ('two eyes', 13), ('one eye', 0)) t(name, value)")
@@ -184,15 +184,15 @@ def go_static(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with s as (select 1::bigint << a as a, 1::bigint << b as b, spec from generate_series(0, 15) t(a), generate_series(0, 15) u(b), (values (0, 1, 32768), (1, 8, 4096)) v(spec, start, goal) where a <> b),
-c as (select s.*, start, goal from s join (values (0, 1, 32768), (1, 8, 4096)) v(spec, start, goal) using (spec))
+with l as (select 1::bigint << (l_partkey % 16)::int as a, 1::bigint << (l_suppkey % 16)::int as b from lineitem),
+c as (select l.*, spec, start, goal from l, (values (0, 1, 32768), (1, 8, 4096)) v(spec, start, goal) where a <> b)
 select spec, case when (a | b) & goal = goal and a & goal <> 0 then 'illegal' when (a | b) & start = start and b & start <> 0 then 'lost' else 'open' end as state, count(*) as states from c group by 1, 2
 """)
 def rule_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States of two pieces on 4 x 4 under two choices of home corners."""
-    s = boards.product_space(spark, [16, 16]).where("i0 <> i1")
+    """Lines as states of two pieces on 4 x 4, under two choices of home corners."""
     one = F.lit(1).cast("long")
-    s = s.select(F.call_function("shiftleft", one, F.col("i0").cast("int")).alias("a"), F.call_function("shiftleft", one, F.col("i1").cast("int")).alias("b"))
+    at = lambda c: F.call_function("shiftleft", one, F.pmod(c, F.lit(16)).cast("int"))
+    s = table(spark, sf_dir, "lineitem").select(at("l_partkey").alias("a"), at("l_suppkey").alias("b")).where("a <> b")
     out = None
     for k, (start, goal) in enumerate(((1, 32768), (8, 4096))):
         part = s.select(F.lit(k).alias("spec"), corner_state("a", "b", start, goal).alias("state"))
@@ -317,20 +317,20 @@ def game_breakthrough_4x4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return states.join(summary(spark, native.breakthrough(4, 4)).select("root_value"))
 
 
-@query("with recursive s(k, m) as (select 0, 0 union all select k + 1, m | (1 << c) from s, generate_series(0, 8) t(c) where k < 4 and (m >> c) = 0) select m::bigint as mask, row_number() over (order by list_transform(range(9), lambda i: 1 - ((m >> i::int) & 1))) - 1 as rank from s where k = 4")
+@query(f"with recursive {_masks(9)}, s(k, m) as (select 0, 0 union all select k + 1, m | (1 << c) from s, generate_series(0, 8) t(c) where k < 4 and (m >> c) = 0), r as (select m::bigint as mask, row_number() over (order by list_transform(range(9), lambda i: 1 - ((m >> i::int) & 1))) - 1 as rank from s where k = 4) select id, mask, rank from masks join r using (mask)")
 def subset_lex(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexicographic ranks of the four-subsets of nine cells."""
-    masks = spark.range(512).where("bit_count(id) = 4").select(F.col("id").alias("mask"))
-    return masks.select("mask", ranking.subset_rank_lex(bits.cells("mask", 9), 9, 4).alias("rank"))
+    """Lexicographic ranks of the orders' masks that have four of nine cells."""
+    masks = order_masks(spark, sf_dir, 9).where("bit_count(mask) = 4")
+    return masks.select("id", "mask", ranking.subset_rank_lex(bits.cells("mask", 9), 9, 4).alias("rank"))
 
 
-@query("select m as mask, b as block, row_number() over (partition by b order by m) - 1 as rank from generate_series(0, 511) t(m), generate_series(0, 511, 73) u(b) where bit_count(m) = 3 and m & b = 0")
+@query(f"with {_masks(9)}, f as (select m as mask, b as block, row_number() over (partition by b order by m) - 1 as rank from generate_series(0, 511) t(m), generate_series(0, 511, 73) u(b) where bit_count(m) = 3 and m & b = 0) select id, mask, block, rank from masks join f using (mask) where block = 73 * (id % 8)")
 def restricted_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks of three-subsets of the cells outside a block, for some blocks."""
-    blocks = spark.range(0, 512, 73).select(F.col("id").alias("block"))
-    masks = spark.range(512).where("bit_count(id) = 3").select(F.col("id").alias("mask"))
-    rows = masks.join(F.broadcast(blocks), F.col("mask").bitwiseAND(F.col("block")) == 0)
-    return rows.select("mask", "block", ranking.restricted_rank(bits.cells("mask", 9), "block", 9, 3).alias("rank"))
+    """Ranks of the orders' masks that have three cells, among those outside a block that the
+    order's number chooses."""
+    masks = order_masks(spark, sf_dir, 9).where("bit_count(mask) = 3").withColumn("block", 73 * F.pmod("id", F.lit(8)))
+    rows = masks.where(F.col("mask").bitwiseAND(F.col("block")) == 0)
+    return rows.select("id", "mask", "block", ranking.restricted_rank(bits.cells("mask", 9), "block", 9, 3).alias("rank"))
 
 
 @query("select o_orderkey, case when o_totalprice > 100000 then row_number() over (partition by o_totalprice > 100000 order by o_orderkey) - 1 end as id from orders")
@@ -340,10 +340,11 @@ def selection_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.selection_ids(o, F.col("o_totalprice") > 100000, ["o_orderkey"]).select("o_orderkey", "id")
 
 
-@query("select i as cell, chr((65 + i % 8)::int) || (i // 8 + 1) as name, i as again from generate_series(0, 63) t(i)")
+@query("select p_partkey, p_partkey % 64 as cell, chr((65 + p_partkey % 8)::int) || ((p_partkey % 64) // 8 + 1) as name, p_partkey % 64 as again from part")
 def cell_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spark.range(64).select(F.col("id").alias("cell")).withColumn("name", bits.cell_name("cell", 8))
-    return c.select("cell", "name", bits.cell_of_name("name", 8).cast("long").alias("again"))
+    """Every part's square by name, and the square of the name."""
+    c = table(spark, sf_dir, "part").select("p_partkey", F.pmod("p_partkey", F.lit(64)).alias("cell")).withColumn("name", bits.cell_name("cell", 8))
+    return c.select("p_partkey", "cell", "name", bits.cell_of_name("name", 8).cast("long").alias("again"))
 
 
 @query("select o_orderkey as id, case when o_orderkey % 2 = 0 then o_custkey % 3 - 1 else 1 - o_custkey % 3 end as first, 1 - o_custkey % 3 as other from orders")
@@ -393,12 +394,15 @@ def board_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(grid(3, 3), grid(3, 2), wheel)], "square int, oblong int, wheel int")
 
 
-@query("with b as (select i as block, list_reduce(list_prepend(0::bigint, list_transform(range(9), lambda j: ((i >> j::int) & 1)::bigint)), lambda a, x: a * 2 + x) as mirror from generate_series(0, 511) t(i)) select count(*) as kept, sum(case when block = mirror then 1 else 2 end)::bigint as weight, 512::bigint as blocks from b where block <= mirror")
+@query(f"with {_masks(9)}, d as (select distinct mask as block from masks), t as (select block, list_reduce(list_prepend(0::bigint, list_transform(range(9), lambda j: ((block >> j::int) & 1)::bigint)), lambda a, x: a * 2 + x) as mirror from d), b as (select block, mirror from t union select mirror, block from t) select count(*) as kept, sum(case when block = mirror then 1 else 2 end)::bigint as weight, (select count(*) from b) as blocks from b where block <= mirror")
 def mirror_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Blocks under a mirror: one of each pair is kept, and the weights add up to all."""
-    b = spark.range(512).select(F.col("id").alias("block")).withColumn("mirror", bits.permute("block", list(range(8, -1, -1))))
-    kept = b.withColumn("weight", mirror_weight("block", "mirror")).where("weight is not null")
-    return kept.agg(F.count("*").alias("kept"), F.sum("weight").alias("weight")).withColumn("blocks", F.lit(512).cast("long"))
+    """The orders' masks and their mirrors: one of each pair is kept, and the weights add up to
+    all."""
+    own = order_masks(spark, sf_dir, 9).select(F.col("mask").alias("block")).distinct()
+    mirror = lambda df: df.withColumn("mirror", bits.permute("block", list(range(8, -1, -1))))
+    b = mirror(own.unionByName(mirror(own).select(F.col("mirror").alias("block"))).distinct())
+    weight = mirror_weight("block", "mirror")
+    return b.agg(F.count(weight).alias("kept"), F.sum(weight).cast("long").alias("weight"), F.count("*").alias("blocks"))
 
 
 @query("select l_suppkey, l_partkey, place from (select l_suppkey, l_partkey, cast(row_number() over (partition by l_suppkey order by q desc, l_partkey) as int) as place from (select l_suppkey, l_partkey, max(l_quantity) as q from lineitem group by all)) where place <= 3")

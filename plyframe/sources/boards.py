@@ -26,17 +26,23 @@ def decode_ternary(df: DataFrame, id: str, n: int) -> DataFrame:
     return df.select("*", F.explode(F.array(both)).alias("_m")).select("*", "_m.a", "_m.b").drop("_m")
 
 
+def in_product(df: DataFrame, sizes: list[int]) -> DataFrame:
+    """df with i0, i1, ...: a number ``id`` as a member of a product of ranges, the last one
+    least significant."""
+    out, rest = df, F.col("id")
+    for k, s in enumerate(reversed(sizes)):
+        out = out.withColumn(f"i{len(sizes) - 1 - k}", F.pmod(rest, F.lit(s)))
+        rest = F.call_function("div", rest, F.lit(s).cast("long"))
+    return out.select(*df.columns, *[f"i{k}" for k in range(len(sizes))])
+
+
 def product_space(spark: SparkSession, sizes: list[int]) -> DataFrame:
     """(id, i0, i1, ...) of a product of ranges by arithmetic on one range, so the product
     is dealt out evenly and nothing is joined."""
     total = 1
     for s in sizes:
         total *= s
-    out, rest = spark.range(total), F.col("id")
-    for k, s in enumerate(reversed(sizes)):
-        out = out.withColumn(f"i{len(sizes) - 1 - k}", F.pmod(rest, F.lit(s)))
-        rest = F.call_function("div", rest, F.lit(s).cast("long"))
-    return out.select("id", *[f"i{k}" for k in range(len(sizes))])
+    return in_product(spark.range(total), sizes)
 
 
 def subsets(spark: SparkSession, n: int, k: int) -> DataFrame:
@@ -71,4 +77,4 @@ def moves_of(df: DataFrame, id: str, text: str) -> DataFrame:
     return df.select(id, F.posexplode(F.split(F.trim(F.col(text)), "\\s+")).alias("n", "name"))
 
 
-__all__ = ["bit", "decode_ternary", "mask_of", "moves_of", "parse_rows", "parse_stacks", "product_space", "rank_scan", "subsets"]
+__all__ = ["bit", "decode_ternary", "in_product", "mask_of", "moves_of", "parse_rows", "parse_stacks", "product_space", "rank_scan", "subsets"]
