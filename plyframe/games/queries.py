@@ -16,7 +16,7 @@ from plyframe.games.core import Game, explore, replay, solve, summary
 from plyframe.persist import cut
 from plyframe.operators import folds, tables
 from plyframe.plans import fixpoint, sampling
-from plyframe.queries import _masks, order_masks, query, wall_conflict, wall_slots
+from plyframe.queries import _EDGES, _masks, order_masks, query, wall_conflict, wall_slots
 from plyframe.sources import boards
 from plyframe.sources.derived import event_edges, supply_edges, table
 
@@ -365,21 +365,21 @@ def hash_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with p as (select i % 3 as x, i // 3 as y from generate_series(0, 8) t(i)),
-s as (select a.x as x1, a.y as y1, b.x as x2, b.y as y2, (a.y * 3 + a.x) * 9 + b.y * 3 + b.x as id from p a, p b where (a.x, a.y) < (b.x, b.y))
-select count(*) as pairs, count(*) filter (
+with s as (select distinct l_orderkey as ord, l_partkey % 8 as x1, l_suppkey % 8 as y1, l_linenumber::bigint as x2, l_quantity::bigint % 8 as y2 from lineitem)
+select a.ord as "order", count(*) as pairs, count(*) filter (
   sign((a.x2 - a.x1) * (b.y1 - a.y1) - (a.y2 - a.y1) * (b.x1 - a.x1)) * sign((a.x2 - a.x1) * (b.y2 - a.y1) - (a.y2 - a.y1) * (b.x2 - a.x1)) < 0
   and sign((b.x2 - b.x1) * (a.y1 - b.y1) - (b.y2 - b.y1) * (a.x1 - b.x1)) * sign((b.x2 - b.x1) * (a.y2 - b.y1) - (b.y2 - b.y1) * (a.x2 - b.x1)) < 0) as crossing
-from s a join s b on a.id < b.id
+from s a join s b on a.ord = b.ord and (a.x1, a.y1, a.x2, a.y2) < (b.x1, b.y1, b.x2, b.y2) group by 1
 """)
 def crossings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How many pairs of links between the points of a 3 x 3 board cross."""
-    p = spark.range(9).select(F.pmod("id", F.lit(3)).alias("x"), F.floor(F.col("id") / 3).alias("y"))
-    ends = p.select(F.col("x").alias("x1"), F.col("y").alias("y1")).join(p.select(F.col("x").alias("x2"), F.col("y").alias("y2")), F.struct("x1", "y1") < F.struct("x2", "y2"))
-    links = ends.withColumn("id", (F.col("y1") * 3 + F.col("x1")) * 9 + F.col("y2") * 3 + F.col("x2"))
+    """How many pairs of an order's lines cross, each a link between two points of the plane."""
+    x = table(spark, sf_dir, "lineitem")
+    links = x.select(F.col("l_orderkey").alias("order"), F.pmod("l_partkey", F.lit(8)).alias("x1"), F.pmod("l_suppkey", F.lit(8)).alias("y1"), F.col("l_linenumber").cast("long").alias("x2"), F.pmod(F.col("l_quantity").cast("long"), F.lit(8)).alias("y2")).distinct()
+    names = ("x1", "y1", "x2", "y2")
     a, b = links.alias("a"), links.alias("b")
-    of = lambda k: tuple(F.col(f"{k}.{c}") for c in ("x1", "y1", "x2", "y2"))
-    return a.join(b, F.col("a.id") < F.col("b.id")).agg(F.count("*").alias("pairs"), F.count_if(bits.crossing(of("a"), of("b"))).alias("crossing"))
+    of = lambda k: tuple(F.col(f"{k}.{c}") for c in names)
+    pairs = a.join(b, (F.col("a.order") == F.col("b.order")) & (F.struct(*of("a")) < F.struct(*of("b"))))
+    return pairs.groupBy(F.col("a.order").alias("order")).agg(F.count("*").alias("pairs"), F.count_if(bits.crossing(of("a"), of("b"))).alias("crossing"))
 
 
 @query("select 8 as square, 4 as oblong, 16 as wheel")
@@ -418,3 +418,21 @@ def multiset_same(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = table(spark, sf_dir, "lineitem").select("l_partkey")
     same, other = tables.multiset_equal(x, x.orderBy("l_partkey")), tables.multiset_equal(x, x.distinct())
     return spark.createDataFrame([(same, other)], "same boolean, other boolean")
+
+
+def _step(ply: int) -> str:
+    """SQL of a step of the walks."""
+    mixed = f"((({ply << 40} + dst) % 2147483647) * 48271 + walk * 69621 + {ply * 16807 + 40014}) % 2147483647"
+    return (
+        f"w{ply} as (select walk, {ply} as ply, dst as id from (select walk, dst, row_number() over (partition by walk order by (({mixed}) * 48271) % 2147483647, dst) as k "
+        f"from w{ply - 1} join e on e.layer = {ply - 1} and e.src = w{ply - 1}.id) where k = 1)"
+    )
+
+
+@query(f"with {_EDGES}, w0 as (select o_orderkey as walk, 0 as ply, o_orderkey as id from orders), " + ", ".join(map(_step, (1, 2, 3))) + " select walk, ply, id from w0 union all select walk, ply, id from w1 union all select walk, ply, id from w2 union all select walk, ply, id from w3")
+def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A walk from every order down to a nation."""
+    far = 1 << 40
+    e = supply_edges(spark, sf_dir).select((F.col("layer").cast("long") * far + F.col("src")).alias("src"), ((F.col("layer").cast("long") + 1) * far + F.col("dst")).alias("dst"))
+    roots = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("walk"), F.col("o_orderkey").alias("id"))
+    return sampling.walks(e, roots, 3, seed=1).select("walk", "ply", F.pmod("id", F.lit(far)).alias("id"))

@@ -17,7 +17,7 @@ from plyframe.persist import shared_dir
 from plyframe.plans import fixpoint
 from plyframe.queries import _EVENTS, _SWEEP, _swept, query
 from plyframe.sources import blocks, files, sinks
-from plyframe.sources.derived import event_edges, event_nodes, table
+from plyframe.sources.derived import event_edges, event_nodes, supply_leaves, table
 
 
 def _folder(spark: SparkSession) -> str:
@@ -204,21 +204,25 @@ def reach_plane(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.groupBy("value").agg(F.count("*").alias("states"), F.count_if("reachable").alias("reached"))
 
 
-_BANDS = ", ".join(
-    f"b{k} as (select s.up, s.down, coalesce(case when s.up = 4 or s.down = 0 then (s.up * 5 + s.down * 3) % 3 - 1 end, max(-c.v)) as v from s left join ("
-    + (" union all ".join(f"select * from b{j}" for j in range(k + 1, 9)) or "select 0 as up, 0 as down, 0 as v where false")
-    + f") c on (c.up, c.down) in ((s.up + 1, s.down), (s.up, s.down - 1), (s.up + 1, s.down - 1)) where s.up + 4 - s.down = {k} group by s.up, s.down)"
-    for k in range(8, -1, -1)
+@query(
+    _SWEEP.rsplit("v as (", 1)[0].rstrip().rstrip(",")
+    + ", s2 as (select s_suppkey as id, coalesce(value, -1) as value from supplier left join v2 on id = s_suppkey), "
+    "p1 as (select p_partkey as id, coalesce(max(-s2.value), -1) as value from part left join e on layer = 1 and src = p_partkey left join s2 on s2.id = dst group by p_partkey), "
+    "below as (select l_orderkey as src, -p1.value as v from lineitem join p1 on p1.id = l_partkey union all select l_orderkey, -s2.value from lineitem join s2 on s2.id = l_suppkey), "
+    "o0 as (select o_orderkey as id, coalesce(max(v), -1) as value from orders left join below on src = o_orderkey group by o_orderkey) "
+    "select 0 as band, id, value from o0 union all select 1, id, value from p1 union all select 2, id, value from s2 union all select 3, id, value from leaf"
 )
-
-
-@query(f"with s as (select i // 5 as up, i % 5 as down from generate_series(0, 24) t(i)), {_BANDS} select (up + 4 - down)::int as band, up * 5 + down as id, v as value from (" + " union all ".join(f"select * from b{k}" for k in range(9)) + ")")
 def banded_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A board of two measures, of which a move raises one, lowers the other, or does both."""
-    s = spark.range(25).select("id", F.floor(F.col("id") / 5).alias("up"), F.pmod("id", F.lit(5)).alias("down"))
-    ends = (F.col("up") == 4) | (F.col("down") == 0)
-    states = s.select((F.col("up") + 4 - F.col("down")).cast("int").alias("band"), "id", F.when(ends, F.pmod(F.col("up") * 5 + F.col("down") * 3, F.lit(3)) - 1).cast("int").alias("value"))
-    step = F.explode(F.array(F.lit(5), F.lit(-1), F.lit(4))).alias("by")  # id = 5 up + down
-    moves = s.where(~ends).select(F.col("id").alias("src"), step).select("src", (F.col("src") + F.col("by")).alias("dst"))
-    return fixpoint.banded_sweep(states, moves, folds.negamax(), -1)
-
+    """Orders, parts, suppliers and nations as bands; an order leads to its parts, and past
+    them to its suppliers."""
+    far = 1 << 40
+    code = lambda band, c: F.col(c).cast("long") + band * far
+    lines, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+    none = F.lit(None).cast("int").alias("value")
+    own = lambda t, c, band: table(spark, sf_dir, t).select(F.lit(band).alias("band"), code(band, c).alias("id"), none)
+    leaves = supply_leaves(spark, sf_dir).select(F.lit(3).alias("band"), code(3, "id").alias("id"), "value")
+    states = own("orders", "o_orderkey", 0).unionByName(own("part", "p_partkey", 1)).unionByName(own("supplier", "s_suppkey", 2)).unionByName(leaves)
+    step = lambda df, a, i, b, k: df.select(code(i, a).alias("src"), code(k, b).alias("dst"))
+    moves = step(lines, "l_orderkey", 0, "l_partkey", 1).unionByName(step(lines, "l_orderkey", 0, "l_suppkey", 2)).unionByName(step(lines, "l_partkey", 1, "l_suppkey", 2)).distinct().unionByName(step(supplier, "s_suppkey", 2, "s_nationkey", 3))
+    swept = fixpoint.banded_sweep(states, moves, folds.negamax(), -1)
+    return swept.select("band", F.pmod("id", F.lit(far)).alias("id"), "value")

@@ -27,13 +27,14 @@ def and_or(value: str = "value") -> Column:
 
 def child_lookup(edges: DataFrame, values: DataFrame, missing: str = "drop") -> DataFrame:
     """edges (src, dst) with the child's value. A child that is not in values is dropped
-    ("drop"), counts as drawn ("draw"), or ends the query ("fail")."""
+    ("drop"), counts as drawn ("draw", with a column that tells: defaulted), or ends the query
+    ("fail")."""
     v = values.select(F.col("id").alias("dst"), "value")
     if missing == "drop":
         return edges.join(v, "dst")
     out = edges.join(v.withColumn("_there", F.lit(True)), "dst", "left")
     if missing == "draw":
-        return out.withColumn("value", F.when(F.col("_there"), F.col("value")).otherwise(0)).drop("_there")
+        return out.withColumn("value", F.when(F.col("_there"), F.col("value")).otherwise(0)).withColumn("defaulted", F.col("_there").isNull()).drop("_there")
     wrong = F.raise_error(F.concat(F.lit("no value for child "), F.col("dst").cast("string")))
     return out.withColumn("value", F.when(F.col("_there"), F.col("value")).otherwise(wrong.cast("int"))).drop("_there")
 

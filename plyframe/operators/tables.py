@@ -39,13 +39,37 @@ def compare_golden(values: DataFrame, golden: DataFrame, key: str) -> DataFrame:
     return golden.join(values, key, "left").withColumn("ok", F.col("expected").eqNullSafe(F.col("actual")))
 
 
-def conflict_pairs(items: DataFrame, id: str, conflict) -> DataFrame:
-    """(a, b), a < b, of items for which conflict(left, right) holds. For the small tables
-    of a board's geometry: the join is by an inequality."""
+def conflict_pairs(items: DataFrame, id: str, conflict, within: str | None = None) -> DataFrame:
+    """(a, b), a < b, of items for which conflict(left, right) holds. With ``within`` only items
+    that have it in common meet, by an equi-join, and it is a column of the result: what
+    grows is the groups, which should be small. Without, for the small tables of a board's
+    geometry: the join is by an inequality."""
     x, y = items.alias("x"), items.alias("y")
     left = lambda c: F.col(f"x.{c}")
     right = lambda c: F.col(f"y.{c}")
-    return x.join(y, (left(id) < right(id)) & conflict(left, right)).select(left(id).alias("a"), right(id).alias("b"))
+    both = (left(id) < right(id)) & conflict(left, right)
+    if within is not None:
+        both = (left(within) == right(within)) & both
+    return x.join(y, both).select(*([left(within).alias(within)] if within else []), left(id).alias("a"), right(id).alias("b"))
+
+
+def independent_sets_within(items: DataFrame, conflicts: DataFrame, group: str, most: int) -> DataFrame:
+    """(group, k, members) of all sets of up to ``most`` items of a group that do not conflict:
+    items (group, id), conflicts (group, a, b), members ids in rising order. A step adds to
+    each set the later items of its group that conflict with none in it. Every group has the
+    empty set."""
+    ways = conflicts.select(group, "a", F.col("b").alias("o")).unionByName(conflicts.select(group, F.col("b").alias("a"), F.col("a").alias("o")))
+    shut = ways.groupBy(group, F.col("a").alias("id")).agg(F.collect_set("o").alias("shut"))  # at most a group's items
+    own = cut(items.select(group, "id").distinct().join(shut, [group, "id"], "left"))
+    kind = dict(own.dtypes)["id"]
+    now = own.select(group).distinct().select(group, F.lit(0).alias("k"), F.array().cast(f"array<{kind}>").alias("members"))
+    out = now
+    for k in range(1, most + 1):
+        free = (F.size("members") == 0) | (F.try_element_at("members", F.lit(-1)) < F.col("id"))
+        now = now.join(own, group).where(free & ~F.coalesce(F.arrays_overlap("members", "shut"), F.lit(False)))
+        now = cut(now.select(group, F.lit(k).alias("k"), F.array_append("members", F.col("id")).alias("members")))
+        out = out.unionByName(now)
+    return out
 
 
 def independent_sets(items: DataFrame, conflicts: DataFrame, most: int) -> DataFrame:

@@ -20,6 +20,27 @@ def sample_ids(df: DataFrame, id: str, one_in: int, seed: int = 0) -> DataFrame:
     return df.where(F.pmod(F.col(id) * 48271 + seed * 16807, F.lit(2147483647)) % one_in == 0)
 
 
+def scramble(ply: int, seed: int, walk: str = "game") -> Column:
+    """Of a child ``dst``, the number by which one is picked: arithmetic on seed, walk, ply and
+    the child, the same on any engine."""
+    mixed = F.pmod(F.pmod("dst", F.lit(MODULUS)) * MULTIPLIER + F.col(walk) * 69621 + (ply * 16807 + seed * 40014), F.lit(MODULUS))
+    return F.pmod(mixed * MULTIPLIER, F.lit(MODULUS))
+
+
+def walks(edges: DataFrame, roots: DataFrame, steps: int, seed: int = 0) -> DataFrame:
+    """(walk, ply, id): walks along edges (src, dst) from roots (walk, id), each step to the
+    child with the least scramble, ties to the least id; a walk without a child ends. A step
+    is one join, and an aggregation in which a state with many children is picked from in
+    parts first."""
+    now = cut(roots.select("walk", F.lit(0).alias("ply"), "id"))
+    edges, out = cut(edges.select(F.col("src").alias("id"), "dst")), now
+    for ply in range(1, steps + 1):
+        pick = F.min_by("dst", F.struct(scramble(ply, seed, "walk"), "dst"))
+        now = cut(now.join(edges, "id").groupBy("walk").agg(pick.alias("id")).select("walk", F.lit(ply).alias("ply"), "id"))
+        out = out.unionByName(now)
+    return out
+
+
 def playouts(spark: SparkSession, game: Game, n: int, seed: int = 0, most: int = 10_000) -> DataFrame:
     """(game, ply, id): n games of moves picked by arithmetic on seed, game, ply and the
     child, the same on any engine: the child with the least scramble, ties to the least id. A
@@ -29,8 +50,7 @@ def playouts(spark: SparkSession, game: Game, n: int, seed: int = 0, most: int =
     for ply in range(1, most + 1):
         going = game.decide(now.select("id").distinct()).where("value is null").select("id")
         moves = game.children(going)
-        mixed = F.pmod(F.pmod("dst", F.lit(MODULUS)) * MULTIPLIER + F.col("game") * 69621 + (ply * 16807 + seed * 40014), F.lit(MODULUS))
-        pick = F.min_by("dst", F.struct(F.pmod(mixed * MULTIPLIER, F.lit(MODULUS)), "dst"))
+        pick = F.min_by("dst", F.struct(scramble(ply, seed), "dst"))
         now = cut(now.join(moves, "id").groupBy("game").agg(pick.alias("id")).select("game", F.lit(ply).alias("ply"), "id"))
         if now.isEmpty():
             return out

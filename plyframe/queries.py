@@ -6,7 +6,7 @@ import uuid
 from contextlib import suppress
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plyframe.functions import bits, ranking, symmetry
@@ -84,8 +84,18 @@ def subset_enum(spark: SparkSession, sf_dir: str) -> DataFrame:
 def wall_slots(spark: SparkSession, n: int) -> DataFrame:
     """(id, x, y, o) of the wall slots of an n x n board, two cells long: o 0 horizontal, 1
     vertical."""
-    m = n - 1
-    return spark.range(2 * m * m).select("id", F.pmod("id", F.lit(m)).alias("x"), F.pmod(F.floor(F.col("id") / m), F.lit(m)).alias("y"), F.floor(F.col("id") / (m * m)).alias("o"))
+    return _slots(spark.range(2 * (n - 1) ** 2), n - 1)
+
+
+def _slots(df: DataFrame, m: int) -> DataFrame:
+    return df.select("*", F.pmod("id", F.lit(m)).alias("x"), F.pmod(F.floor(F.col("id") / m), F.lit(m)).alias("y"), F.floor(F.col("id") / (m * m)).alias("o"))
+
+
+def order_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(order, id, x, y, o): the wall slots of a 6 x 6 board that the lines of every order fall
+    on, each once."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), F.pmod("l_partkey", F.lit(50)).alias("id"))
+    return _slots(lines.distinct(), 5)
 
 
 def wall_conflict(a, b):
@@ -96,23 +106,28 @@ def wall_conflict(a, b):
     return cross | across | along
 
 
-_SLOTS = "slots as (select i as id, i % {m} as x, (i // {m}) % {m} as y, i // {mm} as o from generate_series(0, {last}) t(i))"
+_SLOTS = "slots as (select distinct l_orderkey as ord, l_partkey % 50 as id, l_partkey % 50 % 5 as x, (l_partkey % 50 // 5) % 5 as y, l_partkey % 50 // 25 as o from lineitem)"
 _CONFLICT = "((a.x = b.x and a.y = b.y) or (a.o = 0 and b.o = 0 and a.y = b.y and abs(a.x - b.x) = 1) or (a.o = 1 and b.o = 1 and a.x = b.x and abs(a.y - b.y) = 1))"
 
 
-@query(f"with {_SLOTS.format(m=5, mm=25, last=49)} select a.id as a, b.id as b from slots a join slots b on a.id < b.id and {_CONFLICT}")
+@query(f'with {_SLOTS} select a.ord as "order", a.id as a, b.id as b from slots a join slots b on a.ord = b.ord and a.id < b.id and {_CONFLICT}')
 def conflict_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.conflict_pairs(wall_slots(spark, 6), "id", wall_conflict)
+    """Which walls of an order cross or overlap."""
+    return tables.conflict_pairs(order_walls(spark, sf_dir), "id", wall_conflict, "order")
 
 
-@query("select * from (values (0, 1::bigint), (1, 50), (2, 1160), (3, 16590)) t(k, sets)")
+@query(
+    f"with recursive {_SLOTS}, bad as (select a.ord, a.id as a, list(b.id) as no from slots a join slots b on a.ord = b.ord and a.id <> b.id and {_CONFLICT} group by 1, 2), "
+    "f(ord, k, m, last) as (select distinct ord, 0, []::bigint[], -1::bigint from slots union all select f.ord, k + 1, list_append(m, s.id), s.id from f join slots s on s.ord = f.ord and s.id > last "
+    "left join bad on bad.ord = s.ord and bad.a = s.id where k < 3 and not list_has_any(coalesce(no, []), m)) select k, count(*) as sets from f group by k"
+)
 def wall_configs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    slots = wall_slots(spark, 6)
-    sets = tables.independent_sets(slots, tables.conflict_pairs(slots, "id", wall_conflict), 3)
+    """How many sets of up to three walls of an order do not cross or overlap."""
+    walls = order_walls(spark, sf_dir)
+    sets = tables.independent_sets_within(walls, tables.conflict_pairs(walls, "id", wall_conflict, "order"), "order", 3)
     return sets.groupBy("k").agg(F.count("*").alias("sets"))
 
 
-
 @query(f"with {_BOARDS9} select id, a as x, b as o, cast(9 - bit_count(a) - bit_count(b) as int) as empty from boards")
 def parse_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The orders' boards written as text, and read back."""
@@ -288,10 +303,12 @@ def bucketed_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _by_parent(stored.bucketed_lookup(journal.in_buckets(e, "dst"), journal.in_buckets(v, "id")))
 
 
-@query(_L2 + ", few as (select * from v2 where id % 2 = 0)" + _BY_PARENT.format("select src, dst, coalesce(value, 0) as value from e left join few on dst = id where layer = 1"))
+@query(_L2 + ", few as (select * from v2 where id % 2 = 0), f as (select src, dst, coalesce(value, 0) as value, value is null as gone from e left join few on dst = id where layer = 1) select src, count(*) as children, sum(value)::bigint as total, sum(dst * (value + 2))::bigint as mixed, count(*) filter (gone) as defaults from f group by src")
 def default_child(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every other supplier has no value and counts as drawn; how many did is told."""
     e, v = _suppliers(spark, sf_dir)
-    return _by_parent(folds.child_lookup(e, v.where("id % 2 = 0"), missing="draw"))
+    found = folds.child_lookup(e, v.where("id % 2 = 0"), missing="draw")
+    return _by_parent(found).join(found.groupBy("src").agg(F.count_if("defaulted").alias("defaults")), "src")
 
 
 @query(_L2 + " select distinct src as id from e where layer = 1 and exists (select 1 from v2 where id = dst and value = -1)")
@@ -482,16 +499,23 @@ def perft(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with recursive w as (select 0 as col, 0 as used, 1::hugeint as ways union all
-  select col + 1, used + h, sum(ways)::hugeint from w, generate_series(0, 4) t(h) where col < 6 group by col + 1, used + h)
-select used as stones, cast(ways as decimal(38, 0)) as ways from w where col = 6
+with l as (select l_orderkey, cast(l_quantity as bigint) as q, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) - 1 as i from lineitem),
+o as (select l_orderkey, list(q order by i) as qs, count(*) as n from l group by 1),
+s as (select l_orderkey, list_sum(list_transform(range(n), lambda i: case when (m >> i::int) & 1 = 1 then qs[i + 1] else 0 end)) % 7 as residue from (select *, unnest(range(1 << n::int)) as m from o))
+select l_orderkey, coalesce(residue, 0)::int as residue, cast(count(*) as decimal(38, 0)) as ways from s group by 1, 2
 """)
 def count_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ways to fill six columns of height four with so many stones, a column at a time."""
-    w = spark.range(1).select(F.lit(0).alias("stones"), F.lit(1).cast("decimal(38,0)").alias("ways"))
-    for _ in range(6):
-        h = F.explode(F.sequence(F.lit(0), F.lit(4)))
-        w = w.select("stones", "ways", h.alias("h")).groupBy((F.col("stones") + F.col("h")).alias("stones")).agg(F.sum("ways").cast("decimal(38,0)").alias("ways"))
+    """In how many ways some of an order's lines add up to each remainder of seven: a line at
+    a time, taken or left."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("q"), "l_linenumber", "l_partkey")
+    lines = cut(lines.withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "q"))))
+    ways = F.lit(1).cast("decimal(38,0)")
+    w = lines.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("residue"), ways.alias("ways"))
+    for k in range(1, (lines.agg(F.max("i")).first()[0] or 0) + 1):  # as many passes as the longest order has lines
+        line = lines.where(F.col("i") == k).select("l_orderkey", "q")
+        taken = F.explode(F.when(F.col("q").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(F.lit(0).cast("long"), F.col("q")))).alias("add")
+        w = w.join(line, "l_orderkey", "left").select("l_orderkey", "residue", "ways", taken)
+        w = cut(w.groupBy("l_orderkey", F.pmod(F.col("residue") + F.col("add"), F.lit(7)).cast("int").alias("residue")).agg(F.sum("ways").cast("decimal(38,0)").alias("ways")))
     return w
 
 
@@ -622,17 +646,17 @@ def pv(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- comparisons, windows, sets ----------------------------------------------------------
 
 @query("""
-with a as (select c_custkey as id, c_nationkey % 3 as value from customer where c_custkey % 5 <> 0),
-b as (select c_custkey as id, case when c_custkey % 7 = 0 then 9 else c_nationkey % 3 end as value from customer where c_custkey % 4 <> 0)
+with a as (select c_custkey as id, c_nationkey % 3 as value from customer), b as (select o_custkey as id, count(*) % 3 as value from orders group by 1)
 select count(*) filter (b.id is null) as only_a, count(*) filter (a.id is null) as only_b,
        count(*) filter (a.id is not null and b.id is not null and a.value is not distinct from b.value) as equal,
        count(*) filter (a.id is not null and b.id is not null and a.value is distinct from b.value) as different
 from a full join b on a.id = b.id
 """)
 def table_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.pmod("c_nationkey", F.lit(3)).alias("value"))
-    b = c.where("id % 4 <> 0").withColumn("value", F.when(F.expr("id % 7 = 0"), 9).otherwise(F.col("value")))
-    return tables.table_diff(c.where("id % 5 <> 0"), b, "id", "value")
+    """Customers against those that ordered, and values that are mostly different."""
+    a = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.pmod("c_nationkey", F.lit(3)).cast("long").alias("value"))
+    b = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.pmod(F.count("*"), F.lit(3)).alias("value"))
+    return tables.table_diff(a, b, "id", "value")
 
 
 @query("""
@@ -702,14 +726,15 @@ def bitmap_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-with a as (select p_partkey as id, p_size as lower, p_size + 10 as upper from part where p_partkey % 3 <> 0),
-b as (select p_partkey as id, p_size + p_partkey % 15 as lower, p_size + 20 as upper from part where p_partkey % 5 <> 0)
+with a as (select p_partkey as id, p_size::bigint as lower, p_size::bigint + 10 as upper from part),
+b as (select l_partkey as id, min(l_quantity)::bigint as lower, max(l_quantity)::bigint as upper from lineitem group by 1)
 select id, greatest(a.lower, b.lower) as lower, least(a.upper, b.upper) as upper, greatest(a.lower, b.lower) <= least(a.upper, b.upper) as consistent from a full join b using (id)
 """)
 def bounds_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("long").alias("s"))
-    a = p.where("id % 3 <> 0").select("id", F.col("s").alias("lower"), (F.col("s") + 10).alias("upper"))
-    b = p.where("id % 5 <> 0").select("id", (F.col("s") + F.pmod("id", F.lit(15))).alias("lower"), (F.col("s") + 20).alias("upper"))
+    """Bounds from the parts' sizes and from the quantities that were ordered of them."""
+    size = F.col("p_size").cast("long")
+    a = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), size.alias("lower"), (size + 10).alias("upper"))
+    b = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.min("l_quantity").cast("long").alias("lower"), F.max("l_quantity").cast("long").alias("upper"))
     return tables.merge_bounds(a, b, "id")
 
 
