@@ -16,7 +16,7 @@ from plyframe.games.core import Game, explore, replay, solve, summary
 from plyframe.persist import cut
 from plyframe.operators import folds, tables
 from plyframe.plans import fixpoint, sampling
-from plyframe.queries import _EDGES, _masks, order_masks, query, wall_conflict, wall_slots
+from plyframe.queries import _EDGES, _masks, boards_of, order_boards, order_masks, query, wall_conflict, wall_slots
 from plyframe.sources import boards
 from plyframe.sources.derived import event_edges, supply_edges, table
 
@@ -205,13 +205,14 @@ def sample_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_ids(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id")), "id", 10, 1)
 
 
-@query("""
-with c as (select k, list_reduce(list_prepend(1::hugeint, list_transform(range(1, (k + 1) // 2 + 1), lambda i: i::hugeint)), lambda a, x: a) as one from generate_series(0, 6) t(k)),
-b as (select k, (k + 1) // 2 as w, k // 2 as s from c)
-select cast(k as int) as layer, cast(2 * round(exp(lgamma(17) - lgamma(w + 1) - lgamma(17 - w))) * round(exp(lgamma(17 - w) - lgamma(s + 1) - lgamma(17 - w - s))) as decimal(38, 0)) as states from b
+@query(f"""
+with {boards_of(9)}, n as (select id, bit_count(a) as n1, bit_count(b) as n2 from boards), f as (select i, round(exp(lgamma(i + 1)))::bigint as v from generate_series(0, 9) t(i))
+select id, cast(x.v // (p.v * q.v * r.v) as decimal(38, 0)) as states from n join f x on x.i = 9 join f p on p.i = n1 join f q on q.i = n2 join f r on r.i = 9 - n1 - n2
 """)
 def estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.estimate(spark, 16, 6)
+    """How many boards have as many pieces of each side as every order's."""
+    n = order_boards(spark, sf_dir).select("id", F.bit_count("a").alias("n1"), F.bit_count("b").alias("n2"))
+    return sampling.placement_counts(n, 9, ["n1", "n2"]).select("id", "states")
 
 
 @query("select l_suppkey as id from lineitem where l_quantity > 30 intersect select l_suppkey from lineitem where l_discount > 0.05")
@@ -436,3 +437,24 @@ def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = supply_edges(spark, sf_dir).select((F.col("layer").cast("long") * far + F.col("src")).alias("src"), ((F.col("layer").cast("long") + 1) * far + F.col("dst")).alias("dst"))
     roots = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("walk"), F.col("o_orderkey").alias("id"))
     return sampling.walks(e, roots, 3, seed=1).select("walk", "ply", F.pmod("id", F.lit(far)).alias("id"))
+
+
+@query(f"""
+with {boards_of(12)}, {_BREAKTHROUGH.strip()},
+p as (select id, a, b, id % 2 as s from boards),
+o as (select *, case when s = 0 then (b & 7) <> 0 or a = 0 else (a & (7 << 9)) <> 0 or b = 0 end as over from p),
+k as (select id, count(distinct ((case when o.s = 0 then (a - f) | t else a & ~t end) | ((case when o.s = 1 then (b - f) | t else b & ~t end) << 12) | ((1 - o.s)::bigint << 24))) as children
+  from o join m on m.s = o.s and ((case when o.s = 0 then a else b end) & f) <> 0 and ((case when o.s = 0 then a else b end) & t) = 0 and (diagonal or ((case when o.s = 0 then b else a end) & t) = 0)
+  where not over group by id)
+select o.id, a | (b << 12) | (s::bigint << 24) as state, over, coalesce(children, 0) as children from o left join k using (id)
+""")
+def expand_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The orders' boards as breakthrough on 3 x 4: whether each is over, and how many different
+    states a move leads to."""
+    game = native.breakthrough(3, 4)
+    state = F.col("a").bitwiseOR(shift("b", 12)).bitwiseOR(shift(F.pmod("id", F.lit(2)), 24))
+    orders = cut(order_boards(spark, sf_dir, 12).select(F.col("id").alias("order"), state.alias("id")))
+    judged = cut(game.decide(orders.select("id").distinct()))
+    moves = game.children(judged.where("value is null").select("id")).groupBy("id").agg(F.count_distinct("dst").alias("children"))
+    out = orders.join(judged, "id").join(moves, "id", "left")
+    return out.select(F.col("order").alias("id"), F.col("id").alias("state"), F.col("value").isNotNull().alias("over"), F.coalesce("children", F.lit(0)).cast("long").alias("children"))

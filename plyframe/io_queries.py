@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from plyframe.operators import folds
 from plyframe.persist import shared_dir
 from plyframe.plans import fixpoint
-from plyframe.queries import _EVENTS, _SWEEP, _swept, query
+from plyframe.queries import _EVENTS, _SWEEP, _swept, boards_of, order_boards, query
 from plyframe.sources import blocks, files, sinks
 from plyframe.sources.derived import event_edges, event_nodes, supply_leaves, table
 
@@ -137,6 +137,16 @@ def value_dump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_value_dump(spark, uri, 7, 1).groupBy(F.col("code").cast("int").alias("code")).agg(F.count("*").alias("n"), F.sum("rank").alias("ranks"))
 
 
+@query(f"with {boards_of(36)}, n as (select l_orderkey as id, count(*) as n from lineitem group by 1) select row_number() over (order by id) - 1 as rank, a as mover, b as other, (id % 3)::int as kind, -n as lower, n + id % 20 as upper from boards join n using (id)")
+def bounds_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bounds of the orders' boards with 36 cells, as text records of thirteen bytes."""
+    n = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("n"))
+    rows = order_boards(spark, sf_dir, 36).join(n, "id").select("id", F.col("a").alias("mover"), F.col("b").alias("other"), F.pmod("id", F.lit(3)).alias("kind"), (-F.col("n")).alias("lower"), (F.col("n") + F.pmod("id", F.lit(20))).alias("upper"))
+    uri = f"{_folder(spark)}/bounds"
+    sinks.write_bounds(rows, uri, "id")
+    return files.read_bounds(spark, uri)
+
+
 @query("select s_nationkey as empties, s_name as board, round(s_acctbal, 2) as book_wl, s_suppkey as nodes from supplier")
 def result_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tab-separated results with a header; a row without a result is dropped."""

@@ -7,6 +7,7 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyframe.functions.ranking import binomials
 from plyframe.games.core import Game
 from plyframe.persist import cut
 
@@ -72,8 +73,14 @@ def placements(n: int, pieces: list[int]) -> int:
     return out
 
 
-def estimate(spark: SparkSession, n: int, most: int) -> DataFrame:
-    """(layer, states): how many diagrams of two sides have so many pieces in all, one in
-    turn each, as exact decimals."""
-    rows = [(k, str(2 * placements(n, [(k + 1) // 2, k // 2]))) for k in range(most + 1)]
-    return spark.createDataFrame(rows, "layer int, s string").select("layer", F.col("s").cast("decimal(38,0)").alias("states"))
+def placement_counts(rows: DataFrame, n: int, pieces: list[str]) -> DataFrame:
+    """rows with states: how many boards of n cells have as many pieces of each kind as the
+    columns say, as exact decimals; 0 where there are more than cells. The coefficients are a
+    table of the board's size."""
+    c = F.broadcast(binomials(rows.sparkSession, n).select(F.col("n").alias("_n"), F.col("k").alias("_k"), F.col("c").alias("_c")))
+    out, left, states = rows, F.lit(n), F.lit(1).cast("decimal(38,0)")
+    for k in pieces:
+        out = out.withColumn("_left", left).join(c, (F.col("_n") == F.col("_left")) & (F.col("_k") == F.col(k)), "left")
+        out = out.withColumn(f"_{k}", F.coalesce("_c", F.lit(0).cast("long"))).drop("_n", "_k", "_c", "_left")
+        left, states = left - F.col(k), (states * F.col(f"_{k}")).cast("decimal(38,0)")
+    return out.withColumn("states", states).drop(*(f"_{k}" for k in pieces))

@@ -40,11 +40,12 @@ def order_masks(spark: SparkSession, sf_dir: str, cells: int) -> DataFrame:
     return lines.groupBy("id").agg(F.bit_or("bit").alias("mask"))
 
 
-def order_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(id, a, b): 3 x 3 boards, on which odd lines are of one side, even ones of the other where
-    the cell is free."""
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.expr("shiftleft(1L, cast(pmod(l_partkey, 9) as int))").alias("bit"), (F.col("l_linenumber") % 2 == 1).alias("odd"))
-    both = lines.groupBy("id").agg(F.coalesce(F.bit_or(F.when(F.col("odd"), F.col("bit"))), F.lit(0).cast("long")).alias("a"), F.coalesce(F.bit_or(F.when(~F.col("odd"), F.col("bit"))), F.lit(0).cast("long")).alias("b"))
+def order_boards(spark: SparkSession, sf_dir: str, cells: int = 9) -> DataFrame:
+    """(id, a, b): boards, 3 x 3 ones as they are, on which odd lines are of one side, even ones
+    of the other where the cell is free."""
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.expr(f"shiftleft(1L, cast(pmod(l_partkey, {cells}) as int))").alias("bit"), (F.col("l_linenumber") % 2 == 1).alias("odd"))
+    side = lambda c: F.coalesce(F.bit_or(F.when(c, F.col("bit"))), F.lit(0).cast("long"))
+    both = lines.groupBy("id").agg(side(F.col("odd")).alias("a"), side(~F.col("odd")).alias("b"))
     return both.select("id", "a", F.col("b").bitwiseAND(F.bitwise_not("a")).alias("b"))
 
 
@@ -52,10 +53,14 @@ def _masks(cells: int) -> str:
     return f"masks as (select l_orderkey as id, bit_or(1::bigint << (l_partkey % {cells})::int) as mask from lineitem group by l_orderkey)"
 
 
-_BOARDS9 = (
-    "ab as (select l_orderkey as id, coalesce(bit_or(case when l_linenumber % 2 = 1 then 1::bigint << (l_partkey % 9)::int end), 0) as a, "
-    "coalesce(bit_or(case when l_linenumber % 2 = 0 then 1::bigint << (l_partkey % 9)::int end), 0) as b0 from lineitem group by l_orderkey), boards as (select id, a, b0 & ~a as b from ab)"
-)
+def boards_of(cells: int) -> str:
+    return (
+        f"ab as (select l_orderkey as id, coalesce(bit_or(case when l_linenumber % 2 = 1 then 1::bigint << (l_partkey % {cells})::int end), 0) as a, "
+        f"coalesce(bit_or(case when l_linenumber % 2 = 0 then 1::bigint << (l_partkey % {cells})::int end), 0) as b0 from lineitem group by l_orderkey), boards as (select id, a, b0 & ~a as b from ab)"
+    )
+
+
+_BOARDS9 = boards_of(9)
 
 
 @query("""
@@ -604,6 +609,18 @@ def demanded_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.withColumn("states_met", F.lit(met).cast("long"))
 
 
+@query(
+    _ATTRACT.format(most=80)
+    + ", v as (select id, value, case when id % 89 = 0 then decided_at + 1 else decided_at end as decided_at from s), "
+    "c as (select g.src as id, min(case when v.value = -1 then v.decided_at end) + 1 as quick, max(case when v.value = 1 then v.decided_at end) + 1 as slow from g join v on g.dst = v.id group by g.src) "
+    "select id, decided_at, case value when 1 then quick else slow end as expected from v join c using (id) where value in (1, -1) and decided_at <> case value when 1 then quick else slow end"
+)
+def depth_audit_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the audit of distances finds where every eighty-ninth is one too long."""
+    longer = F.col("decided_at") + F.when(F.col("id") % 89 == 0, 1).otherwise(0)
+    return fixpoint.depth_audit(cut(_attracted(spark, sf_dir).withColumn("decided_at", longer)), event_edges(spark, sf_dir))
+
+
 def _two_layers(nodes: DataFrame) -> DataFrame:
     n = F.col("id") < 300
     return nodes.select(F.when(n, 1).otherwise(0).alias("layer"), "id", "value")

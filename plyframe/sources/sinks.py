@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plyframe.persist import cut
-from plyframe.sources.files import CHUNK, PROOF
+from plyframe.sources.files import CHUNK, DIGITS, PROOF
 
 #: records between two entries of a part's directory
 BLOCK = 4096
@@ -164,6 +164,24 @@ def write_layer_database(df: DataFrame, uri: str, w: int, h: int, root: list[int
     write_in_order(df.select("ply", *names, "value"), uri, ["ply", *map(_unsigned, names)], pack, header)
 
 
+def write_bounds(df: DataFrame, uri: str, order: str) -> None:
+    """(mover, other, kind, lower, upper) as 13-byte text records, which files.read_bounds
+    reads, in the order of a column: boards of 36 cells, kinds from 0, bounds from -36."""
+    letters = np.frombuffer(DIGITS.encode(), dtype=np.uint8)
+
+    def pack(d: pd.DataFrame) -> tuple[bytes, None]:
+        out = np.full((len(d), 13), 10, dtype=np.uint8)
+        mover, other = d["mover"].to_numpy(), d["other"].to_numpy()
+        for i in range(9):
+            digit = sum(3**j * ((mover >> (4 * i + j) & 1) + 2 * (other >> (4 * i + j) & 1)) for j in range(4))
+            out[:, i] = letters[digit]
+        for i, c in enumerate((d["kind"], d["lower"] + 36, d["upper"] + 36)):
+            out[:, 9 + i] = letters[c.to_numpy()]
+        return out.tobytes(), None
+
+    write_in_order(df.select(order, "mover", "other", "kind", "lower", "upper"), uri, [order], pack)
+
+
 def write_verdict_text(df: DataFrame, path: str) -> None:
     """(a, b, x, value) as lines of hexadecimal boards and W, L or D."""
     verdict = F.when(F.col("value") == 1, "W").when(F.col("value") == -1, "L").otherwise("D")
