@@ -17,7 +17,6 @@ from plyframe.persist import cut
 from plyframe.operators import folds, tables
 from plyframe.plans import fixpoint, sampling
 from plyframe.queries import _EDGES, _masks, boards_of, order_boards, order_masks, query, wall_conflict, wall_slots
-from plyframe.sources import boards
 from plyframe.sources.derived import event_edges, supply_edges, table
 
 
@@ -167,20 +166,20 @@ def mill_closings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mill_events(order_masks(spark, sf_dir, 9), "mask", [sum(1 << p for p in m) for m in native.MORRIS3_MILLS]).select("id", "mask", "events")
 
 
-@query("select * from (values ('diamond', 9), ('full', 9), ('walls', -3), ('two eyes', 13), ('one eye', 0)) t(name, value)")
+@query(f"""
+with recursive {boards_of(9)}, d as (select distinct a, b from boards), c as (select i, i % 3 as x, i // 3 as y from generate_series(0, 8) t(i)),
+adj as (select p.i as i, q.i as j from c p join c q on abs(p.x - q.x) + abs(p.y - q.y) = 1),
+r(a, b, i, j) as (select a, b, i, i from d, c where ((a | b) >> i::int) & 1 = 0 union select r.a, r.b, r.i, adj.j from r join adj on adj.i = r.j where ((r.a | r.b) >> adj.j::int) & 1 = 0),
+touch as (select r.a, r.b, r.i, bool_or((r.a >> adj.j::int) & 1 = 1) as black, bool_or((r.b >> adj.j::int) & 1 = 1) as white from r join adj on adj.i = r.j group by all),
+area as (select a, b, sum(case when black and not white then 1 when white and not black then -1 else 0 end) as s from touch group by a, b)
+select id, cast(bit_count(a) - bit_count(b) + coalesce(s, 0) as int) as score from boards left join area using (a, b)
+""")
 def go_static(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published static values: area scores of 3 x 3 boards, and how many white stones of
-    5 x 5 boards are alive whatever happens."""
-    small = [("diamond", ".X./X.X/.X."), ("full", "XXX/XXX/XXX"), ("walls", "XXX/OOO/...")]
-    large = [("two eyes", "OOOOO/O.O.O/OOOOO/...../....."), ("one eye", "OOOOO/O...O/OOOOO/...../.....")]
-    out = None
-    for rows, n in ((small, 3), (large, 5)):
-        t = spark.createDataFrame(rows, "name string, board string").withColumn("board", boards.parse_rows("board"))
-        t = t.select("name", boards.mask_of("board", "X").alias("x"), boards.mask_of("board", "O").alias("o"))
-        c = board_columns("x", "o", n, n)
-        one = t.select("name", (c["score"] if n == 3 else F.bit_count(c["alive_b"])).alias("value"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Area scores of the orders' boards: stones and empty regions that touch one colour. Each
+    different board is judged once."""
+    b = cut(order_boards(spark, sf_dir))
+    judged = b.select("a", "b").distinct().withColumn("score", board_columns("a", "b", 3, 3)["score"])
+    return b.join(judged, ["a", "b"]).select("id", "score")
 
 
 @query("""

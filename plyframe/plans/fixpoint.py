@@ -105,7 +105,11 @@ def banded_sweep(states: DataFrame, edges: DataFrame, fold: Column, stuck: int)
     return done
 
 
-def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None, journal: Journal | None = None) -> DataFrame:
+#: parts that an attractor keeps count of at most
+PARTS = 256
+
+
+def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None, journal: Journal | None = None, part: Column | None = None) -> DataFrame:
     """(id, value, decided_at): win, loss and distance of every node of a cyclic graph.
 
     nodes are (id, value), value null where open; edges (src, dst) are distinct. In a pass
@@ -116,15 +120,31 @@ def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None, journ
     nodes that they touch. The tables of open and of decided nodes are written anew every few
     passes, in buckets of id. most ends after so many passes. A node without children that is
     not decided stays open. A journal that holds passes of the same run is taken up.
+
+    part, a whole number made of ``id`` with at most ``PARTS`` values, puts the open nodes in
+    folders. How many are open in each is counted along with the passes, and a part without
+    any is not read again.
     """
     j = journal or Journal(edges.sparkSession)
+    folders = {"open": ["part"]} if part is not None else None
+    parted = (lambda df: df.withColumn("part", part.cast("int"))) if part is not None else (lambda df: df)
+
+    def sizes(df: DataFrame) -> dict:
+        """How many nodes are open in each part: a row a part."""
+        if part is None:
+            return {}
+        rows = df.groupBy(part.cast("int").alias("part")).agg(F.count("*").alias("n")).limit(PARTS + 1).collect()
+        if len(rows) > PARTS:
+            raise ValueError(f"more than {PARTS} parts")
+        return {"parts": {str(r.part): r.n for r in rows}}
+
     arrows = edges.select("src", F.col("dst").alias("id"))
     if not j.steps:
         nodes = nodes.select("id", F.col("value").cast("int"))
         degree = arrows.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("left"))
         open_ = nodes.where("value is null").select("id").join(degree, "id", "left").select("id", F.coalesce("left", F.lit(0)).cast("long").alias("left"))
         done = nodes.where("value is not null").select("id", "value", F.lit(0).alias("decided_at"))
-        j.commit({"done": done, "open": open_}, {"open": "id"}, {"news": F.count(F.lit(1))}, depth=0)
+        j.commit({"done": done, "open": parted(open_)}, {"open": "id"}, {"news": F.count(F.lit(1))}, folders, depth=0, **sizes(open_))
     e = None
     while True:
         base, beside = _after(j, "open")
@@ -135,11 +155,15 @@ def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None, journ
         # (id, left, won, value, decided_at): open nodes that a pass touched, with the children
         # that it found won, decided or still open
         moved = [j.read(s, "moved") for s in beside]
-        open_, done = j.read(base, "open"), j.read(base, "done")
+        open_, done = j.read(base, "open").drop("part"), j.read(base, "done")
+        left_in = {k: n - sum(s.tables["moved"].counts.get(f"part {k}", 0) for s in beside) for k, n in base.notes.get("parts", {}).items()}
+        if part is not None and len(beside) < BESIDE:
+            open_ = j.read(base, "open").where(F.col("part").isin([int(k) for k, n in left_in.items() if n])).drop("part")
         if len(beside) >= BESIDE:
             rest, decided = _settled(open_, moved)
             now = F.count_if(F.col("decided_at") == depth)
-            j.commit({"done": done.unionByName(decided), "open": rest}, {"open": "id"}, {"news": now}, depth=depth)
+            told = {"parts": {k: n for k, n in left_in.items() if n}} if part is not None else {}
+            j.commit({"done": done.unionByName(decided), "open": parted(rest)}, {"open": "id"}, {"news": now}, folders, depth=depth, **told)
             j.forget(j.steps[-1].number)
             continue
         if e is None:
@@ -155,9 +179,13 @@ def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None, journ
         value = F.when(F.col("lost"), 1).when(F.col("won") + before >= F.col("left"), -1)
         step = touched.select("id", "won", value.alias("value")).where("won > 0 or value is not null")
         step = step.select("id", "won", F.col("value").cast("int").alias("value"), F.when(F.col("value").isNotNull(), F.lit(depth + 1)).alias("decided_at"))
-        j.commit({"moved": step}, None, {"news": F.count_if(F.col("value").isNotNull())}, depth=depth + 1)
+        news = {"news": F.count_if(F.col("value").isNotNull())}
+        for k, n in left_in.items():
+            if n:
+                news[f"part {k}"] = F.count_if((part.cast("int") == int(k)) & F.col("value").isNotNull())
+        j.commit({"moved": step}, None, news, depth=depth + 1)
     base, beside = _after(j, "open")
-    rest, decided = _settled(j.read(base, "open"), [j.read(s, "moved") for s in beside])
+    rest, decided = _settled(j.read(base, "open").drop("part"), [j.read(s, "moved") for s in beside])
     undecided = rest.select("id", F.lit(None).cast("int").alias("value"), F.lit(None).cast("int").alias("decided_at"))
     return _all([j.read(base, "done"), *([decided] if decided is not None else []), undecided])
 

@@ -87,6 +87,7 @@ class Table:
     counts: dict[str, int]
     key: str | None = None
     buckets: int = 0
+    folders: list[str] = field(default_factory=list)
 
 
 @dataclass
@@ -180,16 +181,16 @@ class Journal:
             seen = Observation()
             wanted = {"rows": F.count(F.lit(1)), **(counts or {} if not out else {})}
             watched = df.observe(seen, *(c.alias(k) for k, c in wanted.items()))
-            key, buckets = (keys or {}).get(name), 0
+            key, buckets, by = (keys or {}).get(name), 0, (folders or {}).get(name, [])
             if key is None:
-                watched.write.partitionBy(*(folders or {}).get(name, [])).parquet(f"{at}/{name}")
+                watched.write.partitionBy(*by).parquet(f"{at}/{name}")
             else:
-                buckets = bucketed(watched, key, f"{at}/{name}")
+                buckets = bucketed(watched, key, f"{at}/{name}", by)
             try:
                 got = seen.get
             except Py4JJavaError:  # a plan that turned out to be empty has nothing left that counts
                 got = self.spark.read.schema(df.schema).parquet(f"{at}/{name}").agg(*(c.alias(k) for k, c in wanted.items())).first().asDict()
-            out[name] = Table(df.schema.json(), {k: int(got[k] or 0) for k in wanted}, key, buckets)
+            out[name] = Table(df.schema.json(), {k: int(got[k] or 0) for k in wanted}, key, buckets, by)
         step = Step(number, COMMITTING, out, notes)
         self._put(step)
         self._finish(step)
@@ -203,7 +204,7 @@ class Journal:
             if t.key is None:
                 self.frames[here] = self.spark.read.schema(schema).parquet(at)
             else:
-                self.known[here] = catalogued(self.spark, at, schema, t.key, t.buckets)
+                self.known[here] = catalogued(self.spark, at, schema, t.key, t.buckets, t.folders)
                 self.frames[here] = self.spark.table(self.known[here])
         return self.frames[here]
 
@@ -229,21 +230,25 @@ class Journal:
         self.files.delete(self.path)
 
 
-def bucketed(df: DataFrame, key: str, path: str) -> int:
-    """Writes df to the folder in buckets of the key, one sorted file each; gives how many."""
+def bucketed(df: DataFrame, key: str, path: str, folders: list[str] | None = None) -> int:
+    """Writes df to the folder in buckets of the key, one sorted file each, in a folder for each
+    value of the columns ``folders``; gives how many buckets."""
     spark = df.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"ply_{uuid.uuid4().hex}"
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name, format="parquet")
+    df.repartition(n, key).write.partitionBy(*folders or []).bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name, format="parquet")
     spark.sql(f"drop table {name}")  # the files stay; who reads them names them anew
     return n
 
 
-def catalogued(spark: SparkSession, path: str, schema: StructType, key: str, buckets: int) -> str:
+def catalogued(spark: SparkSession, path: str, schema: StructType, key: str, buckets: int, folders: list[str] | None = None) -> str:
     """A name in the session's catalog for what ``bucketed`` wrote."""
     name = f"ply_{uuid.uuid4().hex}"
     columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-    spark.sql(f"create table {name} ({columns}) using parquet clustered by (`{key}`) sorted by (`{key}`) into {buckets} buckets location '{path}'")
+    by = f"partitioned by ({', '.join(f'`{c}`' for c in folders)})" if folders else ""
+    spark.sql(f"create table {name} ({columns}) using parquet {by} clustered by (`{key}`) sorted by (`{key}`) into {buckets} buckets location '{path}'")
+    if folders:
+        spark.catalog.recoverPartitions(name)
     return name
 
 

@@ -545,6 +545,15 @@ def retro_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _attracted(spark, sf_dir)
 
 
+@query(_ATTRACT.format(most=80) + "select id, value, decided_at from s")
+def retro_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same on open events in sixteen ranges, of which a pass reads those with open ones."""
+    nodes = event_nodes(spark, sf_dir)
+    n = max(nodes.count(), 1)
+    part = F.least(F.lit(15).cast("long"), F.call_function("div", F.col("id") * 16, F.lit(n)))
+    return fixpoint.attractor(nodes, event_edges(spark, sf_dir), part=part)
+
+
 @query(_ATTRACT.format(most=80) + "select value, max(decided_at) as max_depth, count(*) as states from s where value is not null group by value")
 def attractor_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.depth_by_value(_attracted(spark, sf_dir))

@@ -27,6 +27,16 @@ def test_alive_and_bounds():
     assert predicates.territory_bounds(1, 2, 0, 2, 2) == (0, 0)  # shared ground counts for nobody
 
 
+def test_published_static_values():
+    """Area scores of 3 x 3 boards, and how many white stones of 5 x 5 boards are alive whatever
+    happens."""
+    mask = lambda text, c: sum(1 << i for i, x in enumerate(text.replace("/", "")) if x == c)
+    for board, score in ((".X./X.X/.X.", 9), ("XXX/XXX/XXX", 9), ("XXX/OOO/...", -3)):
+        assert predicates.area_score(mask(board, "X"), mask(board, "O"), 3, 3) == score
+    for board, alive in (("OOOOO/O.O.O/OOOOO/...../.....", 13), ("OOOOO/O...O/OOOOO/...../.....", 0)):
+        assert predicates.unconditionally_alive(mask(board, "O"), 0, 5, 5).bit_count() == alive
+
+
 @pytest.mark.parametrize("n,seed", [(6, 1), (10, 2)])
 def test_zdd(spark, n, seed):
     r = random.Random(seed)

@@ -77,11 +77,12 @@ def test_sweep_in_parts_goes_on_with_the_missing_ones(spark):
 
 def files_read(spark, df):
     """What the scans of the last query read: {files, partitions} of the scan with partitions."""
-    df.write.format("noop").mode("overwrite").save()
+    if df is not None:
+        df.write.format("noop").mode("overwrite").save()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     store = spark._jsparkSession.sharedState().statusStore()
     runs = store.executionsList()
     last = runs.apply(runs.size() - 1).executionId()
-    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
     values, each, nodes = {}, store.executionMetrics(last).iterator(), store.planGraph(last).allNodes()
     while each.hasNext():
         pair = each.next()
@@ -186,3 +187,27 @@ def test_hashes_of_sets_follow_their_changes(spark):
     assert len(set(one.values())) == 4
     row = spark.createDataFrame([(whole[1], one[2], None), (None, None, one[4])], "old long, removed long, added long")
     assert [r[0] for r in row.select(bits.updated_hash("old", "removed", "added")).collect()] == [one[1] ^ one[3], whole[2]]
+
+
+def test_parts_without_open_nodes_are_not_read_again(spark, monkeypatch):
+    """A chain through five parts: the one at its end is decided first."""
+    n = 50
+    nodes = spark.createDataFrame([(i, -1 if i == n - 1 else None) for i in range(n)], "id long, value int")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src long, dst long")
+    want = sorted(map(tuple, fixpoint.attractor(nodes, edges, 22).collect()), key=str)
+    seen, commit = [], Journal.commit
+
+    def counted(self, given, *args, **notes):
+        out = commit(self, given, *args, **notes)
+        if "moved" in given:
+            seen.append(files_read(spark, None))
+        return out
+
+    monkeypatch.setattr(Journal, "commit", counted)
+    got = fixpoint.attractor(nodes, edges, 22, part=F.floor(F.col("id") / 10))
+    parts = [x["partitions"] for x in seen]
+    assert len(parts) == 22 and parts[0] == 5 and parts[-1] == 3 and parts == sorted(parts, reverse=True)
+    assert sorted(map(tuple, got.collect()), key=str) == want
+    with pytest.raises(ValueError, match="parts"):
+        monkeypatch.setattr(fixpoint, "PARTS", 3)
+        fixpoint.attractor(nodes, edges, part=F.floor(F.col("id") / 10))
