@@ -13,6 +13,7 @@ rows are those up to the last drawn key, so nothing is joined back.
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 import zlib
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plyframe.llm.common import LOWER, cut, shared_dir, stored, table, texts_together
+from plyframe.persist import written
 
 N_BUCKETS = 10_000
 PERCENT = 10
@@ -242,6 +244,7 @@ def _write_runs(df: DataFrame) -> list[str]:
     """The files of df, whose partitions are sorted: each is a run."""
     folder = f"{shared_dir(df.sparkSession)}/runs-{uuid.uuid4().hex}"
     df.write.option("parquet.block.size", 1 << 20).parquet(folder)
+    written(df.sparkSession, folder)
     return sorted(df.sparkSession.read.schema(df.schema).parquet(folder).inputFiles())
 
 
@@ -251,8 +254,6 @@ _SCHEMA = "score long, doc_id long, uid long, n_features long, weight long"
 def drawn(rows: DataFrame, draw: int) -> DataFrame:
     """(score, doc_id, uid, n_features, weight, rank) of the first ``draw`` of the rows by score
     from above, then doc_id from below, nulls last, then uid; stored."""
-    import itertools
-
     spark = rows.sparkSession
     n = rows.count()
     parts = max(1, min(RANGES, -(-draw // DRAWS)))

@@ -36,18 +36,18 @@ MOST_NORM = float(1 << 62)
 _ANY = np.int64(1 << 62)
 
 
-def fit_rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """For each length in a sample of (id, v) an orthogonal matrix, principal components of the
-    second moments first. Lengths outside the sample keep their components."""
-    rows = vectors.orderBy(F.xxhash64("id"), "id").select("v").limit(SAMPLE).collect()  # at most SAMPLE rows
-    by: dict[int, list] = {}
-    for r in rows:
-        by.setdefault(len(r.v), []).append(r.v)
+def fit_rotations(rows: DataFrame) -> dict[int, np.ndarray]:
+    """For each length in a sample of packed rows (id, dim, q) an orthogonal matrix, principal
+    components of the second moments first. Lengths outside the sample keep their components."""
+    sample = rows.orderBy(F.xxhash64("id"), "id").select("dim", "q").limit(SAMPLE).collect()  # at most SAMPLE rows
+    by: dict[int, list[bytes]] = {}
+    for r in sample:
+        by.setdefault(r.dim, []).append(bytes(r.q))
     out = {}
-    for dim, v in by.items():
-        x = np.asarray(v, dtype=np.float64)
+    for dim, packed in by.items():
         if dim:
-            x = x / max(1.0, np.abs(x).max())
+            x = np.frombuffer(b"".join(packed), dtype="<i4").reshape(-1, dim).astype(np.float64)
+            x /= max(1.0, np.abs(x).max())
             out[dim] = np.linalg.eigh(x.T @ x)[1][:, ::-1].copy()
     return out
 
@@ -204,16 +204,6 @@ def integer_rows(rows: DataFrame, scale: int = 256) -> DataFrame:
     return stored(sized.mapInArrow(pack, "id long, label long, dim long, q binary"))
 
 
-def unpacked(packed: DataFrame) -> DataFrame:
-    """(id, v) of a bounded table of packed rows, v as integers again."""
-
-    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for d in batches:
-            yield pd.DataFrame({"id": d["id"], "v": [np.frombuffer(x, dtype="<i4").astype(np.int64) for x in d["q"]]})
-
-    return packed.mapInPandas(unpack, "id long, v array<long>")
-
-
 def hard_negatives(rows: DataFrame, is_anchor, positives: int = 5, negatives: int = 5, least: int = 80, most: int = 100) -> DataFrame:
     """(anchor_id, positive_id, rank, negative_id, positive_score, negative_score): for each
     row that is_anchor holds for (a condition on ``id``) and each of its first ``positives``
@@ -226,7 +216,7 @@ def hard_negatives(rows: DataFrame, is_anchor, positives: int = 5, negatives: in
     so does a window that is empty as the positive's score is negative. An empty table gives
     none. Equal vectors under different ids are rows of their own.
     """
-    rotations = fit_rotations(unpacked(rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)))
+    rotations = fit_rotations(rows)
     anchors = rows.where(is_anchor)
     near = stored(_ranked(_matched(anchors, rows, ["label", "dim"], _matcher(rotations, positives, True)), ["anchor"], positives).select("anchor", "other", "score"))
     # scores s with least * p <= 100 * s <= most * p, as whole numbers

@@ -1,9 +1,9 @@
 """Near-duplicate embeddings by randomised-rotation binary codes.
 
 Equal vectors are one representative with a multiplicity. Every pair of representatives of a
-label and a length is estimated: a representative is rotated at random and keeps the signs,
-which give an unbiased estimate of a pair's inner product, <s_x, y> / (sqrt(d) f_x), where
-f_x is the stored correction factor of x. Pairs whose confidence bound stays below the
+label and a length is estimated: a representative is rotated at random and its signs are
+stored as bits, which give an unbiased estimate of a pair's inner product,
+<s_x, y> / (sqrt(d) f_x), where f_x is the stored correction factor of x. Pairs whose confidence bound stays below the
 threshold are dropped; for the rest the cosine is computed in double precision.
 
 The pairs are dealt out as tiles of two blocks of about ``TILE`` rows, so the work grows with
@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plyframe.llm.common import components, connected, stored, table
+from plyframe.llm.common import components, connected, few, stored, table
 
 THRESHOLD = 0.93
 TILE = 2048
@@ -42,13 +42,32 @@ def encode(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return turned > 0, np.abs(turned).sum(axis=1) / np.sqrt(unit.shape[1])
 
 
-def linked_pairs(unit_a, unit_b, factor_a, threshold: float = THRESHOLD):
-    """Index pairs of rows whose cosine reaches the threshold: estimate, bound, verify."""
+def turned(unit: np.ndarray) -> np.ndarray:
+    """A block after the rotation, in single precision: what estimates are made of."""
+    return (unit @ rotation(unit.shape[1])).astype(np.float32)
+
+
+def signs_of(codes: list[bytes], dim: int) -> np.ndarray:
+    """Stored codes as +1 and -1."""
+    raw = np.frombuffer(b"".join(codes), dtype=np.uint8).reshape(len(codes), -(-dim // 8))
+    return np.unpackbits(raw, axis=1)[:, :dim].astype(np.float32) * 2 - 1
+
+
+def linked_pairs(unit_a, unit_b, factor_a, threshold: float = THRESHOLD, signs_a=None, turned_b=None):
+    """Index pairs of rows whose cosine reaches the threshold: estimate, bound, verify. The
+    estimate is one product in single precision, whose rounding the bound allows for; signs
+    and the rotated block are made here unless they are given."""
     dim = unit_a.shape[1]
-    first = rotation(dim)
-    estimate = np.where(encode(unit_a)[0], 1.0, -1.0) @ (unit_b @ first).T / (np.sqrt(dim) * factor_a[:, None])
+    if signs_a is None:
+        signs_a = np.where(encode(unit_a)[0], 1, -1).astype(np.float32)
+    if turned_b is None:
+        turned_b = turned(unit_b)
+    estimate = signs_a @ turned_b.T
     spread = np.sqrt(np.maximum(0, 1 - factor_a**2)) / factor_a * np.sqrt((1 - threshold**2) / max(1, dim - 1))
-    i, j = np.nonzero(estimate + SIGMAS * spread[:, None] + 1e-9 >= threshold)
+    rounding = 1e-9 + 4 * dim * float(np.finfo(np.float32).eps) / factor_a
+    # the least product of signs that may still belong to a link
+    least = (threshold - SIGMAS * spread - rounding) * np.sqrt(dim) * factor_a
+    i, j = np.nonzero(estimate >= least[:, None])
     out_i, out_j = [], []
     for lo in range(0, len(i), 1 << 16):
         x, y = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
@@ -76,9 +95,10 @@ def _tile(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
     links = np.zeros(len(rows), dtype=np.int64)
     all_i, all_j = [], []
     other = a if same else b
+    signs, beside = signs_of(list(rows["code"]), dim), turned(unit[other])
     for lo in range(0, len(a), 256):
         mine = a[lo : lo + 256]
-        i, j = linked_pairs(unit[mine], unit[other], factor[mine])
+        i, j = linked_pairs(unit[mine], unit[other], factor[mine], signs_a=signs[mine], turned_b=beside)
         i, j = mine[i], other[j]
         if same:
             i, j = i[i < j], j[i < j]
@@ -141,17 +161,18 @@ def near_vectors(rows: DataFrame) -> DataFrame:
             for dim in np.unique(dims):
                 part = d[dims == dim]
                 raw = [np.asarray(x, dtype=np.float32 if real == "float" else np.float64).tobytes() for x in part["v"]]
-                _, factor = encode(_unit(raw, int(dim)))
-                yield pd.DataFrame({"rid": part["rid"], "label": part["label"], "times": part["times"], "dim": int(dim), "vec": raw, "factor": factor})
+                positive, factor = encode(_unit(raw, int(dim)))
+                codes = [x.tobytes() for x in np.packbits(positive, axis=1)]
+                yield pd.DataFrame({"rid": part["rid"], "label": part["label"], "times": part["times"], "dim": int(dim), "vec": raw, "code": codes, "factor": factor})
 
-    marked = stored(reps.select("rid", "label", "times", "v").mapInPandas(mark, "rid long, label long, times long, dim long, vec binary, factor double"))
-    sizes = marked.groupBy("label", "dim").agg(F.expr(f"int(ceil(count(*) / {TILE}))").alias("blocks"))
+    marked = stored(reps.select("rid", "label", "times", "v").mapInPandas(mark, "rid long, label long, times long, dim long, vec binary, code binary, factor double"))
+    sizes = few(stored(marked.groupBy("label", "dim").agg(F.expr(f"int(ceil(count(*) / {TILE}))").alias("blocks"))), "3")
     # a row goes to the tiles that compare its block with each other block
     tiles = (
-        marked.join(F.broadcast(sizes), ["label", "dim"])
+        marked.join(sizes, ["label", "dim"])
         .withColumn("block", F.expr("int(pmod(xxhash64(rid), blocks))"))
         .withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-        .select("label", "dim", F.least("block", "with").alias("ti"), F.greatest("block", "with").alias("tj"), F.expr("int(block > with)").alias("side"), "rid", "times", "vec", "factor")
+        .select("label", "dim", F.least("block", "with").alias("ti"), F.greatest("block", "with").alias("tj"), F.expr("int(block > with)").alias("side"), "rid", "times", "vec", "code", "factor")
         .repartition("label", "dim", "ti", "tj")
         .sortWithinPartitions("label", "dim", "ti", "tj")
     )
