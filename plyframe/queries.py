@@ -148,8 +148,11 @@ select p_partkey, bit_count(p_partkey) as n, list_filter(range(20), lambda i: (p
        p_partkey & -p_partkey as low from part
 """)
 def bits_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").select("p_partkey").withColumn("cells", bits.cells("p_partkey", 20))
-    return p.select("p_partkey", bits.popcount("p_partkey").cast("long").alias("n"), F.col("cells").cast("array<bigint>").alias("cells"), bits.from_cells("cells").alias("again"), bits.lowest_bit("p_partkey").alias("low"))
+    """The set bits of every part's number; the cells shown are the first twenty, the number is
+    put together from all of them."""
+    p = table(spark, sf_dir, "part").select("p_partkey").withColumn("every", bits.cells("p_partkey", 63))
+    cells = F.filter("every", lambda i: i < 20).cast("array<bigint>")
+    return p.select("p_partkey", bits.popcount("p_partkey").cast("long").alias("n"), cells.alias("cells"), bits.from_cells("every").alias("again"), bits.lowest_bit("p_partkey").alias("low"))
 
 
 @query("""
