@@ -513,18 +513,20 @@ s as (select l_orderkey, list_sum(list_transform(range(n), lambda i: case when (
 select l_orderkey, coalesce(residue, 0)::int as residue, cast(count(*) as decimal(38, 0)) as ways from s group by 1, 2
 """)
 def count_dp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """In how many ways some of an order's lines add up to each remainder of seven: a line at
-    a time, taken or left."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("long").alias("q"), "l_linenumber", "l_partkey")
-    lines = cut(lines.withColumn("i", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "q"))))
-    ways = F.lit(1).cast("decimal(38,0)")
-    w = lines.select("l_orderkey").distinct().select("l_orderkey", F.lit(0).alias("residue"), ways.alias("ways"))
-    for k in range(1, (lines.agg(F.max("i")).first()[0] or 0) + 1):  # as many passes as the longest order has lines
-        line = lines.where(F.col("i") == k).select("l_orderkey", "q")
-        taken = F.explode(F.when(F.col("q").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.array(F.lit(0).cast("long"), F.col("q")))).alias("add")
-        w = w.join(line, "l_orderkey", "left").select("l_orderkey", "residue", "ways", taken)
-        w = cut(w.groupBy("l_orderkey", F.pmod(F.col("residue") + F.col("add"), F.lit(7)).cast("int").alias("residue")).agg(F.sum("ways").cast("decimal(38,0)").alias("ways")))
-    return w
+    """In how many ways some of an order's lines add up to each remainder of seven. Lines of
+    the same remainder do the same to the counts, so an order is seven numbers of lines, made
+    in one aggregation; its counts then take one line after the other, taken or left."""
+    q = F.pmod(F.coalesce(F.col("l_quantity").cast("long"), F.lit(0)), F.lit(7))  # an unknown quantity adds nothing
+    own = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(*(F.count_if(q == r).alias(f"n{r}") for r in range(7)))
+    whole = lambda x: F.lit(x).cast("decimal(38,0)")
+
+    def with_line(r: int):
+        return lambda w, _: F.array(*((w[k] + w[(k - r) % 7]).cast("decimal(38,0)") for k in range(7)))
+
+    own = own.select("l_orderkey", *(f"n{r}" for r in range(7)), F.array(whole(1), *(whole(0) for _ in range(6))).alias("ways"))
+    for r in range(7):
+        own = own.withColumn("ways", F.aggregate(F.array_repeat(F.lit(0), F.col(f"n{r}").cast("int")), F.col("ways"), with_line(r)))
+    return own.select("l_orderkey", F.posexplode("ways").alias("residue", "ways")).where("ways > 0")
 
 
 # --- fixpoints on a cyclic graph ---------------------------------------------------------

@@ -1,5 +1,7 @@
 """Queries on tables with keys and groups that the small ones do not have."""
 
+import decimal
+
 from plyframe import queries
 
 
@@ -12,3 +14,24 @@ def test_bits_of_a_number_past_the_cells_shown(spark, tmp_path):
     save(spark, tmp_path, "part", [(big,), (7,), (0,)], "p_partkey long")
     got = {r.p_partkey: (r.n, list(r.cells), r.again) for r in queries.bits_explode(spark, str(tmp_path)).collect()}
     assert got == {big: (4, [0, 2], big), 7: (3, [0, 1, 2], 7), 0: (0, [], 0)}
+
+
+def test_remainders_in_one_aggregation(spark, tmp_path, monkeypatch):
+    """No table is written line by line; a line of unknown quantity is taken or left too."""
+
+    def refused(df):
+        raise AssertionError("written")
+
+    monkeypatch.setattr(queries, "cut", refused)
+    lines = [(1, q) for q in (3.0, 4.0, 10.0, 7.0)] + [(2, None)] + [(3, float(i)) for i in range(1, 31)]
+    save(spark, tmp_path, "lineitem", [(k, 1, i, q) for i, (k, q) in enumerate(lines)], "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double")
+    want = {}
+    for order in (1, 2, 3):
+        ways = {0: 1}
+        for q in (int(q or 0) for k, q in lines if k == order):
+            more = dict(ways)
+            for r, n in ways.items():
+                more[(r + q) % 7] = more.get((r + q) % 7, 0) + n
+            ways = more
+        want |= {(order, r): decimal.Decimal(n) for r, n in ways.items()}
+    assert {(r.l_orderkey, r.residue): r.ways for r in queries.count_dp(spark, str(tmp_path)).collect()} == want
