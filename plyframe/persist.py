@@ -30,6 +30,10 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: rows of a stored table that one task reads, where its rows are counted
+TASK_ROWS = 262_144
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Like cut(), as a compressed parquet table: for wide rows that are read in part. It
     stays, as results read it, until clear()."""

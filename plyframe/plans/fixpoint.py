@@ -16,12 +16,24 @@ from plyframe.plans.journal import Journal, Step, in_buckets
 
 #: passes whose changes are kept beside the table that they change before they go into it
 BESIDE = 8
+#: rows of a side of a pass's join that Spark may broadcast, through the driver, at most
+FEW_ROWS = 131_072
 
 
 def _all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def _side(df: DataFrame, rows: int) -> DataFrame:
+    """df of so many rows as a side of a join: a large one is joined by a merge, so that no
+    pass sends it through the driver, however small its file is."""
+    return df if rows <= FEW_ROWS else df.hint("merge")
+
+
+def _rows(steps: list[Step], table: str) -> int:
+    return sum(s.tables[table].counts["rows"] for s in steps if table in s.tables)
+
+
 def _after(journal: Journal, table: str) -> tuple[Step | None, list[Step]]:
     """The last step that wrote ``table`` anew, and the steps since."""
     at = max((i for i, s in enumerate(journal.steps) if table in s.tables), default=None)
@@ -51,10 +63,10 @@ def reach(edges: DataFrame, roots: DataFrame, most: int | None = None, journal:
             continue
         if e is None:
             e = in_buckets(edges.select(F.col("src").alias("id"), "dst"), "id")
-        front = fronts[-1] if fronts else seen.where(F.col("depth") == depth)
-        new = front.join(e, "id").select(F.col("dst").alias("id")).distinct().join(seen, "id", "left_anti")
+        front = _side(fronts[-1] if fronts else seen.where(F.col("depth") == depth), grew)
+        new = front.join(e, "id").select(F.col("dst").alias("id")).distinct().join(_side(seen, base.tables["seen"].counts["rows"]), "id", "left_anti")
         if fronts:
-            new = new.join(_all(fronts), "id", "left_anti")
+            new = new.join(_side(_all(fronts), _rows(beside, "front")), "id", "left_anti")
         j.commit({"front": new.select("id", F.lit(depth + 1).alias("depth"))}, depth=depth + 1)
     base, beside = _after(j, "seen")
     return _all([j.read(base, "seen"), *(j.read(s, "front") for s in beside)])
@@ -117,9 +129,11 @@ def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None, journ
     all won is lost, so decided_at is the distance to the end under best play. What stays
     open has value null: a draw. For every open node the number of children not yet known to
     be won is kept; a pass joins the last decisions with their parents, and writes the open
-    nodes that they touch. The tables of open and of decided nodes are written anew every few
-    passes, in buckets of id. most ends after so many passes. A node without children that is
-    not decided stays open. A journal that holds passes of the same run is taken up.
+    nodes that they touch. Every few passes the open nodes are written anew, in buckets of id,
+    with the edges that lead from them, so later passes read neither decided nodes nor their
+    edges; what was decided is written once and stays. most ends after so many passes. A node
+    without children that is not decided stays open. A journal that holds passes of the same
+    run is taken up.
 
     part, a whole number made of ``id`` with at most ``PARTS`` values, puts the open nodes in
     folders. How many are open in each is counted along with the passes, and a part without
@@ -163,18 +177,21 @@ def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None, journ
             rest, decided = _settled(open_, moved)
             now = F.count_if(F.col("decided_at") == depth)
             told = {"parts": {k: n for k, n in left_in.items() if n}} if part is not None else {}
-            j.commit({"done": done.unionByName(decided), "open": parted(rest)}, {"open": "id"}, {"news": now}, folders, depth=depth, **told)
-            j.forget(j.steps[-1].number)
+            stay = base.tables["open"].counts["rows"]
+            live = (arrows if e is None else e).join(_side(rest.select(F.col("id").alias("src")), stay), "src", "left_semi")
+            j.commit({"done": decided, "open": parted(rest), "edges": live.select("src", "id")}, {"open": "id", "edges": "id"}, {"news": now}, folders, depth=depth, **told)
+            j.forget(j.steps[-1].number, ("done",))
+            e = None
             continue
         if e is None:
-            e = in_buckets(arrows, "id")
-        front = moved[-1].where("value is not null") if moved else done.where(F.col("decided_at") == depth)
+            e = j.read(base, "edges") if "edges" in base.tables else in_buckets(arrows, "id")
+        front = _side(moved[-1].where("value is not null") if moved else done.where(F.col("decided_at") == depth), news)
         touched = e.join(front.select("id", "value"), "id").groupBy(F.col("src").alias("id")).agg(F.bool_or(F.col("value") == -1).alias("lost"), F.count_if(F.col("value") == 1).alias("won"))
-        touched = touched.join(open_, "id")
+        touched = touched.join(_side(open_, base.tables["open"].counts["rows"]), "id")
         before = F.lit(0)
         if moved:
             earlier = _all(moved).groupBy("id").agg(F.sum("won").alias("before"), F.max("decided_at").alias("at"))
-            touched = touched.join(earlier, "id", "left").where("at is null")
+            touched = touched.join(_side(earlier, _rows(beside, "moved")), "id", "left").where("at is null")
             before = F.coalesce("before", F.lit(0))
         value = F.when(F.col("lost"), 1).when(F.col("won") + before >= F.col("left"), -1)
         step = touched.select("id", "won", value.alias("value")).where("won > 0 or value is not null")
@@ -187,7 +204,7 @@ def attractor(nodes: DataFrame, edges: DataFrame, most: int | None = None, journ
     base, beside = _after(j, "open")
     rest, decided = _settled(j.read(base, "open").drop("part"), [j.read(s, "moved") for s in beside])
     undecided = rest.select("id", F.lit(None).cast("int").alias("value"), F.lit(None).cast("int").alias("decided_at"))
-    return _all([j.read(base, "done"), *([decided] if decided is not None else []), undecided])
+    return _all([*(j.read(s, "done") for s in j.steps if "done" in s.tables), *([decided] if decided is not None else []), undecided])
 
 
 def _settled(open_: DataFrame, moved: list[DataFrame]) -> tuple[DataFrame, DataFrame | None]:

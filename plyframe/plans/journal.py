@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from plyframe.persist import shared_dir, written
+from plyframe.persist import TASK_ROWS, shared_dir, written
 
 READY, EXPANDING, COMMITTING = "ready", "expanding", "committing"
 
@@ -208,12 +208,14 @@ class Journal:
                 self.frames[here] = self.spark.table(self.known[here])
         return self.frames[here]
 
-    def forget(self, before: int) -> None:
-        """Deletes the tables of earlier steps, which nothing reads any more."""
+    def forget(self, before: int, keep: tuple[str, ...] = ()) -> None:
+        """Deletes the tables of earlier steps that nothing reads any more: all but those named
+        in ``keep``."""
         for s in self.steps:
-            if s.number < before and s.tables and self.files.exists(self._folder(s.number)):
-                self.files.delete(self._folder(s.number))
-        for key in [k for k in self.frames if k[0] < before]:
+            for name in s.tables:
+                if s.number < before and name not in keep and self.files.exists(f"{self._folder(s.number)}/{name}"):
+                    self.files.delete(f"{self._folder(s.number)}/{name}")
+        for key in [k for k in self.frames if k[0] < before and k[1] not in keep]:
             del self.frames[key]
             if key in self.known:
                 self.spark.sql(f"drop table {self.known.pop(key)}")
@@ -230,11 +232,12 @@ class Journal:
         self.files.delete(self.path)
 
 
-def bucketed(df: DataFrame, key: str, path: str, folders: list[str] | None = None) -> int:
+def bucketed(df: DataFrame, key: str, path: str, folders: list[str] | None = None, rows: int = 0) -> int:
     """Writes df to the folder in buckets of the key, one sorted file each, in a folder for each
-    value of the columns ``folders``; gives how many buckets."""
+    value of the columns ``folders``; gives how many buckets: those of a shuffle, or as many as
+    so many rows need."""
     spark = df.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     name = f"ply_{uuid.uuid4().hex}"
     df.repartition(n, key).write.partitionBy(*folders or []).bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name, format="parquet")
     spark.sql(f"drop table {name}")  # the files stay; who reads them names them anew
@@ -252,11 +255,14 @@ def catalogued(spark: SparkSession, path: str, schema: StructType, key: str, buc
     return name
 
 
-def in_buckets(df: DataFrame, key: str) -> DataFrame:
+def in_buckets(df: DataFrame, key: str, rows: int = 0) -> DataFrame:
     """df written to the shared folder in buckets of the key, and read from there: joins and
-    aggregations by the key need no exchange of it. persist.clear deletes it."""
+    aggregations by the key need no exchange of it. Where the number of rows is given, more
+    rows are more buckets, so the memory of a task that joins one does not grow with the table;
+    left to itself, Spark puts partitions together until they are tens of megabytes
+    compressed. persist.clear deletes it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/buckets-{uuid.uuid4().hex}"
-    n = bucketed(df, key, path)
+    n = bucketed(df, key, path, rows=rows)
     written(spark, path)
     return spark.table(catalogued(spark, path, df.schema, key, n))
