@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from plyframe.functions.ranking import binomials
 from plyframe.games.core import Game
 from plyframe.persist import cut
+from plyframe.plans.journal import in_buckets
 
 
 #: fixed values of the multiplicative generator modulo 2^31 - 1
@@ -32,9 +33,10 @@ def walks(edges: DataFrame, roots: DataFrame, steps: int, seed: int = 0) -> Data
     """(walk, ply, id): walks along edges (src, dst) from roots (walk, id), each step to the
     child with the least scramble, ties to the least id; a walk without a child ends. A step
     is one join, and an aggregation in which a state with many children is picked from in
-    parts first."""
+    parts first. Edges are in buckets of src."""
     now = cut(roots.select("walk", F.lit(0).alias("ply"), "id"))
     edges, out = cut(edges.select(F.col("src").alias("id"), "dst")), now
+    edges = in_buckets(edges, "id", edges.count())
     for ply in range(1, steps + 1):
         pick = F.min_by("dst", F.struct(scramble(ply, seed, "walk"), "dst"))
         now = cut(now.join(edges, "id").groupBy("walk").agg(pick.alias("id")).select("walk", F.lit(ply).alias("ply"), "id"))
