@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plyframe.persist import cut
+from plyframe.plans.journal import in_buckets
 
 
 def table_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
@@ -61,6 +62,7 @@ def independent_sets_within(items: DataFrame, conflicts: DataFrame, group: str,
     ways = conflicts.select(group, "a", F.col("b").alias("o")).unionByName(conflicts.select(group, F.col("b").alias("a"), F.col("a").alias("o")))
     shut = ways.groupBy(group, F.col("a").alias("id")).agg(F.collect_set("o").alias("shut"))  # at most a group's items
     own = cut(items.select(group, "id").distinct().join(shut, [group, "id"], "left"))
+    own = in_buckets(own, group, own.count())
     kind = dict(own.dtypes)["id"]
     now = own.select(group).distinct().select(group, F.lit(0).alias("k"), F.array().cast(f"array<{kind}>").alias("members"))
     out = now

@@ -100,7 +100,7 @@ def order_walls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(order, id, x, y, o): the wall slots of a 6 x 6 board that the lines of every order fall
     on, each once."""
     lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("order"), F.pmod("l_partkey", F.lit(50)).alias("id"))
-    return _slots(lines.distinct(), 5)
+    return _slots(journal.in_buckets(lines, "order", lines.count()).distinct(), 5)
 
 
 def wall_conflict(a, b):

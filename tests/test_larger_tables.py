@@ -3,6 +3,8 @@
 import decimal
 
 from plyframe import queries
+from plyframe.operators import tables
+from plyframe.plans import fixpoint, journal, refinement, sampling
 
 
 def save(spark, folder, name, rows, schema):
@@ -35,3 +37,53 @@ def test_remainders_in_one_aggregation(spark, tmp_path, monkeypatch):
             ways = more
         want |= {(order, r): decimal.Decimal(n) for r, n in ways.items()}
     assert {(r.l_orderkey, r.residue): r.ways for r in queries.count_dp(spark, str(tmp_path)).collect()} == want
+
+
+def test_many_rows_are_many_buckets(spark, monkeypatch):
+    """What walks, walls and colours join in place."""
+    monkeypatch.setattr(journal, "TASK_ROWS", 10)
+    df = journal.in_buckets(spark.range(95), "id", 95)
+    assert df.count() == 95 and len(df.inputFiles()) == 10
+    given, real = [], journal.in_buckets
+    for module in (refinement, sampling, tables):
+        monkeypatch.setattr(module, "in_buckets", lambda df, key, rows: given.append((key, rows)) or real(df, key, rows))
+    edges = spark.createDataFrame([(1, 2), (1, 3), (2, 3)], "src long, dst long")
+    assert refinement.refine(edges).count() == 3
+    sampling.walks(edges, spark.createDataFrame([(1, 1)], "walk long, id long"), 2)
+    items = spark.createDataFrame([(1, 1), (1, 2)], "g long, id long")
+    assert tables.independent_sets_within(items, items.selectExpr("g", "id as a", "id + 1 as b").where("a = 1"), "g", 2).count() == 3
+    assert given == [("other", 6), ("id", 3), ("g", 2)]
+
+
+def test_passes_broadcast_no_large_side(spark, monkeypatch):
+    """Seen, open and new states of a pass go past the driver, however small their files are."""
+    monkeypatch.setattr(fixpoint, "FEW_ROWS", 0)
+    plans, commit = [], journal.Journal.commit
+
+    def planned(self, given, *args, **notes):
+        plans.extend(df._jdf.queryExecution().executedPlan().toString() for k, df in given.items() if k in ("front", "moved"))
+        return commit(self, given, *args, **notes)
+
+    monkeypatch.setattr(journal.Journal, "commit", planned)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(4)], "src long, dst long")
+    fixpoint.reach(edges, spark.range(1))
+    fixpoint.attractor(spark.createDataFrame([(i, -1 if i == 4 else None) for i in range(5)], "id long, value int"), edges)
+    assert len(plans) > 6 and not any("Broadcast" in x for x in plans)
+
+
+def test_edges_of_decided_nodes_are_not_kept(spark, monkeypatch):
+    monkeypatch.setattr(fixpoint, "BESIDE", 2)
+    kept, commit = [], journal.Journal.commit
+
+    def counted(self, given, *args, **notes):
+        step = commit(self, given, *args, **notes)
+        if "edges" in given:
+            kept.append((step.tables["edges"].counts["rows"], step.tables["done"].counts["rows"]))
+        return step
+
+    monkeypatch.setattr(journal.Journal, "commit", counted)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(7)] + [(9, 10), (10, 9)], "src long, dst long")
+    nodes = spark.createDataFrame([(i, -1 if i == 7 else None) for i in (*range(8), 9, 10)], "id long, value int")
+    got = {r.id: (r.value, r.decided_at) for r in fixpoint.attractor(nodes, edges).collect()}
+    assert got == {i: (-1 if (7 - i) % 2 == 0 else 1, 7 - i) for i in range(8)} | {9: (None, None), 10: (None, None)}
+    assert kept[:3] == [(7, 2), (5, 2), (3, 2)]
