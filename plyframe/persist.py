@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -44,6 +44,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: rows that a task takes in where rows are dealt out by their number
+DEALT_ROWS = 1_048_576
+
+
+def dealt(df: DataFrame, rows: int, *keys: str | Column) -> DataFrame:
+    """df, of so many rows at most, by the keys in as many partitions as they need, so the
+    memory of a task that joins or adds them up does not grow with the table. Left to itself,
+    Spark takes a fixed number of partitions. The same number of rows gives the same partitions."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-rows // DEALT_ROWS)), *keys)
+
+
 #: tables of this run, with the application they belong to
 _WRITTEN: list[tuple[str, str]] = []
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyframe.persist import cut
+from plyframe.persist import cut, dealt
 from plyframe.plans.journal import Journal, Step, in_buckets
 
 #: passes whose changes are kept beside the table that they change before they go into it
@@ -30,6 +30,16 @@ def _side(df: DataFrame, rows: int) -> DataFrame:
     return df if rows <= FEW_ROWS else df.hint("merge")
 
 
+def valued(edges: DataFrame, values: DataFrame, rows: int, known: int) -> DataFrame:
+    """So many edges (src, dst) with the values of their children, of which so many (id, value)
+    are known: few go to every task, many are merged in partitions as many as the rows need."""
+    v = values.select(F.col("id").alias("dst"), "value")
+    if known <= FEW_ROWS:
+        return edges.join(F.broadcast(v), "dst")
+    most = max(rows, known)
+    return dealt(edges, most, "dst").join(dealt(v, most, "dst").hint("merge"), "dst")
+
+
 def _rows(steps: list[Step], table: str) -> int:
     return sum(s.tables[table].counts["rows"] for s in steps if table in s.tables)
 

@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plyframe.persist import dealt
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -16,9 +18,10 @@ def supply_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     that of src. Edges are distinct."""
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
     supplier = table(spark, sf_dir, "supplier")
+    orders = lines.select(F.lit(0).alias("layer"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
+    parts = lines.select(F.lit(1).alias("layer"), F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
     return (
-        lines.select(F.lit(0).alias("layer"), F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-        .unionByName(lines.select(F.lit(1).alias("layer"), F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst")))
+        dealt(orders.unionByName(parts), 2 * lines.count(), "src", "dst")
         .distinct()
         .unionByName(supplier.select(F.lit(2).alias("layer"), F.col("s_suppkey").alias("src"), F.col("s_nationkey").cast("long").alias("dst")))
     )

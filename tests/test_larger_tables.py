@@ -2,9 +2,10 @@
 
 import decimal
 
-from plyframe import queries
+from plyframe import persist, queries
 from plyframe.operators import tables
-from plyframe.plans import fixpoint, journal, refinement, sampling
+from plyframe.plans import fixpoint, journal, partwise, refinement, sampling
+from plyframe.sources.derived import supply_edges, supply_leaves
 
 
 def save(spark, folder, name, rows, schema):
@@ -87,3 +88,36 @@ def test_edges_of_decided_nodes_are_not_kept(spark, monkeypatch):
     got = {r.id: (r.value, r.decided_at) for r in fixpoint.attractor(nodes, edges).collect()}
     assert got == {i: (-1 if (7 - i) % 2 == 0 else 1, 7 - i) for i in range(8)} | {9: (None, None), 10: (None, None)}
     assert kept[:3] == [(7, 2), (5, 2), (3, 2)]
+
+
+def save_supply(spark, folder, lines):
+    """Nations 0 and 1, the second lost; supplier s is of nation s % 2; order i is of part i % 20 and supplier i % 6."""
+    save(spark, folder, "nation", [(0, 2), (1, 0)], "n_nationkey int, n_regionkey int")
+    save(spark, folder, "supplier", [(s, s % 2) for s in range(6)], "s_suppkey long, s_nationkey int")
+    save(spark, folder, "lineitem", [(i, i % 20, i % 6) for i in range(lines)], "l_orderkey long, l_partkey long, l_suppkey long")
+    save(spark, folder, "part", [(i,) for i in range(20)], "p_partkey long")
+    save(spark, folder, "orders", [(i,) for i in range(lines + 1)], "o_orderkey long")
+
+
+def test_a_sweep_in_parts_deals_rows_out_by_their_number(spark, tmp_path, monkeypatch):
+    """More rows are more tasks, in every step; large sides are merged."""
+    monkeypatch.setattr(fixpoint, "FEW_ROWS", 0)
+    tasks, plans, commit = {}, [], journal.Journal.commit
+
+    def watched(self, given, *args, **notes):
+        for k, df in given.items():
+            tasks.setdefault((k, notes.get("layer")), []).append(df.rdd.getNumPartitions())
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return commit(self, given, *args, **notes)
+
+    monkeypatch.setattr(persist, "DEALT_ROWS", 5, raising=False)
+    monkeypatch.setattr(journal.Journal, "commit", watched)
+    save_supply(spark, tmp_path, 60)
+    got = partwise.sweep_in_parts(supply_edges(spark, str(tmp_path)), supply_leaves(spark, str(tmp_path)), 3, 2).collect()
+    supplier = {s: -1 if s % 2 == 0 else 1 for s in range(6)}
+    part = {p: max(-supplier[i % 6] for i in range(60) if i % 20 == p) for p in range(20)}
+    want = {(3, 0, 1), (3, 1, -1)} | {(2, s, v) for s, v in supplier.items()} | {(1, p, v) for p, v in part.items()} | {(0, i, -part[i % 20]) for i in range(60)}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert tasks["edges", None][0] >= 24 and tasks["values", 0] == [12]
+    assert len(tasks["partial", 0]) == 2 and max(tasks["partial", 0]) >= 6
+    assert not any("Broadcast" in x for x in plans)
