@@ -34,12 +34,12 @@ def cut(df: DataFrame) -> DataFrame:
 TASK_ROWS = 262_144
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Like cut(), as a compressed parquet table: for wide rows that are read in part. It
-    stays, as results read it, until clear()."""
+def stored(df: DataFrame, *folders: str) -> DataFrame:
+    """Like cut(), as a compressed parquet table: for wide rows that are read in part, of some
+    folders, if by columns that are given. It stays, as results read it, until clear()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     written(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plyframe.persist import cut, dealt
+from plyframe.persist import cut, dealt, stored
 from plyframe.plans.journal import Journal, Step, in_buckets
 
 #: passes whose changes are kept beside the table that they change before they go into it
@@ -114,16 +114,26 @@ def banded_sweep(states: DataFrame, edges: DataFrame, fold: Column, stuck: int)
     """(band, id, value) of states (band, id, value), value null where open, whose moves (src,
     dst) lead to bands with a larger number, not always the next: a band may stand for two
     measures, of which one rises and one falls. A band is one join with all later values;
-    open states without moves get ``stuck``."""
+    open states without moves get ``stuck``. Moves of open states are written once, in folders
+    by band; a move that is there twice counts twice in the fold. Rows are dealt out by their
+    number."""
+    sizes = {r.band: r.n for r in states.groupBy("band").agg(F.count("*").alias("n")).collect()}  # one row a band
+    rows, total = edges.count(), sum(sizes.values())
+    most = max(rows, total)
+    asked = dealt(states.where("value is null").select(F.col("id").alias("src"), "band"), most, "src").distinct().hint("merge")
+    moves = stored(dealt(edges.select("src", "dst"), most, "src").join(asked, "src").select("src", "dst", "band"), "band")
+    leaving = {r.band: r.n for r in moves.groupBy("band").agg(F.count("*").alias("n")).collect()}
     done: DataFrame | None = None
-    for k in sorted((r.band for r in states.select("band").distinct().collect()), reverse=True):  # one row a band
-        own = states.where(F.col("band") == k)
-        if done is not None:
-            mine = edges.join(own.where("value is null").select(F.col("id").alias("src")), "src", "left_semi")
-            up = mine.join(done.select(F.col("id").alias("dst"), "value"), "dst").groupBy(F.col("src").alias("id")).agg(fold.cast("int").alias("v"))
-            own = own.join(up, "id", "left").withColumn("value", F.coalesce("value", "v"))
+    known = 0
+    for k in sorted(sizes, reverse=True):
+        own, n = states.where(F.col("band") == k), leaving.get(k, 0)
+        if done is not None and n:
+            least = max(n, sizes[k])
+            up = valued(moves.where(F.col("band") == k).select("src", "dst"), done, n, known)
+            up = dealt(up.select(F.col("src").alias("id"), "value"), least, "id").groupBy("id").agg(fold.cast("int").alias("v"))
+            own = dealt(own, least, "id").join(up.hint("merge"), "id", "left").withColumn("value", F.coalesce("value", "v"))
         own = cut(own.select("band", "id", F.coalesce("value", F.lit(stuck)).cast("int").alias("value")))
-        done = own if done is None else done.unionByName(own)
+        done, known = own if done is None else done.unionByName(own), known + sizes[k]
     return done
 
 

@@ -2,7 +2,9 @@
 
 import decimal
 
-from plyframe import persist, queries
+from pyspark.sql import functions as F
+
+from plyframe import io_queries, persist, queries
 from plyframe.operators import tables
 from plyframe.plans import fixpoint, journal, partwise, refinement, sampling
 from plyframe.sources.derived import supply_edges, supply_leaves
@@ -121,3 +123,35 @@ def test_a_sweep_in_parts_deals_rows_out_by_their_number(spark, tmp_path, monkey
     assert tasks["edges", None][0] >= 24 and tasks["values", 0] == [12]
     assert len(tasks["partial", 0]) == 2 and max(tasks["partial", 0]) >= 6
     assert not any("Broadcast" in x for x in plans)
+
+
+def test_a_banded_sweep_deals_rows_out_by_their_number(spark, tmp_path, monkeypatch):
+    """More rows are more tasks in every band; large sides are merged; an order without lines is lost."""
+    monkeypatch.setattr(fixpoint, "FEW_ROWS", 0)
+    tasks, plans, cut = [], [], fixpoint.cut
+
+    def watched(df):
+        tasks.append(df.rdd.getNumPartitions())
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut(df)
+
+    monkeypatch.setattr(persist, "DEALT_ROWS", 5, raising=False)
+    monkeypatch.setattr(fixpoint, "cut", watched)
+    save_supply(spark, tmp_path, 60)
+    got = io_queries.banded_sweep(spark, str(tmp_path)).collect()
+    supplier = {s: -1 if s % 2 == 0 else 1 for s in range(6)}
+    part = {p: max(-supplier[i % 6] for i in range(60) if i % 20 == p) for p in range(20)}
+    want = {(3, 0, 1), (3, 1, -1)} | {(2, s, v) for s, v in supplier.items()} | {(1, p, v) for p, v in part.items()}
+    want |= {(0, i, max(-part[i % 20], -supplier[i % 6])) for i in range(60)} | {(0, 60, -1)}
+    assert len(got) == len(want) and set(map(tuple, got)) == want
+    assert tasks[-2:] == [12, 24]  # 60 moves of parts, 120 of orders
+    assert not any("Broadcast" in x for x in plans)
+
+
+def test_moves_of_a_band_are_read_alone_and_counted_as_given(spark):
+    """Decided states keep their value, and moves within a band or back count for nothing."""
+    states = spark.createDataFrame([(0, 1, None), (0, 2, None), (1, 3, None), (2, 4, -1), (2, 5, 1), (1, 6, 0)], "band int, id long, value int")
+    moves = spark.createDataFrame([(1, 4), (1, 4), (1, 3), (2, 1), (3, 5), (3, 2), (6, 4)], "src long, dst long")
+    got = {x.id: (x.band, x.value) for x in fixpoint.banded_sweep(states, moves, F.count("value"), -1).collect()}
+    assert got == {1: (0, 3), 2: (0, -1), 3: (1, 1), 4: (2, -1), 5: (2, 1), 6: (1, 0)}
+    assert fixpoint.banded_sweep(states, moves.limit(0), F.count("value"), -1).where("value = -1").count() == 4
